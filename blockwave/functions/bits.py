@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ints import Value, array, bit_length, byte_at, col, div, u16
+from .ints import Value, array, bit_length, byte_at, col, div, let, u16
 
 #: The most zeros that a code may begin with, and the largest magnitude of a coefficient.
 MAX_ZEROS, MAX_LEVEL = 31, 32767
@@ -22,13 +22,13 @@ def zigzag(n: int) -> tuple[int, ...]:
 
 
 def scan(block: Column, n: int) -> Column:
-    return F.transform(array(zigzag(n)), lambda i: F.get(block, i))
+    return let(block, lambda b: F.transform(array(zigzag(n)), lambda i: F.get(b, i)))
 
 
 def unscan(block: Column, n: int) -> Column:
     z = zigzag(n)
     back = [z.index(p) for p in range(n * n)]
-    return F.transform(array(back), lambda i: F.get(block, i))
+    return let(block, lambda b: F.transform(array(back), lambda i: F.get(b, i)))
 
 
 def last_nonzero(block: Column) -> Column:
@@ -69,81 +69,99 @@ def se(v: Value) -> Column:
 
 def read_ue(text: Column, at: Value = 0) -> Column:
     """struct(value, next, error) of the code at a 0-based place of a bit string."""
-    rest = F.substring(text, col(at) + 1, F.length(text))
-    zeros = F.instr(rest, "1") - 1
-    body = F.substring(rest, zeros + 1, zeros + 1)
-    bad = (zeros < 0) | (zeros > MAX_ZEROS) | (F.length(body) < zeros + 1)
-    value = F.when(~bad, F.conv(body, 2, 10).cast("bigint") - 1)
-    return F.struct(value.alias("value"), (col(at) + zeros * 2 + 1).cast("int").alias("next"), bad.alias("error"))
+
+    def decode(s: Column) -> Column:
+        zeros = F.instr(s, "1") - 1
+        body = F.substring(s, zeros + 1, zeros + 1)
+        bad = (zeros < 0) | (zeros > MAX_ZEROS) | (F.length(body) < zeros + 1)
+        value = F.when(~bad, F.conv(body, 2, 10).cast("bigint") - 1)
+        return F.struct(value.alias("value"), (col(at) + zeros * 2 + 1).cast("int").alias("next"), bad.alias("error"))
+
+    return let(F.substring(text, col(at) + 1, F.lit(2 * MAX_ZEROS + 2)), decode)
 
 
 def pack(text: Column) -> Column:
     """A bit string as bytes, the last filled up with zeros."""
-    full = F.rpad(text, div(F.length(text) + 7, 8).cast("int") * 8, "0")
-    cells = F.sequence(F.lit(1), F.length(full), F.lit(8))
-    byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
-    joined = F.array_join(F.transform(cells, byte), "")
+
+    def cells(full: Column) -> Column:
+        byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(full), F.lit(8)), byte), "")
+
+    joined = let(F.rpad(text, div(F.length(text) + 7, 8).cast("int") * 8, "0"), cells)
     return F.when(F.length(text) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(joined))
 
 
 def unpack(data: Column) -> Column:
     """Bytes as a bit string."""
-    cells = F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1)))
-    joined = F.array_join(F.transform(cells, lambda i: F.lpad(F.bin(byte_at(data, i).cast("bigint")), 8, "0")), "")
-    return F.when(F.length(data) == 0, "").otherwise(joined)
+
+    def body(d: Column) -> Column:
+        cells = F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1)))
+        return F.array_join(F.transform(cells, lambda i: F.lpad(F.bin(byte_at(d, i).cast("bigint")), 8, "0")), "")
+
+    return F.when(F.length(data) == 0, "").otherwise(let(data, body))
 
 
 def coefficient_code(block: Column, n: int) -> Column:
     """Bit string of a block: last place plus 1, then magnitudes and signs from there back to the first."""
-    z = scan(block, n)
-    last = last_nonzero(z)
-    used = F.reverse(F.slice(z, F.lit(1), last + 1))
     one = lambda v: F.concat(ue(F.abs(v)), F.when(v > 0, "0").when(v < 0, "1").otherwise(""))
-    return F.concat(ue(last + 1), F.array_join(F.transform(used, one), ""))
+
+    def body(z: Column) -> Column:
+        last = last_nonzero(z)
+        used = F.reverse(F.slice(z, F.lit(1), last + 1))
+        return F.concat(ue(last + 1), F.array_join(F.transform(used, one), ""))
+
+    return let(scan(block, n), body)
 
 
 def coefficient_bits(block: Column, n: int) -> Column:
     """The length of ``coefficient_code`` without making it."""
-    z = scan(block, n)
-    last = last_nonzero(z)
-    used = F.slice(z, F.lit(1), last + 1)
-    return ue_bits(last + 1) + F.aggregate(used, F.lit(0), lambda a, v: a + ue_bits(F.abs(v)) + (v != 0).cast("int"))
+
+    def body(z: Column) -> Column:
+        last = last_nonzero(z)
+        used = F.slice(z, F.lit(1), last + 1)
+        return ue_bits(last + 1) + F.aggregate(used, F.lit(0), lambda a, v: a + ue_bits(F.abs(v)) + (v != 0).cast("int"))
+
+    return let(scan(block, n), body)
 
 
 def coefficient_decode(text: Column, n: int) -> Column:
     """struct(block, error) of a coded bit string: a fold over the places of a block."""
-    head = read_ue(text)
-    count = head["value"]
-    empty = F.struct(F.array().cast("array<int>").alias("levels"), head["next"].alias("at"), (head["error"] | (count > n * n)).alias("bad"))
+    return let(text, lambda t: let(read_ue(t), lambda head: _decode(t, head, n)))
+
+
+def _decode(text: Column, head: Column, n: int) -> Column:
+    count, wrong = head["value"], head["error"] | (head["value"] > n * n)
+    start = F.struct(F.array().cast("array<int>").alias("levels"), head["next"].alias("at"), wrong.alias("bad"))
 
     def one(s: Column, _: Column) -> Column:
-        code = read_ue(text, s["at"])
-        mag, at = code["value"], code["next"]
-        bad = s["bad"] | code["error"] | (mag > MAX_LEVEL)
-        sign = F.substring(text, at + 1, F.lit(1))
-        value = F.when(bad, 0).when(sign == "1", -mag).otherwise(mag).cast("int")
-        value = F.when(mag == 0, 0).otherwise(value)
-        return F.struct(F.concat(s["levels"], F.array(value)).alias("levels"), F.when(mag > 0, at + 1).otherwise(at).alias("at"), bad.alias("bad"))
+        def step(code: Column) -> Column:
+            mag, at = code["value"], code["next"]
+            bad = s["bad"] | code["error"] | (mag > MAX_LEVEL)
+            sign = F.substring(text, at + 1, F.lit(1))
+            value = F.when(bad | (mag == 0), 0).when(sign == "1", -mag).otherwise(mag).cast("int")
+            return F.struct(F.concat(s["levels"], F.array(value)).alias("levels"), F.when(mag > 0, at + 1).otherwise(at).alias("at"), bad.alias("bad"))
+
+        return let(read_ue(text, s["at"]), step)
 
-    steps = F.slice(F.sequence(F.lit(1), F.lit(n * n)), F.lit(1), F.when(head["error"] | (count > n * n), 0).otherwise(count).cast("int"))
+    steps = F.slice(F.sequence(F.lit(1), F.lit(n * n)), F.lit(1), F.when(wrong, 0).otherwise(count).cast("int"))
 
     def finish(s: Column) -> Column:
         full = F.concat(F.reverse(s["levels"]), F.array_repeat(F.lit(0), F.lit(n * n) - F.size(s["levels"])))
         return F.struct(unscan(full, n).alias("block"), s["bad"].alias("error"))
 
-    return F.aggregate(steps, empty, one, finish)
+    return F.aggregate(steps, start, one, finish)
 
 
 def crc16(data: Column) -> Column:
     """CRC-16/CCITT-FALSE of a binary: polynomial 0x1021, start 0xFFFF."""
-    places = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>"))
     eight = F.sequence(F.lit(1), F.lit(8))
 
     def bit(c: Column, _: Column) -> Column:
         up = F.shiftleft(c, 1)
         return u16(F.when(c >= 32768, up.bitwiseXOR(F.lit(0x1021))).otherwise(up))
 
-    def byte(c: Column, i: Column) -> Column:
-        return F.aggregate(eight, u16(c.bitwiseXOR(byte_at(data, i) * 256)), bit)
+    def body(d: Column) -> Column:
+        places = F.when(F.length(d) > 0, F.sequence(F.lit(1), F.length(d))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0xFFFF), lambda c, i: F.aggregate(eight, u16(c.bitwiseXOR(byte_at(d, i) * 256)), bit))
 
-    return F.aggregate(places, F.lit(0xFFFF), byte)
+    return let(data, body)

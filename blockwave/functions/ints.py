@@ -12,6 +12,11 @@ def col(x: Value | str) -> Column:
     return F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda refers to is otherwise computed at each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def div(a: Value, b: Value) -> Column:
     """Integer quotient, truncated towards zero; a BIGINT."""
     return F.call_function("div", col(a), col(b))

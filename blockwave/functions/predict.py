@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ints import array, clip, clip8, div, shr
+from .ints import array, clip, clip8, div, let, shr
 
 #: Displacement of the angular modes in 1/32 samples a line.
 VERTICAL = {2: 32, 3: 16, 4: 6, 5: 0, 6: -6, 7: -16, 8: -32}
@@ -56,6 +56,10 @@ def angular(above: Column, left: Column, n: int, mode: int) -> Column:
 
 def predict(above: Column, left: Column, n: int, mode: int) -> Column:
     """The block that a mode predicts; unknown modes count as DC."""
+    return let(above, lambda a: let(left, lambda b: _predict(a, b, n, mode)))
+
+
+def _predict(above: Column, left: Column, n: int, mode: int) -> Column:
     if mode == PLANAR:
         return planar(above, left, n)
     if mode in VERTICAL or mode in HORIZONTAL:
@@ -70,11 +74,15 @@ def sad(a: Column, b: Column) -> Column:
 
 def best_mode(block: Column, above: Column, left: Column, n: int) -> Column:
     """struct(sad, mode) of the mode with the least error, the lowest mode of equals."""
-    tries = [F.struct(sad(block, predict(above, left, n, m)).alias("sad"), F.lit(m).alias("mode")) for m in range(MODES)]
-    return F.array_min(F.array(*tries))
+
+    def body(a: Column, b: Column) -> Column:
+        tries = [F.struct(sad(block, _predict(a, b, n, m)).alias("sad"), F.lit(m).alias("mode")) for m in range(MODES)]
+        return F.array_min(F.array(*tries))
+
+    return let(above, lambda a: let(left, lambda b: body(a, b)))
 
 
-def chroma_dc(above: Column, left: Column, n: int) -> Column:
+def chroma_dc(above: Column, left: Column) -> Column:
     """The rounded mean of the neighbours there are (arrays without corner, null at a border), else 128."""
     none = F.array().cast("array<int>")
     both = F.concat(F.coalesce(above, none), F.coalesce(left, none))
@@ -96,7 +104,8 @@ def luma_blend(chroma: Column, luma: Column, sign: Column, shift: Column) -> Col
     """A 4x4 chroma tile moved by its luma's deviation from the tile's rounded mean, shifted down."""
     total = F.aggregate(luma, F.lit(0).cast("bigint"), lambda a, v: a + v)
     mean = div(total + div(F.size(luma), 2), F.size(luma))
-    return F.zip_with(chroma, luma, lambda c, v: clip8(c + sign * F.call_function("shiftright", (v - mean).cast("int"), shift)).cast("int"))
+    moved = lambda m: F.zip_with(chroma, luma, lambda c, v: clip8(c + sign * F.call_function("shiftright", (v - m).cast("int"), shift)).cast("int"))
+    return let(mean, moved)
 
 
 def legacy_luma_blend(chroma: Column, luma: Column) -> Column:

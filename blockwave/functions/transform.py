@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ints import array, shr, wrap16
+from .ints import array, let, shr, wrap16
 
 #: The DCT matrices times 2**14, by their distinct magnitudes.
 DCT4 = ((8192, 8192, 8192, 8192), (10703, 4433, -4433, -10703), (8192, -8192, -8192, 8192), (4433, -10703, 10703, -4433))
@@ -63,7 +63,8 @@ def transform2d(block: Column, kind: str, n: int, inverse: bool = False) -> Colu
         return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
 
     wide = F.transform(block, lambda v: v.cast("bigint"))
-    return F.transform(one_pass(one_pass(wide, True), False), lambda v: wrap16(v).cast("int"))
+    both = let(wide, lambda x: let(one_pass(x, True), lambda y: one_pass(y, False)))
+    return F.transform(both, lambda v: wrap16(v).cast("int"))
 
 
 def spread(coefficients: DataFrame, keys: list[str], kind: str, n: int, inverse: bool = False) -> DataFrame:
@@ -92,6 +93,10 @@ def dc_only(dc: Column, n: int) -> Column:
 
 def inverse_dct(block: Column, n: int) -> Column:
     """The inverse DCT, by the short way where only the DC coefficient is set."""
-    ac = F.exists(F.slice(block, 2, n * n - 1), lambda v: v != 0)
-    flat = F.transform(block, lambda _: wrap16(dc_only(F.get(block, F.lit(0)), n)).cast("int"))
-    return F.when(ac, transform2d(block, "dct", n, True)).otherwise(flat)
+
+    def body(b: Column) -> Column:
+        ac = F.exists(F.slice(b, 2, n * n - 1), lambda v: v != 0)
+        flat = F.array_repeat(wrap16(dc_only(F.get(b, F.lit(0)), n)).cast("int"), n * n)
+        return F.when(ac, transform2d(b, "dct", n, True)).otherwise(flat)
+
+    return let(block, body)
