@@ -144,7 +144,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     least = -(1 << 63)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.coalesce("doc_id", F.lit(least))
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = [k / n for k in range(1, n)] or [0.5]
     cuts = sorted(set(d.agg(F.percentile_approx(order, share, max(10_000, 10 * n))).first()[0] or [])) if n > 1 else []
     edges = np.array(cuts, np.int64)
