@@ -23,12 +23,12 @@ def rgb_to_ycc(r: Column, g: Column, b: Column) -> dict[str, Column]:
 
 
 def ycc_to_rgb(y: Column, cb: Column, cr: Column) -> dict[str, Column]:
-    """r, g and b of one pixel."""
+    """red, green and blue of one pixel."""
     u, v = cb - 128, cr - 128
     return {
-        "r": clip8(y + shr(v * INVERSE["r_cr"] + 8192, 14)),
-        "g": clip8(y + shr(u * INVERSE["g_cb"] + v * INVERSE["g_cr"] + 8192, 14)),
-        "b": clip8(y + shr(u * INVERSE["b_cb"] + 8192, 14)),
+        "red": clip8(y + shr(v * INVERSE["r_cr"] + 8192, 14)),
+        "green": clip8(y + shr(u * INVERSE["g_cb"] + v * INVERSE["g_cr"] + 8192, 14)),
+        "blue": clip8(y + shr(u * INVERSE["b_cb"] + 8192, 14)),
     }
 
 

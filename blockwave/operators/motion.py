@@ -65,9 +65,9 @@ def quarter(a: Column, b: Column, frac: Value) -> Column:
 def compensate(blocks: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:
     """(keys, by, bx, r, c, pred) of blocks (keys, by, bx, dy, dx) moved by whole samples over the reference;
     places outside the frame take its nearest border sample."""
-    size = reference.groupBy(*keys).agg(F.max("r").alias("_h"), F.max("c").alias("_w"))
+    size = reference.groupBy(*keys).agg(F.max("r").alias("_h"), F.max("c").alias("_w"))  # one row a key
     cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("_p")
-    b = blocks.join(size, keys).select(*keys, "by", "bx", "dy", "dx", "_h", "_w", cell)
+    b = (blocks.join(size, keys) if keys else blocks.crossJoin(size)).select(*keys, "by", "bx", "dy", "dx", "_h", "_w", cell)
     r, c = F.col("by") * n + div("_p", n), F.col("bx") * n + F.col("_p") % n
     at = b.select(*keys, "by", "bx", r.alias("r0"), c.alias("c0"), F.least(F.greatest(r + F.col("dy"), F.lit(0)), F.col("_h")).alias("r"), F.least(F.greatest(c + F.col("dx"), F.lit(0)), F.col("_w")).alias("c"))
     hit = at.join(reference.select(*keys, "r", "c", F.col("v").alias("pred")), [*keys, "r", "c"])

@@ -1 +1,287 @@
+"""Queries on pixels, frames and packets. Stand-in: clips made by formula, and literal packets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import color
+from ..functions.ints import div
+from ..operators import loopfilter, metrics, motion, scenes
+from ..sources import container, synthetic
+from .common import table
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _grid(h: int, w: int, frames: int, v: str) -> str:
+    return f"(SELECT f::BIGINT AS f, r::BIGINT AS r, c::BIGINT AS c, ({v})::BIGINT AS v FROM range({frames}) a(f), range({h}) b(r), range({w}) d(c))"
+
+
+_SHIFTED = f"((r + f * 2) * 9 + (c - f * 3) * 13 + ((r + f * 2) * (c - f * 3)) % 31 + 1024) & 255"
+
+
+def _moving(spark, h: int = 32, w: int = 32, frames: int = 2):
+    """A texture that moves up two rows and right three columns a frame."""
+    r, c = F.col("r") + F.col("f") * 2, F.col("c") - F.col("f") * 3
+    return synthetic.grid(spark, h, w, frames).withColumn("v", (r * 9 + c * 13 + (r * c) % 31 + 1024).bitwiseAND(F.lit(255)))
+
+
+# ── generators and scene cuts ──
+
+_PATTERNS = {
+    "gradient": "(r * 255 // 128 + c * 255 // 128) // 2",
+    "checkerboard": "CASE WHEN (c // 16 + r // 16) % 2 = 1 THEN 255 ELSE 0 END",
+    "hlines": "CASE WHEN r % 16 < 8 THEN 255 ELSE 0 END",
+    "vlines": "CASE WHEN c % 16 < 8 THEN 255 ELSE 0 END",
+    "diagonal": "CASE WHEN (r + c) % 32 < 16 THEN 255 ELSE 0 END",
+    "container": "(c * 9 + r * 13 + f * 17) & 255",
+    "bridge": "(c * 5 + r * 7 + f * 19) & 255",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, f, sum(v)::BIGINT AS total, sum(v * (r * 131 + c))::BIGINT AS weighted FROM {_grid(128, 128, 2, v)} GROUP BY f" for k, v in _PATTERNS.items()))
+def synthetic_frames(spark, sf_dir):
+    """Sums over every generated frame."""
+    out = None
+    for k in _PATTERNS:
+        g = synthetic.pattern(spark, k, 128, 128, 2).groupBy("f").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * (F.col("r") * 131 + F.col("c"))).cast("bigint").alias("weighted"))
+        g = g.select(F.lit(k).alias("pattern"), "f", "total", "weighted")
+        out = g if out is None else out.unionAll(g)
+    return out
+
+
+_LCG = "WITH RECURSIVE s(i, x) AS (SELECT 0, (7::UBIGINT * 1103515245 + 12345) % 4294967296 UNION ALL SELECT i + 1, (x * 1103515245 + 12345) % 4294967296 FROM s WHERE i < 1023) SELECT i::BIGINT AS i, ((x >> 16) & 255)::BIGINT AS v FROM s"
+
+
+@query(_LCG)
+def noise_samples(spark, sf_dir):
+    """The first 1024 samples of the noise generator with seed 7; each place is computed on its own."""
+    return spark.range(1024).select(F.col("id").alias("i"), synthetic.noise_at(F.col("id"), 7).cast("bigint").alias("v"))
+
+
+_CUT_FRAMES = f"fr AS (SELECT f, r, c, CASE WHEN f < 2 THEN (r * 255 // 128 + c * 255 // 128) // 2 ELSE CASE WHEN (c // 8 + r // 8) % 2 = 1 THEN 255 ELSE 0 END END AS v FROM {_grid(128, 128, 3, '0')})"
+
+
+@query(
+    f"WITH {_CUT_FRAMES}, h AS (SELECT f, v * 16 // 256 AS b, count(*) AS n FROM fr GROUP BY 1, 2), g AS (SELECT f, b FROM range(3) x(f), range(16) y(b)), d AS (SELECT g.f, g.b, coalesce(n, 0)::DOUBLE AS n FROM g LEFT JOIN h ON g.f = h.f AND g.b = h.b), "
+    "l AS (SELECT f, b, n, lag(n) OVER (PARTITION BY b ORDER BY f) AS p FROM d), s AS (SELECT f, sum(CASE WHEN n + p > 0 THEN (n - p) ** 2 / ((n + p) / 2.0::DOUBLE) ELSE 0 END) / sum(n) AS dist, count(p) AS k FROM l GROUP BY f) "
+    "SELECT f::BIGINT AS f, CASE WHEN k > 0 THEN round(dist, 6) END AS distance, k = 0 OR dist > 0.5 AS key FROM s"
+)
+def scene_cut_frames(spark, sf_dir):
+    """Two gradients and a checkerboard: key, other, key."""
+    a = synthetic.pattern(spark, "gradient", 128, 128, 3).where("f < 2")
+    b = synthetic.pattern(spark, "checkerboard", 128, 128, 3, block=8).where("f = 2")
+    return scenes.scene_cuts(a.unionByName(b), [], "f", "v").select("f", F.round("distance", 6).alias("distance"), "key")
+
+
+# ── colour ──
+
+_RGB = "rgb AS (SELECT p_partkey, p_size % 256 AS r, (p_retailprice * 100)::BIGINT % 256 AS g, p_partkey % 256 AS b FROM part)"
+_YCC = "ycc AS (SELECT p_partkey, least(greatest((4899 * r + 9617 * g + 1868 * b + 8192) >> 14, 0), 255)::BIGINT AS y, least(greatest(((-2763 * r - 5425 * g + 8192 * b + 8192) >> 14) + 128, 0), 255)::BIGINT AS cb, least(greatest(((8192 * r - 6855 * g - 1327 * b + 8192) >> 14) + 128, 0), 255)::BIGINT AS cr FROM rgb)"
+
+
+def _rgb(spark, sf_dir):
+    """Size, price in cents and key of a part, as bytes."""
+    p = table(spark, sf_dir, "part")
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    return p.select("p_partkey", (F.col("p_size") % 256).cast("bigint").alias("red"), (cents % 256).alias("green"), (F.col("p_partkey") % 256).alias("blue"))
+
+
+@query(f"WITH {_RGB}, {_YCC} SELECT * FROM ycc")
+def rgb_to_ycbcr(spark, sf_dir):
+    ycc = color.rgb_to_ycc(F.col("red"), F.col("green"), F.col("blue"))
+    return _rgb(spark, sf_dir).select("p_partkey", *[v.cast("bigint").alias(k) for k, v in ycc.items()])
+
+
+@query(f"WITH {_RGB}, {_YCC} SELECT p_partkey, least(greatest(y + ((22970 * (cr - 128) + 8192) >> 14), 0), 255)::BIGINT AS red, least(greatest(y + ((-5638 * (cb - 128) - 11696 * (cr - 128) + 8192) >> 14), 0), 255)::BIGINT AS green, least(greatest(y + ((29032 * (cb - 128) + 8192) >> 14), 0), 255)::BIGINT AS blue FROM ycc")
+def ycbcr_to_rgb(spark, sf_dir):
+    rgb = color.ycc_to_rgb(F.col("y"), F.col("cb"), F.col("cr"))
+    return rgb_to_ycbcr(spark, sf_dir).select("p_partkey", *[v.cast("bigint").alias(k) for k, v in rgb.items()])
+
+
+_RGBF = _grid(33, 47, 2, "0")
+_FRAME_RGB = f"pix AS (SELECT f, r, c, (c * 9 + r * 13 + f * 17) & 255 AS red, (c * 5 + r * 7 + f * 19) & 255 AS green, (r * 3 + c * 11) & 255 AS blue FROM {_RGBF})"
+
+
+@query(
+    f"WITH {_FRAME_RGB}, y AS (SELECT f, r // 2 AS r, c // 2 AS c, least(greatest(((-2763 * red - 5425 * green + 8192 * blue + 8192) >> 14) + 128, 0), 255) AS cb, least(greatest(((8192 * red - 6855 * green - 1327 * blue + 8192) >> 14) + 128, 0), 255) AS cr FROM pix) "
+    "SELECT f, r, c, (sum(cb)::BIGINT // 4)::BIGINT AS cb, (sum(cr)::BIGINT // 4)::BIGINT AS cr FROM y GROUP BY f, r, c HAVING count(*) = 4"
+)
+def frame_chroma_420(spark, sf_dir):
+    """Chroma planes of frames with an odd width and height."""
+    return color.frame_to_420(_rgb_frames(spark), ["f"])[1].select("f", "r", "c", F.col("cb").cast("bigint").alias("cb"), F.col("cr").cast("bigint").alias("cr"))
+
+
+def _rgb_frames(spark):
+    g = synthetic.grid(spark, 33, 47, 2)
+    byte = lambda e: e.bitwiseAND(F.lit(255))
+    r, c, f = F.col("r"), F.col("c"), F.col("f")
+    return g.withColumns({"red": byte(c * 9 + r * 13 + f * 17), "green": byte(c * 5 + r * 7 + f * 19), "blue": byte(r * 3 + c * 11)})
+
+
+@query()
+def frame_rgb_round_trip(spark, sf_dir):
+    """Sums of the frames' colours after both conversions, where chroma is known."""
+    back = color.frame_to_rgb(*color.frame_to_420(_rgb_frames(spark), ["f"]), ["f"])
+    return back.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(k).cast("bigint").alias(k) for k in ("red", "green", "blue")])
+
+
+# ── motion ──
+
+_CUR, _REF = _grid(32, 32, 1, _SHIFTED.replace("f * ", "1 * ")), _grid(32, 32, 1, _SHIFTED.replace("f * ", "0 * "))
+_MOVES = "(SELECT dy, dx FROM range(-4, 5) m(dy), range(-4, 5) n(dx))"
+
+
+@query(
+    f"WITH cur AS {_CUR}, ref AS {_REF}, cost AS (SELECT cur.r // 8 AS \"by\", cur.c // 8 AS bx, dy, dx, sum(abs(cur.v - ref.v))::BIGINT AS sad FROM cur, {_MOVES} m, ref WHERE ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 64) "
+    "SELECT \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx))::BIGINT AS dy, arg_min(dx, (sad, dy, dx))::BIGINT AS dx FROM cost GROUP BY 1, 2"
+)
+def motion_search(spark, sf_dir):
+    """Frame 1 of the moving texture against frame 0."""
+    m = _moving(spark)
+    s = motion.search(m.where("f = 1").drop("f"), m.where("f = 0").drop("f"), [], 8, 4)
+    return s.select("by", "bx", "sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
+
+
+@query(
+    f"WITH cur AS {_CUR}, ref AS {_REF}, cost AS (SELECT dy, dx, sum(coalesce(abs(cur.v - ref.v), 1020))::BIGINT AS sad FROM (SELECT * FROM cur WHERE r % 4 = 0 AND c % 4 = 0) cur CROSS JOIN (SELECT dy, dx FROM range(-8, 9) m(dy), range(-8, 9) n(dx)) m LEFT JOIN ref ON ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2) "
+    "SELECT min(sad) AS sad, arg_min(dy, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dy, arg_min(dx, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dx FROM cost"
+)
+def global_motion(spark, sf_dir):
+    m = _moving(spark)
+    g = motion.global_motion(m.where("f = 1").drop("f"), m.where("f = 0").drop("f"), [])
+    return g.select("sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
+
+
+@query(
+    f"WITH px AS {_REF}, w AS (SELECT r, c, v, lag(v, 2) OVER x AS a, lag(v) OVER x AS b, lead(v) OVER x AS d, lead(v, 2) OVER x AS e, lead(v, 3) OVER x AS g FROM px WINDOW x AS (PARTITION BY r ORDER BY c)) "
+    "SELECT r, c, coalesce(least(greatest((a - 5 * b + 20 * v + 20 * d - 5 * e + g + 16) >> 5, 0), 255), (v + d + 1) >> 1, v)::BIGINT AS half FROM w"
+)
+def six_tap_half(spark, sf_dir):
+    p = motion.six_tap(_moving(spark).where("f = 0").drop("f"), [], "c")
+    return p.select("r", "c", F.col("half").cast("bigint").alias("half"))
+
+
+@query(f"WITH px AS {_REF} SELECT a.r, a.c, q::BIGINT AS q, least(greatest((a.v * (4 - q) + b.v * q + 2) // 4, 0), 255)::BIGINT AS v FROM px a JOIN px b ON a.r = b.r AND b.c = a.c + 1, range(4) t(q)")
+def quarter_samples(spark, sf_dir):
+    p = _moving(spark).where("f = 0").select("r", "c", "v", F.lead("v").over(Window.partitionBy("r").orderBy("c")).alias("n")).where("n IS NOT NULL")
+    e = p.select("r", "c", "v", "n", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("q"))
+    return e.select("r", "c", F.col("q").cast("bigint").alias("q"), motion.quarter(F.col("v"), F.col("n"), F.col("q")).cast("bigint").alias("v"))
+
+
+@query(f"WITH px AS {_REF}, mv AS (SELECT y AS \"by\", x AS bx, y - 2 AS dy, 2 * x - 3 AS dx FROM range(4) a(y), range(4) b(x)), pl AS (SELECT \"by\", bx, \"by\" * 8 + i AS r, bx * 8 + j AS c, least(greatest(\"by\" * 8 + i + dy, 0), 31) AS rr, least(greatest(bx * 8 + j + dx, 0), 31) AS cc FROM mv, range(8) a(i), range(8) b(j)) SELECT pl.r, pl.c, px.v AS pred FROM pl JOIN px ON px.r = rr AND px.c = cc")
+def motion_compensation(spark, sf_dir):
+    """Vectors that partly leave the frame."""
+    mv = spark.range(16).select(div("id", 4).alias("by"), (F.col("id") % 4).alias("bx"))
+    mv = mv.select("by", "bx", (F.col("by") - 2).alias("dy"), (F.col("bx") * 2 - 3).alias("dx"))
+    out = motion.compensate(mv, _moving(spark).where("f = 0").drop("f"), [], 8)
+    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+
+
+@query(f"WITH px AS {_REF} SELECT a.r, a.c, x::BIGINT AS fx, y::BIGINT AS fy, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS v FROM px a JOIN px b ON b.r = a.r AND b.c = a.c + 1 JOIN px d ON d.r = a.r + 1 AND d.c = a.c JOIN px e ON e.r = a.r + 1 AND e.c = a.c + 1, (VALUES (0, 0), (3, 5), (7, 1)) t(x, y) WHERE a.r < 8 AND a.c < 8")
+def chroma_eighths(spark, sf_dir):
+    """The corner of the frame at three fractions."""
+    p = _moving(spark).where("f = 0").drop("f")
+    right = Window.partitionBy("r").orderBy("c")
+    two = p.withColumn("b", F.lead("v").over(right))
+    down = Window.partitionBy("c").orderBy("r")
+    four = two.withColumns({"d": F.lead("v").over(down), "e": F.lead("b").over(down)}).where("r < 8 AND c < 8")
+    at = four.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("fx"), F.lit(y).alias("fy")) for x, y in ((0, 0), (3, 5), (7, 1))])))
+    v = motion.chroma_eighth(F.col("v"), F.col("b"), F.col("d"), F.col("e"), F.col("fx"), F.col("fy"))
+    return at.select("r", "c", F.col("fx").cast("bigint").alias("fx"), F.col("fy").cast("bigint").alias("fy"), v.cast("bigint").alias("v"))
+
+
+@query(f"WITH a AS {_REF}, b AS {_CUR} SELECT a.r, a.c, ((a.v + b.v + 1) >> 1)::BIGINT AS v FROM a JOIN b ON a.r = b.r AND a.c = b.c")
+def bi_prediction(spark, sf_dir):
+    m = _moving(spark)
+    a, b = m.where("f = 0").select("r", "c", "v"), m.where("f = 1").select("r", "c", F.col("v").alias("w"))
+    return a.join(b, ["r", "c"]).select("r", "c", motion.both_ways(F.col("v"), F.col("w")).cast("bigint").alias("v"))
+
+
+# ── filters ──
+
+_TEX = _grid(72, 72, 1, "100 + ((r // 4) * 7 + (c // 4) * 5) % 23 + (r * c) % 3")
+
+
+def _texture(spark):
+    r, c = F.col("r"), F.col("c")
+    v = F.lit(100) + (div(r, 4) * 7 + div(c, 4) * 5) % 23 + (r * c) % 3
+    return synthetic.grid(spark, 72, 72, 1).select("r", "c", v.cast("int").alias("v"))
+
+
+def _edge_sql(src: str, out: str, along: str, qp: int = 30) -> str:
+    other = "r" if along == "c" else "c"
+    lim = [min(max(qp // 4, 2), 16), min(max(qp // 2, 4), 32), min(max(qp, 8), 48), min(max(qp // 3, 1), 10)]
+    weak = lambda p1, p0, q0, q1: f"CASE WHEN abs({p0} - {q0}) < {max(lim[:3])} THEN least(greatest({p0} + least(greatest((9 * ({q0} - {p0}) - 3 * ({q1} - {p1}) + 8) >> 4, -{lim[3]}), {lim[3]}), 0), 255) ELSE {p0} END"
+    w = f"OVER (PARTITION BY {other} ORDER BY {along})"
+    return (
+        f"{out}_w AS (SELECT r, c, v, lag(v) {w} AS a, lag(v, 2) {w} AS a2, lead(v) {w} AS b, lead(v, 2) {w} AS b2 FROM {src}), "
+        f"{out} AS (SELECT r, c, CASE WHEN {along} % 4 = 3 AND ({along} + 1) % 64 <> 0 AND b2 IS NOT NULL THEN {weak('a', 'v', 'b', 'b2')} WHEN {along} % 4 = 0 AND {along} % 64 <> 0 AND b IS NOT NULL THEN {weak('b', 'v', 'a', 'a2')} ELSE v END AS v FROM {out}_w)"
+    )
+
+
+@query(f"WITH px AS {_TEX}, {_edge_sql('px', 'h', 'c')}, {_edge_sql('h', 'g', 'r')} SELECT r, c, v::BIGINT AS v FROM g")
+def deblock_frame(spark, sf_dir):
+    return loopfilter.deblock_luma(_texture(spark), [], 30).select("r", "c", F.col("v").cast("bigint").alias("v"))
+
+
+@query()
+def deblock_chroma_frame(spark, sf_dir):
+    """Sums of both planes after the chroma filter."""
+    p = _texture(spark).select("r", "c", F.col("v").alias("cb"), (F.lit(250) - F.col("v")).alias("cr"))
+    out = loopfilter.deblock_chroma(p, [], 30)
+    return out.agg(F.count("*").alias("n"), F.sum("cb").alias("cb"), F.sum("cr").alias("cr"))
+
+
+# ── packets ──
+
+#: Literal packets: two whole headers and one each that is wrong in its magic, version, size, tools and level.
+HEADERS = (
+    "544356000140010080fe0500", "54435601050002d0b0000a130000", "58435601050002d0b0000a130000", "54435603050002d0b0000a130000",
+    "54435601ffff02d0b0000a130000", "54435601050002d0b0000a138000", "544356020780043880ff00150001", "544356020780043880ff00140001", "5443560105000000b0000a130000", "5443",
+)
+
+
+@query(
+    "WITH p(id, h) AS (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADERS)) + "), "
+    "b AS (SELECT id, h, length(h) // 2 AS n, ('0x' || substr(h, 7, 2))::INT AS ver, TRY_CAST('0x' || substr(h, 9, 4) AS INT) AS w, TRY_CAST('0x' || substr(h, 13, 4) AS INT) AS ht, TRY_CAST('0x' || substr(h, 17, 2) AS INT) AS fl, TRY_CAST('0x' || substr(h, 19, 2) AS INT) AS qd, TRY_CAST('0x' || substr(h, 21, 2) AS INT) AS num, TRY_CAST('0x' || substr(h, 23, 2) AS INT) AS pl, TRY_CAST('0x' || substr(h, 25, 4) AS INT) AS tl FROM (SELECT id, rpad(h, 6, ' ') || CASE WHEN length(h) < 8 THEN '00' ELSE substr(h, 7) END AS h FROM p)) "
+    "SELECT id::BIGINT AS id, CASE WHEN left(h, 6) <> '544356' THEN 'magic' WHEN ver > 2 THEN 'version' WHEN w = 0 OR ht = 0 OR w > 4096 OR ht > 4096 THEN 'size' "
+    "WHEN ver > 0 AND tl & " + str(65535 & ~container.TOOLS) + " <> 0 THEN 'tools' WHEN ver > 0 AND pl >> 4 > 3 THEN 'profile' WHEN ver > 0 AND ((pl & 15) = 4 AND (w > 1280 OR ht > 720)) THEN 'level' ELSE '' END AS error, "
+    "w::BIGINT AS width, ht::BIGINT AS height, num::BIGINT AS frame_num, least(greatest(32 + CASE WHEN qd > 127 THEN qd - 256 ELSE qd END, 0), 63)::BIGINT AS qp, fl & 128 <> 0 AS key FROM b WHERE left(h, 6) = '544356' AND w IS NOT NULL"
+)
+def header_parse(spark, sf_dir):
+    """Parsed headers of those packets that have one whole."""
+    p = spark.createDataFrame(list(enumerate(HEADERS)), "id bigint, h string").select("id", F.unhex("h").alias("payload"))
+    h = p.select("id", container.parse_header(F.col("payload")).alias("h")).where("h.error NOT IN ('magic', 'short')")
+    return h.select("id", "h.error", *[F.col(f"h.{c}").cast("bigint").alias(c) for c in ("width", "height", "frame_num", "qp")], F.col("h.key").alias("key"))
+
+
+@query("SELECT i::BIGINT AS level, w::BIGINT AS max_width, h::BIGINT AS max_height, d::BIGINT AS max_dpb, b::BIGINT AS max_bitrate FROM (VALUES (0, 4096, 4096, 8, 0), (1, 320, 240, 1, 500000), (2, 640, 480, 2, 2000000), (3, 1280, 720, 2, 5000000), (4, 1280, 720, 4, 10000000), (5, 1920, 1080, 4, 20000000), (6, 1920, 1080, 4, 40000000), (7, 3840, 2160, 4, 80000000), (8, 3840, 2160, 8, 160000000)) t(i, w, h, d, b)")
+def level_table(spark, sf_dir):
+    return container.levels(spark).select(*[F.col(c).cast("bigint").alias(c) for c in ("level", "max_width", "max_height", "max_dpb", "max_bitrate")])
+
+
+@query("WITH s AS (SELECT page_id, length(html) AS n FROM pages), l(i, b) AS (VALUES (1, 500000), (2, 2000000), (3, 5000000), (4, 10000000), (5, 20000000), (6, 40000000), (7, 80000000), (8, 160000000)) SELECT page_id, min(i)::BIGINT AS level FROM s JOIN l ON b >= n * 8 * 30 GROUP BY page_id")
+def level_lookup(spark, sf_dir):
+    """The lowest level whose bitrate holds 30 pages a second; the level table has nine rows."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.length("html").cast("bigint") * 240).alias("rate"))
+    fit = p.join(F.broadcast(container.levels(spark).where("level > 0")), F.col("max_bitrate") >= F.col("rate"))
+    return fit.groupBy("page_id").agg(F.min("level").cast("bigint").alias("level"))
+
+
+@query(f"WITH a AS {_grid(16, 16, 3, _PATTERNS['container'])}, b AS {_grid(16, 16, 3, _PATTERNS['bridge'])}, s AS (SELECT a.f, count(*) AS n, sum((a.v - b.v) ** 2)::BIGINT AS sse FROM a JOIN b ON a.f = b.f AND a.r = b.r AND a.c = b.c GROUP BY 1) SELECT f, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
+def frame_psnr(spark, sf_dir):
+    a = synthetic.pattern(spark, "container", 16, 16, 3)
+    b = synthetic.pattern(spark, "bridge", 16, 16, 3).withColumnRenamed("v", "b")
+    return metrics.psnr_by(a.withColumnRenamed("v", "a").join(b, ["f", "r", "c"]), ["f"]).withColumn("psnr", F.round("psnr", 6))

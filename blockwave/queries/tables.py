@@ -1 +1,311 @@
+"""Queries on ordered tables: histograms, rate control, ordering, offsets, rate-distortion curves.
+Stand-ins: events as frames of a user or a day, conversations as coded clips, pages as packets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import ratecontrol as R
+from ..functions.filters import edge
+from ..functions.ints import div
+from ..operators import metrics, order, scenes
+from ..sources import container
+from .common import table
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ── histograms and scene cuts ──
+
+_DAYS = "d AS (SELECT ts::DATE AS day, least(floor(value)::BIGINT // 16, 15) AS b FROM events), h AS (SELECT day, b, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2), g AS (SELECT day, b FROM (SELECT DISTINCT day FROM d), range(16) r(b)), f AS (SELECT g.day, g.b, coalesce(n, 0) AS n FROM g LEFT JOIN h ON g.day = h.day AND g.b = h.b), l AS (SELECT day, b, n, lag(n) OVER (PARTITION BY b ORDER BY day) AS p FROM f)"
+
+
+@query(f"WITH {_DAYS}, s AS (SELECT day, sum(n) AS total, sum(CASE WHEN n + p > 0 THEN (n - p) ** 2 / ((n + p) / 2.0::DOUBLE) ELSE 0 END) AS x, count(p) AS k FROM l GROUP BY day) SELECT day, total::BIGINT AS n, CASE WHEN k > 0 THEN round(x / total, 6) END AS distance, k = 0 OR x / total > 0.05 AS key FROM s")
+def scene_cut_events_daily(spark, sf_dir):
+    """Days as frames, event values as samples. The flagship query."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.least(F.floor("value"), F.lit(255)).cast("int").alias("v"))
+    cut = scenes.scene_cuts(e, [], "day", "v", threshold=0.05)
+    return cut.select("day", "n", F.round("distance", 6).alias("distance"), "key")
+
+
+@query()
+def scene_cut_gated_users(spark, sf_dir):
+    """Key flags of each user's days where keys by cadence leave no histogram behind."""
+    e = table(spark, sf_dir, "events").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("idx"), F.least(F.floor("value"), F.lit(255)).cast("int").alias("v"))
+    h = metrics.histogram(e, ["user_id", "idx"], "v")
+    bins = h.groupBy("user_id", "idx").agg(*[F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(16)])
+    frames = bins.select("user_id", "idx", F.array(*[f"b{b}" for b in range(16)]).alias("bins"))
+    return scenes.scene_cuts_gated(frames, ["user_id"], 10)
+
+
+@query("SELECT l_returnflag, least(least((l_quantity * 5)::BIGINT, 255) * 16 // 256, 15)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def hist16_lineitem_qty(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").select("l_returnflag", F.least((F.col("l_quantity") * 5).cast("bigint"), F.lit(255)).cast("int").alias("v"))
+    return metrics.histogram(q, ["l_returnflag"], "v").withColumn("bin", F.col("bin").cast("bigint"))
+
+
+# ── rate control ──
+
+
+@query("SELECT qp::BIGINT AS qp, round(1 / (1 + exp(-(qp - 28) / 8.0::DOUBLE)), 9) AS rho, qp::BIGINT AS back FROM range(64) t(qp)")
+def rho_qp_roundtrip(spark, sf_dir):
+    q = spark.range(64).select(F.col("id").alias("qp"), R.rho(F.col("id")).alias("rho"))
+    return q.select("qp", F.round("rho", 9).alias("rho"), R.qp_of(F.col("rho")).cast("bigint").alias("back"))
+
+
+_STEP = "CASE WHEN s.level > 0.8 THEN -2.0 WHEN s.level > 0.6 THEN -1.0 WHEN s.level < 0.2 THEN 2.0 WHEN s.level < 0.4 THEN 1.0 ELSE 0.0 END"
+_TARGET = f"least(greatest(1 / (1 + exp(-(s.qp - 28) / 8.0::DOUBLE)) + ({_STEP})::DOUBLE * 0.05::DOUBLE, 0.05::DOUBLE), 0.95::DOUBLE)"
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, floor(value * 100)::BIGINT AS bits FROM events), "
+    f"s AS (SELECT user_id, 0::BIGINT AS k, 32::BIGINT AS qp, 0.5::DOUBLE AS level, 0::BIGINT AS total FROM (SELECT DISTINCT user_id FROM e) UNION ALL "
+    f"SELECT s.user_id, s.k + 1, least(greatest(floor(28 + 8 * ln({_TARGET} / (1 - {_TARGET})) + 0.5), 0), 63)::BIGINT, least(greatest(s.level + (4000 - e.bits) / 120000.0::DOUBLE, 0), 1)::DOUBLE, s.total + e.bits FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1) "
+    "SELECT user_id, k AS frames, qp, round(level, 6) AS level, total FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"
+)
+def vbv_fold_users(spark, sf_dir):
+    """A user's events as frames of ``value * 100`` bits at 120,000 bits a second and 30 frames a second."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("bits"))
+    frames = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "bits"))), lambda s: s["bits"])
+    f = e.groupBy("user_id").agg(R.fold(frames, 32, 120_000, 30.0).alias("s"))
+    return f.select("user_id", F.col("s.frames").cast("bigint").alias("frames"), F.col("s.qp").cast("bigint").alias("qp"), F.round("s.level", 6).alias("level"), F.col("s.total").alias("total"))
+
+
+@query("SELECT p::BIGINT AS position, CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END::BIGINT AS off, least(62 + CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END, 63)::BIGINT AS qp FROM range(100) t(p)")
+def layer_qp(spark, sf_dir):
+    p = spark.range(100).select(F.col("id").alias("position"))
+    return p.select("position", R.layer_offset("position").cast("bigint").alias("off"), R.layer_qp(62, "position").cast("bigint").alias("qp"))
+
+
+# ── order ──
+
+
+@query("SELECT conv_id, turn, turn % 4 = 0 AS key FROM conversations")
+def key_cadence(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scenes.cadence_key("turn", 4).alias("key"))
+
+
+@query("SELECT p::BIGINT AS position, CASE WHEN p = 0 THEN 0 ELSE 4 * ((p + 3) // 4) + CASE (p - 1) % 4 WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE -1 END END::BIGINT AS display, p::BIGINT AS back FROM range(101) t(p)")
+def gop_schedule(spark, sf_dir):
+    p = spark.range(101).select(F.col("id").alias("position"), order.display_of("id").alias("display"))
+    return p.withColumn("back", order.coding_of("display"))
+
+
+_CODED = "m AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) // 4 * 4 AS whole FROM conversations), co AS (SELECT conv_id, turn, CASE WHEN turn = 0 OR turn > whole THEN turn ELSE (turn + 3) // 4 * 4 - 4 + CASE (turn + 3) // 4 * 4 - turn WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END END AS position FROM m)"
+
+
+def _coded(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return order.coding_order(c, ["conv_id"], "turn")
+
+
+@query(f"WITH {_CODED} SELECT conv_id, turn, position FROM co")
+def gop_coding_order(spark, sf_dir):
+    return _coded(spark, sf_dir)
+
+
+@query(f"WITH {_CODED}, sg AS (SELECT conv_id, turn, position, sum((turn % 4 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY position)::BIGINT AS segment FROM co) SELECT conv_id, turn, position, segment, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn, position) - 1 AS shown FROM sg")
+def display_reorder(spark, sf_dir):
+    c = _coded(spark, sf_dir).withColumn("rap", F.col("turn") % 4 == 0)
+    return order.display_order(c, ["conv_id"], "position", "turn", "rap").drop("rap")
+
+
+@query("WITH g AS (SELECT conv_id, turn, sum((turn % 5 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations) SELECT conv_id, turn, lag(turn) OVER w AS ref1, lag(turn, 2) OVER w AS ref2, lag(turn, 3) OVER w AS ref3, lag(turn, 4) OVER w AS ref4 FROM g WINDOW w AS (PARTITION BY conv_id, grp ORDER BY turn)")
+def dpb_refs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 5 == 0).alias("key"))
+    return order.references(c, ["conv_id"], "turn", "key").drop("key")
+
+
+@query(f"WITH {_CODED}, p AS (SELECT a.conv_id, a.turn, a.position, b.turn AS t FROM co a LEFT JOIN co b ON a.conv_id = b.conv_id AND b.position BETWEEN a.position - 4 AND a.position - 1) SELECT conv_id, turn, position, max(t) FILTER (WHERE t < turn) AS before, min(t) FILTER (WHERE t > turn) AS after FROM p GROUP BY 1, 2, 3")
+def asof_refs(spark, sf_dir):
+    return order.nearest_references(_coded(spark, sf_dir), ["conv_id"], "position", "turn")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey::BIGINT AS a, list_sort([l_partkey % 97, l_suppkey % 89, l_linenumber * 10])[2]::BIGINT AS med, CASE WHEN abs(l_partkey % 97 - 48) <= abs(l_suppkey % 89 - 44) THEN l_partkey % 97 - 48 ELSE l_suppkey % 89 - 44 END::BIGINT AS near FROM lineitem")
+def vector_prediction(spark, sf_dir):
+    """Components made from keys: the median of three, and the nearer to zero of two."""
+    t = table(spark, sf_dir, "lineitem")
+    a, b, c = F.col("l_partkey") % 97, F.col("l_suppkey") % 89, (F.col("l_linenumber") * 10).cast("bigint")
+    pair = F.array(F.struct((a - 48).alias("x"), F.lit(0).cast("bigint").alias("y")), F.struct((b - 44).alias("x"), F.lit(0).cast("bigint").alias("y")))
+    return t.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"), order.median_vector(a, b, c).alias("med"), order.least_vector(pair)["x"].alias("near"))
+
+
+@query("SELECT page_id, page_id // 16 AS stream, length(html)::BIGINT AS size, (coalesce(sum(length(html)) OVER (PARTITION BY page_id // 16 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM pages")
+def row_offsets(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 16).alias("stream"), F.length("html").cast("bigint").alias("size"))
+    return order.offsets(p, ["stream"], ["page_id"], "size")
+
+
+@query("SELECT page_id // 16 AS stream, true AS ok FROM pages GROUP BY 1")
+def offset_check(spark, sf_dir):
+    o = row_offsets(spark, sf_dir)
+    return order.check_offsets(o, ["stream"], "page_id", "offset", F.lit(1 << 40))
+
+
+@query("WITH t AS (SELECT page_id // 16 AS stream, length(html)::BIGINT AS n, page_id FROM pages), o AS (SELECT stream, page_id, n, (4096 + coalesce(sum(n) OVER (PARTITION BY stream ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM t) SELECT stream, printf('%08X', 20 + 4 * count(*)) || '7374737A' || repeat('00', 8) || printf('%08X', count(*)) || string_agg(printf('%08X', n), '' ORDER BY page_id) AS stsz, printf('%08X', 16 + 4 * count(*)) || '7374636F' || repeat('00', 4) || printf('%08X', count(*)) || string_agg(printf('%08X', off), '' ORDER BY page_id) AS stco FROM o GROUP BY stream")
+def mp4_offsets(spark, sf_dir):
+    """Size and chunk-offset boxes, as hex."""
+    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("stream"), F.col("page_id").alias("pkt_idx"), F.length("html").alias("size"))
+    b = container.sample_boxes(p, ["stream"], 4096)
+    return b.select("stream", F.hex("stsz").alias("stsz"), F.hex("stco").alias("stco"))
+
+
+_SEG = "WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role = 'user' AS key FROM conversations), s AS (SELECT conv_id, k, turn, CASE WHEN key THEN 0 END::BIGINT AS segment, 0::BIGINT AS begun FROM p WHERE k = 0 UNION ALL SELECT p.conv_id, p.k, p.turn, CASE WHEN p.key AND p.k - s.begun >= 3 THEN s.segment + 1 ELSE s.segment END, CASE WHEN p.key AND p.k - s.begun >= 3 THEN p.k ELSE s.begun END FROM s JOIN p ON p.conv_id = s.conv_id AND p.k = s.k + 1)"
+
+
+@query(f"{_SEG} SELECT conv_id, turn, segment FROM s")
+def segment_by_key(spark, sf_dir):
+    """Turns of users as key packets, three packets or more a segment."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("key"))
+    return order.segments(c, ["conv_id"], "turn", "key", 3)
+
+
+@query(f"{_SEG}, n AS (SELECT conv_id, segment, count(*) AS n FROM s WHERE segment IS NOT NULL GROUP BY 1, 2) SELECT conv_id, chr(35) || 'EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || ((max(n) FILTER (WHERE segment = 0) + 1) // 2) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10) || string_agg('#EXTINF:' || printf('%.6f', n / 2.0::DOUBLE) || ',' || chr(10) || 'seg_' || lpad(segment::VARCHAR, 4, '0') || '.m4s' || chr(10), '' ORDER BY segment) || '#EXT-X-ENDLIST' || chr(10) AS text FROM n GROUP BY conv_id")
+def playlists(spark, sf_dir):
+    """Playlists of those segments at two packets a second."""
+    return container.playlist(segment_by_key(spark, sf_dir).where("segment IS NOT NULL"), ["conv_id"], 2)
+
+
+@query("SELECT conv_id, turn, coalesce(lag(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) >= 256, true) AS entry FROM conversations")
+def entry_point_gate(spark, sf_dir):
+    """A turn's characters as bytes of four rows."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return scenes.entry_points(c, ["conv_id"], "turn", F.col("n"), F.lit(4)).drop("n")
+
+
+@query("SELECT conv_id, count(*) AS n, (16 + sum(strlen(text) + 14 + 20))::BIGINT AS bytes FROM conversations GROUP BY 1")
+def container_sizes(spark, sf_dir):
+    """Conversations as streams of packets with a header each, put into containers."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pkt_idx"), F.col("text").cast("binary").alias("body"))
+    head = container.write_header(F.lit(1), F.lit(1280), F.lit(720), F.when(F.col("pkt_idx") == 0, 0xA0).otherwise(0), F.lit(30), F.col("pkt_idx"), F.lit(0x13), F.lit(1))
+    p = t.select("conv_id", "pkt_idx", F.concat(head, F.col("body")).alias("payload"))
+    n = p.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return container.mux(p, ["conv_id"]).join(n, "conv_id").select("conv_id", "n", F.length("data").cast("bigint").alias("bytes"))
+
+
+# ── one-dimensional filter ──
+
+_WEAK = "CASE WHEN abs({p0} - {q0}) < 30 THEN least(greatest({p0} + least(greatest((9 * ({q0} - {p0}) - 3 * ({q1} - {p1}) + 8) >> 4, -10), 10), 0), 255) ELSE {p0} END"
+
+
+@query(
+    "WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, least(floor(value)::BIGINT, 255) AS v FROM events), w AS (SELECT *, lag(v) OVER x AS a, lag(v, 2) OVER x AS a2, lead(v) OVER x AS b, lead(v, 2) OVER x AS b2 FROM e WINDOW x AS (PARTITION BY user_id ORDER BY k)) "
+    f"SELECT user_id, k, CASE WHEN k % 4 = 3 AND b2 IS NOT NULL AND a IS NOT NULL THEN {_WEAK.format(p1='a', p0='v', q0='b', q1='b2')} WHEN k % 4 = 0 AND a2 IS NOT NULL AND b IS NOT NULL THEN {_WEAK.format(p1='b', p0='v', q0='a', q1='a2')} ELSE v END::BIGINT AS v FROM w"
+)
+def deblock_weak_1d(spark, sf_dir):
+    """A user's values in order, an edge before every fourth."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.least(F.floor("value"), F.lit(255)).cast("bigint").alias("v"))
+    e = e.select("user_id", (F.row_number().over(w) - 1).cast("bigint").alias("k"), "v", *[F.lag("v", n).over(w).alias(f"a{n}") for n in (1, 2)], *[F.lead("v", n).over(w).alias(f"b{n}") for n in (1, 2)])
+    low, _ = edge(F.col("a1"), F.col("v"), F.col("b1"), F.col("b2"), 30)
+    low2, _ = edge(F.col("b1"), F.col("v"), F.col("a1"), F.col("a2"), 30)
+    v = F.when((F.col("k") % 4 == 3) & F.col("b2").isNotNull() & F.col("a1").isNotNull(), low).when((F.col("k") % 4 == 0) & F.col("a2").isNotNull() & F.col("b1").isNotNull(), low2).otherwise(F.col("v"))
+    return e.select("user_id", "k", v.cast("bigint").alias("v"))
+
+
+# ── measurements ──
+
+#: Published points: clip, codec, QP, bytes, PSNR.
+RD_POINTS = (
+    ("park_joy", "ours", 27, 1030075, 30.40), ("park_joy", "ours", 32, 433996, 27.06), ("park_joy", "ours", 37, 146031, 24.32),
+    ("park_joy", "before", 27, 1083627, 30.48), ("park_joy", "before", 32, 458231, 27.11), ("park_joy", "before", 37, 158960, 24.36),
+    ("park_joy", "base", 27, 456234, 29.86), ("park_joy", "base", 32, 199752, 26.85), ("park_joy", "base", 37, 86331, 24.14),
+    ("in_to_tree", "ours", 27, 177428, 33.04), ("in_to_tree", "ours", 32, 49337, 30.90), ("in_to_tree", "ours", 37, 17067, 28.85),
+    ("in_to_tree", "base", 27, 77871, 33.48), ("in_to_tree", "base", 32, 34083, 31.24), ("in_to_tree", "base", 37, 18262, 29.32),
+    ("sita_flat", "ours", 27, 20946, 40.49), ("sita_flat", "ours", 32, 5122, 39.70), ("sita_flat", "ours", 37, 3612, 39.00),
+    ("sita_flat", "base", 27, 70878, 43.18), ("sita_flat", "base", 32, 27971, 40.26), ("sita_flat", "base", 37, 5403, 39.10),
+    ("apart", "ours", 27, 1000, 20.0), ("apart", "ours", 32, 500, 18.0), ("apart", "base", 27, 1000, 40.0), ("apart", "base", 32, 500, 38.0),
+)
+_RDV = "rd(clip, codec, qp, bytes, psnr) AS (VALUES " + ", ".join(f"('{a}', '{b}', {q}, {n}, {p}::DOUBLE)" for a, b, q, n, p in RD_POINTS) + ")"
+_BD = f"""WITH {_RDV}, pt AS (SELECT clip, codec, psnr AS x, ln(bytes * 8.0::DOUBLE / 1000) AS y FROM rd), sg AS (SELECT clip, codec, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY clip, codec ORDER BY x)),
+sp AS (SELECT clip, codec, min(x) AS lo, max(x) AS hi FROM pt GROUP BY 1, 2), pr AS (SELECT t.clip, t.codec, greatest(t.lo, b.lo) AS a, least(t.hi, b.hi) AS b FROM sp t JOIN sp b ON t.clip = b.clip AND b.codec = 'base' WHERE t.codec <> 'base'),
+kn AS (SELECT DISTINCT pr.clip, pr.codec, a, b, k.x FROM pr JOIN (SELECT clip, codec, x FROM pt) k ON k.clip = pr.clip AND k.codec IN (pr.codec, 'base') AND k.x BETWEEN a AND b WHERE b > a UNION SELECT clip, codec, a, b, a FROM pr WHERE b > a UNION SELECT clip, codec, a, b, b FROM pr WHERE b > a),
+ev AS (SELECT kn.clip, kn.codec, kn.a, kn.b, kn.x, min(t.y0 + (t.y1 - t.y0) * (kn.x - t.x0) / (t.x1 - t.x0)) - min(r.y0 + (r.y1 - r.y0) * (kn.x - r.x0) / (r.x1 - r.x0)) AS d FROM kn JOIN sg t ON t.clip = kn.clip AND t.codec = kn.codec AND kn.x BETWEEN t.x0 AND t.x1 JOIN sg r ON r.clip = kn.clip AND r.codec = 'base' AND kn.x BETWEEN r.x0 AND r.x1 GROUP BY 1, 2, 3, 4, 5),
+ar AS (SELECT clip, codec, a, b, (lead(x) OVER w - x) * (lead(d) OVER w + d) / 2 AS s FROM ev WINDOW w AS (PARTITION BY clip, codec ORDER BY x)), bd AS (SELECT clip, codec, (exp(sum(s) / max(b - a)) - 1) * 100 AS v FROM ar GROUP BY 1, 2), ta AS (SELECT pr.clip, pr.codec, v FROM pr LEFT JOIN bd ON pr.clip = bd.clip AND pr.codec = bd.codec)"""
+
+
+def _rd(spark):
+    p = spark.createDataFrame(list(RD_POINTS), "clip string, codec string, qp int, bytes bigint, psnr double")
+    return p.withColumn("rate", F.col("bytes") * 8 / 1000)
+
+
+@query(f"{_BD} SELECT clip, codec, round(v, 6) AS bd_rate FROM ta UNION ALL SELECT 'OVERALL', codec, round(avg(v), 6) FROM ta GROUP BY codec")
+def bd_rate_published(spark, sf_dir):
+    """Published curves; the clip without an overlap has no rate."""
+    out = metrics.bd_overall(metrics.bd_rate(_rd(spark), ["clip"], "base"), "clip")
+    return out.withColumn("bd_rate", F.round("bd_rate", 6))
+
+
+@query(f"WITH {_RDV} SELECT clip, codec, qp::BIGINT AS qp, round(bytes * 8 / (30 / 25.0::DOUBLE) / 1000, 6) AS kbps, row_number() OVER (PARTITION BY clip, codec ORDER BY bytes)::BIGINT AS place FROM rd")
+def rd_curves(spark, sf_dir):
+    """Bitrates of 30 frames at 25 a second, curves in order of rate."""
+    from pyspark.sql import Window
+
+    kbps = metrics.bitrate_kbps(F.col("bytes"), F.lit(30.0), F.lit(25.0))
+    place = F.row_number().over(Window.partitionBy("clip", "codec").orderBy("bytes")).cast("bigint")
+    return _rd(spark).select("clip", "codec", F.col("qp").cast("bigint").alias("qp"), F.round(kbps, 6).alias("kbps"), place.alias("place"))
+
+
+@query("WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, max(value) AS best, max(value) FILTER (WHERE k = n // 2 + 1) AS median, max(n) AS n FROM r GROUP BY 1")
+def median_best_of_n(spark, sf_dir):
+    return metrics.best_and_median(table(spark, sf_dir, "events"), ["user_id"], "value")
+
+
+@query("SELECT o_orderpriority, count(*) AS frames, sum(o_custkey)::BIGINT AS bytes, round(avg(o_totalprice), 4) AS psnr, round(sum(o_orderkey) / sum(o_custkey), 6)::DOUBLE AS ratio FROM orders GROUP BY 1")
+def run_totals(spark, sf_dir):
+    """Orders as frames of a run."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("raw"), F.col("o_totalprice").alias("psnr"))
+    return metrics.totals(o, ["o_orderpriority"]).withColumns({"psnr": F.round("psnr", 4), "ratio": F.round("ratio", 6)})
+
+
+@query("WITH l AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 100.0::DOUBLE ELSE value END AS v FROM events) SELECT user_id, round(avg(v), 6) AS mean, count(*) AS frames, true AS ok FROM l GROUP BY 1")
+def metric_log_means(spark, sf_dir):
+    """Events as log lines, errors as infinite values."""
+    text = F.concat(F.lit("n:1 psnr_y:"), F.when(F.col("event_type") == "error", "inf").otherwise(F.col("value").cast("string")), F.lit(" end"))
+    lines = table(spark, sf_dir, "events").select("user_id", text.alias("line"))
+    return metrics.metric_log(lines, ["user_id"], "psnr_y", F.col("frames")).withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH b AS (SELECT min(l_extendedprice) AS x FROM lineitem) SELECT l_shipdate::DATE AS day, sum(l_extendedprice) < 1000000 * 0.995 AND avg(l_quantity) - 26 > -0.5 AS keep FROM lineitem GROUP BY 1")
+def score_guard(spark, sf_dir):
+    """Days as tuning steps against a base of a million bytes and 26 decibels."""
+    d = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_extendedprice").alias("bytes"), F.avg("l_quantity").alias("psnr"))
+    return metrics.keep_scores(d, ["day"], F.lit(1_000_000.0), F.lit(26.0)).select("day", "keep")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_manifest(spark, sf_dir):
+    """Digests of whole contents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY ROLLUP (source)")
+def clip_rollup(spark, sf_dir):
+    """Counts and distinct values a source, and overall."""
+    return table(spark, sf_dir, "documents").rollup("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+@query("SELECT (ts_day + 0)::BIGINT AS day, (n * 8 / (n / 30.0::DOUBLE) / 1000) AS kbps FROM (SELECT day(ts) AS ts_day, count(*) AS n FROM events GROUP BY 1)")
+def daily_kbps(spark, sf_dir):
+    """A byte an event at 30 events a second."""
+    n = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("bigint").alias("day")).agg(F.count("*").alias("n"))
+    return n.select("day", metrics.bitrate_kbps(F.col("n"), F.col("n").cast("double"), F.lit(30.0)).alias("kbps"))
+
+
+@query("SELECT r::BIGINT AS r, (r * 7) // 3 AS q, -((r * 7) // 3) AS m FROM range(100) t(r)")
+def truncating_division(spark, sf_dir):
+    """Quotients truncate towards zero."""
+    r = spark.range(100).select(F.col("id").alias("r"))
+    return r.select("r", div(F.col("r") * 7, 3).alias("q"), div(F.col("r") * -7, 3).alias("m"))
