@@ -9,12 +9,11 @@ well one text compresses given the other.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 128
@@ -131,6 +130,20 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], [f.split(" ")[0] for f in _SCHEMA.split(", ")])
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A literal array; as text, so that the plan stays small however many there are."""
+    return F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda v: v.try_cast("bigint"))
+
+
+def _at_most(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the key, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    step = lambda n, half: F.when((n + half <= len(cuts)) & (F.get(_longs(cuts), n + half - 1) <= key), n + half).otherwise(n)
+    return F.aggregate(halves, F.lit(0), step)
+
+
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A row for each row of ``docs``: its fingerprint, that of its edited text, and how near they and the
     next document's are.
@@ -141,36 +154,22 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     the next one, so no task needs more than its range. A table of one row is its own next document.
     """
     spark = docs.sparkSession
-    least = -(1 << 63)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = F.coalesce("doc_id", F.lit(least))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [k / n for k in range(1, n)] or [0.5]
-    cuts = sorted(set(d.agg(F.percentile_approx(order, share, max(10_000, 10 * n))).first()[0] or [])) if n > 1 else []
-    edges = np.array(cuts, np.int64)
-
-    def bucket(ids: pa.Array) -> pa.Array:
-        """Bucket 0 has the largest ids."""
-        return pa.array(len(edges) - np.searchsorted(edges, ids.to_numpy(zero_copy_only=False)), pa.int32())
-
-    bucket.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    heads = d.select(order.alias("k")).groupBy(F.arrow_udf(bucket, "int")("k").alias("bucket")).agg(F.max("k").alias("k")).collect()
-    first = {r["k"]: r["bucket"] for r in heads}  # one id for each bucket
-    held = sorted(first.values())
-
-    def targets(ids: pa.Array) -> pa.Array:
-        """The row's own bucket, and for the first document of a bucket also the one before."""
-        out = []
-        for k, own in zip(ids.to_pylist(), bucket(ids).to_pylist()):
-            row = [{"bucket": own, "copy": False}]
-            if k in first:
-                row.append({"bucket": held[bisect_left(held, own) - 1], "copy": True})
-            out.append(row)
-        return pa.array(out, pa.list_(pa.struct([("bucket", pa.int32()), ("copy", pa.bool_())])))
-
-    targets.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    t = F.arrow_udf(targets, "array<struct<bucket:int,copy:boolean>>")(order)
-    dealt = d.select(F.explode(t).alias("t"), "doc_id", "text").select("t.bucket", "t.copy", "doc_id", "text")
-    dealt = dealt.repartitionById(len(edges) + 1, F.col("bucket"))
+    share = [k / n for k in range(1, n)]
+    cuts = sorted(set(d.agg(F.percentile_approx(key, share, max(10_000, 10 * n))).first()[0] or [])) if share else []
+    own = F.lit(len(cuts)) - _at_most(key, cuts)  # bucket 0 has the largest ids
+    heads = d.groupBy(own.alias("bucket")).agg(F.max(key).alias("head")).collect()  # a row for each bucket
+    held = sorted(r["bucket"] for r in heads)
+    head, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for r in heads:
+        head[r["bucket"]], before[r["bucket"]] = r["head"], held[held.index(r["bucket"]) - 1]
+    at = d.select("doc_id", "text", own.cast("int").alias("own"), key.alias("key"))
+    row = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy"))
+    copy = F.struct(F.get(_longs(before), F.col("own")).cast("int").alias("bucket"), F.lit(True).alias("copy"))
+    targets = F.when(F.get(_longs(head), F.col("own")) == F.col("key"), F.array(row, copy)).otherwise(F.array(row))
+    dealt = at.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.bucket", "t.copy", "doc_id", "text")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "text")
     return dealt.mapInArrow(_walk, _SCHEMA)
