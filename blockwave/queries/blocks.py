@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import predict as P
 from ..functions import quant as Q
+from ..functions import rangecoder
 from ..functions import transform as T
 from ..functions.filters import band as sample_band
 from ..operators import loopfilter, metrics, motion, scenes
@@ -421,3 +422,14 @@ def quadtree_split(spark, sf_dir):
     own = s.groupBy("vec_id").agg(F.floor(spread_of / 4).alias("own"))
     leaves = s.groupBy("vec_id", F.floor(F.col("r") / 4).alias("y"), F.floor(F.col("c") / 4).alias("x")).agg((spread_of + 1024).alias("cost")).join(own, "vec_id")
     return loopfilter.split_blocks(leaves, ["vec_id"]).select("vec_id", "cost", "split")
+
+
+@query(f"WITH {_LEVELS} SELECT vec_id, p::BIGINT AS p, q::BIGINT AS v FROM lv")
+def range_coder_round_trip(spark, sf_dir):
+    """Levels through the adaptive range coder, four blocks a stream, and back."""
+    q = _levels(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 4).alias("stream"), "q")
+    s = q.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("vec_id", "q"))).alias("l"))
+    coded = s.select("stream", F.transform("l", lambda x: x["vec_id"]).alias("ids"), rangecoder.encoded(F.transform("l", lambda x: x["q"])).alias("data"))
+    back = coded.select("ids", rangecoder.decoded(F.col("data"), F.size("ids"), 64).alias("b"))
+    rows_ = back.select(F.inline(F.arrays_zip("ids", "b"))).select(F.col("ids").alias("vec_id"), F.col("b").alias("q"))
+    return rows(rows_, "q")
