@@ -81,6 +81,11 @@ def variants(fps: DataFrame) -> DataFrame:
     return m.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "fp")
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. Unsigned, as NumPy counts the bits of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect what is connected among these fingerprints by links of at most ``radius``."""
     out, left = [], fps
@@ -88,7 +93,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             x = stack.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = _distance(left, np.full_like(left, x)) <= radius
             if near.any():
                 found = left[near]
                 out += [(x, y) for y in found]
@@ -103,7 +108,7 @@ def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> set[tuple[int, int]]
     size = np.diff(np.r_[at, len(key)])
     two = at[size == 2]
     a, b = fp[two], fp[two + 1]
-    ok = np.bitwise_count(a ^ b) <= radius
+    ok = _distance(a, b) <= radius
     found = set(zip(np.minimum(a, b)[ok].tolist(), np.maximum(a, b)[ok].tolist()))
     for i, n in zip(at[size > 2], size[size > 2]):
         found.update((int(min(x, y)), int(max(x, y))) for x, y in _forest(fp[i : i + n], radius))
