@@ -56,7 +56,13 @@ def angular(above: Column, left: Column, n: int, mode: int) -> Column:
 
 def predict(above: Column, left: Column, n: int, mode: int) -> Column:
     """The block that a mode predicts; unknown modes count as DC."""
-    return let(above, lambda a: let(left, lambda b: _predict(a, b, n, mode)))
+    return let(_both(above, left), lambda s: _predict(s["a"], s["b"], n, mode))
+
+
+def _both(above: Column, left: Column) -> Column:
+    """One value to bind: variables of nested lambdas look alike to Spark when it looks for equal expressions,
+    and a mode along the rows would pass for the same mode along the columns."""
+    return F.struct(above.alias("a"), left.alias("b"))
 
 
 def _predict(above: Column, left: Column, n: int, mode: int) -> Column:
@@ -79,7 +85,7 @@ def best_mode(block: Column, above: Column, left: Column, n: int) -> Column:
         tries = [F.struct(sad(block, _predict(a, b, n, m)).alias("sad"), F.lit(m).alias("mode")) for m in range(MODES)]
         return F.array_min(F.array(*tries))
 
-    return let(above, lambda a: let(left, lambda b: body(a, b)))
+    return let(_both(above, left), lambda s: body(s["a"], s["b"]))
 
 
 def chroma_dc(above: Column, left: Column) -> Column:

@@ -411,7 +411,7 @@ def sao_bands(spark, sf_dir):
     return spread(byte_blocks(spark, sf_dir)).groupBy(sample_band(F.col("v")).cast("bigint").alias("band")).agg(F.count("*").alias("n"))
 
 
-_SPLIT = f"{BYTES}, c4 AS (SELECT vec_id, r // 4 AS y, c // 4 AS x, count(*) * sum(v * v) - sum(v) ** 2 AS cost FROM px GROUP BY 1, 2, 3), ow AS (SELECT vec_id, (count(*) * sum(v * v) - sum(v) ** 2) // 4 AS own FROM px GROUP BY 1)"
+_SPLIT = f"{BYTES}, c4 AS (SELECT vec_id, r // 4 AS y, c // 4 AS x, count(*) * sum(v * v)::BIGINT - sum(v)::BIGINT * sum(v)::BIGINT AS cost FROM px GROUP BY 1, 2, 3), ow AS (SELECT vec_id, (count(*) * sum(v * v)::BIGINT - sum(v)::BIGINT * sum(v)::BIGINT) // 4 AS own FROM px GROUP BY 1)"
 
 
 @query(f"WITH {_SPLIT} SELECT c4.vec_id, least(sum(cost) + 4096, any_value(own))::BIGINT AS cost, sum(cost) + 4096 <= any_value(own) AS split FROM c4 JOIN ow ON c4.vec_id = ow.vec_id GROUP BY 1")

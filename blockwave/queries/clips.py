@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..functions.ints import div
-from ..operators import loopfilter, metrics, motion, scenes
+from ..functions.ints import byte_at, div
+from ..operators import gop, loopfilter, metrics, motion, scenes
 from ..sources import container, synthetic
 from .common import table
 
@@ -285,3 +285,17 @@ def frame_psnr(spark, sf_dir):
     a = synthetic.pattern(spark, "container", 16, 16, 3)
     b = synthetic.pattern(spark, "bridge", 16, 16, 3).withColumnRenamed("v", "b")
     return metrics.psnr_by(a.withColumnRenamed("v", "a").join(b, ["f", "r", "c"]), ["f"]).withColumn("psnr", F.round("psnr", 6))
+
+
+@query()
+def gop_codec(spark, sf_dir):
+    """The moving texture through the group codec: size and error of each frame, and whether what was decoded has
+    that error."""
+    frames = synthetic.planes(_moving(spark, frames=4).withColumn("v", F.col("v").cast("int")), ["f"], 32, 32)
+    clip = frames.select(F.lit("moving").alias("clip"), F.col("f").alias("frame_idx"), F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("plane").alias("y"))
+    packets = gop.encode(clip, qp=26, interval=2)
+    both = gop.decode(packets).join(packets, ["clip", "frame_idx"])
+    value = lambda c: F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: byte_at(F.col(c), i))
+    j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"]).select("frame_idx", "key", "size", "sse", value("x").alias("a"), value("y").alias("b"))
+    d = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0), lambda s, v: s + v)
+    return j.select("frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (d == F.col("sse")).alias("same"))
