@@ -18,22 +18,31 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 SEGMENT = 1 << 16  # characters of a text that are in work at once
-REMEMBER = 300_000  # words a worker remembers
+REMEMBER = 250_000  # words in each generation of a worker's tables
 LONGEST = 64  # characters of the longest remembered word
+_ID, _MASK = 20, (1 << 20) - 1  # bits of an id
 
 
 class MergeTable:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
+        self.tokens = {i: t for t, i in vocab.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {p: r for r, p in enumerate(pairs)}
         self.lookahead = self._lookahead(pairs)
+        # Short words are merged as numbers: pair of ids to rank and new id in one number, in order of rank.
+        self.pairs = {vocab[a] << _ID | vocab[b]: r << _ID | vocab[a + b] for r, (a, b) in enumerate(pairs) if a in vocab and b in vocab and a + b in vocab}
+        self.whole = len(self.pairs) == len(pairs)
 
     def _length(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
@@ -62,20 +71,22 @@ class MergeTable:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """All merges, lowest rank first and leftmost of equal ranks."""
-        rank = self.rank
-        if len(symbols) > LONGEST:
-            return self._merge_long(symbols)
-        out = list(symbols)
-        none = 1 << 60
-        ranks = [rank.get(p, none) for p in zip(out, out[1:])]
+        if len(symbols) <= LONGEST and self.whole and all(x in self.vocab for x in symbols):
+            return [self.tokens[i] for i in self.merge_ids([self.vocab[x] for x in symbols])]
+        return self._merge_long(symbols)
+
+    def merge_ids(self, out: list[int]) -> list[int]:
+        """``merge`` over ids, in place."""
+        get, none = self.pairs.get, 1 << 62
+        ranks = [get(a << _ID | b, none) for a, b in zip(out, out[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            out[i : i + 2] = [out[i] + out[i + 1]]
+            out[i : i + 2] = [best & _MASK]
             del ranks[i]
             if i:
-                ranks[i - 1] = rank.get((out[i - 1], out[i]), none)
+                ranks[i - 1] = get(out[i - 1] << _ID | out[i], none)
             if i < len(ranks):
-                ranks[i] = rank.get((out[i], out[i + 1]), none)
+                ranks[i] = get(out[i] << _ID | out[i + 1], none)
         return out
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -138,6 +149,11 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.bytes = {c: b for b, c in byte_alphabet().items()} if byte_level else {}
 
+    def restart(self) -> Decoder:
+        self.first = True
+        self.utf8.reset()
+        return self
+
     def push(self, i: int) -> str:
         token = self.tokens[i] if 0 <= i < len(self.tokens) else None
         if token is None:
@@ -148,6 +164,12 @@ class Decoder:
         gap, self.first = "" if self.first else " ", False
         return gap + token
 
+    def push_all(self, ids: list[int]) -> str:
+        if self.byte_level or not ids:
+            return "".join([self.push(i) for i in ids])
+        gap, self.first = "" if self.first else " ", False
+        return gap + " ".join([t for i in ids if (t := self.tokens[i]) is not None])
+
     def finish(self) -> str:
         return self.utf8.decode(b"", True) if self.byte_level else ""
 
@@ -174,6 +196,15 @@ def spec_pattern(j: dict) -> str:
     return parts[0]["pattern"].get("Regex", "")
 
 
+Entry = tuple[str, int, str]  # ids, their number, the decoded text
+_NOTHING: Entry = ("", 0, "")
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Encoder(dict):
     """Chunks between white space, each with its ids and its decoded text, as in a tokenizer file.
 
@@ -198,46 +229,78 @@ class Encoder(dict):
         self.byte_level = bool(j.get("decoder")) and j["decoder"]["type"] == "ByteLevel"
         self.latin = lib.normalizer is not None and spec_pattern(j) == WORDS
         self.words = regex.compile(WORDS).findall
+        self.lines = regex.compile(WORDS + r"|\n").findall
         self.shown = {b: c for b, c in byte_alphabet().items()}
-        self.known: dict[str, list[int]] = {}
+        self.names = [str(i) for i in range(len(self.tokens))]
+        self.decoder = Decoder(self.tokens, self.byte_level)
+        # Two generations each: what is asked for again moves to the younger one, and a full one ages.
+        self.known: dict[str, Entry] = {}
+        self.before: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
         self.control = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
 
-    def ids(self, chunk: str) -> list[int]:
-        out, vocab = [], self.table.vocab
-        if self.latin and len(chunk) <= LONGEST and max(chunk) < "\u0250":
-            pieces = [w.encode().decode("latin-1").translate(self.shown) for w in self.words(chunk.lower())]
-        else:
-            pieces = [p for p, _ in self.split(self.normalize(chunk))]
-        for piece in pieces:
-            if len(piece) <= LONGEST:
-                if (found := self.known.get(piece)) is None:
-                    if len(self.known) >= REMEMBER:
-                        self.known.clear()
-                    symbols = list(piece)
-                    symbols[-1] += self.table.suffix
-                    found = self.known[piece] = [vocab[x] for x in self.table.merge(symbols) if x in vocab]
-                out += found
-                continue
-            t = Transducer(self.table)
-            for k in range(0, len(piece), SEGMENT):
-                out += [vocab[x] for x in t.push(piece[k : k + SEGMENT]) if x in vocab]
-            out += [vocab[x] for x in t.finish() if x in vocab]
-        return out
-
-    def entry(self, ids: list[int]) -> tuple[str, int, str]:
-        d = Decoder(self.tokens, self.byte_level)
-        return " ".join(map(str, ids)), len(ids), "".join([d.push(i) for i in ids]) + d.finish()
+    def pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens in the byte-level alphabet."""
+        if self.latin and len(chunk) <= LONGEST:
+            if chunk.isascii() or max(chunk) < "\u0250":
+                low = chunk.lower()
+                words = [low] if low.isalpha() else self.words(low)
+                return [self.mapped(w) for w in words]
+        return [p for p, _ in self.split(self.normalize(chunk))]
+
+    def mapped(self, word: str) -> str:
+        """A word's bytes in the byte-level alphabet, of which printable ASCII stands for itself."""
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode().decode("latin-1").translate(self.shown)
+
+    def piece(self, piece: str) -> Entry:
+        """The entry of one pre-token."""
+        if (found := self.known.get(piece) or self.before.get(piece)) is None:
+            if len(piece) > LONGEST:
+                t, tokens = Transducer(self.table), []
+                for k in range(0, len(piece), SEGMENT):
+                    tokens += t.push(piece[k : k + SEGMENT])
+                vocab = self.table.vocab
+                return self.entry([vocab[x] for x in tokens + t.finish() if x in vocab])
+            found = self.entry(self.short(piece))
+        elif piece in self.known:
+            return found
+        if len(self.known) >= REMEMBER:
+            self.known, self.before = {}, self.known
+        self.known[piece] = found
+        return found
 
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
-        found = self.entry(self.ids(chunk))
+    def short(self, piece: str) -> list[int]:
+        """Ids of a short pre-token."""
+        table, vocab = self.table, self.table.vocab
+        try:
+            ids = [vocab[c] for c in piece[:-1]]
+            ids.append(vocab[piece[-1] + table.suffix])
+        except KeyError:  # a character that the vocabulary does not have
+            ids = None
+        if ids is not None and table.whole:
+            return table.merge_ids(ids)
+        return [vocab[x] for x in table.merge([*piece[:-1], piece[-1] + table.suffix]) if x in vocab]
+
+    def entry(self, ids: list[int]) -> Entry:
+        return " ".join([self.names[i] for i in ids]), len(ids), self.decoder.restart().push_all(ids) + self.decoder.finish()
+
+    def __missing__(self, chunk: str) -> Entry:
+        if (found := self.older.get(chunk)) is None:
+            parts = [e for p in self.pieces(chunk) if (e := self.piece(p))[1]]
+            if len(parts) == 1:
+                found = parts[0]
+            else:
+                found = " ".join([e[0] for e in parts]), sum([e[1] for e in parts]), " ".join([e[2] for e in parts])
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBER:
-                for k in [k for k, _ in zip(self, range(REMEMBER // 4))]:
-                    del self[k]
+                self.older = dict(self)
+                self.clear()
             self[chunk] = found
         return found
 
-    def entries(self, text: str) -> Iterator[list[tuple[str, int, str]]]:
+    def entries(self, text: str) -> Iterator[list[Entry]]:
         """Entries of the whole text, a segment at a time."""
         at = 0
         while at < len(text):
@@ -267,12 +330,77 @@ class Encoder(dict):
                 gap = b" "
         return n, ids.hexdigest(), decoded.hexdigest()
 
+    def parts(self, chunks: list[str]) -> tuple[list[Entry], np.ndarray, np.ndarray]:
+        """Entries, the numbers of the entries of each chunk one after the other, and how many each chunk has.
+
+        Short chunks of Latin letters are split together, as lines of one text; others go one by one.
+        """
+        other = [i for i, w in enumerate(chunks) if not self.latin or len(w) > LONGEST or not (w.isascii() or max(w) < "\u0250")]
+        lines = list(chunks)
+        for i in other:
+            lines[i] = ""
+        found = self.lines("\n".join(lines).lower())
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        entries = [_NOTHING if w == "\n" else self.piece(self.mapped(w)) for w in known]
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        end = number == (known.index("\n") if "\n" in known else -1)
+        count = np.bincount(np.cumsum(end)[~end], minlength=len(chunks))
+        count[other] = 1
+        own = (np.cumsum(count) - count)[other]
+        pieces = np.zeros(count.sum(), np.int64)
+        plain = np.ones(len(pieces), bool)
+        plain[own] = False
+        pieces[plain], pieces[own] = number[~end], len(entries) + np.arange(len(other))
+        return entries + [self[chunks[i]] for i in other], pieces, count
+
+    def batch(self, texts: pa.Array, with_ids: bool) -> tuple[list[int], list[str], list[str], list[np.ndarray]]:
+        """``digests`` of many texts, and their ids: chunks are numbered, and each distinct one is looked up once.
+
+        Long texts, and those with special tokens or odd separators, go one by one, a segment at a time.
+        """
+        known = texts.fill_null("").to_pylist()
+        alone = [(i, t) for i, t in enumerate(known) if len(t) > SEGMENT * 8 or any(c in t for c in _SEPARATORS) or self.control.search(t)]
+        for i, _ in alone:
+            known[i] = ""
+        lists = pc.utf8_split_whitespace(pa.array(known, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        chunk, offsets = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        entries, pieces, count = self.parts(coded.dictionary.to_pylist())
+        # From chunks to pieces: the pieces of chunk c are pieces[start[c] : start[c] + count[c]].
+        start, many = np.cumsum(count) - count, count[chunk]
+        at = pieces[_runs(start[chunk], many)]
+        offsets = np.concatenate([[0], np.cumsum(many)])[offsets]
+        size = np.fromiter((e[1] for e in entries), np.int64, len(entries))
+        before = np.concatenate([[0], np.cumsum(size[at])])
+        n = before[offsets[1:]] - before[offsets[:-1]]
+        full = size[at] > 0
+        kept = at[full]
+        starts = np.concatenate([[0], np.cumsum(full)])[offsets]
+
+        def joined(k: int) -> list[str]:
+            values = pa.array([e[k] for e in entries], pa.string()).take(pa.array(kept))
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values), " ")
+            return [hashlib.sha256(b).hexdigest() for b in whole.cast(pa.binary()).to_pylist()]
+
+        n_tokens, ids_sha, text_sha, ids = n.tolist(), joined(0), joined(2), []
+        if with_ids:
+            own = np.array([int(i) for e in entries if e[1] for i in e[0].split(" ")], np.int32)
+            flat = own[_runs((np.cumsum(size) - size)[kept], size[kept])]
+            ids = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+        for i, text in alone:
+            n_tokens[i], ids_sha[i], text_sha[i] = self.digests(text)
+            if with_ids:
+                ids[i] = np.array(self.encode(text), np.int32)
+        return n_tokens, ids_sha, text_sha, ids
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for es in self.entries(text) for e in es for i in e[0].split(" ")]
 
 
 #: White space as the tokenizer's expressions have it; str.split() also splits at the four separators.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ODD = re.compile(r"[\x1c-\x1f]")
 _encoders: dict[str, Encoder] = {}
 
@@ -305,13 +433,13 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n, i, d = zip(*map(enc.digests, texts)) if texts else ((), (), ())
+            n, i, d, lists = enc.batch(b.column(1), ids)
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
             if ids:
-                columns.append(pa.array(list(map(enc.encode, texts)), pa.list_(pa.int32())))
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return slim.mapInArrow(run, kinds + ", ids array<int>" * ids)

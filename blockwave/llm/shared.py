@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,53 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     e = spark.read.schema("a long, b long").parquet(path)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch: ten thousand texts are tens of MB, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def keep_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text is good; all columns stay. Whole batches go through Python, so no row
+    waits in the JVM for its answer."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(good(b.column(at).to_pylist()), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_texts(docs: DataFrame, change: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
+    """``docs`` with other texts; all other columns stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(at, "text", pa.array(change(b.column(at).to_pylist()), pa.string()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def from_texts(docs: DataFrame, find: Callable[[list[str | None]], dict[str, list]], schema: str) -> DataFrame:
+    """(doc_id, ...) with the columns that ``find`` gives for each batch of texts; ``schema`` lists them."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = find(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[n]) if found[n] else pa.array([], kinds[n]) for n in names]], ["doc_id", *names])
+
+    kinds = {n: {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.strip().split(" ")[1]] for n, c in zip(names, schema.split(","))}
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id long, {schema}")
