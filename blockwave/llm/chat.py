@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Our own control strings, and those of other templates and of the vocabulary, which no text may show raw.
 CONTROL = (TURN, TEXT, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -140,6 +142,7 @@ def format_chats(conversations: DataFrame, path: str, learn: str = LEARN) -> Dat
         if turns:
             yield pack([done(now, turns)])
 
+    small_batches(conversations.sparkSession)
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), word("role"), word("text"), F.col("turn").cast("long").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep_rows, small_batches
+
 K1, B = 1.2, 0.75
 BLOCK = 4  # items in a block
 THRESHOLD = 0.6  # of an item's own score
@@ -29,7 +31,7 @@ ITEMS, ITEM_BYTES = 20_000, 8 << 20  # the largest part of the benchmark that is
 _WORD = re.compile(r"\w+")
 _STOP = re.compile(r"[.?!\n]+")
 
-MATCH = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,at_word:long>>"
+MATCH = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
@@ -177,20 +179,6 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(now)
 
 
-def _apply(docs: DataFrame, index: Index, kind: str) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-
-    def found(texts: pa.Array) -> pa.Array:
-        out = [sent.value.matches(t) for t in texts.to_pylist()]
-        if kind == "boolean":
-            return pa.array([bool(m) for m in out], pa.bool_())
-        fields = [("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("at_word", pa.int64())]
-        return pa.array(out, pa.list_(pa.struct(fields)))
-
-    found.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(found, kind)(F.col("text").cast("string"))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, at_word): a row for each document row
     and each test item that it holds.
@@ -200,15 +188,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     out = None
     for index in indexes(benchmark):
-        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_apply(docs, index, MATCH)).alias("m"))
+        hits = _hits(docs, index)
         out = hits if out is None else out.unionAll(hits)
     if out is None:
-        out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.lit(None).cast(MATCH)).alias("m"))
-    return out.select("doc_id", "m.*")
+        out = docs.sparkSession.createDataFrame([], MATCH)
+    return out
+
+
+def _hits(docs: DataFrame, index: Index) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, *m.values()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in sent.value.matches(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, MATCH)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a test item; all columns stay as they are."""
     for index in indexes(benchmark):
-        docs = docs.where(~_apply(docs, index, "boolean"))
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        docs = keep_rows(docs, lambda texts, sent=sent: [not sent.value.matches(t) for t in texts])
     return docs

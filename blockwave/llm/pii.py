@@ -14,10 +14,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import from_texts, with_texts
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("local_phone", "ssn", "iban")
 SEED, EXAMPLES = 7, 3000
@@ -230,34 +231,27 @@ def find(docs: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model())
-    fields = [*((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())]
 
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
+    def find_all(texts: list[str | None]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in (*(f"n_{k}" for k in BASE), "base_sha256", "spans")}
+        for t in texts:
             found = sent.value.spans(t)
             names = [f"{k}:{s}:{e}" for k, s, e in found]
             n = {k: sum(f[0] == k for f in found) for k in BASE}
-            base = ",".join(names[: sum(n.values())])
-            out.append({f"n_{k}": n[k] for k in BASE} | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "spans": ",".join(names)})
-        return pa.array(out, pa.struct(fields))
+            for k in BASE:
+                out[f"n_{k}"].append(n[k])
+            out["base_sha256"].append(hashlib.sha256(",".join(names[: sum(n.values())]).encode()).hexdigest())
+            out["spans"].append(",".join(names))
+        return out
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    kind = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(run, kind)(F.col("text").cast("string")).alias("f"))
-    return found.select("doc_id", "f.*")
+    return from_texts(docs, find_all, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind in angle brackets; ``n_chars``, where there
     is one, is that of the new text. A null text stays null; other columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model())
-
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([sent.value.redact(t) for t in texts.to_pylist()], pa.string())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    out = docs.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string")))
+    out = with_texts(docs, lambda texts: [sent.value.redact(t) for t in texts])
     if "n_chars" not in docs.columns:
         return out
     kind = docs.schema["n_chars"].dataType

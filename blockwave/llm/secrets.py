@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, small_batches
 
 RULES = "2026-1"
 #: The base kinds and their patterns.
@@ -111,6 +111,7 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     repeated rows give repeated rows; other columns are ignored. The ledger's new rows are written to
     the shared folder before they are joined back.
     """
+    small_batches(docs.sparkSession)
     versions = address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     new = keep(scan(versions, ledger), "ledger")
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES))

@@ -14,15 +14,17 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import from_texts, keep_rows
+
 SAMPLE = 2500  # labelled documents of each kind, toxic and not, that training takes at most
 TRAIN_BYTES = 200_000  # longer texts take no part in training; they are scored like all others
 FEATURES = 3000  # kept for a category at most
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 3
+RARE = 3  # documents of a category that a feature has to be in, at least
 CATEGORIES = ("toxic", "toxic_junk", "severe_toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -35,7 +37,7 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def _weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.02) -> np.ndarray:
+def _weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 3e-4) -> np.ndarray:
     """Logistic regression over present features, further numeric columns and a constant, by Adam."""
     width = extra.shape[1]
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -47,7 +49,7 @@ def _weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2:
         z = np.bincount(at, w[ids], len(rows)) + x @ w[n:]
         d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.r_[np.bincount(ids, d[at], n), x.T @ d]
-        g[:-1] += l2 * w[:-1] / len(rows)
+        g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w
@@ -62,7 +64,7 @@ def _select(feats: list[set[str]], y: np.ndarray) -> list[str]:
     b = Counter(f for fs, k in zip(feats, y) if not k for f in fs if f in a)
     scored = []
     for f, n in a.items():
-        if n < 3:
+        if n < RARE:
             continue
         p, q = (n + 0.5) / (pos + 1), (b[f] + 0.5) / (neg + 1)
         z = np.log(p / q) / np.sqrt(1 / (n + 0.5) + 1 / (b[f] + 0.5))
@@ -90,21 +92,26 @@ class Link:
             out += [self.index["^" + p] for p in {w[:n] for w in words} & s]
         return out
 
-    def score(self, words: set[str], before: list[float]) -> float:
+    def score(self, rows: list[int], before: list[float]) -> float:
+        """The probability of a text with these features, after the earlier probabilities."""
         n = len(self.index)
-        z = self.weights[self.rows(words)].sum() + self.weights[n:-1] @ np.array(before) + self.weights[-1]
+        z = self.weights[rows].sum() + self.weights[n:-1] @ np.array(before) + self.weights[-1]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 class Chain:
     def __init__(self, texts: list[str], labels: np.ndarray, names: tuple[str, ...] = CATEGORIES):
-        """``labels``: one 0/1 column for each name but severe_toxic, which is found here: the toxic
+        """``labels``: one 0/1 column for each name, the first that of all toxic documents, but for severe_toxic, which is found here: the toxic
         documents with at least as many toxic features as half of them. toxic_junk is what is labelled
         both toxic and of low quality."""
-        feats = [features(t) for t in texts]
-        once = _one_of_each(feats)
-        feats, labels = [feats[i] for i in once], labels[once]
-        fold = np.array([int(hashlib.sha256(texts[i].encode()).hexdigest()[:8], 16) % FOLDS for i in once])
+        once = _one_of_each(texts)
+        texts, labels = [texts[i] for i in once], labels[once]
+        # All categories lie within the first; what fewer than RARE of its documents have is in no model.
+        seen = Counter(f for t, y in zip(texts, labels[:, 0]) if y for f in features(t))
+        common = {f for f, n in seen.items() if n >= RARE}
+        del seen
+        feats = [features(t) & common for t in texts]
+        fold = np.array([int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % FOLDS for t in texts])
         self.links: list[Link] = []
         before = np.zeros((len(feats), 0))
         for k, name in enumerate(names):
@@ -119,9 +126,10 @@ class Chain:
             for f in range(FOLDS):
                 link = self._fit(name, feats, before, y, fold != f)
                 for i in np.flatnonzero(fold == f):
-                    oof[i] = link.score({x for x in feats[i] if x[0] != "^"}, list(before[i]))
+                    oof[i] = link.score([link.index[x] for x in feats[i] if x in link.index], list(before[i]))
             link = self._fit(name, feats, before, y, fold >= 0)
-            link.threshold = _threshold(oof, y)
+            # A text without any feature is never rejected, however few labels there are.
+            link.threshold = max(_threshold(oof, y), float(np.nextafter(link.score([], [0.0] * before.shape[1]), 2.0)))
             self.links.append(link)
             before = np.column_stack([before, oof])
 
@@ -130,28 +138,29 @@ class Chain:
         own = [f for f, u in zip(feats, use) if u]
         index = {f: i for i, f in enumerate(_select(own, y[use]))}
         rows = [np.array(sorted(index[x] for x in f if x in index), np.int64) for f in own]
-        return Link(name, index, _weigh(rows, before[use], y[use], len(index)), 0.5)
+        return Link(name, index, _weigh(rows, before[use], y[use], len(index)), 2.0)
 
     def scores(self, text: str | None) -> list[float]:
         words, out = set(_WORD.findall((text or "").lower())), []
         for link in self.links:
-            out.append(link.score(words, out))
+            out.append(link.score(link.rows(words), out))
         return out
 
 
-def _one_of_each(feats: list[set[str]]) -> list[int]:
-    """One document of each group of copies: of those that share their two smallest feature hashes."""
+def _one_of_each(texts: list[str]) -> list[int]:
+    """One document of each group of copies: of those whose two smallest word hashes agree."""
     seen: dict[tuple, int] = {}
-    for i, f in enumerate(feats):
-        h = sorted(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in f)[:2]
+    for i, t in enumerate(texts):
+        h = sorted(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in set(_WORD.findall(t.lower())))[:2]
         seen.setdefault(tuple(h), i)
     return sorted(seen.values())
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the best F1 on out-of-fold probabilities, in the middle of the gap below it."""
+    """The threshold of the best F1 on out-of-fold probabilities, in the middle of the gap below it; above 1,
+    which rejects nothing, where the labels are all of one kind."""
     if not y.any() or y.all():
-        return 0.5
+        return 2.0
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
@@ -178,33 +187,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     return Chain([t for _, t, _, _ in rows], y)
 
 
-def scores(docs: DataFrame, chain: Chain) -> Column:
-    """array<double>: the probability of each category, in the chain's order."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
-
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([sent.value.scores(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<double>")(F.col("text").cast("string"))
-
-
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, one probability for each category, rejected) for each row of ``docs``.
 
     A null or empty text has no features: its probabilities are those of the constants alone and it
     is never rejected. Repeated rows get equal results; an empty table gives an empty result.
     """
-    toxic = [link.name for link in chain.links].index("toxic")
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_t"), scores(docs, chain).alias("_s"))
-    columns = [F.col("_s")[i].alias(link.name) for i, link in enumerate(chain.links)]
-    rejected = (F.col("_s")[toxic] >= chain.links[toxic].threshold) & (F.col("_t") != "")
-    return s.select("doc_id", *columns, rejected.alias("rejected"))
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    names = [link.name for link in chain.links]
+    toxic = names.index("toxic")
+
+    def find(texts: list[str | None]) -> dict[str, list]:
+        found = [sent.value.scores(t) for t in texts]
+        return dict(zip(names, map(list, zip(*found)))) if found else {n: [] for n in names}
+
+    out = from_texts(docs, find, ", ".join(f"{n} double" for n in names))
+    return out.select("*", (F.col(names[toxic]) >= chain.links[toxic].threshold).alias("rejected"))
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` without the rows that ``score`` rejects; all columns stay as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
     toxic = [link.name for link in chain.links].index("toxic")
-    p = scores(docs, chain)[toxic]
-    blank = F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))) == ""
-    return docs.where((p < chain.links[toxic].threshold) | blank)
+    limit = chain.links[toxic].threshold
+    return keep_rows(docs, lambda texts: [sent.value.scores(t)[toxic] < limit for t in texts])
