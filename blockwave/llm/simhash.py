@@ -19,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, keep
+from .shared import components, keep, small_batches
 
 RADIUS = 3
 BLOCK_BITS = 16
+HOT = 1000  # a fingerprint of a thousandth of all rows is joined without a shuffle
 _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)
 _CHUNK = 255 * 256
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = [fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 
@@ -154,13 +156,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     never the smallest unless a component has no other. An empty table gives an empty result.
     """
     all_fps = keep(fingerprints(docs, words), "simhash")
-    nodes = keep(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = keep(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     joined = roots.join(nodes, "fp")
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = joined.join(lowest, "root").select("fp", "lowest")
-    final = nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return all_fps.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
+    final = keep(final, "final")
+    # Fingerprints that a thousandth of all rows share are a thousand at most: their rows stay where they are.
+    total = final.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(final.where(F.col("n") * HOT >= total).select("fp", "component_id"))
+    rest = all_fps.join(hot.drop("component_id"), "fp", "left_anti").join(final.where(F.col("n") * HOT < total), "fp")
+    return rest.select("doc_id", "fp", "component_id").unionAll(all_fps.join(hot, "fp").select("doc_id", "fp", "component_id"))
 
 
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
