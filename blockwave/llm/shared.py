@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -122,3 +122,18 @@ def from_texts(docs: DataFrame, find: Callable[[list[str | None]], dict[str, lis
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group: the one with the smallest doc_id, nulls last, then text hash.
+
+    ``rows`` (doc_id, h, node) has the xxhash64 ``h`` of each row's text, ``roots`` (node, root) the
+    groups of the nodes that have links. Choices are made for nodes first, so a hot node is no hot key.
+    """
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m"))
+    best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("m").alias("m"))
+    stay = best.select(F.col("m.doc_id").alias("_stay"), F.col("m.h").alias("_hash"))
+    hashed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(stay, (F.col("_text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))
+    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_text")

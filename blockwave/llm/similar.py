@@ -1,0 +1,159 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exact.
+
+Two sets with similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each, n being
+the set's size, whatever common order the shingles stand in (prefix filter). The order puts shingles
+first that are rare in a sample, so few sets meet at one. Sets that meet and can still reach t by their
+sizes and places are compared shingle by shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import components, keep, one_of_each, small_batches
+
+WORDS, LEAST = 5, 0.8
+BUCKETS = 1 << 18  # of shingle hashes, for the order
+SAMPLE = 32  # one text of so many counts for the order
+SEEN = 100_000  # sets that a task remembers
+_PAIRS = 1 << 16
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a UTF-8 text's word shingles; a shorter text is one shingle."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def prefix(s: np.ndarray, weight: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The shingles of which a set as similar as ``least`` has to share one with its own."""
+    order = np.lexsort((s, weight[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+    return s[order[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]] if len(s) else s
+
+
+def weights(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How many sampled texts hold shingles of each bucket. It only decides the order, never a result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                counts += np.bincount((shingles(t, words) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+
+    small_batches(docs.sparkSession)
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    total = some.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[total["bucket"].to_numpy()] = total["n"].to_numpy()
+    return out
+
+
+def sets(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, h, node, n, prefix) for each row: the hash of its text, of its shingles, their number, and
+    the prefix where the task hasn't given it before."""
+    order = docs.sparkSession.sparkContext.broadcast(weights(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            nodes, sizes, firsts = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                s = shingles(t, words)
+                node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
+                nodes.append(node)
+                sizes.append(len(s))
+                firsts.append(None if node in seen else prefix(s, order.value, least).view(np.int64))
+                if len(seen) < SEEN:
+                    seen.add(node)
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (nodes, sizes, firsts), kinds)], ["doc_id", "h", "node", "n", "prefix"])
+
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, node long, n long, prefix array<long>")
+
+
+def _meet(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within whole groups that can reach ``least``; rows are sorted by key, node."""
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+    key, node, n, pos = key[new], node[new], n[new], pos[new]
+    last = np.searchsorted(key, key, side="right")  # the end of each row's group
+    open_ = np.flatnonzero(last - np.arange(len(key)) > 1)
+    step = 1
+    while len(open_):
+        for at in range(0, len(open_), _PAIRS):
+            i = open_[at : at + _PAIRS]
+            j = i + step
+            most = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+            ok = most * (1 + least) + 1e-6 >= least * (n[i] + n[j])
+            if ok.any():
+                yield np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]
+        step += 1
+        open_ = open_[last[open_] - open_ > step]
+
+
+def candidates(table: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): all pairs of nodes that share a prefix shingle and can be as similar as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            held = [np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held)]
+            if not len(held[0]) or held[0][0] == held[0][-1]:
+                continue
+            cut = np.searchsorted(held[0], held[0][-1])
+            yield from map(pack, _meet(*[x[:cut] for x in held], least))
+            held = [x[cut:] for x in held]
+        yield from map(pack, _meet(*held, least))
+
+    def pack(pairs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+    rows = table.select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", "n", F.col("pos").cast("long").alias("pos"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, table: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(a, b): all pairs of nodes of ``table``, which is that of ``sets``, as similar as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = (b.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+            ok = [similarity(shingles(x, words), shingles(y, words)) >= least - 1e-9 for x, y in zip(left, right)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    pairs = keep(candidates(table, least), "pairs")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = table.groupBy("node").agg(F.min("h").alias("h")).join(need, "node")
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    texts = keep(texts.join(one, "h").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of each group that links of similarity ``least`` or more connect.
+
+    Rows with equal shingles (all without words among them) are one node. The row with the smallest
+    doc_id stays, of these the one with the smallest hash of its text; a null doc_id comes last.
+    """
+    table = keep(sets(docs, words, least), "sets")
+    return one_of_each(docs, table, components(links(docs, table, words, least)))

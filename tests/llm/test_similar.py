@@ -1,0 +1,63 @@
+import random
+
+from blockwave.llm import similar
+
+from . import cases
+
+
+def plain_sets(text):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_kept(rows):
+    """The smallest id of each group, all pairs compared."""
+    rows = sorted(rows)
+    all_sets = [plain_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(all_sets):
+        for j in range(i):
+            b = all_sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_near_copies_with_changed_words(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(6))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(r.randint(3, 300))]
+        for j in range(5):
+            near = list(base)
+            for _ in range(j):
+                near[r.randrange(len(near))] = word()
+            rows.append((10 * k + j, " ".join(near)))
+    want = plain_kept(rows)
+    got = similar.deduplicate(cases.frame(spark, rows))
+    assert {x["doc_id"] for x in got.collect()} == want and 40 <= len(want) < 150
+
+
+def test_pipeline_stage_removes_near_copies(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = corpus_pipeline.near_duplicates_out(spark, d, "/root/testdata/sf0.01").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(plain_kept([(r["doc_id"], r["text"]) for r in d.collect()]))
+
+
+def test_odd_rows(spark):
+    docs = cases.frame(spark)
+    kept = similar.deduplicate(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 10, 11, 12, 13, 14] and ids.count(None) == 1
+    assert similar.deduplicate(cases.empty(spark)).count() == 0
