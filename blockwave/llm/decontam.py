@@ -2,9 +2,10 @@
 
 Every window of every document is a query against the index of test items. A window's score for an
 item is its BM25 score over distinct terms, divided by the score of the item's own words, so 1 means
-that all of them occur. Windows are twice as long as the longest item and overlap by half, so each
-item lies whole in some window. What scores at least the threshold is verified: the words of the
-question part and of the answer part have to occur in the window in order.
+that all of them occur. What scores at least the threshold is verified within spans twice as long as
+the item itself, one at every eighth of its length: a span has to reach the threshold, and the words of
+the question part and of the answer part have to occur in it in order. Windows hold every such span
+whole, so the length of other items changes no result.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, small_batches
+from .shared import keep, keep_rows, small_batches
 
 K1, B = 1.2, 0.75
 BLOCK = 4  # items in a block
 THRESHOLD = 0.6  # of an item's own score
 OVERLAP = 0.8  # of the words of each part, in order
+SPAN, SPAN_STEP = 2, 8  # a span's length in item lengths, spans begun in an item length
 SHORT = 8  # items under this many words have to occur word by word
 ITEMS, ITEM_BYTES = 20_000, 8 << 20  # the largest part of the benchmark that is sent to executors at once
 _WORD = re.compile(r"\w+")
@@ -62,22 +64,27 @@ def in_order(part: list[str], words: list[str]) -> float:
 class Index:
     """Postings (item, impact) by term in item order, and a term's largest impact in each block of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: tuple[int, float, dict[str, int]] | None = None):
+        """``whole``: number of items, mean length and items by term of the benchmark that ``items`` are a part of."""
         self.threshold, self.overlap = threshold, overlap
         known = [(i, *parts(t or "")) for i, t in items]
         self.items = [(i, q, a) for i, q, a in known if q or a]
         lengths = [len(q) + len(a) for _, q, a in self.items]
-        self.window = 2 * max([SHORT, *lengths])
-        mean, n = sum(lengths) / max(1, len(lengths)), len(self.items)
+        self.step = max([SHORT, *lengths])
+        self.window = (SPAN + 1) * self.step
         counts = [Counter(q + a) for _, q, a in self.items]
-        df = Counter(t for c in counts for t in c)
+        if whole is None:
+            whole = len(self.items), sum(lengths) / max(1, len(lengths)), Counter(t for c in counts for t in c)
+        n, mean, df = whole
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.gains: list[dict[str, float]] = []
         for k, c in enumerate(counts):
             gain = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[k] / mean)) for t, f in c.items()}
             own = sum(gain.values())
-            for t, g in gain.items():
-                self.postings.setdefault(t, []).append((k, g / own))
+            self.gains.append({t: g / own for t, g in gain.items()})
+            for t, g in self.gains[-1].items():
+                self.postings.setdefault(t, []).append((k, g))
         self.top = {t: max(g for _, g in p) for t, p in self.postings.items()}
         self.terms = set(self.top)
         self.bounds: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -134,49 +141,93 @@ class Index:
                 for x in lists:
                     x[1] = bisect_left(x[0], (pivot,), x[1])
 
-    def windows(self, text: str) -> Iterator[tuple[int, list[str]]]:
+    def windows(self, text: str) -> Iterator[tuple[int, list[str], bool]]:
+        """Place, words, and whether it is the last; spans that begin in its first step lie whole in a window."""
         words = _WORD.findall(text.lower())
-        step = self.window // 2
-        for at in range(0, max(1, len(words) - step), step):
-            yield at, words[at : at + self.window]
+        starts = range(0, max(1, len(words) - SPAN * self.step), self.step)
+        for at in starts:
+            yield at, words[at : at + self.window], at == starts[-1]
+
+    def _spans(self, k: int, at: int, words: list[str], last: bool) -> Iterator[tuple[float, int, float, float]]:
+        """(score, -place, question overlap, answer overlap) of the spans of a window that hold item k."""
+        _, q, a = self.items[k]
+        n, gain = len(q) + len(a), self.gains[k]
+        size = SPAN * max(SHORT, n)
+        step = max(1, n // SPAN_STEP)
+        for i in range(-at % step, len(words) if last else min(self.step, len(words)), step):
+            span = words[i : i + size]
+            score = sum(gain[t] for t in sorted(gain.keys() & set(span)))
+            if score < self.threshold - 1e-9:
+                continue
+            oq, oa = in_order(q, span), in_order(a, span)
+            if min(oq, oa) < self.overlap:
+                continue
+            if n < SHORT and f" {' '.join(q + a)} " not in f" {' '.join(span)} ":
+                continue
+            yield score, -at - i, oq, oa
 
     def matches(self, text: str | None) -> list[dict]:
-        """The test items that the text holds, each with its best window."""
-        found: dict[int, dict] = {}
-        for at, words in self.windows(text or ""):
-            for k, score in self.search(self.terms.intersection(words)):
-                item, q, a = self.items[k]
-                oq, oa = in_order(q, words), in_order(a, words)
-                if min(oq, oa) < self.overlap:
-                    continue
-                if len(q) + len(a) < SHORT and f" {' '.join(q + a)} " not in f" {' '.join(words)} ":
+        """The test items that the text holds, each with its best span: of equal scores the first."""
+        found: dict[int, tuple[float, int, float, float]] = {}
+        for at, words, last in self.windows(text or ""):
+            for k, _ in self.search(self.terms.intersection(words)):
+                _, q, a = self.items[k]
+                if in_order(a, words) < self.overlap or in_order(q, words) < self.overlap:
                     continue
-                new = {"item_id": item, "score": score, "question_overlap": oq, "answer_overlap": oa, "at_word": at}
-                if item not in found or (score, -at) > (found[item]["score"], -found[item]["at_word"]):
-                    found[item] = new
-        return [found[k] for k in sorted(found)]
+                best = max(self._spans(k, at, words, last), default=None)
+                if best and (k not in found or best > found[k]):
+                    found[k] = best
+        names = ("item_id", "score", "question_overlap", "answer_overlap", "at_word")
+        return [dict(zip(names, (self.items[k][0], s, oq, oa, -place))) for k, (s, place, oq, oa) in sorted(found.items())]
+
+
+def _whole(rows: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of items with words, their mean length, and (term, n) over all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_WORD.findall(t.lower()) for t in b.column(0).to_pylist()]
+            terms = pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([terms, pa.array([len(w) for w in words], pa.int64())], ["terms", "length"])
+
+    small_batches(rows.sparkSession)
+    items = rows.select("text").mapInArrow(run, "terms array<string>, length long").where("length > 0")
+    n, total = items.agg(F.count("*"), F.sum("length")).first()
+    return n, (total or 0) / max(1, n), keep(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "terms")
+
+
+def _part(items: list[tuple[int, str]], whole: tuple[int, float, DataFrame] | None) -> Index:
+    """The index of a part of a benchmark; only the counts of the part's own terms come to the driver."""
+    if whole is None:
+        return Index(items)
+    n, mean, counts = whole
+    own = pa.table({"term": pa.array(sorted({w for _, t in items for w in _WORD.findall(t.lower())}), pa.string())})
+    df = counts.join(counts.sparkSession.createDataFrame(own), "term").toArrow() if len(own) else None
+    return Index(items, whole=(n, mean, dict(zip(df["term"].to_pylist(), df["n"].to_pylist())) if df else {}))
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over parts of the benchmark, in item order, none above ITEMS items and ITEM_BYTES of text.
 
     An item longer than that bound is an error, as it can't be sent. Rows without an id or text are
-    left out; a repeated row counts once.
+    left out; a repeated row counts once. Term counts and the mean length are those of the whole
+    benchmark, so the cut into parts changes no score.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct()
     now: list[tuple[int, str]] = []
-    size = 0
+    size, whole = 0, None
     for item, text in rows.orderBy("item_id", "text").toLocalIterator():
         n = len(text.encode())
         if n > ITEM_BYTES:
             raise ValueError(f"test item {item} has {n} bytes; {ITEM_BYTES} is the bound")
         if len(now) == ITEMS or size + n > ITEM_BYTES:
-            yield Index(now)
+            whole = whole or _whole(rows)
+            yield _part(now, whole)
             now, size = [], 0
         now.append((item, text))
         size += n
     if now:
-        yield Index(now)
+        yield _part(now, whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
