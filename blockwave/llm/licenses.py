@@ -6,6 +6,9 @@ the families' notices; scoring is native expressions over literal weights, witho
 family's threshold is calibrated on held-out variants and on notices of other licences; a predicted
 family has to be confirmed by the share of one of its templates' word pairs in the paragraph.
 Paragraphs that look like a licence but aren't confirmed are of the class ``unknown``.
+
+Each line is classified, and so is each paragraph between blank lines as one text, as notices are
+usually wrapped. Lines that hold a template by themselves take no part in the joined text.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH = 0.6  # of a template's word pairs
+WRAPPED = 0.8  # the same for the joined lines of a paragraph, which hold more pairs by chance
 SEED = 11
 NONE, UNKNOWN = "none", "unknown"
 #: Usual notices of the families.
@@ -113,28 +117,98 @@ def _strings(values) -> Column:
 def _fence(df: DataFrame, *columns: str | Column) -> DataFrame:
     """A projection that the optimizer does not merge into later ones, so that each value is computed once."""
     row = F.explode(F.array(F.struct(*columns))).alias("_row")
-    return df.select("doc_id", "paragraph", row).select("doc_id", "paragraph", "_row.*")
+    kept = [c for c in ("doc_id", "paragraph", "wide") if c in df.columns]
+    return df.select(*kept, row).select(*kept, "_row.*")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template_match): a row for each paragraph (line) that is a
-    licence notice; family ``unknown`` for notices that no family's threshold and template confirm.
+def _words(text: str | Column) -> Column:
+    """The words of a text without the comment markers that are words themselves."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "(?im)^[ \\t]*(?:dnl|rem)[ \\t]+", "")), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def _pairs(w: str | Column) -> Column:
+    last = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), last), F.slice(w, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _shares(pairs: str | Column) -> list[Column]:
+    """For each family the largest share of a template's word pairs that are among ``pairs``."""
+    out = []
+    for texts in TEMPLATES.values():
+        parts = [sorted({f"{a} {b}" for a, b in zip(words(t), words(t)[1:])}) for t in texts]
+        out.append(F.greatest(*[F.size(F.array_intersect(pairs, _strings(t))) / F.lit(float(len(t))) for t in parts]))
+    return out
+
+
+def _of(index: str | Column, values: list[Column], default: float) -> Column:
+    """The value at a place counted from 1; only that one is computed."""
+    out = F.lit(default)
+    for k, v in enumerate(values):
+        out = F.when(F.col(index) == k + 1, v).otherwise(out)
+    return out
+
+
+def _paragraphs(docs: DataFrame, anchors: list[str]) -> DataFrame:
+    """(doc_id, paragraph, lines, w): runs of lines without a blank one (comment markers aside) that hold an
+    anchor, the number of the first line, the lines and the words of all of them."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    d = _fence(d, "lines", F.transform("lines", lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("full"))
+    here, before, after = (lambda i, k=k: F.coalesce(F.get("full", i + k), F.lit(False)) for k in (0, -1, 1))
+    at = F.sequence(F.lit(0), F.size("full") - 1)
+    first, last = F.filter(at, lambda i: here(i) & ~before(i)), F.filter(at, lambda i: here(i) & ~after(i))
+    d = _fence(d.where(F.size("full") > 0), "lines", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("runs"))
+    run = F.transform("runs", lambda r: F.struct(r.a.alias("paragraph"), F.slice("lines", r.a + 1, r.b - r.a + 1).alias("lines")))
+    p = d.select("doc_id", F.explode(run).alias("r")).select("doc_id", "r.*")
+    return _fence(p, "lines", _words(F.array_join("lines", "\n")).alias("w")).where(F.arrays_overlap("w", _strings(anchors)))
+
+
+def _units(p: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, wide, line): the lines of each paragraph and, where those that match no template
+    alone match one together, the joined text of these.
+
+    ``wide`` (own, family, share) tells such a paragraph's family, counted from 1, or 0 if the best share
+    is that of several, and whether the row is the joined text itself; it is null for other paragraphs.
+    """
+    p = _fence(p, "lines", F.when(F.size("lines") > 1, _pairs("w")).alias("pairs"))
+    p = _fence(p, "lines", F.when(F.col("pairs").isNotNull(), F.greatest(*_shares("pairs"))).alias("most"))
+    split = F.filter("lines", lambda x: F.exists(F.array(_pairs(_words(x))), lambda y: F.greatest(*_shares(y)) < WRAPPED))
+    p = _fence(p, "lines", F.when(F.col("most") >= WRAPPED, F.array_join(split, "\n")).alias("text"))
+    p = _fence(p, "lines", "text", F.when(F.col("text").isNotNull(), _pairs(_words("text"))).alias("pairs"))
+    p = _fence(p, "lines", "text", F.when(F.col("pairs").isNotNull(), F.array(*_shares("pairs"))).alias("shares"))
+    p = _fence(p, "lines", "text", "shares", F.array_max("shares").alias("share"))
+    best = F.when(F.size(F.filter("shares", lambda x: x >= F.col("share"))) == 1, F.array_position("shares", F.col("share")).cast("int")).otherwise(0)
+    p = _fence(p, "lines", "text", "share", F.when(F.col("share") >= WRAPPED, best).alias("family"))
+    wrapped = F.col("family").isNotNull()
+
+    def wide(own: bool) -> Column:
+        return F.when(wrapped, F.struct(F.lit(own).alias("own"), F.col("family").alias("family"), F.col("share").alias("share"))).alias("wide")
+
+    def unit(number: Column, own: bool, line: Column) -> Column:
+        return F.struct(number.cast("int").alias("paragraph"), wide(own), line.alias("line"))
+
+    each = F.transform("lines", lambda x, i: unit(F.col("paragraph") + i, False, x))
+    joined = F.array(unit(F.col("paragraph"), True, F.col("text")))
+    return p.select("doc_id", F.explode(F.when(wrapped, F.concat(each, joined)).otherwise(each)).alias("u")).select("doc_id", "u.*")
 
-    paragraph counts from 0. A null or empty text has no paragraph of interest; repeated rows give
-    repeated rows; other columns are ignored; an empty table gives an empty result. A paragraph
-    without any n-gram of the model scores by the constants alone, which say ``none``, so only the
-    others are scored.
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, family, probability, template_match): a row for each line, and for each wrapped
+    paragraph, that is a licence notice; family ``unknown`` for notices that no family's threshold and
+    template confirm.
+
+    paragraph is the number of the line, or of the paragraph's first line, from 0. Of the lines of a
+    wrapped notice only those have rows of their own that hold a template by themselves. A
+    null or empty text has no paragraph of interest; repeated rows give repeated rows; other columns are
+    ignored; an empty table gives an empty result. A line without any n-gram of the model scores by the
+    constants alone, which say ``none``, so only the others are scored.
     """
     m = model()
     if m.classes[int(m.bias.argmax())] != NONE:
         raise AssertionError("a paragraph without features has to be of class none")
     anchors = sorted({max((w for w in g.split(" ") if telling(w)), key=lambda w: (len(w), w)) for g in m.vocab})
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
-    w = _fence(lines, F.split(F.lower("line"), "[^a-z0-9]+").alias("w")).where(F.arrays_overlap("w", _strings(anchors)))
-    w = _fence(w, F.filter("w", lambda x: x != "").alias("w"))
-    last = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), last), F.slice("w", F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
-    g = _fence(w, "w", pairs.alias("pairs"))
+    own = F.coalesce(F.col("wide.own"), F.lit(False))
+    w = _fence(_units(_paragraphs(docs, anchors)), _words("line").alias("w")).where(F.arrays_overlap("w", _strings(anchors)))
+    g = _fence(w, "w", _pairs("w").alias("pairs"))
     g = _fence(g, "pairs", F.array_intersect(F.concat("w", "pairs"), _strings(m.vocab)).alias("hits")).where(F.size("hits") > 0)
     rows = F.create_map(*[x for v, ws in zip(m.vocab, m.weights) for x in (F.lit(v), F.array(*[F.lit(float(f)) for f in ws]))])
     start = F.array(*[F.lit(float(b)) for b in m.bias])
@@ -142,15 +216,16 @@ def scan(docs: DataFrame) -> DataFrame:
     z = _fence(g, "pairs", logits.alias("z"))
     top = _fence(z, "pairs", "z", F.array_max("z").alias("top"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.element_at(F.array("top"), 1)))
-    p = _fence(top, "pairs", F.array_position("z", F.col("top")).cast("int").alias("best"), (1.0 / total).alias("probability"))
-    p = p.where(F.col("best") != len(m.classes))
-    share, limit = F.lit(0.0), F.lit(2.0)
-    for k, (family, texts) in enumerate(TEMPLATES.items()):
-        parts = [sorted({f"{a} {b}" for a, b in zip(words(t), words(t)[1:])}) for t in texts]
-        most = F.greatest(*[F.size(F.array_intersect("pairs", _strings(t))) / F.lit(float(len(t))) for t in parts])
-        share = F.when(F.col("best") == k + 1, most).otherwise(share)
-        limit = F.when(F.col("best") == k + 1, F.lit(m.thresholds[family])).otherwise(limit)
-    out = _fence(p, "best", "probability", share.alias("template_match"), limit.alias("limit"))
-    sure = (F.col("probability") >= F.col("limit")) & (F.col("template_match") >= MATCH)
-    family = F.when(sure, F.element_at(_strings(m.classes), F.col("best"))).otherwise(F.lit(UNKNOWN))
+    sure = own & (F.col("wide.family") > 0)
+    best = F.when(sure, F.col("wide.family")).otherwise(F.array_position("z", F.col("top")).cast("int"))
+    probability = F.when(sure, F.exp(F.get("z", F.col("wide.family") - 1) - F.col("top"))).otherwise(1.0) / total
+    p = _fence(top, "pairs", best.alias("best"), probability.alias("probability"))
+    p = p.where((F.col("best") != len(m.classes)) | own)
+    limit = _of("best", [F.lit(m.thresholds[f]) for f in TEMPLATES], 2.0)
+    match = F.when(own, F.col("wide.share")).otherwise(_of("best", _shares("pairs"), 0.0))
+    out = _fence(p, "best", "probability", match.alias("template_match"), limit.alias("limit"))
+    line = (F.col("probability") >= F.col("limit")) & (F.col("template_match") >= MATCH)
+    out = out.where(F.col("wide").isNull() | own | line & (F.col("template_match") >= WRAPPED))
+    known = F.when(own, F.col("wide.family") > 0).otherwise(line)
+    family = F.when(known, F.element_at(_strings(m.classes), F.greatest("best", F.lit(1)))).otherwise(F.lit(UNKNOWN))
     return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), family.alias("family"), "probability", "template_match")
