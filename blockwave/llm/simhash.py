@@ -16,10 +16,10 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, keep, small_batches
+from .shared import components, keep, one_of_each, small_batches
 
 RADIUS = 3
 BLOCK_BITS = 16
@@ -171,14 +171,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
 
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
-
-    Of several rows with that doc_id one stays, the one with the smallest text. Rows without a
-    doc_id all stay, as nothing tells them apart.
-    """
-    groups = near_duplicates(docs.where("doc_id IS NOT NULL"), words, radius)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["_stay"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, of several
+    with that doc_id the one with the smallest hash of its text; a null doc_id comes last."""
+    numbered = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), "doc_id", "text")
+    found = numbered.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("doc_id"))).alias("m"), F.first("text").alias("text"))
+    found = keep(found, "texts")
+    fps = fingerprints(found.select(F.col("h").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("h"), F.col("fp").alias("node"))
+    rows = keep(found.select("h", "m.doc_id").join(fps, "h"), "simhash")
+    return one_of_each(docs, rows, components(links(rows.select(F.col("node").alias("fp")).distinct(), radius)))
