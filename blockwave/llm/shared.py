@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,14 +75,37 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows in an Arrow batch: ten thousand texts are tens of MB, in the JVM and in Python."""
+    """Lower the session's rows and bytes in an Arrow batch, so that neither many texts nor long ones make
+    batches of tens of MB, in the JVM and in Python. Smaller settings of the caller stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], by: int = 0) -> Iterator[list[np.ndarray]]:
+    """The columns of batches of numbers that are sorted by column ``by``, cut only between its values."""
+    held: list[list[np.ndarray]] = []  # pieces of columns that may still grow
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(k).to_numpy() for k in range(b.num_columns)]
+        if new[by][0] == new[by][-1] and (not held or held[-1][by][-1] == new[by][0]):
+            held.append(new)
+            continue
+        cut = int(np.searchsorted(new[by], new[by][-1]))
+        held.append([x[:cut] for x in new])
+        yield [np.concatenate(x) for x in zip(*held)]
+        held = [[x[cut:] for x in new]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def keep_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -> DataFrame:

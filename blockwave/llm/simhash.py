@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, keep, one_of_each, small_batches
+from .shared import components, groups_of, keep, small_batches
 
 RADIUS = 3
 BLOCK_BITS = 16
@@ -127,16 +127,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError(f"the masks are exact up to radius {RADIUS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fs = np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in batches:
-            keys = np.concatenate([keys, b.column(0).to_numpy()])
-            fs = np.concatenate([fs, b.column(1).to_numpy()])
-            if not len(keys) or keys[0] == keys[-1]:
-                continue
-            cut = np.searchsorted(keys, keys[-1])
-            yield pack(_links(keys[:cut], fs[:cut], radius))
-            keys, fs = keys[cut:], fs[cut:]
-        if len(keys):
+        for keys, fs in groups_of(batches):
             yield pack(_links(keys, fs, radius))
 
     def pack(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -168,14 +159,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     hot = F.broadcast(final.where(F.col("n") * HOT >= total).select("fp", "component_id"))
     rest = all_fps.join(hot.drop("component_id"), "fp", "left_anti").join(final.where(F.col("n") * HOT < total), "fp")
     return rest.select("doc_id", "fp", "component_id").unionAll(all_fps.join(hot, "fp").select("doc_id", "fp", "component_id"))
-
-
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, of several
-    with that doc_id the one with the smallest hash of its text; a null doc_id comes last."""
-    numbered = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), "doc_id", "text")
-    found = numbered.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("doc_id"))).alias("m"), F.first("text").alias("text"))
-    found = keep(found, "texts")
-    fps = fingerprints(found.select(F.col("h").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("h"), F.col("fp").alias("node"))
-    rows = keep(found.select("h", "m.doc_id").join(fps, "h"), "simhash")
-    return one_of_each(docs, rows, components(links(rows.select(F.col("node").alias("fp")).distinct(), radius)))

@@ -78,15 +78,6 @@ def test_links_join_all_within_the_radius(spark):
     assert not set(alone) & set(roots) and len(alone) + len(roots) == len(fps)
 
 
-def test_deduplicate_keeps_one_of_each(spark):
-    docs = cases.frame(spark)
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert len(ids) == len(set(ids)) and 6 in ids and 7 not in ids and 1 in ids and 2 not in ids
-    assert kept.where("doc_id IS NULL").count() == 1
-
-
 def test_query_against_all_pairs(spark, sf_dir):
     from blockwave.llm.queries import op1_simhash
 
@@ -96,10 +87,3 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert all(r["fingerprint"] == f"{plain_fingerprint(texts[r['doc_id']]):016x}" for r in got)
     want = groups([(r["doc_id"], int(r["fingerprint"], 16)) for r in got])
     assert all(r["component_id"] == want[int(r["fingerprint"], 16)] for r in got)
-
-
-def test_deduplicate_chooses_by_group(spark):
-    a, b = "one two three four five six seven", "red green blue white black brown pink"
-    docs = cases.frame(spark, [(5, a), (5, b), (3, b.upper()), (None, a), (None, "no id of its own")])
-    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()]
-    assert sorted(kept, key=str) == sorted([(3, b.upper()), (5, a), (None, "no id of its own")], key=str)
