@@ -4,45 +4,44 @@ A merge list fixes how far to the right a token can depend on its text: a merge
 be prevented by a merge of lower rank that takes a part of its right edge, that one only by one of
 still lower rank, and so on. ``MergeTable.lookahead`` is the longest such chain, in symbols. A
 token is stable once that many symbols follow it; the transducer then emits it and forgets its
-symbols, so a word of any length needs a buffer of fixed size. Short words are encoded once and
-remembered in a table of bounded size.
+symbols, so a word of any length needs a buffer of fixed size. Every pre-token goes through it once;
+what it gave is remembered in a table of bounded size. Texts are read a segment at a time, and the
+ids of each segment go through the incremental decoder.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
 
 SEGMENT = 1 << 16  # characters of a text that are in work at once
-REMEMBER = 250_000  # words in each generation of a worker's tables
-LONGEST = 64  # characters of the longest remembered word
+REMEMBER = 250_000  # pre-tokens in each generation of a worker's table
 _ID, _MASK = 20, (1 << 20) - 1  # bits of an id
+_UNKNOWN = -1  # a symbol that the vocabulary does not have; it merges with nothing and has no token
 
 
 class MergeTable:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
-        self.tokens = {i: t for t, i in vocab.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        self.rank = {p: r for r, p in enumerate(pairs)}
         self.lookahead = self._lookahead(pairs)
-        # Short words are merged as numbers: pair of ids to rank and new id in one number, in order of rank.
-        self.pairs = {vocab[a] << _ID | vocab[b]: r << _ID | vocab[a + b] for r, (a, b) in enumerate(pairs) if a in vocab and b in vocab and a + b in vocab}
-        self.whole = len(self.pairs) == len(pairs)
+        # A pair of ids to rank and new id in one number, in order of rank.
+        self.pairs = {vocab[a] << _ID | vocab[b]: r << _ID | vocab[a + b] for r, (a, b) in enumerate(pairs)}
+        self.length = {i: self._length(t) for t, i in vocab.items()}
+        self.symbols = {t: i for t, i in vocab.items() if len(t) == 1}
+        self.ends = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix) and len(t) == 1 + len(suffix)}
 
     def _length(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
@@ -69,14 +68,8 @@ class MergeTable:
             longest = max(longest, own)
         return longest
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """All merges, lowest rank first and leftmost of equal ranks."""
-        if len(symbols) <= LONGEST and self.whole and all(x in self.vocab for x in symbols):
-            return [self.tokens[i] for i in self.merge_ids([self.vocab[x] for x in symbols])]
-        return self._merge_long(symbols)
-
-    def merge_ids(self, out: list[int]) -> list[int]:
-        """``merge`` over ids, in place."""
+    def merge(self, out: list[int]) -> list[int]:
+        """All merges of a list of ids, in place: lowest rank first and leftmost of equal ranks."""
         get, none = self.pairs.get, 1 << 62
         ranks = [get(a << _ID | b, none) for a, b in zip(out, out[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -89,86 +82,63 @@ class MergeTable:
                 ranks[i] = get(out[i] << _ID | out[i + 1], none)
         return out
 
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        rank, s, n = self.rank, list(symbols), len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, p) for i, p in enumerate(zip(s, s[1:])) if (r := rank.get(p)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, (a, b) = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != a or j >= n or s[j] != b:
-                continue
-            s[i], s[j], after[i] = a + b, None, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank.get(p := (s[i], s[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, p))
-            if before[i] >= 0 and (r := rank.get(p := (s[before[i]], s[i]))) is not None:
-                heapq.heappush(heap, (r, before[i], p))
-        return [x for x in s if x is not None]
-
 
 class Transducer:
-    """Tokens of one pre-token whose symbols arrive in pieces; ``push`` returns those now stable."""
+    """Ids of one pre-token whose symbols arrive in pieces; ``push`` returns those now stable."""
 
     def __init__(self, table: MergeTable):
         self.table, self.buffer = table, ""
-        self.window = max(4 * table.lookahead, LONGEST)
+        self.window = 2 * table.lookahead + 1
 
-    def push(self, piece: str) -> list[str]:
+    def push(self, piece: str) -> list[int]:
+        table, out = self.table, []
         self.buffer += piece
-        out: list[str] = []
+        most = self.window + table.lookahead
+        at = 0
         # The last symbol stays: it may turn out to be the word's end, which is another symbol.
-        while len(self.buffer) > self.window + self.table.lookahead + 1:
-            head = self.buffer[: self.window + self.table.lookahead]
-            at = 0
-            for t in self.table.merge(list(head)):
-                if at + len(t) > self.window:
+        while len(self.buffer) - at > most + 1:
+            now = at
+            for i in table.merge([table.symbols.get(c, _UNKNOWN) for c in self.buffer[at : at + most]]):
+                size = table.length.get(i, 1)
+                if now + size > at + self.window:
                     break
-                out.append(t)
-                at += len(t)
-            self.buffer = self.buffer[at:]
+                out.append(i)
+                now += size
+            at = now
+        self.buffer = self.buffer[at:]
         return out
 
-    def finish(self) -> list[str]:
+    def finish(self) -> list[int]:
         if not self.buffer:
             return []
-        symbols = list(self.buffer)
-        symbols[-1] += self.table.suffix
+        get = self.table.symbols.get
+        out = [get(c, _UNKNOWN) for c in self.buffer]
+        out[-1] = self.table.ends.get(self.buffer[-1], _UNKNOWN)
         self.buffer = ""
-        return self.table.merge(symbols)
+        return self.table.merge(out)
 
 
 class Decoder:
-    """Ids to text, one at a time. Byte-level vocabularies go through an incremental UTF-8 decoder;
-    those without a decoder give their tokens, a space between two."""
+    """Ids to text, some at a time. Tokens that are bytes go through an incremental UTF-8 decoder, which keeps
+    the bytes of an unfinished character; others are joined with a space between two."""
 
-    def __init__(self, tokens: list[str | None], byte_level: bool, special: frozenset[int] = frozenset()):
-        self.tokens, self.byte_level, self.special, self.first = tokens, byte_level, special, True
+    def __init__(self, tokens: list[str] | list[bytes]):
+        self.tokens, self.byte_level, self.first = tokens, isinstance(tokens[0], bytes), True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.bytes = {c: b for b, c in byte_alphabet().items()} if byte_level else {}
 
     def restart(self) -> Decoder:
         self.first = True
         self.utf8.reset()
         return self
 
-    def push(self, i: int) -> str:
-        token = self.tokens[i] if 0 <= i < len(self.tokens) else None
-        if token is None:
-            return ""
+    def push(self, ids: list[int]) -> str:
+        """The text that these ids complete."""
         if self.byte_level:
-            raw = token.encode() if i in self.special else bytes(self.bytes[c] for c in token)
-            return self.utf8.decode(raw)
-        gap, self.first = "" if self.first else " ", False
-        return gap + token
-
-    def push_all(self, ids: list[int]) -> str:
-        if self.byte_level or not ids:
-            return "".join([self.push(i) for i in ids])
+            return self.utf8.decode(b"".join(map(self.tokens.__getitem__, ids)))
+        if not ids:
+            return ""
         gap, self.first = "" if self.first else " ", False
-        return gap + " ".join([t for i in ids if (t := self.tokens[i]) is not None])
+        return gap + " ".join(map(self.tokens.__getitem__, ids))
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True) if self.byte_level else ""
@@ -185,6 +155,9 @@ def byte_alphabet() -> dict[int, str]:
 #: normalizer come down to lower case, as no two of those characters compose.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = ["NFC", "Replace", "Lowercase"]
+#: White space as the tokenizer's expressions have it; str.split() also splits at the four separators.
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_HIGH = re.compile("[\u0250-\U0010ffff]")
 
 
 def spec_pattern(j: dict) -> str:
@@ -196,21 +169,37 @@ def spec_pattern(j: dict) -> str:
     return parts[0]["pattern"].get("Regex", "")
 
 
-Entry = tuple[str, int, str]  # ids, their number, the decoded text
-_NOTHING: Entry = ("", 0, "")
+def _latin_words() -> re.Pattern:
+    """``WORDS`` over lower-cased characters below U+0250, and the marks that lower case makes of them."""
+    def of(kind: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+    letters, numbers = of("L"), of("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
+
 
+class _Known(dict):
+    """Ids by pre-token. What is asked for again moves from the older table to this one, and a full one ages."""
 
-def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... count[0] of them, then those of start[1], and so on."""
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (found := self.older.get(piece)) is None:
+            found = self.make(piece)
+        if len(self) >= REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        if len(piece) <= SEGMENT >> 8:
+            self[piece] = found
+        return found
 
 
-class Encoder(dict):
-    """Chunks between white space, each with its ids and its decoded text, as in a tokenizer file.
+class Encoder:
+    """Texts to ids and back, as a tokenizers file has it.
 
-    Merges and decoding are this module's, and so is the splitting of Latin words where the file has
-    the usual expression; the file's own normalizer and pre-tokenizer (library parts) run on other
-    chunks. Requires a pre-tokenizer that drops white space.
+    Merges and decoding are this module's, and so is the splitting of Latin words where the file has the
+    usual expression; the file's own normalizer and pre-tokenizer (library parts) run on other text.
     """
 
     def __init__(self, spec: str):
@@ -223,185 +212,94 @@ class Encoder(dict):
         self.table = MergeTable(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.added = {a["content"]: a["id"] for a in j["added_tokens"]}
         ids = model["vocab"] | self.added
-        self.tokens: list[str | None] = [None] * (max(ids.values()) + 1)
+        byte_level = bool(j.get("decoder")) and j["decoder"]["type"] == "ByteLevel"
+        own = {c: b for b, c in byte_alphabet().items()}
+        self.tokens: list = [b"" if byte_level else ""] * (max(ids.values()) + 1)
         for t, i in ids.items():
-            self.tokens[i] = t
-        self.byte_level = bool(j.get("decoder")) and j["decoder"]["type"] == "ByteLevel"
-        self.latin = lib.normalizer is not None and spec_pattern(j) == WORDS
-        self.words = regex.compile(WORDS).findall
-        self.lines = regex.compile(WORDS + r"|\n").findall
+            self.tokens[i] = t if not byte_level else t.encode() if t in self.added else bytes(own[c] for c in t)
+        self.latin = _latin_words() if lib.normalizer is not None and spec_pattern(j) == WORDS else None
         self.shown = {b: c for b, c in byte_alphabet().items()}
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.decoder = Decoder(self.tokens, self.byte_level)
-        # Two generations each: what is asked for again moves to the younger one, and a full one ages.
-        self.known: dict[str, Entry] = {}
-        self.before: dict[str, Entry] = {}
-        self.older: dict[str, Entry] = {}
+        self.transducer = Transducer(self.table)
+        self.known = _Known(self.piece)
+        self.words = _Known(self.word)
         self.control = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
 
-    def pieces(self, chunk: str) -> list[str]:
-        """Pre-tokens in the byte-level alphabet."""
-        if self.latin and len(chunk) <= LONGEST:
-            if chunk.isascii() or max(chunk) < "\u0250":
-                low = chunk.lower()
-                words = [low] if low.isalpha() else self.words(low)
-                return [self.mapped(w) for w in words]
-        return [p for p, _ in self.split(self.normalize(chunk))]
-
-    def mapped(self, word: str) -> str:
-        """A word's bytes in the byte-level alphabet, of which printable ASCII stands for itself."""
-        if word.isascii() and word.isprintable():
-            return word
-        return word.encode().decode("latin-1").translate(self.shown)
-
-    def piece(self, piece: str) -> Entry:
-        """The entry of one pre-token."""
-        if (found := self.known.get(piece) or self.before.get(piece)) is None:
-            if len(piece) > LONGEST:
-                t, tokens = Transducer(self.table), []
-                for k in range(0, len(piece), SEGMENT):
-                    tokens += t.push(piece[k : k + SEGMENT])
-                vocab = self.table.vocab
-                return self.entry([vocab[x] for x in tokens + t.finish() if x in vocab])
-            found = self.entry(self.short(piece))
-        elif piece in self.known:
-            return found
-        if len(self.known) >= REMEMBER:
-            self.known, self.before = {}, self.known
-        self.known[piece] = found
-        return found
-
-    def short(self, piece: str) -> list[int]:
-        """Ids of a short pre-token."""
-        table, vocab = self.table, self.table.vocab
-        try:
-            ids = [vocab[c] for c in piece[:-1]]
-            ids.append(vocab[piece[-1] + table.suffix])
-        except KeyError:  # a character that the vocabulary does not have
-            ids = None
-        if ids is not None and table.whole:
-            return table.merge_ids(ids)
-        return [vocab[x] for x in table.merge([*piece[:-1], piece[-1] + table.suffix]) if x in vocab]
-
-    def entry(self, ids: list[int]) -> Entry:
-        return " ".join([self.names[i] for i in ids]), len(ids), self.decoder.restart().push_all(ids) + self.decoder.finish()
-
-    def __missing__(self, chunk: str) -> Entry:
-        if (found := self.older.get(chunk)) is None:
-            parts = [e for p in self.pieces(chunk) if (e := self.piece(p))[1]]
-            if len(parts) == 1:
-                found = parts[0]
-            else:
-                found = " ".join([e[0] for e in parts]), sum([e[1] for e in parts]), " ".join([e[2] for e in parts])
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBER:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
-    def entries(self, text: str) -> Iterator[list[Entry]]:
-        """Entries of the whole text, a segment at a time."""
+    def decoder(self) -> Decoder:
+        return Decoder(self.tokens)
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of one pre-token in the byte-level alphabet, by the transducer."""
+        t, out = self.transducer, []
+        for k in range(0, len(piece), SEGMENT):
+            out += t.push(piece[k : k + SEGMENT])
+        out += t.finish()
+        return tuple(out) if min(out, default=0) >= 0 else tuple([i for i in out if i >= 0])
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """The ids of a pre-token, whose bytes stand in the byte-level alphabet for the merge list."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.shown)
+        return self.piece(word)
+
+    def ids(self, part: str) -> list[int]:
+        """The ids of a part of a text without special tokens, cut where no pre-token is."""
+        if self.latin is None:
+            found = [self.known[p] for p, _ in self.split(self.normalize(part))]
+        elif not _HIGH.search(part):
+            found = map(self.words.__getitem__, self.latin.findall(part.lower()))
+        else:
+            found = []
+            for chunk in _SPACE.split(part):
+                if _HIGH.search(chunk):
+                    found += [self.known[p] for p, _ in self.split(self.normalize(chunk))]
+                else:
+                    found += map(self.words.__getitem__, self.latin.findall(chunk.lower()))
+        return list(chain.from_iterable(found))
+
+    def cut(self, text: str, at: int, end: int) -> int:
+        """Where a segment that begins at ``at`` ends: before a white space between two other characters."""
+        while end - at > SEGMENT and (w := _SPACE.search(text, at + SEGMENT, end)):
+            if w.end() == w.start() + 1 < end and not _SPACE.match(text, w.start() - 1):
+                return w.start()
+            if w.end() >= end:
+                break
+            at = w.end() - SEGMENT
+        return end
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, a segment at a time."""
         at = 0
         while at < len(text):
             m = self.control.search(text, at)
             end = m.start() if m else len(text)
             while at < end:
-                cut = end
-                if end - at > SEGMENT and (w := _SPACE.search(text, at + SEGMENT, end)):
-                    cut = w.start()
-                part = text[at:cut]
-                words = _SPACE.split(part) if _ODD.search(part) else part.split()
-                yield [e for w in words if w and (e := self[w])[1]]
+                cut = self.cut(text, at, end)
+                yield self.ids(text[at:cut])
                 at = cut
             if m:
-                i = self.added[m[0]]
-                yield [(str(i), 1, m[0])]
+                yield [self.added[m[0]]]
                 at = m.end()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """n_tokens and the SHA-256 of the ids and of the decoded text."""
-        n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
-        for es in self.entries(text):
-            if es:
-                n += sum([e[1] for e in es])
-                ids.update(gap + " ".join([e[0] for e in es]).encode())
-                decoded.update(gap + " ".join([e[2] for e in es]).encode())
-                gap = b" "
-        return n, ids.hexdigest(), decoded.hexdigest()
-
-    def parts(self, chunks: list[str]) -> tuple[list[Entry], np.ndarray, np.ndarray]:
-        """Entries, the numbers of the entries of each chunk one after the other, and how many each chunk has.
-
-        Short chunks of Latin letters are split together, as lines of one text; others go one by one.
-        """
-        other = [i for i, w in enumerate(chunks) if not self.latin or len(w) > LONGEST or not (w.isascii() or max(w) < "\u0250")]
-        lines = list(chunks)
-        for i in other:
-            lines[i] = ""
-        found = self.lines("\n".join(lines).lower())
-        coded = pa.array(found, pa.string()).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        entries = [_NOTHING if w == "\n" else self.piece(self.mapped(w)) for w in known]
-        number = coded.indices.to_numpy(zero_copy_only=False)
-        end = number == (known.index("\n") if "\n" in known else -1)
-        count = np.bincount(np.cumsum(end)[~end], minlength=len(chunks))
-        count[other] = 1
-        own = (np.cumsum(count) - count)[other]
-        pieces = np.zeros(count.sum(), np.int64)
-        plain = np.ones(len(pieces), bool)
-        plain[own] = False
-        pieces[plain], pieces[own] = number[~end], len(entries) + np.arange(len(other))
-        return entries + [self[chunks[i]] for i in other], pieces, count
-
-    def batch(self, texts: pa.Array, with_ids: bool) -> tuple[list[int], list[str], list[str], list[np.ndarray]]:
-        """``digests`` of many texts, and their ids: chunks are numbered, and each distinct one is looked up once.
-
-        Long texts, and those with special tokens or odd separators, go one by one, a segment at a time.
-        """
-        known = texts.fill_null("").to_pylist()
-        alone = [(i, t) for i, t in enumerate(known) if len(t) > SEGMENT * 8 or any(c in t for c in _SEPARATORS) or self.control.search(t)]
-        for i, _ in alone:
-            known[i] = ""
-        lists = pc.utf8_split_whitespace(pa.array(known, pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        chunk, offsets = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        entries, pieces, count = self.parts(coded.dictionary.to_pylist())
-        # From chunks to pieces: the pieces of chunk c are pieces[start[c] : start[c] + count[c]].
-        start, many = np.cumsum(count) - count, count[chunk]
-        at = pieces[_runs(start[chunk], many)]
-        offsets = np.concatenate([[0], np.cumsum(many)])[offsets]
-        size = np.fromiter((e[1] for e in entries), np.int64, len(entries))
-        before = np.concatenate([[0], np.cumsum(size[at])])
-        n = before[offsets[1:]] - before[offsets[:-1]]
-        full = size[at] > 0
-        kept = at[full]
-        starts = np.concatenate([[0], np.cumsum(full)])[offsets]
-
-        def joined(k: int) -> list[str]:
-            values = pa.array([e[k] for e in entries], pa.string()).take(pa.array(kept))
-            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values), " ")
-            return [hashlib.sha256(b).hexdigest() for b in whole.cast(pa.binary()).to_pylist()]
-
-        n_tokens, ids_sha, text_sha, ids = n.tolist(), joined(0), joined(2), []
-        if with_ids:
-            own = np.array([int(i) for e in entries if e[1] for i in e[0].split(" ")], np.int32)
-            flat = own[_runs((np.cumsum(size) - size)[kept], size[kept])]
-            ids = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
-        for i, text in alone:
-            n_tokens[i], ids_sha[i], text_sha[i] = self.digests(text)
-            if with_ids:
-                ids[i] = np.array(self.encode(text), np.int32)
-        return n_tokens, ids_sha, text_sha, ids
-
     def encode(self, text: str) -> list[int]:
-        return [int(i) for es in self.entries(text) for e in es for i in e[0].split(" ")]
+        return list(chain.from_iterable(self.stream(text)))
+
+    def digests(self, text: str, decoder: Decoder | None = None, keep: list[int] | None = None) -> tuple[int, str, str]:
+        """n_tokens, and the SHA-256 of the ids and of what the decoder makes of them; ids are added to ``keep``."""
+        n, ids_sha, text_sha, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
+        dec, name = (decoder or self.decoder()).restart(), self.names.__getitem__
+        for ids in self.stream(text):
+            if ids:
+                n += len(ids)
+                ids_sha.update((gap + " ".join(map(name, ids))).encode())
+                text_sha.update(dec.push(ids).encode())
+                gap = " "
+                if keep is not None:
+                    keep += ids
+        text_sha.update(dec.finish().encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-#: White space as the tokenizer's expressions have it; str.split() also splits at the four separators.
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_ODD = re.compile(r"[\x1c-\x1f]")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -411,8 +309,6 @@ def encoder(spec: str) -> Encoder:
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(spec)
-        if _encoders[key].byte_level:
-            raise ValueError("chunks between white space need a vocabulary without a byte-level decoder")
     return _encoders[key]
 
 
@@ -432,8 +328,11 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value)
+        dec = enc.decoder()
         for b in batches:
-            n, i, d, lists = enc.batch(b.column(1), ids)
+            lists: list[list[int]] = [[] for _ in range(b.num_rows if ids else 0)]
+            found = [enc.digests(t or "", dec, lists[k] if ids else None) for k, t in enumerate(b.column(1).to_pylist())]
+            n, i, d = zip(*found) if found else ((), (), ())
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
             if ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))

@@ -34,6 +34,43 @@ def test_noise(enc):
         assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_noise_in_bytes():
+    r = random.Random(5)
+    own = bpe.Encoder(open(BYTE, encoding="utf-8").read())
+    lib = Tokenizer.from_file(BYTE)
+    parts = ["a", "the", "é", "😀", " ", "  ", "\n", "\t", "1", "'s", "中文", "\u0301", "<|endoftext|>", "\x1c", "\xa0", "."]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids
+        n, sha, text = own.digests(t)
+        assert (n, text) == (len(ids), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_segments_change_nothing(enc, monkeypatch):
+    r = random.Random(6)
+    parts = ["a", "the", "é", "😀", " ", "  ", "\n", "it's", "中文", "\u0301", ".", "word"]
+    encoders = [(enc, Tokenizer.from_file(WORD)), (bpe.Encoder(open(BYTE, encoding="utf-8").read()), Tokenizer.from_file(BYTE))]
+    monkeypatch.setattr(bpe, "SEGMENT", 16)
+    for _ in range(300):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 200)))
+        for own, lib in encoders:
+            assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_every_new_piece_and_every_id_takes_the_dealt_path(monkeypatch):
+    pushed, decoded = [], []
+    push, back = bpe.Transducer.push, bpe.Decoder.push
+    monkeypatch.setattr(bpe.Transducer, "push", lambda t, piece: pushed.append(piece) or push(t, piece))
+    monkeypatch.setattr(bpe.Decoder, "push", lambda d, ids: decoded.extend(ids) or back(d, ids))
+    own = bpe.Encoder(open(WORD, encoding="utf-8").read())
+    text = "some words, some other words and 12 naïve 😀 " + "long" * 100
+    ids = own.encode(text)
+    assert own.digests(text)[0] == len(ids) and decoded == ids
+    assert sorted(x for x in pushed if len(x) < 100) == sorted(["some", "words", ",", "other", "and", "1", "2", "na\u00c3\u00afve", "\u00f0\u0141\u013a\u0122"])
+    assert "long" * 100 in pushed
+
+
 def test_transducer_emits_what_one_run_gives(enc):
     r = random.Random(2)
     lib = Tokenizer.from_file(WORD)
@@ -46,29 +83,25 @@ def test_transducer_emits_what_one_run_gives(enc):
             out += t.push(word[at : at + n])
             most, at = max(most, len(t.buffer)), at + n
         out += t.finish()
-        assert out == lib.encode(word, add_special_tokens=False).tokens
+        assert out == lib.encode(word, add_special_tokens=False).ids
         assert most <= t.window + enc.table.lookahead + 1
 
 
-def test_byte_level_decoder():
-    import json
-
-    lib = Tokenizer.from_file(BYTE)
-    j = json.load(open(BYTE, encoding="utf-8"))
-    tokens = [None] * (max(j["model"]["vocab"].values()) + 1)
-    for t, i in j["model"]["vocab"].items():
-        tokens[i] = t
+def test_byte_level_decoder_holds_unfinished_characters():
+    own = bpe.Encoder(open(BYTE, encoding="utf-8").read())
     for _, text in cases.odd_texts():
-        ids = lib.encode(text or "", add_special_tokens=False).ids
-        d = bpe.Decoder(tokens, True)
-        assert "".join(d.push(i) for i in ids) + d.finish() == (text or "")
+        d = own.decoder()
+        assert "".join(d.push([i]) for i in own.encode(text or "")) + d.finish() == (text or "")
+    d = own.decoder()
+    half = own.encode("😀")[:1]
+    assert d.push(half) == "" and d.finish() == "\ufffd"
 
 
 def test_small_tables_of_remembered_words(enc, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 8)
     own = bpe.Encoder(open(WORD, encoding="utf-8").read())
     text = " ".join(f"word{k % 37} other{k}" for k in range(500))
-    assert own.encode(text) == enc.encode(text) and len(own) <= 8
+    assert own.encode(text) == enc.encode(text) and len(own.words) <= 9
 
 
 def test_odd_documents(spark):
