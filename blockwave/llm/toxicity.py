@@ -1,31 +1,37 @@
 """Toxicity by a classifier chain: linear models in a row, each fed the probabilities of those before it.
 
-The models are trained here on a bounded sample of labelled documents. Features are the words of a
-document and the first letters of its words, present or not; those that tell a category from the
-rest are kept. A later model is trained on out-of-fold probabilities of the earlier ones, as it
-will meet probabilities of texts that those were not trained on.
+The chain goes over the categories that the labels have: low quality first, then toxic, whose model
+sees the text's features and the probability of low quality; the last link decides. The models are
+trained here on a bounded sample of labelled documents. Features are the words of a document and the
+first letters of its words, present or not; those that tell a category from the rest are kept. A
+later model is trained on out-of-fold probabilities of the earlier ones, as it will meet
+probabilities of texts that those were not trained on.
+
+Features are found, counted and selected by Spark jobs. The driver gets the selected features, at
+most FEATURES of them for each model, and for each sampled document the places of those that it has.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import from_texts, keep_rows
+from .shared import from_texts, keep, keep_rows, small_batches
 
 SAMPLE = 2500  # labelled documents of each kind, toxic and not, that training takes at most
-TRAIN_BYTES = 50_000  # longer texts take no part in training; they are scored like all others
-FEATURES = 3000  # kept for a category at most
+FEATURES = 3000  # kept for a model at most
 PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 3
 RARE = 3  # documents of a category that a feature has to be in, at least
-CATEGORIES = ("toxic", "toxic_junk", "severe_toxic")
+#: The categories in the chain's order, each with its label; the last one decides.
+CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,8 +43,15 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def _weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 3e-4) -> np.ndarray:
-    """Logistic regression over present features, further numeric columns and a constant, by Adam."""
+def fold_of(text: str | None) -> int:
+    """Near copies, whose two smallest word hashes agree, are in one fold, so none is judged by its like."""
+    h = sorted(xxhash.xxh64_intdigest(w) for w in set(_WORD.findall((text or "").lower())))[:2]
+    return xxhash.xxh64_intdigest(repr(h)) % FOLDS
+
+
+def weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 3e-4) -> np.ndarray:
+    """Logistic regression over present features, further numeric columns and a constant, by Adam. Both
+    kinds weigh the same."""
     width = extra.shape[1]
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids = np.concatenate(rows) if at.size else np.empty(0, np.int64)
@@ -55,24 +68,6 @@ def _weigh(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2:
     return w
 
 
-def _select(feats: list[set[str]], y: np.ndarray) -> list[str]:
-    """Features whose share among the positives exceeds that among the others by over four standard errors."""
-    pos, neg = int(y.sum()), int(len(y) - y.sum())
-    if not pos or not neg:
-        return []
-    a = Counter(f for fs, k in zip(feats, y) if k for f in fs)
-    b = Counter(f for fs, k in zip(feats, y) if not k for f in fs if f in a)
-    scored = []
-    for f, n in a.items():
-        if n < RARE:
-            continue
-        p, q = (n + 0.5) / (pos + 1), (b[f] + 0.5) / (neg + 1)
-        z = np.log(p / q) / np.sqrt(1 / (n + 0.5) + 1 / (b[f] + 0.5))
-        if z > 2.5 and p > 4 * q:
-            scored.append((-z, f))
-    return [f for _, f in sorted(scored)[:FEATURES]]
-
-
 @dataclass
 class Link:
     """One model of the chain."""
@@ -80,7 +75,7 @@ class Link:
     name: str
     index: dict[str, int]
     weights: np.ndarray
-    threshold: float
+    threshold: float = 2.0
 
     def __post_init__(self) -> None:
         self.words = {f for f in self.index if f[0] != "^"}
@@ -92,7 +87,7 @@ class Link:
             out += [self.index["^" + p] for p in {w[:n] for w in words} & s]
         return out
 
-    def score(self, rows: list[int], before: list[float]) -> float:
+    def score(self, rows: list[int] | np.ndarray, before: list[float]) -> float:
         """The probability of a text with these features, after the earlier probabilities."""
         n = len(self.index)
         z = self.weights[rows].sum() + self.weights[n:-1] @ np.array(before) + self.weights[-1]
@@ -100,45 +95,10 @@ class Link:
 
 
 class Chain:
-    def __init__(self, texts: list[str], labels: np.ndarray, names: tuple[str, ...] = CATEGORIES):
-        """``labels``: one 0/1 column for each name, the first that of all toxic documents, but for severe_toxic, which is found here: the toxic
-        documents with at least as many toxic features as half of them. toxic_junk is what is labelled
-        both toxic and of low quality."""
-        once = _one_of_each(texts)
-        texts, labels = [texts[i] for i in once], labels[once]
-        # All categories lie within the first; what fewer than RARE of its documents have is in no model.
-        seen = Counter(f for t, y in zip(texts, labels[:, 0]) if y for f in features(t))
-        common = {f for f, n in seen.items() if n >= RARE}
-        del seen
-        feats = [features(t) & common for t in texts]
-        fold = np.array([int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % FOLDS for t in texts])
-        self.links: list[Link] = []
-        before = np.zeros((len(feats), 0))
-        for k, name in enumerate(names):
-            if k < labels.shape[1]:
-                y = labels[:, k].astype(float)
-            else:
-                toxic = self.links[names.index("toxic")]
-                n = np.array([len(set(toxic.index) & f) for f in feats])
-                hot = labels[:, names.index("toxic")] == 1
-                y = (hot & (n >= (np.median(n[hot]) if hot.any() else 1))).astype(float)
-            oof = np.zeros(len(y))
-            for f in range(FOLDS):
-                link = self._fit(name, feats, before, y, fold != f)
-                for i in np.flatnonzero(fold == f):
-                    oof[i] = link.score([link.index[x] for x in feats[i] if x in link.index], list(before[i]))
-            link = self._fit(name, feats, before, y, fold >= 0)
-            # A text without any feature is never rejected, however few labels there are.
-            link.threshold = max(_threshold(oof, y), float(np.nextafter(link.score([], [0.0] * before.shape[1]), 2.0)))
-            self.links.append(link)
-            before = np.column_stack([before, oof])
-
-    @staticmethod
-    def _fit(name: str, feats: list[set[str]], before: np.ndarray, y: np.ndarray, use: np.ndarray) -> Link:
-        own = [f for f, u in zip(feats, use) if u]
-        index = {f: i for i, f in enumerate(_select(own, y[use]))}
-        rows = [np.array(sorted(index[x] for x in f if x in index), np.int64) for f in own]
-        return Link(name, index, _weigh(rows, before[use], y[use], len(index)), 2.0)
+    """Links in order; a text is rejected by the last one."""
+
+    def __init__(self, links: list[Link]):
+        self.links = links
 
     def scores(self, text: str | None) -> list[float]:
         words, out = set(_WORD.findall((text or "").lower())), []
@@ -146,17 +106,41 @@ class Chain:
             out.append(link.score(link.rows(words), out))
         return out
 
-
-def _one_of_each(texts: list[str]) -> list[int]:
-    """One document of each group of copies: of those whose two smallest word hashes agree."""
-    seen: dict[tuple, int] = {}
-    for i, t in enumerate(texts):
-        h = sorted(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in set(_WORD.findall(t.lower())))[:2]
-        seen.setdefault(tuple(h), i)
-    return sorted(seen.values())
+    def rejects(self, text: str | None) -> bool:
+        return self.scores(text)[-1] >= self.links[-1].threshold
+
+
+def fit(names: list[str], chosen: list[list[list[str]]], vocabulary: dict[str, int], rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
+    """A chain over documents that are ``rows`` of places in ``vocabulary``. ``chosen[k]`` are the features
+    selected for link k without each fold in turn and, last, with all."""
+    links, before = [], np.zeros((len(rows), 0))
+    for k, name in enumerate(names):
+        made = []
+        for f in range(FOLDS + 1):
+            use = fold != f
+            place = np.full(len(vocabulary), -1)
+            place[[vocabulary[x] for x in chosen[k][f]]] = np.arange(len(chosen[k][f]))
+            own = [p[p >= 0] for p in (place[r] for r in rows)]
+            weights = weigh([r for r, u in zip(own, use) if u], before[use], y[use, k], len(chosen[k][f]))
+            made.append((own, Link(name, {x: i for i, x in enumerate(chosen[k][f])}, weights)))
+        oof = np.array([made[f][1].score(made[f][0][i], list(before[i])) for i, f in enumerate(fold)])
+        link = made[FOLDS][1]
+        # A text without any feature is never rejected, however few labels there are.
+        link.threshold = max(threshold(oof, y[:, k]), float(np.nextafter(link.score([], _empty(links)), 2.0)))
+        links.append(link)
+        before = np.column_stack([before, oof])
+    return Chain(links)
+
+
+def _empty(links: list[Link]) -> list[float]:
+    """The probabilities of a text without features."""
+    out: list[float] = []
+    for link in links:
+        out.append(link.score([], out))
+    return out
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold of the best F1 on out-of-fold probabilities, in the middle of the gap below it; above 1,
     which rejects nothing, where the labels are all of one kind."""
     if not y.any() or y.all():
@@ -169,22 +153,78 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(y) else 0)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A chain trained on at most SAMPLE toxic and SAMPLE other labelled documents, those of the smallest
-    id hashes. Labels that are null, and labels of no document, take no part."""
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic"), F.col("quality").cast("int").alias("_quality"))
-    known = known.where("_id IS NOT NULL AND _toxic IS NOT NULL").groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.min("_quality").alias("_quality"))
-    sample = None
-    for t in (0, 1):
-        part = known.where(F.col("_toxic") == t).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-        sample = part if sample is None else sample.unionAll(part)
-    # At most 2 * SAMPLE rows of three numbers: safe to broadcast, whatever the tables' sizes.
-    texts = docs.where(F.octet_length(F.col("text").cast("string")) <= TRAIN_BYTES)
-    joined = texts.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id")
-    joined = joined.groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"), F.max("_quality").alias("_quality"))
-    rows = sorted((r["_id"], r["text"], r["_quality"], r["_toxic"]) for r in joined.collect())
-    y = np.array([[t, int(t and q == 0)] for _, _, q, t in rows], dtype=int).reshape(len(rows), 2)
-    return Chain([t for _, t, _, _ in rows], y)
+def sample(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN) -> DataFrame:
+    """(id, text, y0, y1, ...) of at most SAMPLE documents that the last category's label marks and SAMPLE
+    others, those of the smallest id hashes. Labels that are null, and labels of no document, take no part;
+    of contradicting labels of a document the one that marks it counts."""
+    marks = [F.max(F.expr(label).cast("int")).alias(f"y{k}") for k, (_, label) in enumerate(chain)]
+    known = labels.withColumn("id", F.col("doc_id").cast("long")).where("id IS NOT NULL").groupBy("id").agg(*marks)
+    last = f"y{len(chain) - 1}"
+    known = known.where(f"{last} IS NOT NULL").fillna(0, [f"y{k}" for k in range(len(chain))])
+    parts = [known.where(F.col(last) == t).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for t in (0, 1)]
+    # At most 2 * SAMPLE rows of a few numbers: safe to broadcast, whatever the tables' sizes.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = texts.join(F.broadcast(parts[0].unionAll(parts[1])), "id")
+    return joined.groupBy("id").agg(F.min("text").alias("text"), *[F.max(f"y{k}").alias(f"y{k}") for k in range(len(chain))])
+
+
+def _best(counts: DataFrame, totals: list[list[int]], k: int, without: int) -> DataFrame:
+    """The features whose share among the documents of category k exceeds that among the others most."""
+    folds = [f for f in range(FOLDS) if f != without]
+    pos, all_ = sum(totals[f][k] for f in folds), sum(totals[f][-1] for f in folds)
+    a = sum((F.col(f"y{k}_{f}") for f in folds), F.lit(0))
+    b = sum((F.col(f"n_{f}") for f in folds), F.lit(0)) - a
+    p, q = (a + 0.5) / (pos + 1), (b + 0.5) / (all_ - pos + 1)
+    z = F.log(p / q) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    own = counts.where((a >= RARE) & (z > 2.5) & (p > 4 * q)) if pos and all_ > pos else counts.where("false")
+    return own.orderBy(z.desc(), "f").limit(FEATURES).select(F.lit(k).alias("k"), F.lit(without).alias("without"), "f", z.alias("z"))
+
+
+def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN) -> Chain:
+    """A chain trained on ``sample``. ``chain`` names the categories and their labels, in order."""
+    width = len(chain)
+    y = [f"y{k}" for k in range(width)]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold_of(t) for t in texts], pa.int32()), found, *b.columns[2:]], ["id", "fold", "fs", *y])
+
+    small_batches(docs.sparkSession)
+    rows = keep(sample(docs, labels, chain).mapInArrow(find, "id long, fold int, fs array<string>, " + ", ".join(f"{c} int" for c in y)), "features")
+    by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.sum(c).alias(c) for c in y], F.count("*").alias("n")).collect()}
+    totals = [[*(by_fold[f][c] for c in y), by_fold[f]["n"]] if f in by_fold else [0] * (width + 1) for f in range(FOLDS)]
+
+    def sums(name: str, value: Column) -> list[Column]:
+        return [F.sum(F.when(F.col("fold") == f, value).otherwise(0)).alias(f"{name}_{f}") for f in range(FOLDS)]
+
+    each = rows.select("fold", *y, F.explode("fs").alias("f"))
+    counts = each.groupBy("f").agg(*sums("n", F.lit(1)), *[s for c in y for s in sums(c, F.col(c))])
+    some = F.lit(False)
+    for c in y:
+        some |= sum((F.col(f"{c}_{f}") for f in range(FOLDS)), F.lit(0)) >= RARE
+    counts = keep(counts.where(some), "counts")
+    best = None
+    for k in range(width):
+        for f in range(FOLDS + 1):
+            part = _best(counts, totals, k, f)
+            best = part if best is None else best.unionAll(part)
+    chosen: list[list[list[str]]] = [[[] for _ in range(FOLDS + 1)] for _ in chain]
+    for r in sorted(best.collect(), key=lambda r: (-r["z"], r["f"])):
+        chosen[r["k"]][r["without"]].append(r["f"])
+    vocabulary = {f: i for i, f in enumerate(sorted({f for ks in chosen for fs in ks for f in fs}))}
+    # At most FEATURES * (FOLDS + 1) short strings for each category.
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [[i for f in fs if (i := sent.value.get(f)) is not None] for fs in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), *b.columns[3:]], ["id", "fold", "at", *y])
+
+    table = rows.mapInArrow(places, "id long, fold int, at array<int>, " + ", ".join(f"{c} int" for c in y)).toArrow().sort_by("id")
+    marks = np.array([table[c].to_numpy() for c in y], float).T.reshape(-1, width)
+    return fit([n for n, _ in chain], chosen, vocabulary, [np.array(a, np.int64) for a in table["at"].to_pylist()], marks, table["fold"].to_numpy())
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -195,19 +235,16 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [link.name for link in chain.links]
-    toxic = names.index("toxic")
 
     def find(texts: list[str | None]) -> dict[str, list]:
         found = [sent.value.scores(t) for t in texts]
         return dict(zip(names, map(list, zip(*found)))) if found else {n: [] for n in names}
 
     out = from_texts(docs, find, ", ".join(f"{n} double" for n in names))
-    return out.select("*", (F.col(names[toxic]) >= chain.links[toxic].threshold).alias("rejected"))
+    return out.select("*", (F.col(names[-1]) >= chain.links[-1].threshold).alias("rejected"))
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` without the rows that ``score`` rejects; all columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
-    toxic = [link.name for link in chain.links].index("toxic")
-    limit = chain.links[toxic].threshold
-    return keep_rows(docs, lambda texts: [sent.value.scores(t)[toxic] < limit for t in texts])
+    return keep_rows(docs, lambda texts: [not sent.value.rejects(t) for t in texts])

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from blockwave.llm import decontam, toxicity
@@ -39,16 +42,93 @@ def test_chain_without_labels(spark):
     assert toxicity.score(cases.frame(spark), chain).where("rejected").count() == 0
 
 
-def test_chain_feeds_earlier_probabilities():
-    r = random.Random(1)
+def labelled(n=400, seed=1):
+    """Texts with toxic words, of which those of low quality are told apart by the label of quality alone."""
+    r = random.Random(seed)
     word = lambda: "".join(r.choice("aeinrst") for _ in range(5))
-    texts = [" ".join([word() for _ in range(20)] + (["vile", "awful"] if k % 3 == 0 else [])) for k in range(300)]
-    labels = toxicity.np.array([[k % 3 == 0, k % 6 == 0] for k in range(300)], int)
-    chain = toxicity.Chain(texts, labels)
-    assert [len(link.weights) - len(link.index) for link in chain.links] == [1, 2, 3]
-    assert chain.scores("some vile awful words")[0] > 0.5 > chain.scores("some other words")[0]
-    same = toxicity.Chain(texts, labels)
-    assert all((a.weights == b.weights).all() for a, b in zip(chain.links, same.links))
+    texts, labels = [], []
+    for k in range(n):
+        junk, hint = k % 2, r.random() < 0.3
+        texts.append((k, " ".join([word() for _ in range(20)] + ["junky", "trash"] * junk + ["maybe", "perhaps"] * hint)))
+        labels.append((k, 1 - junk, int(junk and hint)))
+    return texts, labels
+
+
+def plain_chain(texts, labels):
+    """The chain by sets, counters and dense matrices: the probabilities of the last category and its threshold."""
+    feats = [toxicity.features(t) for _, t in texts]
+    fold = np.array([toxicity.fold_of(t) for _, t in texts])
+    ys = [np.array([q == 0 for _, q, _ in labels], float), np.array([t for _, _, t in labels], float)]
+
+    def select(use, y):
+        a, b = Counter(), Counter()
+        for f, u, k in zip(feats, use, y):
+            if u:
+                (a if k else b).update(f)
+        pos, neg = y[use].sum(), (1 - y[use]).sum()
+        z = {}
+        for f, n in a.items():
+            p, q = (n + 0.5) / (pos + 1), (b[f] + 0.5) / (neg + 1)
+            score = math.log(p / q) / math.sqrt(1 / (n + 0.5) + 1 / (b[f] + 0.5))
+            if n >= 3 and score > 2.5 and p > 4 * q:
+                z[f] = score
+        return sorted(z, key=lambda f: (-z[f], f))[:3000]
+
+    def learn(x, y):
+        w, m, v = np.zeros(x.shape[1]), 0, 0
+        for step in range(1, 401):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (np.where(y, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * (p - y))
+            g[:-1] += 3e-4 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        return w
+
+    oof_before, before = np.zeros((len(texts), 0)), np.zeros((len(texts), 0))
+    for y in ys:
+        oof = np.zeros(len(y))
+        for f in (0, 1, 2, 3):
+            names = select(fold != f, y)
+            x = np.array([[n in fs for n in names] for fs in feats], float).reshape(len(feats), -1)
+            one = np.ones((len(y), 1))
+            w = learn(np.hstack([x, oof_before, one])[fold != f], y[fold != f])
+            now = 1 / (1 + np.exp(-np.clip(np.hstack([x, oof_before if f < 3 else before, one]) @ w, -30, 30)))
+            oof[fold == f] = now[fold == f]
+        oof_before, before = np.column_stack([oof_before, oof]), np.column_stack([before, now])
+    best = max(sorted(set(oof)), key=lambda c: (2 * y[oof >= c].sum() / ((oof >= c).sum() + y.sum()), c))
+    low = max((p for p in oof if p < best), default=0.0)
+    return before[:, -1], (best + low) / 2
+
+
+def test_chain_against_a_plain_one(spark):
+    texts, labels = labelled()
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(cases.frame(spark, texts), frame)
+    p, limit = plain_chain(texts, labels)
+    assert [link.name for link in chain.links] == ["low_quality", "toxic"]
+    assert abs(chain.links[-1].threshold - limit) < 1e-6
+    got = {r["doc_id"]: r for r in toxicity.score(cases.frame(spark, texts), chain).collect()}
+    assert max(abs(got[k]["toxic"] - p[k]) for k in range(len(texts))) < 1e-6
+    assert [got[k]["rejected"] for k in range(len(texts))] == (p >= limit).tolist()
+    again = toxicity.train(cases.frame(spark, texts), frame)
+    assert all((a.weights == b.weights).all() for a, b in zip(chain.links, again.links))
+
+
+def test_earlier_probabilities_decide(spark):
+    texts, labels = labelled()
+    chain = toxicity.train(cases.frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sum(chain.rejects(t) == bool(y) for (_, t), (_, _, y) in zip(texts, labels)) > 0.97 * len(texts)
+    before = [chain.rejects(t) for _, t in texts]
+    last = chain.links[-1]
+    last.weights[len(last.index)] = 0.0  # as if the first link had said nothing
+    assert [chain.rejects(t) for _, t in texts] != before
+
+
+def test_copies_share_a_fold_and_all_labelled_rows_train(spark):
+    texts, labels = labelled(60)
+    docs = cases.frame(spark, texts + texts[:5])
+    assert toxicity.sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 60
+    assert toxicity.fold_of("b a c zz") == toxicity.fold_of("c b a zz zz")
 
 
 def bench_items(n=300, seed=7):

@@ -5,7 +5,7 @@ import public_tokenizers
 from blockwave.llm import bpe, decontam, pii, toxicity
 
 from . import cases
-from .test_simhash import groups, plain_fingerprint
+from .test_nearcopies import plain_kept
 
 
 def test_run_against_brute_force(spark):
@@ -15,10 +15,9 @@ def test_run_against_brute_force(spark):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    limit = chain.links[0].threshold
-    rows = [r for r in docs.collect() if not (r["text"].strip() and chain.scores(r["text"])[0] >= limit)]
-    low = groups([(r["doc_id"], plain_fingerprint(r["text"])) for r in rows])
-    rows = [r for r in rows if low[plain_fingerprint(r["text"])] == r["doc_id"]]
+    rows = [r for r in docs.collect() if not chain.rejects(r["text"])]
+    low = plain_kept([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if r["doc_id"] in low]
     index = decontam.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     rows = [r for r in rows if not index.matches(r["text"])]
     enc, m = bpe.encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()), pii.model()
