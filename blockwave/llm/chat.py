@@ -1,19 +1,21 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole, encoded once with character offsets, and the sorted spans of the
-turns to learn from are intersected with the sorted token spans by binary search. Control strings
-are added tokens, so a token never crosses the border of a turn's text; control strings inside
-texts are escaped, reversibly.
+A conversation is rendered whole and encoded once; the lengths of the tokens' bytes give their
+character offsets, and the sorted spans of the turns to learn from are intersected with the sorted
+token spans by binary search. Control strings are added tokens, so a token never crosses the border of
+a turn's text; control strings inside texts are escaped, reversibly.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,72 +70,76 @@ def mask_of(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]])
     return mask
 
 
-def learned(formatted: str, starts: list[int], ends: list[int], mask: list[bool]) -> str:
+def learned(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """All text under the mask, unescaped: the union of the masked tokens' spans, run by run."""
-    out, low, high = [], None, None
-    for s, e, m in zip(starts, ends, mask):
-        if not m:
-            if low is not None:
-                out.append(unescape(formatted[low:high]))
-            low = None
-        elif low is None:
-            low, high = s, e
-        else:
-            high = max(high, e)
-    if low is not None:
-        out.append(unescape(formatted[low:high]))
-    return "".join(out)
-
-
-def tokenizer(spec: str):
-    """The vocabulary's tokenizer with our control strings as added tokens and untrimmed offsets."""
-    from tokenizers import AddedToken, Tokenizer, processors
-
-    t = Tokenizer.from_str(spec)
-    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in (TURN, TEXT, END)])
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
-    return t
-
-
-def format_chats(conversations: DataFrame, path: str, learn: str = LEARN) -> DataFrame:
+    edges = np.flatnonzero(np.diff(np.r_[False, mask, False]))
+    return "".join([unescape(formatted[starts[i] : ends[j - 1]]) for i, j in edges.reshape(-1, 2).tolist()])
+
+
+class Tokenizer:
+    """A byte-level rank file with our control strings as added tokens, and the offsets of its tokens."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        first = max(known.values()) + 2  # one number is free for the vocabulary's own end of text
+        added = {c: first + k for k, c in enumerate((TURN, TEXT, END))}
+        self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=known, special_tokens=added)
+        self.size = np.zeros(first + len(added), np.int64)
+        for token, i in [*known.items(), *((c.encode(), i) for c, i in added.items())]:
+            self.size[i] = len(token)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where each token's characters start and end; tokens that share a character both have it."""
+        ids = self.encoding.encode_to_numpy(text, allowed_special="all")
+        ends = np.cumsum(self.size[ids])
+        if text.isascii():
+            return ids, ends - self.size[ids], ends
+        lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        before = np.r_[0, np.cumsum(lead)]
+        starts = ends - self.size[ids]
+        return ids, before[starts] - ~lead[starts], before[ends]
+
+
+def format_chats(conversations: DataFrame, path: str, pattern: str, learn: str = LEARN) -> DataFrame:
     """(conv_id, formatted, ids, starts, ends, mask), one row for each conversation.
 
     Rows are taken by turn; of rows with one turn, by role and text. Null roles and texts count as
-    empty, a null turn comes first, rows without conv_id are one conversation, repeated rows are
-    repeated turns. A task holds one conversation at a time. ``path`` is a byte-level tokenizers file
-    of a few MB at most (checked), which goes to the executors as a broadcast.
+    empty, a null turn comes first, each row without conv_id is a conversation of its own, repeated rows
+    are repeated turns. A task holds one conversation at a time. ``path`` is a byte-level rank file of a
+    few MB at most (checked), which goes to the executors as a broadcast, ``pattern`` its expression.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = f.read()
-    if len(spec) > 32 << 20:
+    with open(path, "rb") as f:
+        ranks = f.read()
+    if len(ranks) > 32 << 20:
         raise ValueError(f"{path} is too large to send to every executor")
-    sent = conversations.sparkSession.sparkContext.broadcast(spec)
+    sent = conversations.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(sent.value)
+        t = Tokenizer(*sent.value)
 
         def done(conv: int | None, turns: list[tuple[str, str]]) -> tuple:
             formatted, spans = render(turns, learn)
-            e = t.encode(formatted, add_special_tokens=False)
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)
-            mask = mask_of(at[:, 0], at[:, 1], spans)
-            return conv, formatted, e.ids, at[:, 0].tolist(), at[:, 1].tolist(), mask.tolist()
+            ids, starts, ends = t.encode(formatted)
+            return conv, formatted, ids, starts, ends, mask_of(starts, ends, spans)
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
-            ints = pa.list_(pa.int32())
-            kinds = [pa.int64(), pa.string(), ints, ints, ints, pa.list_(pa.bool_())]
-            names = ["conv_id", "formatted", "ids", "starts", "ends", "mask"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+            conv, formatted, *arrays = zip(*rows) if rows else ((),) * 6
+            offsets = pa.array(np.cumsum([0, *map(len, arrays[0])]), pa.int32())
+            flat = [np.concatenate(a or ([],)).astype(kind) for a, kind in zip(arrays, (np.int32, np.int32, np.int32, bool))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(a)) for a in flat]
+            return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(formatted, pa.string()), *lists], ["conv_id", "formatted", "ids", "starts", "ends", "mask"])
 
         now, turns = None, []
         for b in batches:
             rows, size = [], 0
             for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if turns and conv != now:
+                if turns and (conv is None or conv != now):
                     rows.append(done(now, turns))
                     size += len(rows[-1][1])
                     turns = []
-                    if size > 4 << 20:
+                    if size > 1 << 20:
                         yield pack(rows)
                         rows, size = [], 0
                 now = conv
@@ -145,7 +151,8 @@ def format_chats(conversations: DataFrame, path: str, learn: str = LEARN) -> Dat
     small_batches(conversations.sparkSession)
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), word("role"), word("text"), F.col("turn").cast("long").alias("turn"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    dealt = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return dealt.mapInArrow(run, SCHEMA)
 
 
@@ -155,10 +162,13 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for conv, text, starts, ends, mask in zip(*(b.column(k).to_pylist() for k in range(5))):
+            starts, ends, mask = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            at = np.r_[0, np.cumsum(pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))].astype(int)
+            for k, (conv, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 turns = read(text)
                 own = "".join(f"{r}\n{t}\n" for r, t in turns)
-                loss = learned(text, starts, ends, mask)
+                i, j = at[k], at[k + 1]
+                loss = learned(text, starts[i:j], ends[i:j], mask[i:j])
                 rows.append((conv, len(turns), hashlib.sha256(own.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

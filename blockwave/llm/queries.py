@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licenses, lzprint, pii, secrets, sharding, simhash, toxicity
+from . import bpe, chat, decontam, licenses, lzprint, pii, secrets, sharding, shared, simhash, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
-BYTE_VOCABULARY = "byte_bpe_50k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(_table(spark, sf_dir, "documents"))
+    """A later run over the same table finds all its blobs in the ledger, and scans none."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return secrets.secrets(_table(spark, sf_dir, "documents"), f"{shared.shared_dir(spark)}/secrets-ledger-{name}")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     table = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return chat.digests(chat.format_chats(table.unionByName(own), public_tokenizers.path(BYTE_VOCABULARY)))
+    return chat.digests(chat.format_chats(table.unionByName(own), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_secrets, op3_sharding, op4_pii, op5_bpe, op6_lzprint, op7_chat, op8_licenses, op9_decontam, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: A match of an escaped string, a backslash or a control string, makes a text one character longer.
+_ESCAPED = r"\\|<\|turn\|>|<\|text\|>|<\|end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": rf"""
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+said AS (
+  SELECT conv_id, COUNT(*) AS n_turns,
+    STRING_AGG(role || CHR(10) || text || CHR(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    COALESCE(STRING_AGG(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    SUM(LENGTH(REGEXP_REPLACE(role, '({_ESCAPED})', 'x\1', 'g')) + LENGTH(REGEXP_REPLACE(text, '({_ESCAPED})', 'x\1', 'g'))
+      + LENGTH('<|turn|>') + LENGTH('<|text|>') + LENGTH('<|end|>')) AS formatted
+  FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, SHA256(turns) AS turns_sha256, LENGTH(loss) AS loss_chars, SHA256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
+FROM said
+""",
+}

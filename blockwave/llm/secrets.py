@@ -2,20 +2,21 @@
 
 A blob is a text under its SHA-256. The ledger says which blob has been scanned under which version
 of the rules and what was found; only pairs it lacks are scanned, each once however many paths and
-versions hold the text, and the findings are joined back to all of them.
+versions hold the text, and the findings are joined back to all of them. The ledger is a folder that
+later runs read and append to, so a run over what is known scans nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, small_batches
+from .shared import exists, keep, shared_dir, small_batches
 
 RULES = "2026-1"
 #: The base kinds and their patterns.
@@ -31,6 +32,8 @@ EXTRA = {
 }
 _HINTS = {"pem": "-----BEGIN ", "jwt": "eyJ", "hub": "_"}
 _KEYS = ("passw", "secret", "token", "api")
+HOT = 1000  # a blob of a thousandth of all rows is joined back without a shuffle
+SENT = 1 << 18  # blobs that are broadcast at most (25 MB)
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, base string, spans string"
 
 
@@ -95,37 +98,58 @@ def address(versions: DataFrame) -> DataFrame:
     return versions.withColumn("text", text).withColumn("blob", F.sha2(text, 256))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """New rows for the ledger: findings of the blobs of ``versions`` (blob, text) that ``ledger`` lacks
-    under the present rules. Append them to it."""
-    new = blobs(versions)
-    if ledger is not None:
-        new = new.join(ledger.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
-    return new.repartition("blob").sortWithinPartitions("blob").mapInArrow(_scan, LEDGER)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the ledger in this folder has under the present rules; nothing where there is none yet. Runs at
+    one time may both have scanned a blob; their findings are equal."""
+    if not exists(spark, path):
+        return None
+    return spark.read.schema(LEDGER).parquet(path).where(F.col("rules") == RULES).dropDuplicates(["blob"])
 
 
-def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def scan(versions: DataFrame, path: str) -> int:
+    """Scan the blobs of ``versions`` (with ``blob`` and ``text``) that the ledger lacks under the present rules,
+    and append the findings to it; how many there were."""
+    spark = versions.sparkSession
+    new, ledger = versions.select("blob", "text"), read_ledger(spark, path)
+    if ledger is not None:
+        need = keep(versions.select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti"), "need")
+        n = need.count()
+        if not n:
+            return 0
+        new = new.join(F.broadcast(need) if n <= SENT else need, "blob", "left_semi")
+    found = blobs(new).repartition("blob").sortWithinPartitions("blob").mapInArrow(_scan, LEDGER)
+    found = keep(found, "found")
+    found.write.mode("append").partitionBy("rules").parquet(path)
+    return found.count()
+
+
+def findings(versions: DataFrame, path: str) -> DataFrame:
+    """The rows of ``versions`` without ``text``, each with its ``blob`` and the ledger's findings for it.
+
+    ``versions`` has a row for each version of each path: any columns that name these, and ``text``.
+    Blobs that a thousandth of all rows hold are a thousand at most; their rows stay where they are.
+    """
+    spark = versions.sparkSession
+    small_batches(spark)
+    addressed = address(versions)
+    scan(addressed, path)
+    rows = keep(addressed.drop("text"), "versions")
+    known = read_ledger(spark, path).drop("rules")
+    counts = rows.groupBy("blob").agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = F.broadcast(keep(counts.where(F.col("_n") * HOT >= total).select("blob"), "hot"))
+    most = F.broadcast(keep(known.join(hot, "blob", "left_semi"), "hot"))
+    rest = rows.join(hot, "blob", "left_anti").join(known, "blob")
+    return rest.unionByName(rows.join(most, "blob"))
+
+
+def secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) for each row of ``docs``.
 
-    Each row is a path with one version of its text. A null text counts as empty and has no findings;
-    repeated rows give repeated rows; other columns are ignored. The ledger's new rows are written to
-    the shared folder before they are joined back.
+    ``path`` is the ledger's folder; without one the ledger is of this run alone. Rows that share a
+    doc_id are versions of one path. A null text counts as empty and has no findings; repeated rows give
+    repeated rows; other columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    versions = address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    new = keep(scan(versions, ledger), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES))
-    joined = versions.select("doc_id", "blob").join(known, "blob")
-    return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
-
-
-def brute(text: str | None) -> tuple[int, int, int, str]:
-    """The base part by plain rules, for tests."""
-    found = []
-    for k, (kind, pattern) in enumerate(zip(BASE, (_ASSIGN, _ACCESS, re.compile("[0-9a-f]+")))):
-        for m in pattern.finditer(text or ""):
-            if len(m[2] if kind == "assign" else m[0]) >= {"assign": 8, "access": 16, "hex": 32}[kind]:
-                found.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
-    names = [x[2] for x in sorted(found)]
-    n = [sum(x.startswith(k + ":") for x in names) for k in BASE]
-    return *n, hashlib.sha256(",".join(names).encode()).hexdigest()
+    path = path or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    found = findings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")

@@ -17,10 +17,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset in local mode (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="blockwave-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -39,6 +41,11 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``write`` made."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

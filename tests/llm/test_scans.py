@@ -1,43 +1,88 @@
 import hashlib
 import random
+import re
 
 from blockwave.llm import licenses, pii, secrets
 
 from . import cases
 
 
+#: Written apart from the operator's own: kind, expression, least length of its last group.
+PLAIN = (
+    ("assign", r"(?ai:password|passwd|secret|token|api_key|apikey)[\"']?[ ]*[:=][ ]*[\"']?([a-zA-Z0-9+/_.=-]+)", 8),
+    ("access", r"(AKIA[A-Z0-9]+)", 16),
+    ("hex", r"([0-9a-f]+)", 32),
+    ("pem", r"(-----BEGIN ([A-Z]+ )*PRIVATE KEY-----)", 0),
+    ("jwt", r"(eyJ[\w-]{8,}[.]eyJ[\w-]{8,}[.][\w-]{8,})", 0),
+    ("hub", r"(gh[oprsu]_[a-zA-Z0-9]{36,})", 0),
+)
+
+
+def plain_secrets(text):
+    """n_assign, n_access, n_hex, the base digest and all spans."""
+    found = [(m.start(), k, kind, m.end()) for k, (kind, p, least) in enumerate(PLAIN) for m in re.finditer(p, text or "", re.A) if len(m[1]) >= least]
+    names = [(k, f"{kind}:{s}:{e}") for s, k, kind, e in sorted(found)]
+    base = [x for k, x in names if k < 3]
+    n = [sum(x.startswith(kind) for x in base) for kind in ("assign", "access", "hex")]
+    return *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(x for _, x in names)
+
+
 def test_secret_spans_on_noise():
     r = random.Random(1)
-    parts = ["password", "Api_Key", "TOKEN", "=", ":", '"', " ", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "ſecret", "\n", "ghp_" + "a" * 36]
+    parts = ["password", "Api_Key", "TOKEN", "=", ":", '"', " ", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "ſecret", "\n", "ghp_" + "a" * 36, "gh", "o_"]
+    parts += ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", ".", "abcd_fgh-"]
     for _ in range(20_000):
-        t = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         found = secrets.spans(t)
-        base = [x for x in found if x[1] < 3]
-        names = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base)
-        n = [sum(x[2] == k for x in base) for k in secrets.BASE]
-        assert (*n, hashlib.sha256(names.encode()).hexdigest()) == secrets.brute(t)
+        spans = ",".join(f"{k}:{s}:{e}" for s, _, k, e in found)
+        base = ",".join(f"{k}:{s}:{e}" for s, p, k, e in found if p < 3)
+        n = [sum(x[2] == k for x in found) for k in secrets.BASE]
+        assert (*n, hashlib.sha256(base.encode()).hexdigest(), spans) == plain_secrets(t)
+
+
+FOUND = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def test_secrets_of_odd_documents(spark):
     got = secrets.secrets(cases.frame(spark)).collect()
-    assert len(got) == len(cases.odd_texts())
-    want = sorted((d if d is not None else -1, *secrets.brute(t)) for d, t in cases.odd_texts())
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
+    want = sorted((d if d is not None else -1, *plain_secrets(t)) for d, t in cases.odd_texts())
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *[r[c] for c in FOUND]) for r in got) == want
     assert secrets.secrets(cases.empty(spark)).count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
     docs = cases.frame(spark)
     versions = secrets.address(docs.select("doc_id", "text"))
-    ledger = spark.createDataFrame(secrets.scan(versions).collect(), secrets.LEDGER)
-    assert ledger.count() == versions.select("blob").distinct().count()
-    assert secrets.scan(versions, ledger).count() == 0
-    more = secrets.address(cases.frame(spark, [(1, "new text"), (2, "one")]).select("doc_id", "text"))
-    assert secrets.scan(more, ledger).count() == 1
-    again = secrets.secrets(docs, ledger).select("doc_id", "spans").collect()
-    assert sorted(map(str, again)) == sorted(map(str, secrets.secrets(docs).select("doc_id", "spans").collect()))
-    old = ledger.withColumn("rules", secrets.F.lit("old"))
-    assert secrets.scan(versions, old).count() == ledger.count()
+    blobs = versions.select("blob").distinct().count()
+    first = sorted(map(str, secrets.secrets(docs, path).collect()))
+    assert secrets.read_ledger(spark, path).count() == blobs
+    assert secrets.scan(versions, path) == 0
+    assert sorted(map(str, secrets.secrets(docs, path).collect())) == first
+    more = secrets.address(cases.frame(spark, [(1, "new text"), (2, "one"), (3, "new text")]).select("doc_id", "text"))
+    assert secrets.scan(more, path) == 1 and secrets.scan(more, path) == 0
+    assert secrets.read_ledger(spark, path).count() == blobs + 1
+    monkeypatch.setattr(secrets, "RULES", "next")
+    assert secrets.read_ledger(spark, path).count() == 0 and secrets.scan(versions, path) == blobs
+
+
+def test_findings_reach_every_version_of_every_path(spark, tmp_path):
+    rows = [(p, v, "password: abcdefgh1" if v % 2 else f"nothing {p}") for p in ("a", "b") for v in range(4)] * 2
+    got = secrets.findings(spark.createDataFrame(rows, "path string, version int, text string"), f"file://{tmp_path}/ledger").collect()
+    assert sorted((r["path"], r["version"], r["n_assign"]) for r in got) == sorted((p, v, v % 2) for p, v, _ in rows)
+
+
+def test_secrets_query_again_scans_nothing(spark, sf_dir, monkeypatch):
+    from blockwave.llm.queries import op2_secrets
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    scanned = []
+    scan = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda v, p: scanned.append(scan(v, p)))
+    for _ in range(2):
+        got = {r["doc_id"]: tuple(r[c] for c in FOUND) for r in op2_secrets(spark, sf_dir).collect()}
+        assert got == {d: plain_secrets(t) for d, t in docs.items()}
+    assert scanned[-1] == 0
 
 
 def test_pii_base_on_noise():

@@ -3,7 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, processors
 
 from blockwave.llm import bpe, chat, lzprint
 
@@ -11,6 +11,7 @@ from . import cases
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -156,19 +157,51 @@ def test_chat_escape_is_reversible():
         assert not any(c in chat.escape(t) for _, t in turns for c in chat.CONTROL)
 
 
+def test_chat_ids_and_offsets_are_those_of_the_vocabulary():
+    own, lib = chat.Tokenizer(open(RANKS, "rb").read(), public_tokenizers.PATTERN), Tokenizer.from_file(BYTE)
+    lib.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in (chat.TURN, chat.TEXT, chat.END)])
+    lib.post_processor = processors.ByteLevel(trim_offsets=False)
+    r = random.Random(7)
+    parts = ["a", "word", " ", "\n", "é", "😀", "中", "12", "\\", "<|end|>", "'s"]
+    for _ in range(500):
+        text = chat.render([(r.choice(["user", "assistant"]), "".join(r.choice(parts) for _ in range(r.randint(0, 40)))) for _ in range(3)])[0]
+        want = lib.encode(text, add_special_tokens=False)
+        ids, starts, ends = own.encode(text)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist())) == want.offsets
+
+
+def test_rows_without_conversation_are_their_own(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (1, 0, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_chats(df, RANKS, public_tokenizers.PATTERN)).collect()
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["loss_chars"]) for r in got) == [("1", 1, 1), ("None", 1, 0), ("None", 1, 1), ("None", 1, 1)]
+
+
+def test_chat_query_against_sql(spark):
+    import duckdb
+
+    from blockwave.llm.queries import ORACLE_SQL, op7_chat
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    q = con.execute(ORACLE_SQL["op7_chat"])
+    names = [x[0] for x in q.description]
+    assert sorted(tuple(r[n] for n in names) for r in op7_chat(spark, d).collect()) == sorted(q.fetchall())
+
+
 def test_chat_masks(spark):
     rows = [
         (1, 0, "user", "hi <|end|>"), (1, 1, "assistant", " spaced  é😀 text "), (1, 2, "assistant", None), (1, 3, "assistant", "[INST]"), (2, 0, None, None), (None, None, "assistant", "x"),
         (3, 1, "user", "b"), (3, 1, "user", "b"), (3, 0, "assistant", "w" * 30_000),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' AS formatted", "1 AS ids")
-    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df, BYTE)).collect()}
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df, RANKS, public_tokenizers.PATTERN)).collect()}
     loss = {1: " spaced  é😀 text [INST]", 2: "", None: "x", 3: "w" * 30_000}
     assert {k: (r["loss_chars"], r["loss_sha256"]) for k, r in got.items()} == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in loss.items()}
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 4, 2: 1, None: 1, 3: 3}
     turns = "assistant\n" + "w" * 30_000 + "\nuser\nb\nuser\nb\n"
     assert got[3]["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
-    assert chat.format_chats(df.where("false"), BYTE).count() == 0
+    assert chat.format_chats(df.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_chat_query(spark, sf_dir):
