@@ -53,7 +53,7 @@ class Parse:
         at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BIN_BITS))
         first = h[np.minimum(at, len(h) - 1)]
         held = (at < len(h)) & ((first >> np.uint64(64 - _BIN_BITS)) == np.arange(BINS, dtype=np.uint64))
-        value = (first >> np.uint64(64 - _BIN_BITS - 16)) & np.uint64(0xFFFF)
+        value = first & np.uint64(0xFFFF)  # the high bits of a minimum shrink with the number of phrases
         return np.where(held, np.maximum(value, 1), 0).astype(np.uint16)
 
 
@@ -137,42 +137,66 @@ def _longs(values: list[int | None]) -> Column:
     return F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda v: v.try_cast("bigint"))
 
 
-def _at_most(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at most the key, by bisection."""
+def _at_most(row: tuple[Column, Column], cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted cuts are at most the row's pair of numbers, by bisection."""
     if not cuts:
         return F.lit(0)
+    first, second = (_longs(list(c)) for c in zip(*cuts))
     halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
-    step = lambda n, half: F.when((n + half <= len(cuts)) & (F.get(_longs(cuts), n + half - 1) <= key), n + half).otherwise(n)
+
+    def low(k: Column) -> Column:
+        return (F.get(first, k) < row[0]) | (F.get(first, k) == row[0]) & (F.get(second, k) <= row[1])
+
+    step = lambda n, half: F.when((n + half <= len(cuts)) & low(n + half - 1), n + half).otherwise(n)
     return F.aggregate(halves, F.lit(0), step)
 
 
+def _cuts(d: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Sorted cuts of (key, tie) that make about ``n`` ranges of equal rows. Ids that fill more than a range
+    are cut by their ties."""
+    if n < 2:
+        return []
+    total, at = d.agg(F.count("*"), F.percentile_approx("key", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()
+    out = {(k, -(1 << 63)) for k in at or []}
+    hot = d.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * n > total).collect()  # n rows at most
+    for r in hot:
+        own = r["n"] * n // total
+        ties = d.where(F.col("key") == r["key"]).agg(F.percentile_approx("tie", [k / (own + 1) for k in range(1, own + 1)], 10_000)).first()[0]
+        out |= {(r["key"], t) for t in ties}
+    return sorted(out)
+
+
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A row for each row of ``docs``: its fingerprint, that of its edited text, and how near they and the
     next document's are.
 
-    The next document is the one before in doc_id, after the first the last; of rows with one doc_id
-    the smaller text comes first, and rows without doc_id come at the end. A null text counts as
-    empty. The table is cut into ranges of doc_id; a range also gets a copy of the first document of
-    the next one, so no task needs more than its range. A table of one row is its own next document.
+    The next document is the one before in doc_id, after the first the last; rows with one doc_id stand in
+    the order of a hash of their texts, equal rows side by side, and rows without doc_id come at the end.
+    A null text counts as empty. The table is cut into ranges of doc_id, and of the hash where an id has
+    more rows than a range; a range also gets a copy of the first row of the next one, so no task needs
+    more than its range. A table of one row is its own next document; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [k / n for k in range(1, n)]
-    cuts = sorted(set(d.agg(F.percentile_approx(key, share, max(10_000, 10 * n))).first()[0] or [])) if share else []
-    own = F.lit(len(cuts)) - _at_most(key, cuts)  # bucket 0 has the largest ids
-    heads = d.groupBy(own.alias("bucket")).agg(F.max(key).alias("head")).collect()  # a row for each bucket
+    # Equal rows differ in the last bits alone, so that any number of them can be cut into ranges.
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 20) - 1)
+    tie = F.xxhash64("text").bitwiseAND(~((1 << 20) - 1)).bitwiseOR(nth)
+    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), tie.alias("tie"))
+    cuts = _cuts(d.select("key", "tie"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = F.lit(len(cuts)) - _at_most((F.col("key"), F.col("tie")), cuts)  # bucket 0 has the largest ids
+    heads = d.groupBy(own.alias("bucket")).agg(F.max(F.struct("key", "tie")).alias("head")).collect()  # a row for each bucket
     held = sorted(r["bucket"] for r in heads)
-    head, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    keys, ties, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
     for r in heads:
-        head[r["bucket"]], before[r["bucket"]] = r["head"], held[held.index(r["bucket"]) - 1]
-    at = d.select("doc_id", "text", own.cast("int").alias("own"), key.alias("key"))
+        keys[r["bucket"]], ties[r["bucket"]] = r["head"]
+        before[r["bucket"]] = held[held.index(r["bucket"]) - 1]
+    at = d.select("doc_id", "text", "tie", own.cast("int").alias("own"), "key")
     row = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy"))
     copy = F.struct(F.get(_longs(before), F.col("own")).cast("int").alias("bucket"), F.lit(True).alias("copy"))
-    targets = F.when(F.get(_longs(head), F.col("own")) == F.col("key"), F.array(row, copy)).otherwise(F.array(row))
-    dealt = at.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.bucket", "t.copy", "doc_id", "text")
+    is_head = (F.get(_longs(keys), F.col("own")) == F.col("key")) & (F.get(_longs(ties), F.col("own")) == F.col("tie"))
+    targets = F.when(is_head, F.array(row, copy)).otherwise(F.array(row))
+    dealt = at.select(F.explode(targets).alias("t"), "doc_id", "text", "tie").select("t.bucket", "t.copy", "doc_id", "text", "tie")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket"))
-    dealt = dealt.sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "text")
+    dealt = dealt.sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), F.desc("tie")).drop("tie")
     return dealt.mapInArrow(_walk, _SCHEMA)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,8 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches, which all begin at a run's first digit and take whole runs; linear in long runs.
+_IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Generators of the other kinds.
@@ -82,7 +85,7 @@ def _valid(kind: str, s: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind as listed, then start; code points, end exclusive."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
-    for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
+    for kind, pattern in (("ip", _IP_RUNS), ("card", _CARD), ("phone", _PHONE)):
         if kind != "phone" or "+" in text:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _valid(kind, m[0])]
     return out
@@ -167,6 +170,29 @@ class Boosted:
         return float(1 / (1 + np.exp(-z)))
 
 
+class _Taken:
+    """Spans that do not overlap, in order; the given ones may, and are joined where they do."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, s: int, e: int) -> bool:
+        """Take the span if nothing overlaps it."""
+        k = bisect_left(self.starts, e)
+        if k and self.ends[k - 1] > s:
+            return False
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+        return True
+
+
 class Model:
     """The trees and one threshold for each kind."""
 
@@ -190,12 +216,11 @@ class Model:
         overlap neither each other nor a base span."""
         text = text or ""
         base = base_spans(text)
-        taken = [(s, e) for _, s, e in base]
+        taken = _Taken([(s, e) for _, s, e in base])
         scored = [(self.trees.score(_features(k, text, s, e)), k, s, e) for k, s, e in _candidates(text)]
         more = []
         for p, k, s, e in sorted(scored, key=lambda c: (-c[0], c[2], c[3], c[1])):
-            if p >= self.thresholds[k] and all(e <= a or s >= b for a, b in taken):
-                taken.append((s, e))
+            if p >= self.thresholds[k] and taken.add(s, e):
                 more.append((k, s, e))
         return base + sorted(more, key=lambda c: (MORE.index(c[0]), c[1]))
 

@@ -96,6 +96,34 @@ def test_pii_base_on_noise():
         assert (*n, hashlib.sha256(names.encode()).hexdigest()) == pii.brute(t)
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    m = pii.model()
+    start = time.perf_counter()
+    for text in ("7" * 1_000_000, "1." * 300_000, "a@" * 300_000, "+1 " * 300_000, "a" * 1_000_000):
+        m.spans(text)
+    assert time.perf_counter() - start < 12
+    start = time.perf_counter()
+    pii.base_spans("7" * 1_000_000)
+    assert time.perf_counter() - start < 1
+    assert len(m.spans("call 555-010-9999 now. " * 4000)) == 4000
+
+
+def test_taken_spans():
+    r = random.Random(3)
+    for _ in range(300):
+        spans = [(s, s + r.randint(1, 9)) for s in (r.randrange(200) for _ in range(r.randint(0, 12)))]
+        taken, plain = pii._Taken(spans), list(spans)
+        for _ in range(30):
+            s = r.randrange(210)
+            e = s + r.randint(1, 9)
+            free = all(e <= a or s >= b for a, b in plain)
+            assert taken.add(s, e) == free
+            if free:
+                plain.append((s, e))
+
+
 def test_pii_model():
     m = pii.model()
     assert m.held_out > 0.95 and all(0.5 <= t <= 1 for t in m.thresholds.values())

@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, processors
 
 from blockwave.llm import bpe, chat, lzprint
@@ -114,6 +115,36 @@ def test_odd_documents(spark):
     assert bpe.encode(cases.empty(spark), WORD).count() == 0
 
 
+def plain_lz(text):
+    """The fingerprint by the plain definition: LZ78 phrases, each hashed by itself, and the minimum of each
+    hundred-and-twenty-eighth of the hash's range."""
+    phrases, now = set(), ""
+    for c in text:
+        now += c
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    out = [0] * 128
+    lows = {}
+    for p in phrases:
+        h, big = 0, (1 << 64) - 1
+        for k, c in enumerate(p):
+            h = (h + (ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64)) & big
+        h = (h + len(p)) & big
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & big
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & big
+        h ^= h >> 31
+        lows[h >> 57] = min(h, lows.get(h >> 57, big))
+    for k, h in lows.items():
+        out[k] = max(1, h & 0xFFFF)
+    return out
+
+
+def plain_likeness(a, b):
+    either = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
 def test_lz_fingerprints(spark):
     docs = [(d, t) for d, t in cases.odd_texts() if d not in (6, None)] + [(6, cases.odd_texts()[5][1])]
     for buckets in (1, 3, 50):
@@ -123,17 +154,30 @@ def test_lz_fingerprints(spark):
             text, after = t or "", order[(k + 1) % len(order)][1] or ""
             n = len(text) // 3
             edited = text[: len(text) - n] + after[:n]
-            sig = lambda s: lzprint.Parse().feed(s).signature()
+            own, other, follows = plain_lz(text), plain_lz(edited), plain_lz(after)
             r = got[d]
             assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-            assert (r["fingerprint"], r["edited_fingerprint"]) == (lzprint.text_hex(sig(text)), lzprint.text_hex(sig(edited)))
-            assert (r["near_edited"], r["near_next"]) == (lzprint.likeness(sig(text), sig(edited)), lzprint.likeness(sig(text), sig(after)))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{x:04x}" for x in f) for f in (own, other))
+            assert (r["near_edited"], r["near_next"]) == (plain_likeness(own, other), plain_likeness(own, follows))
     assert lzprint.fingerprints(cases.empty(spark)).count() == 0
     one = lzprint.fingerprints(cases.frame(spark, [(5, "abcabcabc")])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert lzprint.fingerprints(cases.frame(spark)).count() == len(cases.odd_texts())
 
 
+def test_lz_ties_are_dealt_to_all_tasks(spark):
+    """Rows without an id, and one row many times, are cut into ranges like any others."""
+    rows = [(None, f"text {k}") for k in range(2000)] + [(7, "the same row")] * 2000 + [(k, f"other {k}") for k in range(100, 400)]
+    df = cases.frame(spark, rows)
+    cuts = lzprint._cuts(df.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key"), (F.xxhash64("text") * 0 + F.monotonically_increasing_id()).alias("tie")), 20)
+    assert sum(k == 7 for k, _ in cuts) >= 8 and len(cuts) >= 18
+    got = lzprint.fingerprints(df, 20)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 3 * len(rows) / 20
+    out = got.collect()
+    assert len(out) == len(rows) and sum(r["doc_id"] == 7 and r["near_next"] == 1.0 for r in out) >= 1999
+
+
 def test_lz_estimate_follows_phrase_sets():
     r = random.Random(4)
     errors = []
