@@ -4,8 +4,8 @@ Every window of every document is a query against the index of test items. A win
 item is its BM25 score over distinct terms, divided by the score of the item's own words, so 1 means
 that all of them occur. What scores at least the threshold is verified within spans twice as long as
 the item itself, one at every eighth of its length: a span has to reach the threshold, and the words of
-the question part and of the answer part have to occur in it in order. Windows hold every such span
-whole, so the length of other items changes no result.
+the question part and of the answer part have to occur in it in order. Items of like length share an
+index, whose windows hold every such span whole, so the length of other items changes no result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ THRESHOLD = 0.6  # of an item's own score
 OVERLAP = 0.8  # of the words of each part, in order
 SPAN, SPAN_STEP = 2, 8  # a span's length in item lengths, spans begun in an item length
 SHORT = 8  # items under this many words have to occur word by word
+CLASS = 4  # the longest item of an index is at most so many times as long as its shortest
 ITEMS, ITEM_BYTES = 20_000, 8 << 20  # the largest part of the benchmark that is sent to executors at once
 _WORD = re.compile(r"\w+")
 _STOP = re.compile(r"[.?!\n]+")
@@ -71,6 +72,7 @@ class Index:
         self.items = [(i, q, a) for i, q, a in known if q or a]
         lengths = [len(q) + len(a) for _, q, a in self.items]
         self.step = max([SHORT, *lengths])
+        self.least = min(lengths, default=0) * overlap  # no text of fewer words holds an item
         self.window = (SPAN + 1) * self.step
         counts = [Counter(q + a) for _, q, a in self.items]
         if whole is None:
@@ -141,9 +143,8 @@ class Index:
                 for x in lists:
                     x[1] = bisect_left(x[0], (pivot,), x[1])
 
-    def windows(self, text: str) -> Iterator[tuple[int, list[str], bool]]:
+    def windows(self, words: list[str]) -> Iterator[tuple[int, list[str], bool]]:
         """Place, words, and whether it is the last; spans that begin in its first step lie whole in a window."""
-        words = _WORD.findall(text.lower())
         starts = range(0, max(1, len(words) - SPAN * self.step), self.step)
         for at in starts:
             yield at, words[at : at + self.window], at == starts[-1]
@@ -166,19 +167,45 @@ class Index:
                 continue
             yield score, -at - i, oq, oa
 
-    def matches(self, text: str | None) -> list[dict]:
-        """The test items that the text holds, each with its best span: of equal scores the first."""
-        found: dict[int, tuple[float, int, float, float]] = {}
-        for at, words, last in self.windows(text or ""):
+    def found(self, text: list[str]) -> dict[int, tuple]:
+        """Each item that a text of these words holds, by its number, with its best span: of equal scores the first."""
+        out: dict[int, tuple[float, int, float, float]] = {}
+        if len(text) < self.least - 1e-9:
+            return out
+        for at, words, last in self.windows(text):
             for k, _ in self.search(self.terms.intersection(words)):
                 _, q, a = self.items[k]
                 if in_order(a, words) < self.overlap or in_order(q, words) < self.overlap:
                     continue
                 best = max(self._spans(k, at, words, last), default=None)
-                if best and (k not in found or best > found[k]):
-                    found[k] = best
+                if best and (k not in out or best > out[k]):
+                    out[k] = best
+        return out
+
+
+class Benchmark:
+    """Indexes over test items, one for each class of lengths; scores are those of one index over all."""
+
+    def __init__(self, items: list[tuple[int, str | None]], whole: tuple[int, float, dict[str, int]] | None = None):
+        counted = [(i, t, Counter(_WORD.findall((t or "").lower()))) for i, t in items]
+        counted = [(i, t, c) for i, t, c in counted if c]
+        if whole is None:
+            total = sum(c.total() for _, _, c in counted)
+            whole = len(counted), total / max(1, len(counted)), Counter(t for _, _, c in counted for t in c)
+        classes: dict[int, list[tuple[int, str | None]]] = {}
+        for i, t, c in counted:
+            n, k = max(SHORT, c.total()), 0
+            while n >= SHORT * CLASS ** (k + 1):
+                k += 1
+            classes.setdefault(k, []).append((i, t))
+        self.indexes = [Index(classes[k], whole=whole) for k in sorted(classes)]
+
+    def matches(self, text: str | None) -> list[dict]:
+        """The test items that the text holds, by id, each with its best span."""
+        words = _WORD.findall((text or "").lower())
         names = ("item_id", "score", "question_overlap", "answer_overlap", "at_word")
-        return [dict(zip(names, (self.items[k][0], s, oq, oa, -place))) for k, (s, place, oq, oa) in sorted(found.items())]
+        out = [(x.items[k][0], s, oq, oa, -place) for x in self.indexes for k, (s, place, oq, oa) in x.found(words).items()]
+        return [dict(zip(names, m)) for m in sorted(out)]
 
 
 def _whole(rows: DataFrame) -> tuple[int, float, DataFrame]:
@@ -196,31 +223,29 @@ def _whole(rows: DataFrame) -> tuple[int, float, DataFrame]:
     return n, (total or 0) / max(1, n), keep(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "terms")
 
 
-def _part(items: list[tuple[int, str]], whole: tuple[int, float, DataFrame] | None) -> Index:
-    """The index of a part of a benchmark; only the counts of the part's own terms come to the driver."""
+def _part(items: list[tuple[int, str]], whole: tuple[int, float, DataFrame] | None) -> Benchmark:
+    """The indexes of a part of a benchmark; only the counts of the part's own terms come to the driver."""
     if whole is None:
-        return Index(items)
+        return Benchmark(items)
     n, mean, counts = whole
     own = pa.table({"term": pa.array(sorted({w for _, t in items for w in _WORD.findall(t.lower())}), pa.string())})
     df = counts.join(counts.sparkSession.createDataFrame(own), "term").toArrow() if len(own) else None
-    return Index(items, whole=(n, mean, dict(zip(df["term"].to_pylist(), df["n"].to_pylist())) if df else {}))
+    return Benchmark(items, (n, mean, dict(zip(df["term"].to_pylist(), df["n"].to_pylist())) if df else {}))
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over parts of the benchmark, in item order, none above ITEMS items and ITEM_BYTES of text.
+def indexes(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """Indexes over parts of the benchmark, in item order, none above ITEMS items and ITEM_BYTES of text; a
+    longer item is a part of its own.
 
-    An item longer than that bound is an error, as it can't be sent. Rows without an id or text are
-    left out; a repeated row counts once. Term counts and the mean length are those of the whole
-    benchmark, so the cut into parts changes no score.
+    Rows without an id or text are left out; a repeated row counts once. Term counts and the mean length
+    are those of the whole benchmark, so the cut into parts changes no score.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct()
     now: list[tuple[int, str]] = []
     size, whole = 0, None
     for item, text in rows.orderBy("item_id", "text").toLocalIterator():
         n = len(text.encode())
-        if n > ITEM_BYTES:
-            raise ValueError(f"test item {item} has {n} bytes; {ITEM_BYTES} is the bound")
-        if len(now) == ITEMS or size + n > ITEM_BYTES:
+        if now and (len(now) == ITEMS or size + n > ITEM_BYTES):
             whole = whole or _whole(rows)
             yield _part(now, whole)
             now, size = [], 0
@@ -246,7 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _hits(docs: DataFrame, index: Index) -> DataFrame:
+def _hits(docs: DataFrame, index: Benchmark) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"]

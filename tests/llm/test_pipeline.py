@@ -18,7 +18,7 @@ def test_run_against_brute_force(spark):
     rows = [r for r in docs.collect() if not chain.rejects(r["text"])]
     low = plain_kept([(r["doc_id"], r["text"]) for r in rows])
     rows = [r for r in rows if r["doc_id"] in low]
-    index = decontam.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    index = decontam.Benchmark([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     rows = [r for r in rows if not index.matches(r["text"])]
     enc, m = bpe.encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()), pii.model()
     want = sorted((r["doc_id"], *enc.digests(m.redact(r["text"]))) for r in rows)
