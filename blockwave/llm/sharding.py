@@ -20,6 +20,7 @@ from .shared import keep
 SHARDS = 8
 BITS = 12  # a range is cut into 2**BITS finer ones
 LANES = 1024  # parts of a shard that are numbered on their own
+CHUNK = 10_000  # equal rows that one row stands for at most when they are made again
 
 _Range = tuple[int, int, int, int]  # first key (unsigned), width in bits, sum of sizes, groups
 
@@ -131,7 +132,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     size is the UTF-8 length of the text plus 1; a null text has no bytes and is one group with the
     empty text. Rows of a group stay together, so a group above an even share makes its shard larger
     than the others. slot numbers the rows of a shard without gaps: lanes of rows by the hash of
-    doc_id, and by (doc_id, checksum, size) inside a lane; of repeated rows, any has the lower number.
+    doc_id, and by (doc_id, checksum, size) inside a lane; repeated rows stand side by side. A null
+    doc_id is one like any other; other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
@@ -141,11 +143,18 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for k, first in enumerate(cuts(groups, shards)):
         number = F.when(F.col("key") >= first, k + 1).otherwise(number)
     lane = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(LANES)).cast("int")
-    placed = slim.withColumn("shard", number.cast("int")).withColumn("lane", lane)
-    counts = placed.groupBy("shard", "lane").agg(F.count("*").alias("n"))
+    # Equal rows are one row with a count until they have their numbers.
+    each = slim.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n"))
+    placed = each.withColumn("shard", number.cast("int")).withColumn("lane", lane)
+    counts = placed.groupBy("shard", "lane").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "lane", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size", "key"))
+    inner = Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     # shards * LANES rows of three numbers at most
-    out = placed.withColumn("nth", nth).join(F.broadcast(base), ["shard", "lane"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(base), ["shard", "lane"])
+    out = out.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    out = out.repartition("key", "doc_id", "first")  # so that many equal rows are made by many tasks
+    last = F.least(F.col("first") + CHUNK, F.col("n")) - 1
+    out = out.select("doc_id", "size", "text_crc32", "shard", "base", "before", F.explode(F.sequence("first", last)).alias("nth"))
+    slot = (F.col("base") + F.col("before") + F.col("nth")).cast("long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

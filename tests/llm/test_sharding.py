@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockwave.llm import sharding
 
@@ -56,3 +57,17 @@ def test_minimax(spark, monkeypatch, hot):
 
 def test_few_groups(spark):
     check(spark, cases.frame(spark, [(1, "a"), (2, "b" * 10), (3, "a")]), 3)
+
+
+def test_many_equal_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    df = cases.frame(spark, [(None, "same")] * 3000 + [(7, "again")] * 2500 + [(k, f"text {k}") for k in range(50)])
+    out = sharding.shard(df).collect()
+    assert len(out) == 5550 and sum(r["doc_id"] is None for r in out) == 3000
+    for k in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in sharding.shard(df).groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 3 * 5550 / 4
