@@ -1,12 +1,16 @@
-"""Bit strings, Exp-Golomb codes, coefficient codes and the CRC, as column expressions."""
+"""Bit strings, Exp-Golomb codes, coefficient codes and the CRC, as column expressions; decoding over Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import on_blocks
 from .ints import Value, array, bit_length, byte_at, col, div, let, u16
 
 #: The most zeros that a code may begin with, and the largest magnitude of a coefficient.
@@ -83,12 +87,10 @@ def read_ue(text: Column, at: Value = 0) -> Column:
 def pack(text: Column) -> Column:
     """A bit string as bytes, the last filled up with zeros."""
 
-    def cells(full: Column) -> Column:
-        byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(full), F.lit(8)), byte), "")
-
-    joined = let(F.rpad(text, div(F.length(text) + 7, 8).cast("int") * 8, "0"), cells)
-    return F.when(F.length(text) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(joined))
+    full = F.rpad(text, div(F.length(text) + 7, 8).cast("int") * 8, "0")
+    byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
+    cells = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(8)), byte)
+    return F.when(F.length(text) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(cells, "")))
 
 
 def unpack(data: Column) -> Column:
@@ -124,32 +126,53 @@ def coefficient_bits(block: Column, n: int) -> Column:
     return let(scan(block, n), body)
 
 
-def coefficient_decode(text: Column, n: int) -> Column:
-    """struct(block, error) of a coded bit string: a fold over the places of a block."""
-    return let(text, lambda t: let(read_ue(t), lambda head: _decode(t, head, n)))
-
-
-def _decode(text: Column, head: Column, n: int) -> Column:
-    count, wrong = head["value"], head["error"] | (head["value"] > n * n)
-    start = F.struct(F.array().cast("array<int>").alias("levels"), head["next"].alias("at"), wrong.alias("bad"))
-
-    def one(s: Column, _: Column) -> Column:
-        def step(code: Column) -> Column:
-            mag, at = code["value"], code["next"]
-            bad = s["bad"] | code["error"] | (mag > MAX_LEVEL)
-            sign = F.substring(text, at + 1, F.lit(1))
-            value = F.when(bad | (mag == 0), 0).when(sign == "1", -mag).otherwise(mag).cast("int")
-            return F.struct(F.concat(s["levels"], F.array(value)).alias("levels"), F.when(mag > 0, at + 1).otherwise(at).alias("at"), bad.alias("bad"))
-
-        return let(read_ue(text, s["at"]), step)
-
-    steps = F.slice(F.sequence(F.lit(1), F.lit(n * n)), F.lit(1), F.when(wrong, 0).otherwise(count).cast("int"))
-
-    def finish(s: Column) -> Column:
-        full = F.concat(F.reverse(s["levels"]), F.array_repeat(F.lit(0), F.lit(n * n) - F.size(s["levels"])))
-        return F.struct(unscan(full, n).alias("block"), s["bad"].alias("error"))
-
-    return F.aggregate(steps, start, one, finish)
+def _read_codes(data: np.ndarray, one: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, next, error) of the Exp-Golomb codes at many places; ``one`` has the next 1 bit from each bit on."""
+    first = one[np.minimum(at, len(one) - 1)]
+    zeros = first - at
+    bad = (zeros > MAX_ZEROS) | (first + zeros + 1 > end)
+    zeros = np.where(bad, 0, zeros)
+    byte = np.where(bad, 0, first) >> 3
+    window = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        window = window << np.uint64(8) | data[byte + k].astype(np.uint64)
+    value = (window << (first & 7).astype(np.uint64)) >> (63 - zeros).astype(np.uint64)
+    return value.astype(np.int64) - 1, first + zeros + 1, bad
+
+
+def decode_blocks(codes: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Levels (rows, n*n) and errors of coded blocks, all rows a code at a time."""
+    size = np.fromiter(map(len, codes), np.int64, len(codes))
+    data = np.frombuffer(b"".join(codes) + bytes(16), np.uint8)
+    set_, places = np.unpackbits(data), np.arange(8 * len(data))
+    one = np.minimum.accumulate(np.where(set_, places, len(places) + 64)[::-1])[::-1]
+    end = 8 * np.cumsum(size)
+    count, at, bad = _read_codes(data, one, end - 8 * size, end)
+    bad |= count > n * n
+    count = np.where(bad, 0, count)
+    levels = np.zeros((len(codes), n * n), np.int32)
+    order = np.array(zigzag(n))
+    for k in range(int(count.max(initial=0))):
+        row = np.flatnonzero((count > k) & ~bad)
+        mag, after, wrong = _read_codes(data, one, at[row], end[row])
+        wrong |= mag > MAX_LEVEL
+        negative = set_[np.minimum(after, len(set_) - 1)].astype(bool) & (after < end[row])
+        levels[row, order[count[row] - 1 - k]] = np.where(wrong, 0, np.where(negative, -mag, mag))
+        at[row], bad[row] = after + (mag > 0), wrong
+    return {"block": levels, "error": bad}
+
+
+def coefficient_decode(packed: DataFrame, column: str, n: int) -> DataFrame:
+    """``packed`` with struct(block, error) of the packed block in place of a binary column; levels after an
+    error are 0, and null gives null."""
+    at, kind = packed.columns.index(column), "struct<block:array<int>,error:boolean>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(at, column, on_blocks(lambda codes: decode_blocks(codes, n), b.column(at)))
+
+    schema = ", ".join(f"`{f.name}` {kind if f.name == column else f.dataType.simpleString()}" for f in packed.schema.fields)
+    return packed.mapInArrow(run, schema)
 
 
 def crc16(data: Column) -> Column:

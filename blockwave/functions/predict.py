@@ -1,14 +1,16 @@
-"""Intra prediction from reference samples, as array expressions.
+"""Intra prediction from reference samples, over Arrow batches of blocks; chroma from luma as expressions.
 
 ``above`` and ``left`` hold 2n+1 samples each, the corner first.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ints import array, clip, clip8, div, let, shr
+from .batches import over_blocks
+from .ints import clip, clip8, div, let
 
 #: Displacement of the angular modes in 1/32 samples a line.
 VERTICAL = {2: 32, 3: 16, 4: 6, 5: 0, 6: -6, 7: -16, 8: -32}
@@ -17,75 +19,48 @@ PLANAR, DC = 0, 1
 MODES = 18
 
 
-def _cells(n: int, value) -> Column:
-    """A raster block of value(y, x)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: value(div(p, n).cast("int"), p % n))
+def predict_blocks(above: np.ndarray, left: np.ndarray, n: int, mode: int) -> np.ndarray:
+    """The blocks (rows, n*n) that a mode predicts from the rows' references; unknown modes count as DC.
 
-
-def planar(above: Column, left: Column, n: int) -> Column:
-    def value(y: Column, x: Column) -> Column:
-        top, side, corner = F.get(above, x + 1), F.get(left, y + 1), F.get(above, F.lit(0))
-        return clip8(div(top * (n - 1 - y) + side * (n - 1 - x) + corner * (x + y) + n, 2 * n)).cast("int")
-
-    return _cells(n, value)
-
-
-def dc(above: Column, left: Column, n: int) -> Column:
-    both = F.concat(F.slice(above, 2, n), F.slice(left, 2, n))
-    mean = div(F.aggregate(both, F.lit(0).cast("bigint"), lambda a, v: a + v) + n, 2 * n).cast("int")
-    return F.array_repeat(mean, n * n)
-
-
-def angular(above: Column, left: Column, n: int, mode: int) -> Column:
-    """Modes 2 to 8 project onto the row above, 9 to 17 onto the column at the left; each falls back on the other."""
-    vertical = mode in VERTICAL
-    disp = VERTICAL[mode] if vertical else HORIZONTAL[mode]
-    main, other = (above, left) if vertical else (left, above)
-
-    def value(y: Column, x: Column) -> Column:
+    Modes 2 to 8 project onto the row above, 9 to 17 onto the column at the left; each falls back on the other.
+    """
+    y, x = np.divmod(np.arange(n * n), n)
+    if mode == PLANAR:
+        total = above[:, x + 1] * (n - 1 - y) + left[:, y + 1] * (n - 1 - x) + above[:, :1] * (x + y) + n
+        out = np.where(total < 0, -(-total // (2 * n)), total // (2 * n))
+    elif mode in VERTICAL or mode in HORIZONTAL:
+        vertical = mode in VERTICAL
+        main, other = (above, left) if vertical else (left, above)
         along, away = (x, y) if vertical else (y, x)
-        pos = along * 32 + away * disp
-        far = F.abs(pos)
-        ref = lambda k: F.when(pos >= 0, F.get(main, k)).otherwise(F.get(other, k)) if disp < 0 else F.get(main, k)
-        at = shr(far, 5) + 1
-        a, b = ref(clip(at, 0, 2 * n).cast("int")), ref(clip(at + 1, 0, 2 * n).cast("int"))
-        return clip8(a + shr((b - a) * far.bitwiseAND(F.lit(31)) + 16, 5)).cast("int")
-
-    return _cells(n, value)
+        pos = along * 32 + away * (VERTICAL[mode] if vertical else HORIZONTAL[mode])
+        far = np.abs(pos)
+        ref = lambda k: np.where(pos >= 0, main[:, np.minimum(k, 2 * n)], other[:, np.minimum(k, 2 * n)])
+        a, b = ref((far >> 5) + 1), ref((far >> 5) + 2)
+        out = a + (((b - a) * (far & 31) + 16) >> 5)
+    else:
+        total = above[:, 1 : n + 1].sum(1) + left[:, 1 : n + 1].sum(1) + n
+        return np.repeat(total // (2 * n), n * n).reshape(-1, n * n).astype(np.int32)
+    return np.clip(out, 0, 255).astype(np.int32)
 
 
 def predict(above: Column, left: Column, n: int, mode: int) -> Column:
     """The block that a mode predicts; unknown modes count as DC."""
-    return let(_both(above, left), lambda s: _predict(s["a"], s["b"], n, mode))
-
-
-def _both(above: Column, left: Column) -> Column:
-    """One value to bind: variables of nested lambdas look alike to Spark when it looks for equal expressions,
-    and a mode along the rows would pass for the same mode along the columns."""
-    return F.struct(above.alias("a"), left.alias("b"))
-
-
-def _predict(above: Column, left: Column, n: int, mode: int) -> Column:
-    if mode == PLANAR:
-        return planar(above, left, n)
-    if mode in VERTICAL or mode in HORIZONTAL:
-        return angular(above, left, n, mode)
-    return dc(above, left, n)
+    return over_blocks(lambda a, b: predict_blocks(a, b, n, mode), "array<int>", above, left)
 
 
-def sad(a: Column, b: Column) -> Column:
-    """Sum of absolute differences of two blocks."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("bigint"), lambda s, v: s + v)
+def predict_all(above: Column, left: Column, n: int, modes: range = range(MODES)) -> Column:
+    """The blocks of several modes, in their order."""
+    return over_blocks(lambda a, b: np.stack([predict_blocks(a, b, n, m) for m in modes], axis=1), "array<array<int>>", above, left)
 
 
 def best_mode(block: Column, above: Column, left: Column, n: int) -> Column:
-    """struct(sad, mode) of the mode with the least error, the lowest mode of equals."""
+    """struct(sad, mode) of the mode with the least sum of absolute differences, the lowest mode of equals."""
 
-    def body(a: Column, b: Column) -> Column:
-        tries = [F.struct(sad(block, _predict(a, b, n, m)).alias("sad"), F.lit(m).alias("mode")) for m in range(MODES)]
-        return F.array_min(F.array(*tries))
+    def kernel(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        sads = np.stack([np.abs(x - predict_blocks(a, b, n, m)).sum(1) for m in range(MODES)], axis=1)
+        return {"sad": sads.min(1), "mode": sads.argmin(1).astype(np.int32)}
 
-    return let(_both(above, left), lambda s: body(s["a"], s["b"]))
+    return over_blocks(kernel, "struct<sad:bigint,mode:int>", block, above, left)
 
 
 def chroma_dc(above: Column, left: Column) -> Column:
@@ -130,8 +105,3 @@ def references(n: int, missing: int = 128) -> tuple[Column, Column]:
         return F.concat(F.array(F.coalesce(F.col("corner"), F.lit(missing))), filled)
 
     return side("above_n"), side("left_n")
-
-
-def angles() -> Column:
-    """All displacements by mode, as a literal array from mode 2 on."""
-    return array([*VERTICAL.values(), *HORIZONTAL.values()])

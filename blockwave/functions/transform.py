@@ -1,40 +1,34 @@
 """Block transforms: Walsh-Hadamard and residual DCT of 4x4 and 8x8 blocks.
 
-A block is an array of n*n integers in raster order. Both passes are native array expressions over a
-literal matrix, so blocks never leave their row. ``spread`` is the same computation over exploded
-coefficients, for blocks that are stored one value per row.
+A block is an array of n*n integers in raster order. Both passes are matrix products over an Arrow batch
+of blocks, without a shuffle. ``spread`` is the same computation over exploded coefficients, for blocks
+that are stored one value per row.
 """
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ints import array, let, shr, wrap16
-
-#: The DCT matrices times 2**14, by their distinct magnitudes.
-DCT4 = ((8192, 8192, 8192, 8192), (10703, 4433, -4433, -10703), (8192, -8192, -8192, 8192), (4433, -10703, 10703, -4433))
-DCT8_ANGLES = (8192, 8035, 7568, 6811, 5793, 4551, 3135, 1598)  # 8192 * cos(k * pi / 16); row 0 has 5793
+from .batches import over_blocks
+from .ints import shr, wrap16
 
 
 @cache
 def matrix(kind: str, n: int) -> tuple[tuple[int, ...], ...]:
-    """Rows of the forward matrix. The Hadamard rows are in natural order."""
+    """Rows of the forward matrix: the orthonormal DCT times 2**14, or Hadamard rows in natural order."""
     if kind == "wht":
         return tuple(tuple(1 - 2 * ((i & j).bit_count() & 1) for j in range(n)) for i in range(n))
-    if n == 4:
-        return DCT4
+    unit = 1 << 14
 
     def value(k: int, j: int) -> int:
-        if k == 0:
-            return 5793
-        a = k * (2 * j + 1) % 32
-        a = min(a, 32 - a)
-        return DCT8_ANGLES[a] if a < 8 else 0 if a == 8 else -DCT8_ANGLES[16 - a]
+        return round(unit * math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * j + 1) / (2 * n)))
 
-    return tuple(tuple(value(k, j) for j in range(8)) for k in range(8))
+    return tuple(tuple(value(k, j) for j in range(n)) for k in range(n))
 
 
 def _rounding(kind: str, n: int, last: bool) -> tuple[int, int]:
@@ -44,27 +38,20 @@ def _rounding(kind: str, n: int, last: bool) -> tuple[int, int]:
     return (n // 2, n.bit_length() - 1) if last else (0, 0)
 
 
-def transform2d(block: Column, kind: str, n: int, inverse: bool = False) -> Column:
-    """The transformed block: each row, then each column. The Hadamard transform is its own inverse."""
-    m = matrix(kind, n)
-    turned = inverse and kind == "dct"
-    flat = array([m[j][k] if turned else m[k][j] for k in range(n) for j in range(n)])
-    at = lambda a, i: F.get(a, i)
-
-    def one_pass(x: Column, by_row: bool) -> Column:
+def transform_blocks(x: np.ndarray, kind: str, n: int, inverse: bool = False) -> np.ndarray:
+    """Rows of blocks transformed: each block's rows, then its columns."""
+    m = np.array(matrix(kind, n), np.int64)
+    m = m.T if inverse and kind == "dct" else m
+    x = x.reshape(-1, n, n)
+    for by_row in (True, False):
         add, shift = _rounding(kind, n, not by_row)
+        x = ((x @ m.T if by_row else m @ x) + add) >> shift
+    return x.astype(np.int16).astype(np.int32).reshape(len(x), n * n)
 
-        def cell(p: Column) -> Column:
-            i, j = F.call_function("div", p, F.lit(n)).cast("int"), (p % n).cast("int")
-            k = j if by_row else i
-            terms = [at(flat, k * n + t) * at(x, (i * n + t) if by_row else (j + t * n)) for t in range(n)]
-            return shr(sum(terms[1:], terms[0]) + add, shift)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
-
-    wide = F.transform(block, lambda v: v.cast("bigint"))
-    both = let(wide, lambda x: let(one_pass(x, True), lambda y: one_pass(y, False)))
-    return F.transform(both, lambda v: wrap16(v).cast("int"))
+def transform2d(block: Column, kind: str, n: int, inverse: bool = False) -> Column:
+    """The transformed block, wrapped to 16 bits. The Hadamard transform is its own inverse."""
+    return over_blocks(lambda x: transform_blocks(x, kind, n, inverse), "array<int>", block)
 
 
 def spread(coefficients: DataFrame, keys: list[str], kind: str, n: int, inverse: bool = False) -> DataFrame:
@@ -92,11 +79,5 @@ def dc_only(dc: Column, n: int) -> Column:
 
 
 def inverse_dct(block: Column, n: int) -> Column:
-    """The inverse DCT, by the short way where only the DC coefficient is set."""
-
-    def body(b: Column) -> Column:
-        ac = F.exists(F.slice(b, 2, n * n - 1), lambda v: v != 0)
-        flat = F.array_repeat(wrap16(dc_only(F.get(b, F.lit(0)), n)).cast("int"), n * n)
-        return F.when(ac, transform2d(b, "dct", n, True)).otherwise(flat)
-
-    return let(block, body)
+    """The inverse DCT; of blocks with nothing but a DC coefficient it is ``dc_only``, to the last bit."""
+    return transform2d(block, "dct", n, True)

@@ -196,9 +196,9 @@ def coefficient_codes(spark, sf_dir):
 
 @query(f"WITH {_LEVELS} SELECT vec_id, p::BIGINT AS p, q::BIGINT AS v FROM lv")
 def coefficient_decode(spark, sf_dir):
-    """Levels coded, packed into bytes, unpacked and decoded again."""
+    """Levels coded, packed into bytes and decoded again."""
     coded = _levels(spark, sf_dir).select("vec_id", B.pack(B.coefficient_code(F.col("q"), 8)).alias("data"))
-    return rows(coded.select("vec_id", B.coefficient_decode(B.unpack(F.col("data")), 8)["block"].alias("q")), "q")
+    return rows(B.coefficient_decode(coded, "data", 8).select("vec_id", F.col("data.block").alias("q")), "q")
 
 
 @query("SELECT v::BIGINT AS v, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END::BIGINT AS u, v::BIGINT AS back, (2 * length(bin(CASE WHEN v > 0 THEN 2 * v ELSE 1 - 2 * v END)) - 1)::BIGINT AS bits FROM range(-300, 301) t(v)")
@@ -278,7 +278,7 @@ def intra_dc(spark, sf_dir):
 @query(f"WITH {_REFS}, pr AS ({_pred_rows(range(2, 18))}) SELECT vec_id, mode::BIGINT AS mode, p::BIGINT AS p, v FROM pr")
 def intra_angular(spark, sf_dir):
     r = _referred(spark, sf_dir)
-    all_ = F.array(*[P.predict(F.col("above"), F.col("left"), 8, m) for m in range(2, 18)])
+    all_ = P.predict_all(F.col("above"), F.col("left"), 8, range(2, 18))
     e = r.select("vec_id", F.posexplode(all_).alias("m", "b")).select("vec_id", (F.col("m") + 2).cast("bigint").alias("mode"), F.posexplode("b").alias("p", "v"))
     return e.select("vec_id", "mode", F.col("p").cast("bigint").alias("p"), F.col("v").cast("bigint").alias("v"))
 

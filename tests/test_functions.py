@@ -81,11 +81,14 @@ def test_coefficient_code_round_trip(spark):
     for n in (4, 8):
         _, df = blocks(spark, n, low=-9, high=9)
         df = df.unionAll(spark.createDataFrame([(99, [0] * (n * n))], "id int, b array<int>"))
-        c = df.select("b", bits.coefficient_code(F.col("b"), n).alias("c")).select("b", "c", bits.coefficient_bits(F.col("b"), n).alias("k"), bits.coefficient_decode(bits.unpack(bits.pack(F.col("c"))), n).alias("d"))
+        c = df.select("b", bits.coefficient_code(F.col("b"), n).alias("c")).select("b", "c", bits.coefficient_bits(F.col("b"), n).alias("k"), bits.pack(F.col("c")).alias("d"))
+        c = bits.coefficient_decode(c, "d", n)
         for r in c.collect():
             assert r["d"]["block"] == r["b"] and not r["d"]["error"] and len(r["c"]) == r["k"]
-    bad = one(spark, bits.coefficient_decode(F.lit("0000000011111111"), 4))[0]
-    assert bad["error"]
+    codes = spark.createDataFrame([(0, None), (1, "00FF"), (2, "04"), (3, "0000000000000000"), (4, "")], "k int, h string").select("k", F.unhex("h").alias("d"))
+    none, bad, cut, wild, nothing = (r["d"] for r in bits.coefficient_decode(codes, "d", 4).orderBy("k").collect())
+    assert none is None and bad["error"] and cut["error"] and wild["error"]
+    assert nothing["error"] and nothing["block"] == [0] * 16
 
 
 def test_quantizer(spark):
