@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 SEGMENT = 1 << 16  # characters of a text that are in work at once
-REMEMBER = 250_000  # pre-tokens in each generation of a worker's table
+REMEMBER = 120_000  # pre-tokens in each generation of a worker's table
 _ID, _MASK = 20, (1 << 20) - 1  # bits of an id
 _UNKNOWN = -1  # a symbol that the vocabulary does not have; it merges with nothing and has no token
 
