@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import BANDS, MOST, band, band_offset, chroma_edge, edge
-from ..functions.ints import Value, clip8, col, div
+from ..functions.filters import MOST, band, band_offset, chroma_edge, edge
+from ..functions.ints import Value, clip8, div
 
 CTU, EDGE = 64, 4
 
@@ -81,23 +81,9 @@ def apply_offset(pixels: DataFrame, choices: DataFrame, keys: list[str]) -> Data
     return j.withColumn("v", v.cast("int")).drop("band", "offset")
 
 
-def worth_it(sse: Column, base: Column, lam: Column) -> Column:
-    """Whether an offset pays for its six bits."""
-    return sse + lam * 6 < base
-
-
 def split_blocks(leaves: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, x, cost, split) of blocks one level up from leaf costs (keys, y, x, cost, own): ``own`` is the
     parent's cost as one leaf, equal in its four children. Split where the children cost no more."""
     g = leaves.groupBy(*keys, div("y", 2).alias("y"), div("x", 2).alias("x"))
     s = g.agg(F.sum("cost").alias("children"), F.max("own").alias("own"))
     return s.select(*keys, "y", "x", F.least("children", "own").alias("cost"), (F.col("children") <= F.col("own")).alias("split"))
-
-
-def bands() -> int:
-    return BANDS
-
-
-def cost(sse: Value, lam: Value, bits: Value) -> Column:
-    """Squared error plus weighted bits."""
-    return col(sse) + col(lam) * col(bits)

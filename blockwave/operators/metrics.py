@@ -84,10 +84,6 @@ def bitrate_kbps(size: Column, frames: Column, fps: Column) -> Column:
     return size * 8 / (frames / fps) / 1000
 
 
-def speed_fps(frames: Column, seconds: Column) -> Column:
-    return frames / seconds
-
-
 def best_and_median(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, best, median, n): the largest, and the upper median. The rank is found by a window over the
     key's sorted rows, so no key is collected into an array."""

@@ -14,6 +14,8 @@ from ..functions.ints import Value, clip8, col, div, shr
 
 #: The half-sample filter, in 1/32.
 TAPS = (1, -5, 20, 20, -5, 1)
+#: The points (x, y) around a whole-sample vector, in quarter samples, in the order of trial.
+AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
 
 
 def displacements(spark, reach: int, step: int = 1) -> DataFrame:
@@ -56,6 +58,37 @@ def six_tap(pixels: DataFrame, keys: list[str], along: str) -> DataFrame:
     return pixels.withColumn("half", F.coalesce(full, shr(F.col("v") + near[3] + 1, 1), F.col("v")).cast("int"))
 
 
+def anchors(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels with what every quarter-sample position to their right and below is made of: the samples ``a10``,
+    ``a01`` and ``a11`` of the cell, the half samples ``b`` and ``e`` along its upper and lower row, ``c2`` and
+    ``f`` along its left and right column, and ``d`` at its centre. Null where a filter leaves the frame; half
+    samples are not clipped. Two window passes, one along rows and one along columns."""
+    across, down = (Window.partitionBy(*keys, o).orderBy(a) for o, a in (("r", "c"), ("c", "r")))
+
+    def six(name: str, w) -> Column:
+        near = [F.lag(name, 2).over(w), F.lag(name, 1).over(w), F.col(name), F.lead(name, 1).over(w), F.lead(name, 2).over(w), F.lead(name, 3).over(w)]
+        return shr(sum((v * t for v, t in zip(near[1:], TAPS[1:])), near[0] * TAPS[0]) + 16, 5).cast("int")
+
+    rows = pixels.withColumns({"b": six("v", across), "a10": F.lead("v").over(across)})
+    both = rows.withColumns({"c2": six("v", down), "d": six("b", down), "a01": F.lead("v").over(down), "a11": F.lead("a10").over(down), "e": F.lead("b").over(down)})
+    return both.withColumn("f", F.lead("c2").over(across))
+
+
+def at_quarter(dx: Value, dy: Value, bilinear: bool = False) -> Column:
+    """The sample of a cell of ``anchors`` at quarters (dx, dy): half samples by the six taps, quarters the mean of
+    their neighbours; where the taps leave the frame, or for ``bilinear``, weights by quarters; null where the cell
+    itself leaves it."""
+    x, y = col(dx), col(dy)
+    mean = lambda p, q: shr(p + q + 1, 1)
+    along = lambda k, p, half, q: F.when(k == 0, p).when(k == 1, mean(p, half)).when(k == 2, half).otherwise(mean(half, q))
+    top, mid, bottom = (along(x, F.col(p), F.col(h), F.col(q)) for p, h, q in (("v", "b", "a10"), ("c2", "d", "f"), ("a01", "e", "a11")))
+    plain = quarter(quarter(F.col("v"), F.col("a10"), x), quarter(F.col("a01"), F.col("a11"), x), y)
+    if bilinear:
+        return plain.cast("int")
+    sharp = clip8(along(y, top, mid, bottom))
+    return F.when(F.col("b").isNotNull() & F.col("c2").isNotNull(), sharp).otherwise(plain).cast("int")
+
+
 def quarter(a: Column, b: Column, frac: Value) -> Column:
     """Between two samples at frac quarters."""
     f = col(frac)
@@ -74,6 +107,67 @@ def compensate(blocks: DataFrame, reference: DataFrame, keys: list[str], n: int)
     return hit.select(*keys, "by", "bx", F.col("r0").alias("r"), F.col("c0").alias("c"), "pred")
 
 
+def _cells(blocks: DataFrame, keys: list[str], n: int, size: DataFrame) -> DataFrame:
+    """A row for each sample of each block, with its place (r0, c0) and the frame's size."""
+    cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("_p")
+    b = (blocks.join(size, keys) if keys else blocks.crossJoin(size)).select("*", cell)
+    return b.withColumns({"r0": F.col("by") * n + div("_p", n), "c0": F.col("bx") * n + F.col("_p") % n}).drop("_p")
+
+
+def _size(frame: DataFrame, keys: list[str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(F.max("r").alias("_h"), F.max("c").alias("_w"))  # one row a key
+
+
+def compensate_quarters(blocks: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, by, bx, r, c, pred) of blocks (keys, by, bx, qy, qx) moved by quarter samples over the reference.
+    A cell that leaves the frame takes the frame's nearest sample."""
+    p = _cells(blocks, keys, n, _size(reference, keys))
+    p = p.withColumns({"fy": F.col("r0") + shr("qy", 2), "fx": F.col("c0") + shr("qx", 2), "dy": F.col("qy").bitwiseAND(F.lit(3)), "dx": F.col("qx").bitwiseAND(F.lit(3))})
+    inside = (F.col("fx") >= 0) & (F.col("fy") >= 0) & (F.col("fx") < F.col("_w")) & (F.col("fy") < F.col("_h"))
+    near = lambda at, d, most: F.least(F.greatest(F.col(at) + (F.col(d) >= 2).cast("int"), F.lit(0)), F.col(most))
+    p = p.withColumns({"inside": inside, "r": F.when(inside, F.col("fy")).otherwise(near("fy", "dy", "_h")), "c": F.when(inside, F.col("fx")).otherwise(near("fx", "dx", "_w"))})
+    hit = p.join(anchors(reference.select(*keys, "r", "c", "v"), keys), [*keys, "r", "c"])
+    value = F.when(F.col("inside"), at_quarter(F.col("dx"), F.col("dy"))).otherwise(F.col("v"))
+    return hit.select(*keys, "by", "bx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
+
+
+def refine(best: DataFrame, current: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, by, bx, sad, qy, qx): the vectors of ``search`` (keys, by, bx, sad, dy, dx) and the eight quarter
+    samples around each; the least error, the vector itself and then the earlier point first of equals. Errors are
+    by the six taps, or bilinear where these leave the frame for a sample of the block; points whose block leaves
+    the frame do not count."""
+    points = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, (x, y) in enumerate(AROUND)])).alias("m")
+    tries = best.select(*keys, "by", "bx", points, (F.col("dy") * 4).alias("dy"), (F.col("dx") * 4).alias("dx"))
+    tries = tries.select(*keys, "by", "bx", "m.k", (F.col("dy") + F.col("m.y")).alias("qy"), (F.col("dx") + F.col("m.x")).alias("qx"))
+    p = _cells(tries, keys, n, _size(reference, keys))
+    p = p.withColumns({"fy": F.col("by") * n + shr("qy", 2), "fx": F.col("bx") * n + shr("qx", 2)})
+    p = p.where((F.col("fx") >= 0) & (F.col("fy") >= 0) & (F.col("fx") + n <= F.col("_w")) & (F.col("fy") + n <= F.col("_h")))
+    safe = (F.col("fx") >= 2) & (F.col("fy") >= 2) & (F.col("fx") + n + 1 < F.col("_w")) & (F.col("fy") + n + 1 < F.col("_h"))
+    p = p.withColumns({"safe": safe, "r": F.col("r0") + shr("qy", 2), "c": F.col("c0") + shr("qx", 2), "dx": F.col("qx").bitwiseAND(F.lit(3)), "dy": F.col("qy").bitwiseAND(F.lit(3))})
+    hit = p.join(anchors(reference.select(*keys, "r", "c", "v"), keys), [*keys, "r", "c"])
+    value = F.when(F.col("safe"), at_quarter(F.col("dx"), F.col("dy"))).otherwise(at_quarter(F.col("dx"), F.col("dy"), True))
+    hit = hit.select(*keys, "by", "bx", "k", "qy", "qx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
+    both = hit.join(current.select(*keys, "r", "c", F.col("v").alias("own")), [*keys, "r", "c"])
+    cost = both.groupBy(*keys, "by", "bx", "k", "qy", "qx").agg(F.sum(F.abs(F.col("own") - F.col("pred")).cast("bigint")).alias("sad"))
+    first = best.select(*keys, "by", "bx", F.lit(-1).alias("k"), (F.col("dy") * 4).alias("qy"), (F.col("dx") * 4).alias("qx"), "sad")
+    least = cost.unionByName(first).groupBy(*keys, "by", "bx").agg(F.min(F.struct("sad", "k", "qy", "qx")).alias("m"))
+    return least.select(*keys, "by", "bx", "m.sad", "m.qy", "m.qx")
+
+
+def compensate_chroma(blocks: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, by, bx, r, c, pred) of chroma blocks of n samples moved by luma vectors (qy, qx) in quarter samples,
+    which are eighths of chroma samples; all four corners are clamped to the frame."""
+    p = _cells(blocks, keys, n, _size(reference, keys))
+    corner = lambda at, v, k, most: F.least(F.greatest(F.col(at) + shr(v, 3) + k, F.lit(0)), F.col(most))
+    places = [F.struct(F.lit(2 * i + j).alias("k"), corner("r0", "qy", i, "_h").alias("r"), corner("c0", "qx", j, "_w").alias("c")) for i in (0, 1) for j in (0, 1)]
+    p = p.select(*keys, "by", "bx", "qy", "qx", "r0", "c0", F.inline(F.array(*places)))
+    hit = p.join(reference.select(*keys, "r", "c", "v"), [*keys, "r", "c"])
+    four = hit.groupBy(*keys, "by", "bx", "qy", "qx", "r0", "c0").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"s{k}") for k in range(4)])
+    seven = lambda v: F.col(v).bitwiseAND(F.lit(7))
+    value = chroma_eighth(*[F.col(f"s{k}") for k in range(4)], seven("qx"), seven("qy"))
+    return four.select(*keys, "by", "bx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.cast("int").alias("pred"))
+
+
 def chroma_eighth(a: Column, b: Column, c: Column, d: Column, fx: Value, fy: Value) -> Column:
     """Bilinear value at eighths between the samples a b over c d."""
     x, y = col(fx), col(fy)
@@ -86,11 +180,6 @@ def both_ways(a: Column, b: Column) -> Column:
     return shr(a + b + 1, 1)
 
 
-def mirrored(vector: Column) -> Column:
-    """The backward displacement of a forward one."""
-    return F.struct((-vector["x"]).alias("x"), (-vector["y"]).alias("y"))
-
-
 def best_match(items: DataFrame, keys: list[str], item: str, block: str) -> DataFrame:
     """(keys, item, match, sad): for each item the other one of its key with the least error. Blocks are
     arrays; pairs are made within a key only, so keys have to be bounded (frames of one group)."""

@@ -95,6 +95,12 @@ def segments(packets: DataFrame, stream: list[str], order: str, key: str, target
     return marked.select(*stream, order, F.when(first, seg).cast("bigint").alias("segment"))
 
 
+def previous_grid(vectors: DataFrame, clip: list[str], frame: str, cell: list[str], value: str) -> DataFrame:
+    """``vectors`` with ``before``: what the same cell had in the frame just before, null where it had none."""
+    w = Window.partitionBy(*clip, *cell).orderBy(frame)
+    return vectors.withColumn("before", F.when(F.lag(frame).over(w) == F.col(frame) - 1, F.lag(value).over(w)))
+
+
 def median_vector(a: Column, b: Column, c: Column) -> Column:
     """The median of three, as older blocks predict each component of a vector."""
     return F.get(F.sort_array(F.array(a, b, c)), F.lit(1))

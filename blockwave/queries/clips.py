@@ -130,7 +130,12 @@ def _rgb_frames(spark):
     return g.withColumns({"red": byte(c * 9 + r * 13 + f * 17), "green": byte(c * 5 + r * 7 + f * 19), "blue": byte(r * 3 + c * 11)})
 
 
-@query()
+@query(
+    f"WITH {_FRAME_RGB}, y AS (SELECT f, r, c, least(greatest((4899 * red + 9617 * green + 1868 * blue + 8192) >> 14, 0), 255) AS y, least(greatest(((-2763 * red - 5425 * green + 8192 * blue + 8192) >> 14) + 128, 0), 255) AS cb, least(greatest(((8192 * red - 6855 * green - 1327 * blue + 8192) >> 14) + 128, 0), 255) AS cr FROM pix), "
+    "h AS (SELECT f, r // 2 AS r, c // 2 AS c, (sum(cb)::BIGINT // 4)::BIGINT AS cb, (sum(cr)::BIGINT // 4)::BIGINT AS cr FROM y GROUP BY 1, 2, 3 HAVING count(*) = 4), "
+    "b AS (SELECT y.f, least(greatest(y + ((22970 * (h.cr - 128) + 8192) >> 14), 0), 255) AS red, least(greatest(y + ((-5638 * (h.cb - 128) - 11696 * (h.cr - 128) + 8192) >> 14), 0), 255) AS green, least(greatest(y + ((29032 * (h.cb - 128) + 8192) >> 14), 0), 255) AS blue FROM y JOIN h ON y.f = h.f AND y.r // 2 = h.r AND y.c // 2 = h.c) "
+    "SELECT f, count(*) AS n, sum(red)::BIGINT AS red, sum(green)::BIGINT AS green, sum(blue)::BIGINT AS blue FROM b GROUP BY f"
+)
 def frame_rgb_round_trip(spark, sf_dir):
     """Sums of the frames' colours after both conversions, where chroma is known."""
     back = color.frame_to_rgb(*color.frame_to_420(_rgb_frames(spark), ["f"]), ["f"])
@@ -209,6 +214,91 @@ def bi_prediction(spark, sf_dir):
     return a.join(b, ["r", "c"]).select("r", "c", motion.both_ways(F.col("v"), F.col("w")).cast("bigint").alias("v"))
 
 
+#: What every quarter-sample position is made of, over a table ``src`` of r, c, v.
+def _anchor_sql(src: str, out: str) -> str:
+    six = lambda v, w: f"((lag({v}, 2) OVER {w} - 5 * lag({v}) OVER {w} + 20 * {v} + 20 * lead({v}) OVER {w} - 5 * lead({v}, 2) OVER {w} + lead({v}, 3) OVER {w} + 16) >> 5)"
+    return (
+        f"{out}1 AS (SELECT r, c, v, {six('v', 'x')} AS b, lead(v) OVER x AS a10 FROM {src} WINDOW x AS (PARTITION BY r ORDER BY c)), "
+        f"{out}2 AS (SELECT *, {six('v', 'y')} AS c2, {six('b', 'y')} AS d, lead(v) OVER y AS a01, lead(a10) OVER y AS a11, lead(b) OVER y AS e FROM {out}1 WINDOW y AS (PARTITION BY c ORDER BY r)), "
+        f"{out} AS (SELECT *, lead(c2) OVER x AS f FROM {out}2 WINDOW x AS (PARTITION BY r ORDER BY c))"
+    )
+
+
+def _quarter_sql(dx: str, dy: str, bilinear: bool = False) -> str:
+    line = lambda k, p, h, q: f"(CASE {k} WHEN 0 THEN {p} WHEN 1 THEN ({p} + {h} + 1) >> 1 WHEN 2 THEN {h} ELSE ({h} + {q} + 1) >> 1 END)"
+    sharp = line(dy, line(dx, "v", "b", "a10"), line(dx, "c2", "d", "f"), line(dx, "a01", "e", "a11"))
+    flat = lambda p, q, k: f"(({p} * (4 - {k}) + {q} * {k} + 2) // 4)"
+    plain = flat(flat("v", "a10", dx), flat("a01", "a11", dx), dy)
+    return plain if bilinear else f"(CASE WHEN b IS NOT NULL AND c2 IS NOT NULL THEN least(greatest({sharp}, 0), 255) ELSE {plain} END)"
+
+
+@query(f"WITH px AS {_REF}, {_anchor_sql('px', 'an')} SELECT r, c, x::BIGINT AS dx, y::BIGINT AS dy, {_quarter_sql('x', 'y')}::BIGINT AS v FROM an, range(4) i(x), range(4) j(y) WHERE a11 IS NOT NULL")
+def quarter_planes(spark, sf_dir):
+    """All sixteen quarter-sample positions of a frame, but for its last row and column."""
+    an = motion.anchors(_moving(spark).where("f = 0").drop("f"), []).where("a11 IS NOT NULL")
+    at = an.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in range(4) for y in range(4)])))
+    v = motion.at_quarter(F.col("dx"), F.col("dy"))
+    return at.select("r", "c", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), v.cast("bigint").alias("v"))
+
+
+_SOFT = lambda t: f"(128 + ((r * 4 + {t}) * (c * 4 + 3 * {t})) // 97 % 64 + (r * 4 + {t}) // 3)"
+_SOFT0, _SOFT1 = (_grid(32, 32, 1, f"least({_SOFT(t)}, 255)") for t in (0, 5))
+_AROUND = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(motion.AROUND)) + ") m(k, x, y)"
+
+
+def _soft(spark, t: int):
+    """A soft surface that moves by quarters of a sample."""
+    r, c = F.col("r") * 4 + t, F.col("c") * 4 + 3 * t
+    v = F.least(F.lit(128) + div(r * c, 97) % 64 + div(F.col("r") * 4 + t, 3), F.lit(255))
+    return synthetic.grid(spark, 32, 32, 1).select("r", "c", v.cast("int").alias("v"))
+
+
+@query(
+    f"WITH cur AS {_SOFT1}, ref AS {_SOFT0}, {_anchor_sql('ref', 'an')}, cost AS (SELECT cur.r // 8 AS \"by\", cur.c // 8 AS bx, dy, dx, sum(abs(cur.v - ref.v))::BIGINT AS sad FROM cur, {_MOVES} m, ref WHERE ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 64), "
+    "best AS (SELECT \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx)) AS dy, arg_min(dx, (sad, dy, dx)) AS dx FROM cost GROUP BY 1, 2), "
+    f"tries AS (SELECT \"by\", bx, k, dy * 4 + y AS qy, dx * 4 + x AS qx, \"by\" * 8 + ((dy * 4 + y) >> 2) AS fy, bx * 8 + ((dx * 4 + x) >> 2) AS fx FROM best, {_AROUND}), "
+    "ok AS (SELECT *, fx >= 2 AND fy >= 2 AND fx + 10 < 32 AND fy + 10 < 32 AS safe FROM tries WHERE fx >= 0 AND fy >= 0 AND fx + 9 <= 32 AND fy + 9 <= 32), "
+    f"pr AS (SELECT \"by\", bx, k, qy, qx, abs(cur.v - own) AS d FROM (SELECT \"by\", bx, k, qy, qx, \"by\" * 8 + i AS r0, bx * 8 + j AS c0, CASE WHEN safe THEN {_quarter_sql('(qx & 3)', '(qy & 3)')} ELSE {_quarter_sql('(qx & 3)', '(qy & 3)', True)} END AS own FROM ok, range(8) a(i), range(8) g(j), an WHERE an.r = fy + i AND an.c = fx + j) p JOIN cur ON cur.r = r0 AND cur.c = c0), "
+    "al AS (SELECT \"by\", bx, k, qy, qx, sum(d)::BIGINT AS sad FROM pr GROUP BY ALL UNION ALL SELECT \"by\", bx, -1, dy * 4, dx * 4, sad FROM best) "
+    "SELECT \"by\", bx, min(sad) AS sad, arg_min(qy, (sad, k))::BIGINT AS qy, arg_min(qx, (sad, k))::BIGINT AS qx FROM al GROUP BY 1, 2"
+)
+def motion_refine(spark, sf_dir):
+    """Whole-sample search and the quarter samples around its vectors."""
+    cur, ref = _soft(spark, 5), _soft(spark, 0)
+    out = motion.refine(motion.search(cur, ref, [], 8, 4), cur, ref, [], 8)
+    return out.select("by", "bx", "sad", F.col("qy").cast("bigint").alias("qy"), F.col("qx").cast("bigint").alias("qx"))
+
+
+_QMV = "mv AS (SELECT y AS \"by\", x AS bx, y * 5 - 9 AS qy, 7 * x - 10 AS qx FROM range(4) a(y), range(4) b(x))"
+
+
+def _vectors(spark):
+    mv = spark.range(16).select(div("id", 4).alias("by"), (F.col("id") % 4).alias("bx"))
+    return mv.select("by", "bx", (F.col("by") * 5 - 9).cast("int").alias("qy"), (F.col("bx") * 7 - 10).cast("int").alias("qx"))
+
+
+@query(
+    f"WITH px AS {_REF}, {_anchor_sql('px', 'an')}, {_QMV}, pl AS (SELECT \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qy & 3 AS dy, qx & 3 AS dx, \"by\" * 8 + i + (qy >> 2) AS fy, bx * 8 + j + (qx >> 2) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
+    "pt AS (SELECT *, fx >= 0 AND fy >= 0 AND fx < 31 AND fy < 31 AS inside FROM pl) "
+    f"SELECT r0 AS r, c0 AS c, (CASE WHEN inside THEN {_quarter_sql('dx', 'dy')} ELSE v END)::BIGINT AS pred FROM pt JOIN an ON an.r = CASE WHEN inside THEN fy ELSE least(greatest(fy + (dy >= 2)::INT, 0), 31) END AND an.c = CASE WHEN inside THEN fx ELSE least(greatest(fx + (dx >= 2)::INT, 0), 31) END"
+)
+def quarter_compensation(spark, sf_dir):
+    """Vectors in quarter samples that partly leave the frame."""
+    out = motion.compensate_quarters(_vectors(spark), _moving(spark).where("f = 0").drop("f"), [], 8)
+    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+
+
+@query(
+    f"WITH px AS {_REF}, {_QMV}, pl AS (SELECT \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qx & 7 AS x, qy & 7 AS y, \"by\" * 8 + i + (qy >> 3) AS fy, bx * 8 + j + (qx >> 3) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
+    "cl AS (SELECT *, least(greatest(fy, 0), 31) AS r1, least(greatest(fy + 1, 0), 31) AS r2, least(greatest(fx, 0), 31) AS c1, least(greatest(fx + 1, 0), 31) AS c3 FROM pl) "
+    "SELECT r0 AS r, c0 AS c, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS pred FROM cl JOIN px a ON a.r = r1 AND a.c = c1 JOIN px b ON b.r = r1 AND b.c = c3 JOIN px d ON d.r = r2 AND d.c = c1 JOIN px e ON e.r = r2 AND e.c = c3"
+)
+def chroma_compensation(spark, sf_dir):
+    """A chroma plane moved by luma vectors, clamped to its frame."""
+    out = motion.compensate_chroma(_vectors(spark), _moving(spark).where("f = 0").drop("f"), [], 8)
+    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+
+
 # ── filters ──
 
 _TEX = _grid(72, 72, 1, "100 + ((r // 4) * 7 + (c // 4) * 5) % 23 + (r * c) % 3")
@@ -287,6 +377,33 @@ def frame_psnr(spark, sf_dir):
     return metrics.psnr_by(a.withColumnRenamed("v", "a").join(b, ["f", "r", "c"]), ["f"]).withColumn("psnr", F.round("psnr", 6))
 
 
+_CLIPS = " UNION ALL ".join(f"SELECT '{k}' AS clip, f, r, c, v FROM {_grid(16, 16, 3, _PATTERNS[k])}" for k in ("container", "bridge"))
+_RUN = f"WITH ref AS ({_CLIPS}), d AS (SELECT clip, qp, f, r, c, v AS a, v - v % (qp // 4) AS b FROM ref, (VALUES (22), (32)) q(qp))"
+
+
+def _summary(spark):
+    """(codec, clip, qp) rows, reference pixels, and pixels that are rounded the coarser the higher qp is."""
+    ref = synthetic.pattern(spark, "container", 16, 16, 3).withColumn("clip", F.lit("container"))
+    ref = ref.unionByName(synthetic.pattern(spark, "bridge", 16, 16, 3).withColumn("clip", F.lit("bridge")))
+    ref = ref.select("clip", F.col("f").alias("frame_idx"), F.lit("y").alias("plane"), "r", "c", "v")
+    runs = spark.createDataFrame([("own", clip, qp) for clip in ("container", "bridge") for qp in (22, 32)], "codec string, clip string, qp int")
+    dec = ref.join(F.broadcast(runs), "clip").withColumn("v", F.col("v") - F.col("v") % F.floor(F.col("qp") / 4))
+    return runs, ref, dec
+
+
+@query(f"{_RUN}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
+def quality_matrix(spark, sf_dir):
+    """Summary rows joined to their reference and decoded pixels by name, and measured."""
+    return metrics.psnr_by(metrics.quality_join(*_summary(spark)), ["codec", "clip", "qp"]).withColumn("psnr", F.round("psnr", 6))
+
+
+@query(f"{_RUN}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d WHERE f = 0 GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
+def first_frame_quality(spark, sf_dir):
+    """The same on frame 0 alone."""
+    pixels = metrics.first_frame(metrics.quality_join(*_summary(spark)))
+    return metrics.psnr_by(pixels, ["codec", "clip", "qp"]).withColumn("psnr", F.round("psnr", 6))
+
+
 @query()
 def gop_codec(spark, sf_dir):
     """The moving texture through the group codec: size and error of each frame, and whether what was decoded has

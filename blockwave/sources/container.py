@@ -1,7 +1,8 @@
 """Packets: frame headers, the length-prefixed stream, the record container, playlists and sample tables.
 
 Everything that is set-oriented is a column expression; only the scan of a file, where each length
-says where the next one is, runs in Python, a file at a time and in bounded pieces.
+says where the next one is, runs in Python, a file a task. Spark reads files whole (``binaryFile``), so a
+file has 2 GB at most; larger recordings are several files.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from typing import IO
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.bits import crc16
 from ..functions.ints import byte_at, bytes_be, bytes_le, clip, div, int_be, int_le
 from ..operators.order import offsets, segments
 
@@ -166,31 +168,50 @@ def frame_records(spark: SparkSession, path: str, width: int, height: int, rgb:
     return at.select("path", "frame_idx", part(0, luma).alias("y"), part(luma, chroma).alias("cb"), part(luma + chroma, chroma).alias("cr"))
 
 
-def write_binary(rows: DataFrame, name: str, data: str, path: str) -> None:
-    """Write each row's bytes as one file of the folder, through Spark's file system and by rename, so that a
-    failed task leaves no half a file."""
-    spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    for row in rows.select(name, data).toLocalIterator():
-        temp, final = (spark._jvm.org.apache.hadoop.fs.Path(hadoop, x) for x in (f".{row[0]}.tmp", row[0]))
-        out = fs.create(temp, True)
-        try:
-            out.write(row[1])
-        finally:
-            out.close()
-        fs.rename(temp, final)
+def write_binary(rows: DataFrame, name: str, data: str, path: str) -> int:
+    """Write each row's bytes as one file of the folder, in tasks, and give their number. A file gets its name
+    when it is whole, so a task that fails or runs twice leaves no half a file. ``path`` is of a store that
+    pyarrow opens."""
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path)
+        store.create_dir(top)
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = f"{top}/.{file}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content or b"")
+                store.move(part, f"{top}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select(F.col(name).cast("string"), data).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 # ── packets as bytes ──
 
 
+def _joined(listed: str) -> Column:
+    """The bytes ``d`` of a list of structs, laid end to end at once."""
+    return F.unhex(F.array_join(F.transform(listed, lambda s: F.hex(s["d"])), ""))
+
+
+def crc_valid(p: Column) -> Column:
+    """Whether a packet's last two bytes are the CRC of all before them; true for packets that have none."""
+    head = parse_header(p)
+    stored, body = p.substr(F.length(p) - 1, F.lit(2)), p.substr(F.lit(1), F.length(p) - 2)
+    return F.when(head["has_crc"] & (head["version"] > 0), F.conv(F.hex(stored), 16, 10).cast("int") == crc16(body)).otherwise(True)
+
+
 def stream_bytes(packets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, data): each stream's packets with their lengths, in order. A stream is one value of at most 2 GB."""
     one = F.concat(bytes_le(F.length("payload"), 4), F.col("payload"))
     listed = packets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pkt_idx", one.alias("d")))).alias("l"))
-    return listed.select(*keys, F.aggregate("l", F.unhex(F.lit("")), lambda a, s: F.concat(a, s["d"])).alias("data"))
+    return listed.select(*keys, _joined("l").alias("data"))
 
 
 def mux(packets: DataFrame, keys: list[str], fps: int = 30, segment: bool = False) -> DataFrame:
@@ -201,7 +222,7 @@ def mux(packets: DataFrame, keys: list[str], fps: int = 30, segment: bool = Fals
     record = F.concat(F.lit(RECORD_MAGIC), bytes_le(F.col("pts"), 8), bytes_le(F.length("payload"), 4), bytes_le(F.col("k"), 1), F.unhex(F.lit("000000")), F.col("payload"))
     listed = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pts", record.alias("d")))).alias("l"))
     head = struct.pack("<4sIII", SEGMENT_MAGIC if segment else STREAM_MAGIC, VERSION, fps or 30, 0)
-    return listed.select(*keys, F.aggregate("l", F.lit(head), lambda a, s: F.concat(a, s["d"])).alias("data"))
+    return listed.select(*keys, F.concat(F.lit(head), _joined("l")).alias("data"))
 
 
 def parse_container(p: Column) -> Column:
@@ -233,7 +254,11 @@ def sample_table(packets: DataFrame, keys: list[str], start: int) -> DataFrame:
 
 def sample_boxes(packets: DataFrame, keys: list[str], start: int) -> DataFrame:
     """(keys, stsz, stco): the size and chunk-offset boxes of each stream."""
-    t = sample_table(packets, keys, start).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pkt_idx", "size", "offset"))).alias("l"))
+    return _size_boxes(sample_table(packets, keys, start), keys)
+
+
+def _size_boxes(table: DataFrame, keys: list[str]) -> DataFrame:
+    t = table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pkt_idx", "size", "offset"))).alias("l"))
     hexes = lambda f: F.array_join(F.transform("l", lambda s: F.lpad(F.hex(s[f].cast("bigint")), 8, "0")), "")
     count = F.size("l")
     stsz = F.concat(bytes_be(count * 4 + 20, 4), F.lit(b"stsz"), F.unhex(F.lit("00" * 8)), bytes_be(count, 4), F.unhex(hexes("size")))
@@ -241,6 +266,79 @@ def sample_boxes(packets: DataFrame, keys: list[str], start: int) -> DataFrame:
     return t.select(*keys, stsz.alias("stsz"), stco.alias("stco"))
 
 
+def _box(kind: str, *parts: Column) -> Column:
+    body = F.concat(*parts) if parts else F.unhex(F.lit(""))
+    return F.concat(bytes_be(F.length(body) + 8, 4), F.lit(kind.encode()), body)
+
+
+def mp4(packets: DataFrame, keys: list[str], width: int, height: int, fps: int = 30) -> DataFrame:
+    """(keys, data): each stream as an MP4 file of one track with the private sample entry ``tcv1``, a sample a
+    packet and a chunk a sample. A stream is one value of at most 2 GB."""
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    raw = lambda h: F.unhex(F.lit(h.replace(" ", "")))
+    unity = "00010000 00000000 00000000 00000000 00010000 00000000 00000000 00000000 40000000"
+    p = packets.select(*keys, "pkt_idx", "payload", F.length("payload").alias("size"))
+    listed = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pkt_idx", F.col("payload").alias("d")))).alias("l"), F.count("*").alias("n"))
+    time = bytes_be(F.col("n"), 4)
+    entry = _box("tcv1", zeros(6), raw("0001"), zeros(16), bytes_be(F.lit(width), 2), bytes_be(F.lit(height), 2), raw("00480000 00480000 00000000 0001"), zeros(32), raw("0018 FFFF"))
+    stts = F.concat(zeros(4), raw("00000001"), time, raw("00000001"))
+    table = _box("stbl", _box("stsd", zeros(4), raw("00000001"), entry), _box("stts", stts), _box("stsc", zeros(4), raw("00000001 00000001 00000001 00000001")), F.col("stsz"), F.col("stco"))
+    media = _box("minf", _box("vmhd", raw("00000001"), zeros(8)), _box("dinf", _box("dref", zeros(4), raw("00000001"), _box("url ", raw("00000001")))), table)
+    mdia = _box("mdia", _box("mdhd", zeros(12), bytes_be(F.lit(fps), 4), time, raw("55C4 0000")), _box("hdlr", zeros(8), F.lit(b"vide"), zeros(13)), media)
+    track = _box("trak", _box("tkhd", raw("00000007"), zeros(8), raw("00000001"), zeros(4), time, zeros(16), raw(unity), bytes_be(F.lit(width << 16), 4), bytes_be(F.lit(height << 16), 4)), mdia)
+    moov = _box("moov", _box("mvhd", zeros(12), bytes_be(F.lit(fps), 4), time, raw("00010000 0100 0000"), zeros(8), raw(unity), zeros(24), raw("00000002")), track)
+    start = F.concat(_box("ftyp", F.lit(b"isom"), raw("00000200"), F.lit(b"isomtcv1")), moov)
+    # The places of the samples follow from the length of what comes before them, which they do not change.
+    empty = sample_boxes(p, keys, 0)
+    before = listed.join(empty, keys).select(*keys, "l", "n", (F.length(start) + 8).alias("before"))
+    placed = p.join(before.select(*keys, "before"), keys)
+    w = Window.partitionBy(*keys).orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(*keys, "pkt_idx", "size", (F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("before")).alias("offset"))
+    return before.join(_size_boxes(placed, keys), keys).select(*keys, F.concat(start, _box("mdat", _joined("l"))).alias("data"))
+
+
+def mp4_packets(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pkt_idx, payload, error) of MP4 files (keys, data): samples by their stsz and stco boxes. A file
+    whose boxes are missing, disagree or leave the file is one row with its error."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema.fields)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            at, rows = [], []
+            for i, data in enumerate(b.column(len(keys)).to_pylist()):
+                try:
+                    own = [(k, data[o : o + n], "") for k, (o, n) in enumerate(samples(data or b""))]
+                except (ValueError, struct.error) as e:
+                    own = [(0, None, str(e))]
+                at += [i] * len(own)
+                rows += own
+            columns = zip(list(zip(*rows)) or [[]] * 3, (pa.int64(), pa.binary(), pa.string()))
+            own_keys = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own_keys, *(pa.array(c, kind) for c, kind in columns)], [*keys, "pkt_idx", "payload", "error"])
+
+    return files.select(*keys, "data").mapInArrow(run, f"{kinds}, pkt_idx bigint, payload binary, error string")
+
+
+def samples(data: bytes) -> list[tuple[int, int]]:
+    """(offset, size) of the samples of an MP4 file."""
+    found = {path: (a, b) for path, a, b in boxes(data)}
+    try:
+        (sa, sb), (ca, cb) = (found[f"moov/trak/mdia/minf/stbl/{k}"] for k in ("stsz", "stco"))
+    except KeyError as e:
+        raise ValueError(f"no {e.args[0]} box") from None
+    fixed, n = struct.unpack(">II", data[sa + 4 : sa + 12])
+    (chunks,) = struct.unpack(">I", data[ca + 4 : ca + 8])
+    if n != chunks or ca + 8 + 4 * n > cb or (not fixed and sa + 12 + 4 * n > sb):
+        raise ValueError("sample tables disagree")
+    sizes = [fixed] * n if fixed else struct.unpack(f">{n}I", data[sa + 12 : sa + 12 + 4 * n])
+    out = list(zip(struct.unpack(f">{n}I", data[ca + 8 : ca + 8 + 4 * n]), sizes))
+    if any(not 0 < k <= LARGEST or o + k > len(data) for o, k in out):
+        raise ValueError("a sample leaves the file")
+    return out
+
+
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
     """(path, first byte, end) of the boxes of a file, those inside moov, trak, mdia, minf and stbl included."""
     end, at = len(data) if end is None else end, start
