@@ -100,6 +100,8 @@ def _features(kind: str, text: str, start: int, end: int) -> list[float]:
         float(kind == "iban" and _mod97(s)), float(len(d) == 9 and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), float(before[-1:] in ("", " ", "\n")), float(after[:1] in ("", " ", "\n", ".", ",")),
         float(before.rstrip()[-1:] in (":", "=", "#")), float(d[:4] in ("1900", "2000") or d[:2] in ("19", "20")),
+        # part of a longer row of digit groups
+        float(before.rstrip(" .-")[-1:].isdigit()), float(after.lstrip(" .-")[:1].isdigit()),
     ]
 
 
@@ -114,7 +116,7 @@ def _example(r: random.Random) -> tuple[str, str, bool]:
     kind, true = r.choice(MORE), r.random() < 0.5
     if kind == "local_phone":
         area, sep = n(3), r.choice(" .-")
-        s = r.choice((f"({area}) {n(3)}-{n(4)}", f"{area}{sep}{n(3)}{sep}{n(4)}", f"0{n(3)} {n(3)} {n(4)}")) if true else r.choice((f"{r.choice(('19', '20'))}{n(2)}-{n(4)}{n(3)}", f"{n(4)} {n(4)}{n(3)}", f"{n(2)}.{n(3)}.{n(3)}", f"{n(4)}/{n(4)}{n(4)}"))
+        s = r.choice((f"({area}) {n(3)}-{n(4)}", f"{area}{sep}{n(3)}{sep}{n(4)}", f"0{n(3)} {n(3)} {n(4)}")) if true else r.choice((f"{r.choice('ABDEFGLNX')}{r.choice('BEFKRSTX')}{n(2)} " + " ".join(n(4) for _ in range(r.randint(2, 5))), f"{r.choice(('19', '20'))}{n(2)}-{n(4)}{n(3)}", f"{n(4)} {n(4)}{n(3)}", f"{n(2)}.{n(3)}.{n(3)}", f"{n(4)}/{n(4)}{n(4)}"))
     elif kind == "ssn":
         sep = r.choice("- ")
         s = f"{r.randint(1, 665):03d}{sep}{r.randint(1, 99):02d}{sep}{r.randint(1, 9999):04d}" if true else r.choice((f"9{n(2)}{sep}{n(2)}{sep}{n(4)}", f"000-{n(2)}-{n(4)}", f"{n(3)} {n(2)} {n(4)}", f"{n(3)}-00-{n(4)}"))
