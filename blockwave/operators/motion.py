@@ -1,12 +1,15 @@
 """Motion: block matching, sub-sample interpolation and compensation over pixel tables.
 
-Pixels are rows (keys, r, c, v). Searches are equi-joins on shifted integer coordinates against a
-literal table of displacements; they are exhaustive, so their error is never above that of a greedy
+Pixels are rows (keys, r, c, v). Searches are exhaustive, so their error is never above that of a greedy
 search over the same range, and the displacement may be another one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ TAPS = (1, -5, 20, 20, -5, 1)
 #: The points (x, y) around a whole-sample vector, in quarter samples, in the order of trial.
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
 
+_FAR = 1 << 40
+
 
 def displacements(spark, reach: int, step: int = 1) -> DataFrame:
     """(dy, dx) of the search square: (2 * reach / step + 1) ** 2 rows, whatever the data."""
@@ -26,14 +31,56 @@ def displacements(spark, reach: int, step: int = 1) -> DataFrame:
 
 def search(current: DataFrame, reference: DataFrame, keys: list[str], n: int, reach: int, step: int = 1) -> DataFrame:
     """(keys, by, bx, sad, dy, dx): for each n x n block the displacement with the least error, of equals the
-    smallest (dy, dx). Displacements that leave the frame do not count."""
-    moves = F.broadcast(displacements(current.sparkSession, reach, step))
-    cur = current.select(*keys, "r", "c", F.col("v").alias("a")).crossJoin(moves)
-    cur = cur.select(*keys, div("r", n).alias("by"), div("c", n).alias("bx"), "dy", "dx", (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"), "a")
-    hit = cur.join(reference.select(*keys, "r", "c", F.col("v").alias("b")), [*keys, "r", "c"])
-    cost = hit.groupBy(*keys, "by", "bx", "dy", "dx").agg(F.sum(F.abs(F.col("a") - F.col("b")).cast("bigint")).alias("sad"), F.count("*").alias("n")).where(F.col("n") == n * n)
-    best = cost.groupBy(*keys, "by", "bx").agg(F.min(F.struct("sad", "dy", "dx")).alias("m"))
-    return best.select(*keys, "by", "bx", "m.*")
+    smallest (dy, dx). Displacements that leave the frame do not count, nor do blocks that are not whole.
+
+    A block and what it may reach of the reference meet in one row, so a reference sample is copied to
+    ((n + 2 * reach) / n) ** 2 blocks, not to every displacement; errors are summed over Arrow batches.
+    """
+    side, at = n + 2 * reach, [*keys, "by", "bx"]
+
+    def gathered(px: DataFrame, name: str) -> DataFrame:
+        return px.groupBy(*at).agg(F.collect_list(F.col("p").cast("int")).alias(f"{name}_p"), F.collect_list(F.col("v").cast("int")).alias(f"{name}_v"))
+
+    whole = current.select(*keys, div("r", n).alias("by"), div("c", n).alias("bx"), ((F.col("r") % n) * n + F.col("c") % n).alias("p"), "v")
+    span = lambda x: F.explode(F.sequence(F.greatest(F.ceil((F.col(x) - (n - 1 + reach)) / n), F.lit(0)), F.floor((F.col(x) + reach) / n)))
+    near = reference.select(*keys, "r", "c", "v", span("r").alias("by")).select("*", span("c").alias("bx"))
+    near = near.select(*at, ((F.col("r") - F.col("by") * n + reach) * side + F.col("c") - F.col("bx") * n + reach).alias("p"), "v")
+    both = gathered(whole, "own").where(F.size("own_p") == n * n).join(gathered(near, "ref"), at)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*at).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = len(at)
+            own = _filled(b.column(k), b.column(k + 1), n * n).reshape(-1, n, n)
+            ref = _filled(b.column(k + 2), b.column(k + 3), side * side).reshape(-1, side, side)
+            found = [_least(own[i : i + 128], ref[i : i + 128], reach, step) for i in range(0, len(own), 128)]
+            best = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+            good = pa.array(best[:, 0] < _FAR)
+            rows = [*b.columns[:k], pa.array(best[:, 0]), *(pa.array(best[:, j].astype(np.int32)) for j in (1, 2))]
+            yield pa.RecordBatch.from_arrays(rows, [*at, "sad", "dy", "dx"]).filter(good)
+
+    return both.select(*at, "own_p", "own_v", "ref_p", "ref_v").mapInArrow(run, f"{kinds}, sad bigint, dy int, dx int")
+
+
+def _filled(places: pa.ListArray, values: pa.ListArray, size: int) -> np.ndarray:
+    """(rows, size) of the values at their places; what is missing costs so much that it is never chosen."""
+    out = np.full((len(places), size), -_FAR, np.int64)
+    row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+    out[row, places.flatten().to_numpy()] = values.flatten().to_numpy()
+    return out
+
+
+def _least(own: np.ndarray, ref: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """(sad, dy, dx) of the least error of each block."""
+    n, best = own.shape[1], np.full((len(own), 3), _FAR, np.int64)
+    for y in range(0, 2 * reach + 1, step):
+        wide = np.lib.stride_tricks.sliding_window_view(ref[:, y : y + n], n, axis=2)[:, :, ::step]
+        sad = np.abs(wide - own[:, :, None, :]).sum(axis=(1, 3))
+        x = sad.argmin(axis=1)
+        now = sad[np.arange(len(own)), x]
+        less = now < best[:, 0]
+        best[less] = np.stack([now, np.full(len(own), y - reach), x * step - reach], axis=1)[less]
+    return best
 
 
 def global_motion(current: DataFrame, reference: DataFrame, keys: list[str], reach: int = 8, every: int = 4, outside: int = 1020) -> DataFrame:

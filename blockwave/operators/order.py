@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +82,26 @@ def segments(packets: DataFrame, stream: list[str], order: str, key: str, target
     """(stream, order, segment) where a new segment begins at the first key packet once the present one has
     at least ``target`` packets; null segments for streams that do not begin with a key packet.
 
-    Where to cut depends on the last cut, so key packets are folded for each stream; only their places
-    are collected, not the packets.
+    Where to cut depends on the last cut, so each stream is walked in order; a task keeps three numbers.
     """
-    w = Window.partitionBy(*stream).orderBy(order)
-    n = packets.select(*stream, order, F.col(key).alias("_key"), (F.row_number().over(w) - 1).alias("_at"))
-    places = F.sort_array(F.collect_list(F.when(F.col("_key"), F.col("_at"))))
-    start = F.array().cast("array<int>")
-    cuts = F.aggregate(places, start, lambda s, p: F.when((F.size(s) == 0) | (p - F.element_at(F.concat(F.array(F.lit(-1)), s), -1) >= target), F.concat(s, F.array(p))).otherwise(s))
-    found = n.groupBy(*stream).agg(cuts.alias("_cuts"))
-    begin = found.select(*stream, F.posexplode("_cuts").alias("_seg", "_at"))
-    marked = n.join(begin, [*stream, "_at"], "left")
-    seg = F.last("_seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_key").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return marked.select(*stream, order, F.when(first, seg).cast("bigint").alias("segment"))
+    slim = packets.select(*stream, order, F.col(key).cast("boolean").alias("_key"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_key").schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, segment, size = None, None, 0
+        for b in batches:
+            names, out = list(zip(*(b.column(k).to_pylist() for k in range(len(stream))))), []
+            for name, is_key in zip(names, b.column(len(stream) + 1).to_pylist()):
+                if name != now:
+                    now, segment, size = name, 0 if is_key else None, 0
+                elif is_key and segment is not None and size >= target:
+                    segment, size = segment + 1, 0
+                size += 1
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int64())], [*stream, order, "segment"])
+
+    dealt = slim.repartition(*stream).sortWithinPartitions(*stream, order)
+    return dealt.mapInArrow(run, f"{kinds}, segment bigint")
 
 
 def previous_grid(vectors: DataFrame, clip: list[str], frame: str, cell: list[str], value: str) -> DataFrame:

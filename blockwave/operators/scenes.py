@@ -43,24 +43,14 @@ def scene_cuts(samples: DataFrame, clip: list[str], frame: str, value: str, thre
 def scene_cuts_gated(frames: DataFrame, clip: list[str], interval: int, threshold: float = CUT) -> DataFrame:
     """Key flags of frames (clip, idx, bins array) where only frames that come to the test leave their
     histogram behind: frame 0 and cadence keys do not, so the next one meets an older histogram or none.
-
-    A fold for each clip over its frames in order; a clip's histograms have to fit in one array.
-    """
-    rows = F.sort_array(F.collect_list(F.struct("idx", "bins")))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("last"), F.array().cast("array<struct<idx:bigint,key:boolean>>").alias("out"))
-
-    def one(s: Column, f: Column) -> Column:
-        total = F.aggregate(f["bins"], F.lit(0).cast("bigint"), lambda a, v: a + v)
-        far = F.aggregate(F.zip_with(f["bins"].cast("array<double>"), s["last"].cast("array<double>"), chi_square), F.lit(0.0), lambda a, v: a + v)
-        cadence = f["idx"] % interval == 0
-        cut = (F.size(s["last"]) > 0) & (far / total > threshold)
-        key = cadence | cut
-        row = F.struct(f["idx"].cast("bigint").alias("idx"), F.coalesce(key, F.lit(False)).alias("key"))
-        return F.struct(F.when(cadence, s["last"]).otherwise(f["bins"].cast("array<bigint>")).alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = frames.groupBy(*clip).agg(F.aggregate(rows, start, one)["out"].alias("out"))
-    return folded.select(*clip, F.inline("out"))
+    That histogram is the last one of a frame off the cadence: one window pass."""
+    cadence = F.col("idx") % interval == 0
+    w = Window.partitionBy(*clip).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = frames.withColumn("_last", F.last(F.when(~cadence, F.col("bins")), ignorenulls=True).over(w))
+    total = F.aggregate("bins", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    far = F.aggregate(F.zip_with(F.col("bins").cast("array<double>"), F.col("_last").cast("array<double>"), chi_square), F.lit(0.0), lambda a, v: a + v)
+    cut = F.col("_last").isNotNull() & (far / total > threshold)
+    return before.select(*clip, F.col("idx").cast("bigint").alias("idx"), F.coalesce(cadence | cut, F.lit(False)).alias("key"))
 
 
 def cadence_key(idx: Value, interval: Value = 30, forced: Column | None = None) -> Column:

@@ -38,7 +38,12 @@ def scene_cut_events_daily(spark, sf_dir):
     return cut.select("day", "n", F.round("distance", 6).alias("distance"), "key")
 
 
-@query()
+@query(
+    "WITH d AS (SELECT user_id, datediff('day', DATE '2024-01-01', ts::DATE) AS idx, least(floor(value)::BIGINT, 255) * 16 // 256 AS b FROM events), h AS (SELECT user_id, idx, b, count(*) AS n FROM d GROUP BY 1, 2, 3), f AS (SELECT DISTINCT user_id, idx FROM d), "
+    "pr AS (SELECT f.user_id, f.idx, max(g.idx) AS last FROM f LEFT JOIN f g ON g.user_id = f.user_id AND g.idx < f.idx AND g.idx % 10 <> 0 GROUP BY 1, 2), "
+    "x AS (SELECT pr.user_id, pr.idx, pr.last, coalesce(a.n, 0)::DOUBLE AS a, coalesce(l.n, 0)::DOUBLE AS l FROM pr CROSS JOIN range(16) r(b) LEFT JOIN h a ON a.user_id = pr.user_id AND a.idx = pr.idx AND a.b = r.b LEFT JOIN h l ON l.user_id = pr.user_id AND l.idx = pr.last AND l.b = r.b) "
+    "SELECT user_id, idx::BIGINT AS idx, idx % 10 = 0 OR (any_value(last) IS NOT NULL AND sum(CASE WHEN a + l > 0 THEN (a - l) ** 2 / ((a + l) / 2.0::DOUBLE) ELSE 0 END) / sum(a) > 0.5) AS key FROM x GROUP BY user_id, idx"
+)
 def scene_cut_gated_users(spark, sf_dir):
     """Key flags of each user's days where keys by cadence leave no histogram behind."""
     e = table(spark, sf_dir, "events").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("idx"), F.least(F.floor("value"), F.lit(255)).cast("int").alias("v"))
