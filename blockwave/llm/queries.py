@@ -28,7 +28,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later run over the same table finds all its blobs in the ledger, and scans none."""
     name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return secrets.secrets(_table(spark, sf_dir, "documents"), f"{shared.shared_dir(spark)}/secrets-ledger-{name}")
+    return secrets.secrets(_table(spark, sf_dir, "documents"), f"{shared.shared_root(spark)}/secrets-ledger-{name}")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

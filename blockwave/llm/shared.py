@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _local: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset in local mode (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables."""
+    return f"{shared_root(spark)}/blockwave-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once the results that read them are written."""
+    forget(spark, shared_dir(spark))
+
+
 def write(df: DataFrame, tag: str) -> str:
     """Write ``df`` to a new folder of the shared directory; the path."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -47,7 +57,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def forget(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``write`` made."""
+    """Delete a folder."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

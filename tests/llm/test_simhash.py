@@ -87,3 +87,12 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert all(r["fingerprint"] == f"{plain_fingerprint(texts[r['doc_id']]):016x}" for r in got)
     want = groups([(r["doc_id"], int(r["fingerprint"], 16)) for r in got])
     assert all(r["component_id"] == want[int(r["fingerprint"], 16)] for r in got)
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from blockwave.llm import shared
+
+    assert shared.keep(spark.range(3), "numbers").count() == 3
+    assert shared.exists(spark, shared.shared_dir(spark))
+    shared.clean(spark)
+    assert not shared.exists(spark, shared.shared_dir(spark)) and shared.exists(spark, shared.shared_root(spark))
