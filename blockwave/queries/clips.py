@@ -326,7 +326,21 @@ def deblock_frame(spark, sf_dir):
     return loopfilter.deblock_luma(_texture(spark), [], 30).select("r", "c", F.col("v").cast("bigint").alias("v"))
 
 
-@query()
+def _chroma_sql(x: str, n: str, a: str, b: str, up: bool) -> str:
+    """A sample next to a chroma edge, moved towards its neighbour n where the pair a, b is near, at QP 30."""
+    step = f"least(greatest(({n} - {x} + 1) >> 1, -6), 6)" if up else f"-least(greatest(({x} - {n} + 1) >> 1, -6), 6)"
+    return f"CASE WHEN abs({a} - {b}) < 29 THEN least(greatest({x} + {step}, 0), 255) ELSE {x} END"
+
+
+_ROWS = ", ".join(f"CASE WHEN r % 4 = 0 AND r % 32 <> 0 AND ncr IS NOT NULL THEN {_chroma_sql(k, 'n' + k, 'cr', 'ncr', True)} WHEN r % 4 = 1 AND (r - 1) % 32 <> 0 THEN {_chroma_sql(k, 'b' + k, 'bcr', 'cr', False)} ELSE {k} END AS {k}" for k in ("cb", "cr"))
+
+
+@query(
+    f"WITH px AS {_TEX}, h AS (SELECT r, c, v AS cb, 250 - v AS cr, lead(v) OVER x AS n, lag(v) OVER x AS b FROM px WINDOW x AS (PARTITION BY r ORDER BY c)), "
+    f"k AS (SELECT r, c, cr, CASE WHEN c % 4 = 3 AND (c + 1) % 32 <> 0 AND n IS NOT NULL THEN {_chroma_sql('cb', 'n', 'cb', 'n', True)} WHEN c % 4 = 0 AND c % 32 <> 0 THEN {_chroma_sql('cb', 'b', 'b', 'cb', False)} ELSE cb END AS cb FROM h), "
+    f"g AS (SELECT r, cb, cr, lead(cb) OVER y AS ncb, lead(cr) OVER y AS ncr, lag(cb) OVER y AS bcb, lag(cr) OVER y AS bcr FROM k WINDOW y AS (PARTITION BY c ORDER BY r)), o AS (SELECT {_ROWS} FROM g) "
+    "SELECT count(*) AS n, sum(cb)::BIGINT AS cb, sum(cr)::BIGINT AS cr FROM o"
+)
 def deblock_chroma_frame(spark, sf_dir):
     """Sums of both planes after the chroma filter."""
     p = _texture(spark).select("r", "c", F.col("v").alias("cb"), (F.lit(250) - F.col("v")).alias("cr"))
