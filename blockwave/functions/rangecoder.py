@@ -66,7 +66,7 @@ class Encoder:
         while self.range < LEAST_RANGE:
             self.out.append(self.low >> 24)
             self.low = self.low << 8 & MASK
-            self.range = self.range << 8 & MASK
+            self.range <<= 8
 
     def finish(self) -> bytes:
         for _ in range(FLUSH):
@@ -97,7 +97,7 @@ class Decoder:
             more = self.data[self.at] if self.at < len(self.data) else 0
             self.at += 1
             self.low = (self.low << 8 | more) & MASK
-            self.range = (self.range << 8 & MASK) or 0xFF
+            self.range <<= 8
         return bit
 
 
