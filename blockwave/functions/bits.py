@@ -87,10 +87,15 @@ def read_ue(text: Column, at: Value = 0) -> Column:
 def pack(text: Column) -> Column:
     """A bit string as bytes, the last filled up with zeros."""
 
-    full = F.rpad(text, div(F.length(text) + 7, 8).cast("int") * 8, "0")
-    byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
-    cells = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(8)), byte)
-    return F.when(F.length(text) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(cells, "")))
+    def cells(full: Column) -> Column:
+        byte = lambda i: F.lpad(F.conv(F.substring(full, i, F.lit(8)), 2, 16), 2, "0")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(full), F.lit(8)), byte), "")
+
+    def whole(t: Column) -> Column:
+        full = F.rpad(t, div(F.length(t) + 7, 8).cast("int") * 8, "0")
+        return F.when(F.length(t) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(let(full, cells)))
+
+    return let(text, whole)
 
 
 def unpack(data: Column) -> Column:
