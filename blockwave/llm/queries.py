@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licenses, lzprint, pii, secrets, sharding, shared, simhash, toxicity
+from . import align, bpe, chat, decontam, licenses, lzprint, pii, secrets, sharding, shared, simhash, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
+BYTE_SPEC, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +72,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).where("rejected")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path(BYTE_SPEC), public_tokenizers.path(PIECE_MODEL)
+    return align.alignment(_table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_secrets, op3_sharding, op4_pii, op5_bpe, op6_lzprint, op7_chat, op8_licenses, op9_decontam, op10_toxicity)
+    for f in (op1_simhash, op2_secrets, op3_sharding, op4_pii, op5_bpe, op6_lzprint, op7_chat, op8_licenses, op9_decontam, op10_toxicity, op11_align)
 }
 #: A match of an escaped string, a backslash or a control string, makes a text one character longer.
 _ESCAPED = r"\\|<\|turn\|>|<\|text\|>|<\|end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
