@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def start_frame(qp: Column, level: Column) -> Column:
     return qp_of(target)
 
 
+def next_qp(qp: int, level: float) -> int:
+    """The QP after one look at the budget, as a plain number."""
+    ask = -2.0 if level > 0.8 else -1.0 if level > 0.6 else 2.0 if level < 0.2 else 1.0 if level < 0.4 else 0.0
+    r = min(max(1.0 / (1.0 + math.exp(-(qp - MIDDLE) / SCALE)) + ask * 0.05, 0.05), 0.95)
+    return min(max(int(MIDDLE + SCALE * math.log(r / (1.0 - r)) + 0.5), QP_MIN), QP_MAX)
+
+
 def end_frame(level: Column, used: Column, target: Column, size: Column) -> Column:
     """The budget after a frame, between 0 and 1; without a buffer it stays."""
     after = level + (target.cast("double") - used.cast("double")) / size

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ratecontrol as R
 from ..functions.filters import edge
 from ..functions.ints import div
-from ..operators import metrics, order, scenes
+from ..operators import metrics, order, prefix, scenes
 from ..sources import container
 from .common import table
 
@@ -86,6 +86,38 @@ def vbv_fold_users(spark, sf_dir):
     return f.select("user_id", F.col("s.frames").cast("bigint").alias("frames"), F.col("s.qp").cast("bigint").alias("qp"), F.round("s.level", 6).alias("level"), F.col("s.total").alias("total"))
 
 
+# the level in halves of a bit, so that it is a whole number
+_ASK = "CASE WHEN 5 * s.half > 960000 THEN -2 WHEN 5 * s.half > 720000 THEN -1 WHEN 5 * s.half < 240000 THEN 2 WHEN 5 * s.half < 480000 THEN 1 ELSE 0 END"
+_RHO = f"least(greatest(1 / (1 + exp(-(s.qp - 28) / 8.0::DOUBLE)) + ({_ASK})::DOUBLE * 0.05::DOUBLE, 0.05::DOUBLE), 0.95::DOUBLE)"
+
+
+def _walked(key: str) -> str:
+    """The budget frame by frame, for each key of ``events``."""
+    return (
+        f"WITH RECURSIVE e AS (SELECT {key} AS key, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS place, floor(value * 100)::BIGINT AS bits FROM events), "
+        "s AS (SELECT DISTINCT key, NULL::BIGINT AS event_id, -1::BIGINT AS place, 32::BIGINT AS qp, 120000::BIGINT AS half, 0::BIGINT AS total FROM e UNION ALL "
+        f"SELECT s.key, e.event_id, e.place, least(greatest(floor(28 + 8 * ln({_RHO} / (1 - {_RHO})) + 0.5), 0), 63)::BIGINT, least(greatest(s.half + 2 * (4000 - e.bits), 0), 240000)::BIGINT, s.total + e.bits FROM s JOIN e ON e.key = s.key AND e.place = s.place + 1) "
+    )
+
+
+def _frames(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("bits"))
+
+
+@query(_walked("user_id") + "SELECT key AS user_id, event_id, place, qp, round(half / 240000.0::DOUBLE, 9) AS level, total FROM s WHERE place >= 0")
+def vbv_prefix_users(spark, sf_dir):
+    """The budget of ``vbv_fold_users`` frame by frame, as a parallel prefix over ranges of all events."""
+    b = prefix.budget(_frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], "bits", 32, 120_000, 30.0)
+    return b.select("user_id", "event_id", "place", F.col("qp").cast("bigint").alias("qp"), F.round("level", 9).alias("level"), "total")
+
+
+@query(_walked("0") + "SELECT event_id, place, qp, round(half / 240000.0::DOUBLE, 9) AS level, total FROM s WHERE place >= 0")
+def vbv_prefix_one_stream(spark, sf_dir):
+    """All events as one stream, which is cut over all tasks."""
+    b = prefix.budget(_frames(spark, sf_dir), [], ["ts", "event_id"], "bits", 32, 120_000, 30.0)
+    return b.select("event_id", "place", F.col("qp").cast("bigint").alias("qp"), F.round("level", 9).alias("level"), "total")
+
+
 @query("SELECT p::BIGINT AS position, CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END::BIGINT AS off, least(62 + CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END, 63)::BIGINT AS qp FROM range(100) t(p)")
 def layer_qp(spark, sf_dir):
     p = spark.range(100).select(F.col("id").alias("position"))
@@ -179,6 +211,29 @@ def segment_by_key(spark, sf_dir):
     return order.segments(c, ["conv_id"], "turn", "key", 3)
 
 
+@query(f"{_SEG} SELECT conv_id, turn, k AS place, segment FROM s")
+def segment_doubling(spark, sf_dir):
+    """The same segments by pointer doubling."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return prefix.segments(c, ["conv_id"], ["turn"], F.col("role") == "user", 3).select("conv_id", "turn", "place", "segment")
+
+
+_ONE = (
+    "WITH RECURSIVE p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, value < 40 OR row_number() OVER (ORDER BY ts, event_id) = 1 AS key FROM events), "
+    "n AS (SELECT a.place, (SELECT min(b.place) FROM p b WHERE b.key AND b.place >= a.place + 24) AS after FROM p a WHERE a.key), "
+    "c AS (SELECT 0::BIGINT AS place, 0::BIGINT AS segment UNION ALL SELECT n.after, c.segment + 1 FROM c JOIN n ON n.place = c.place WHERE n.after IS NOT NULL) "
+    "SELECT p.event_id, p.place, c.segment FROM p ASOF JOIN c ON p.place >= c.place"
+)
+
+
+@query(_ONE)
+def segment_one_stream(spark, sf_dir):
+    """All events as one stream of packets, small values as key packets, 24 packets or more a segment."""
+    e = table(spark, sf_dir, "events").select("ts", "event_id", "value")
+    n = prefix.numbered(e, [], ["ts", "event_id"]).withColumnRenamed("place", "_nth")
+    return prefix.segments(n, [], ["ts", "event_id"], (F.col("value") < 40) | (F.col("_nth") == 0), 24).select("event_id", "place", "segment")
+
+
 @query(f"{_SEG}, n AS (SELECT conv_id, segment, count(*) AS n FROM s WHERE segment IS NOT NULL GROUP BY 1, 2) SELECT conv_id, chr(35) || 'EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || ((max(n) FILTER (WHERE segment = 0) + 1) // 2) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10) || string_agg('#EXTINF:' || printf('%.6f', n / 2.0::DOUBLE) || ',' || chr(10) || 'seg_' || lpad(segment::VARCHAR, 4, '0') || '.m4s' || chr(10), '' ORDER BY segment) || '#EXT-X-ENDLIST' || chr(10) AS text FROM n GROUP BY conv_id")
 def playlists(spark, sf_dir):
     """Playlists of those segments at two packets a second."""

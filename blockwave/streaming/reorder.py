@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.ratecontrol import MIDDLE, QP_MAX, QP_MIN, SCALE
+from ..functions.ratecontrol import next_qp
 from ..operators.order import GROUP, REORDER
 
 
@@ -72,17 +72,6 @@ def display_order(stream: DataFrame, slots: int = REORDER) -> DataFrame:
     return _run(stream, "clip", step, "clip long, poc long, shown long", "held array<long>, due long")
 
 
-def _rho(qp: int) -> float:
-    return 1.0 / (1.0 + math.exp(-(qp - MIDDLE) / SCALE))
-
-
-def next_qp(qp: int, level: float) -> int:
-    """The QP after one look at the budget."""
-    ask = -2.0 if level > 0.8 else -1.0 if level > 0.6 else 2.0 if level < 0.2 else 1.0 if level < 0.4 else 0.0
-    r = min(max(_rho(qp) + ask * 0.05, 0.05), 0.95)
-    return min(max(int(MIDDLE + SCALE * math.log(r / (1.0 - r)) + 0.5), QP_MIN), QP_MAX)
-
-
 def rate_control(stream: DataFrame, qp: int, bitrate: int, fps: float) -> DataFrame:
     """(clip, idx, qp, level) of frames (clip, idx, bits) in order: the QP each was given and the budget after it."""
     target = math.floor(bitrate / fps)
