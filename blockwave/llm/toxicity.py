@@ -2,11 +2,15 @@
 
 The chain goes over the categories that the labels have: low quality first, then toxic, whose model
 sees the text's features and the probability of low quality; the last link decides. The models are
-trained here on a bounded sample of labelled documents. Features are the words of a document and the
-first letters of its words, present or not; those that tell a category from the rest are kept. A
+trained here on a bounded sample of labelled documents. Features are the words of a document, the first
+letters of its words, and those of two and three different words; those that tell a category from the rest are kept. A
 later model is trained on out-of-fold probabilities of the earlier ones, as it will meet
 probabilities of texts that those were not trained on.
 
+A text is scored by windows of WINDOW words that overlap by half and cover all of it, and counts as its worst
+one, so that clean text around a toxic passage does not hide it. Thresholds are set on the same scores; a text of
+many windows has to reach more than a short one, so that clean texts stay as they get longer.
+
 Features are found, counted and selected by Spark jobs. The driver gets the selected features, at
 most FEATURES of them for each model, and for each sampled document the places of those that it has.
 """
@@ -14,6 +18,7 @@ most FEATURES of them for each model, and for each sampled document the places o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,18 +33,28 @@ from .shared import from_texts, keep, keep_rows, small_batches
 SAMPLE = 2500  # labelled documents of each kind, toxic and not, that training takes at most
 FEATURES = 3000  # kept for a model at most
 PREFIXES = (4, 5, 6, 7, 8)
+TIMES = 3  # different words with one beginning that are told apart
 FOLDS = 3
+WINDOW = 200  # words
+CHANCE = 0.01  # that clean text is rejected, at most, where its many windows raise the threshold
 RARE = 3  # documents of a category that a feature has to be in, at least
 #: The categories in the chain's order, each with its label; the last one decides.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
+def windows(text: str | None) -> list[set[str]]:
+    """The words of each window; one window where there are few."""
+    words = _WORD.findall((text or "").lower())
+    return [set(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
+
+
+def features(words: set[str]) -> set[str]:
+    """The words, ``^`` and the beginnings of words, ``^^`` and those that at least two words have, and so on."""
     out = set(words)
     for n in PREFIXES:
-        out.update(["^" + w[:n] for w in words if len(w) >= n])
+        for start, times in Counter(w[:n] for w in words if len(w) >= n).items():
+            out.update("^" * k + start for k in range(1, min(times, TIMES) + 1))
     return out
 
 
@@ -79,12 +94,16 @@ class Link:
 
     def __post_init__(self) -> None:
         self.words = {f for f in self.index if f[0] != "^"}
-        self.starts = {n: s for n in PREFIXES if (s := {f[1:] for f in self.index if f[0] == "^" and len(f) == n + 1})}
+        self.starts: dict[int, dict[str, list[tuple[int, int]]]] = {}  # by length and beginning: how often, and its place
+        for f, i in self.index.items():
+            if start := f.lstrip("^") if f[0] == "^" else "":
+                self.starts.setdefault(len(start), {}).setdefault(start, []).append((len(f) - len(start), i))
 
     def rows(self, words: set[str]) -> list[int]:
         out = [self.index[w] for w in words & self.words]
-        for n, s in self.starts.items():
-            out += [self.index["^" + p] for p in {w[:n] for w in words} & s]
+        for n, known in self.starts.items():
+            for start, times in Counter(p for w in words if (p := w[:n]) in known).items():
+                out += [i for k, i in known[start] if k <= times]
         return out
 
     def score(self, rows: list[int] | np.ndarray, before: list[float]) -> float:
@@ -95,25 +114,45 @@ class Link:
 
 
 class Chain:
-    """Links in order; a text is rejected by the last one."""
+    """Links in order; a text is rejected by the last one, which judges each of its windows."""
 
-    def __init__(self, links: list[Link]):
+    def __init__(self, links: list[Link], clean: np.ndarray = np.zeros(0)):
         self.links = links
+        self.clean = np.sort(clean)  # out-of-fold probabilities of windows of documents not marked by the last category
 
-    def scores(self, text: str | None) -> list[float]:
-        words, out = set(_WORD.findall((text or "").lower())), []
+    def bar(self, n: int) -> float:
+        """What one of ``n`` windows has to reach: the last link's threshold, or more where clean windows reach
+        that too often for so many."""
+        few = int(CHANCE * len(self.clean) / n)
+        tail = float(self.clean[-few - 1]) if few < len(self.clean) else 0.0
+        return max(self.links[-1].threshold, float(np.nextafter(tail, 2.0)))
+
+    def _one(self, words: set[str]) -> list[float]:
+        out: list[float] = []
         for link in self.links:
             out.append(link.score(link.rows(words), out))
         return out
 
+    def judge(self, text: str | None) -> tuple[list[float], bool]:
+        """The probabilities of the window that the last link gives the highest one, and whether it rejects the text."""
+        parts = windows(text)
+        worst = max(map(self._one, parts), key=lambda p: p[-1])
+        return worst, worst[-1] >= self.bar(len(parts))
+
+    def scores(self, text: str | None) -> list[float]:
+        return self.judge(text)[0]
+
     def rejects(self, text: str | None) -> bool:
-        return self.scores(text)[-1] >= self.links[-1].threshold
+        return self.judge(text)[1]
 
 
-def fit(names: list[str], chosen: list[list[list[str]]], vocabulary: dict[str, int], rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
-    """A chain over documents that are ``rows`` of places in ``vocabulary``. ``chosen[k]`` are the features
-    selected for link k without each fold in turn and, last, with all."""
+def fit(names: list[str], chosen: list[list[list[str]]], vocabulary: dict[str, int], parts: list[list[np.ndarray]], y: np.ndarray, fold: np.ndarray) -> Chain:
+    """A chain over documents whose windows are rows of places in ``vocabulary``. ``chosen[k]`` are the features
+    selected for link k without each fold in turn and, last, with all. Weights are learned from whole documents,
+    thresholds set on their windows."""
+    rows = [np.unique(np.concatenate(p)) for p in parts]
     links, before = [], np.zeros((len(rows), 0))
+    seen: list[list[list[float]]] = [[[] for _ in p] for p in parts]  # by window, the earlier links' probabilities
     for k, name in enumerate(names):
         made = []
         for f in range(FOLDS + 1):
@@ -122,14 +161,20 @@ def fit(names: list[str], chosen: list[list[list[str]]], vocabulary: dict[str, i
             place[[vocabulary[x] for x in chosen[k][f]]] = np.arange(len(chosen[k][f]))
             own = [p[p >= 0] for p in (place[r] for r in rows)]
             weights = weigh([r for r, u in zip(own, use) if u], before[use], y[use, k], len(chosen[k][f]))
-            made.append((own, Link(name, {x: i for i, x in enumerate(chosen[k][f])}, weights)))
-        oof = np.array([made[f][1].score(made[f][0][i], list(before[i])) for i, f in enumerate(fold)])
+            made.append((place, Link(name, {x: i for i, x in enumerate(chosen[k][f])}, weights)))
+        oof = np.zeros(len(rows))
+        for i, f in enumerate(fold):
+            place, link = made[f]
+            for w, earlier in zip(parts[i], seen[i]):
+                at = place[w]
+                earlier.append(link.score(at[at >= 0], earlier))
+            oof[i] = max(p[k] for p in seen[i])
         link = made[FOLDS][1]
         # A text without any feature is never rejected, however few labels there are.
         link.threshold = max(threshold(oof, y[:, k]), float(np.nextafter(link.score([], _empty(links)), 2.0)))
         links.append(link)
         before = np.column_stack([before, oof])
-    return Chain(links)
+    return Chain(links, np.array([w[-1] for p, marked in zip(seen, y[:, -1]) if not marked for w in p]))
 
 
 def _empty(links: list[Link]) -> list[float]:
@@ -188,11 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold_of(t) for t in texts], pa.int32()), found, *b.columns[2:]], ["id", "fold", "fs", *y])
+            parts = [[features(w) for w in windows(t)] for t in texts]
+            found = pa.array([sorted(set().union(*p)) for p in parts], pa.list_(pa.string()))
+            by_window = pa.array([[sorted(w) for w in p] for p in parts], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold_of(t) for t in texts], pa.int32()), found, by_window, *b.columns[2:]], ["id", "fold", "fs", "parts", *y])
 
     small_batches(docs.sparkSession)
-    rows = keep(sample(docs, labels, chain).mapInArrow(find, "id long, fold int, fs array<string>, " + ", ".join(f"{c} int" for c in y)), "features")
+    rows = keep(sample(docs, labels, chain).mapInArrow(find, "id long, fold int, fs array<string>, parts array<array<string>>, " + ", ".join(f"{c} int" for c in y)), "features")
     by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.sum(c).alias(c) for c in y], F.count("*").alias("n")).collect()}
     totals = [[*(by_fold[f][c] for c in y), by_fold[f]["n"]] if f in by_fold else [0] * (width + 1) for f in range(FOLDS)]
 
@@ -219,12 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [[i for f in fs if (i := sent.value.get(f)) is not None] for fs in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), *b.columns[3:]], ["id", "fold", "at", *y])
+            at = [[[i for f in fs if (i := sent.value.get(f)) is not None] for fs in p] for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.list_(pa.int32()))), *b.columns[3:]], ["id", "fold", "at", *y])
 
-    table = rows.mapInArrow(places, "id long, fold int, at array<int>, " + ", ".join(f"{c} int" for c in y)).toArrow().sort_by("id")
+    table = rows.drop("fs").mapInArrow(places, "id long, fold int, at array<array<int>>, " + ", ".join(f"{c} int" for c in y)).toArrow().sort_by("id")
     marks = np.array([table[c].to_numpy() for c in y], float).T.reshape(-1, width)
-    return fit([n for n, _ in chain], chosen, vocabulary, [np.array(a, np.int64) for a in table["at"].to_pylist()], marks, table["fold"].to_numpy())
+    return fit([n for n, _ in chain], chosen, vocabulary, [[np.array(w, np.int64) for w in p] for p in table["at"].to_pylist()], marks, table["fold"].to_numpy())
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -237,11 +284,11 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [link.name for link in chain.links]
 
     def find(texts: list[str | None]) -> dict[str, list]:
-        found = [sent.value.scores(t) for t in texts]
-        return dict(zip(names, map(list, zip(*found)))) if found else {n: [] for n in names}
+        found = [sent.value.judge(t) for t in texts]
+        return {n: [p[k] for p, _ in found] for k, n in enumerate(names)} | {"rejected": [int(r) for _, r in found]}
 
-    out = from_texts(docs, find, ", ".join(f"{n} double" for n in names))
-    return out.select("*", (F.col(names[-1]) >= chain.links[-1].threshold).alias("rejected"))
+    out = from_texts(docs, find, ", ".join(f"{n} double" for n in names) + ", rejected long")
+    return out.withColumn("rejected", F.col("rejected") == 1)
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -26,6 +26,17 @@ def test_toxicity_on_held_out_labels(spark, chain):
     assert hit / max(1, sum(r["rejected"] for r in got)) > 0.9
 
 
+@pytest.mark.parametrize("n", (5_000, 20_000, 100_000, 1_000_000))
+def test_clean_text_does_not_hide_a_toxic_one(spark, chain, n):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.where("doc_id % 2 = 1").join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    toxic = [r.text for r in rows if r.toxic == 1][:: max(1, n // 20_000)][:40]
+    plain = [r.text for r in rows if r.toxic == 0 and not chain.rejects(r.text)]
+    long = " ".join(plain)[:n]
+    assert not chain.rejects(long)
+    assert sum(chain.rejects(t + " " + long) for t in toxic) >= 0.85 * len(toxic)
+
+
 def test_toxicity_of_odd_documents(spark, chain):
     docs = cases.frame(spark)
     got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
@@ -56,7 +67,7 @@ def labelled(n=400, seed=1):
 
 def plain_chain(texts, labels):
     """The chain by sets, counters and dense matrices: the probabilities of the last category and its threshold."""
-    feats = [toxicity.features(t) for _, t in texts]
+    feats = [toxicity.features(set().union(*toxicity.windows(t))) for _, t in texts]
     fold = np.array([toxicity.fold_of(t) for _, t in texts])
     ys = [np.array([q == 0 for _, q, _ in labels], float), np.array([t for _, _, t in labels], float)]
 
