@@ -166,12 +166,42 @@ def _cuts(d: DataFrame, n: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that stand before their like: (doc_id, text) as both documents; what follows stays."""
+    for b in batches:
+        made = [_Pending(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        rows = [p.finish(t, p.signature) for p, t in zip(made, b.column(1).to_pylist())]
+        columns = [pa.array(c) for c in zip(*rows)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        columns[0] = b.column(0)
+        yield pa.RecordBatch.from_arrays([*columns, b.column(2)], [*(f.split(" ")[0] for f in _SCHEMA.split(", ")), "times"])
+
+
+def _once(d: DataFrame, cuts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame | None]:
+    """``d`` where rows of which there are more equal ones than fill a range stand once; and the results of their copies,
+    which stand before their like, made by many tasks."""
+    hot = {k for k, tie in cuts if tie != -(1 << 63)}  # ids that more than a range's rows have
+    if not hot:
+        return d, None
+    n = len(cuts) + 1
+    least = d.count() // n
+    # a row for each hot tie, and there are fewer of them than ranges
+    held = d.where(F.col("key").isin(hot)).groupBy("key", "tie").agg(F.count("*").alias("times")).where(F.col("times") > least).collect()
+    same = F.broadcast(d.sparkSession.createDataFrame(held, "key long, tie long, times long"))
+    alike = d.join(same, ["key", "tie"]).groupBy("doc_id", "key", "tie", "times").agg(F.first("text").alias("text"))
+    once = d.join(same, ["key", "tie"], "left_anti").unionByName(alike.drop("times"))
+    made = alike.select("doc_id", "text", (F.col("times") - 1).alias("times")).mapInArrow(_alike, f"{_SCHEMA}, times long")
+    part = made.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartitionById(n, F.col("part"))
+    own = F.expr(f"(times + {n - 1} - part) div {n}")
+    return once, part.withColumn("times", own).where("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "part")
+
+
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A row for each row of ``docs``: its fingerprint, that of its edited text, and how near they and the
     next document's are.
 
     The next document is the one before in doc_id, after the first the last; rows with one doc_id stand in
-    the order of a hash of their texts, equal rows side by side, and rows without doc_id come at the end.
+    the order of a hash of their texts, equal rows side by side, and rows without doc_id come at the end. Of rows that
+    are equal and fill a range one is read, with their number.
     A null text counts as empty. The table is cut into ranges of doc_id, and of the hash where an id has
     more rows than a range; a range also gets a copy of the first row of the next one, so no task needs
     more than its range. A table of one row is its own next document; an empty table gives an empty result.
@@ -179,10 +209,9 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Equal rows differ in the last bits alone, so that any number of them can be cut into ranges.
-    nth = F.monotonically_increasing_id().bitwiseAND((1 << 20) - 1)
-    tie = F.xxhash64("text").bitwiseAND(~((1 << 20) - 1)).bitwiseOR(nth)
-    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), tie.alias("tie"))
+    # Equal rows share a tie, which follows from the text alone: however often rows are read, in whatever order, they get the same.
+    text = F.coalesce("text", F.lit(""))
+    d = d.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("tie"))
     cuts = _cuts(d.select("key", "tie"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = F.lit(len(cuts)) - _at_most((F.col("key"), F.col("tie")), cuts)  # bucket 0 has the largest ids
     heads = d.groupBy(own.alias("bucket")).agg(F.max(F.struct("key", "tie")).alias("head")).collect()  # a row for each bucket
@@ -191,7 +220,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     for r in heads:
         keys[r["bucket"]], ties[r["bucket"]] = r["head"]
         before[r["bucket"]] = held[held.index(r["bucket"]) - 1]
-    at = d.select("doc_id", "text", "tie", own.cast("int").alias("own"), "key")
+    once, copies = _once(d, cuts)
+    at = once.select("doc_id", "text", "tie", own.cast("int").alias("own"), "key")
     row = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy"))
     copy = F.struct(F.get(_longs(before), F.col("own")).cast("int").alias("bucket"), F.lit(True).alias("copy"))
     is_head = (F.get(_longs(keys), F.col("own")) == F.col("key")) & (F.get(_longs(ties), F.col("own")) == F.col("tie"))
@@ -199,4 +229,5 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     dealt = at.select(F.explode(targets).alias("t"), "doc_id", "text", "tie").select("t.bucket", "t.copy", "doc_id", "text", "tie")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), F.desc("tie")).drop("tie")
-    return dealt.mapInArrow(_walk, _SCHEMA)
+    out = dealt.mapInArrow(_walk, _SCHEMA)
+    return out if copies is None else out.unionByName(copies)

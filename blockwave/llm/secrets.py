@@ -8,6 +8,7 @@ later runs read and append to, so a run over what is known scans nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .shared import exists, keep, shared_dir, small_batches
 
-RULES = "2026-1"
 #: The base kinds and their patterns.
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -27,10 +27,15 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What the method adds, by kind.
 EXTRA = {
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "hub": re.compile(r"gh[oprsu]_[A-Za-z0-9]{36,}"),
 }
-_HINTS = {"pem": "-----BEGIN ", "jwt": "eyJ", "hub": "_"}
+_HINTS = {"pem": "-----BEGIN ", "jwt": ".eyJ", "hub": "_"}
+#: The first part of a jwt, by whole runs of its characters, so that each is read once.
+_JWT_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\.(?=eyJ)")
+LEAST = {"assign": 8, "access": 16}
+#: The rules' version follows from all that decides a finding.
+RULES = hashlib.sha256(repr([(p.pattern, p.flags) for p in (_ASSIGN, _ACCESS, _HEX, *EXTRA.values())] + sorted(LEAST.items())).encode()).hexdigest()[:16]
 _KEYS = ("passw", "secret", "token", "api")
 HOT = 1000  # a blob of a thousandth of all rows is joined back without a shuffle
 SENT = 1 << 18  # blobs that are broadcast at most (25 MB)
@@ -42,16 +47,29 @@ def spans(text: str) -> list[tuple[int, int, str, int]]:
     out = []
     lower = text.lower()
     if any(k in lower for k in _KEYS):
-        out += [(m.start(), 0, "assign", m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+        out += [(m.start(), 0, "assign", m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
-        out += [(m.start(), 1, "access", m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
+        out += [(m.start(), 1, "access", m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     out += [(m.start(), 2, "hex", m.end()) for m in _HEX.finditer(text)]
     for k, (kind, pattern) in enumerate(EXTRA.items()):
         if _HINTS[kind] in text:
-            out += [(m.start(), 3 + k, kind, m.end()) for m in pattern.finditer(text)]
+            out += [(a, 3 + k, kind, b) for a, b in (_tokens(text) if kind == "jwt" else (m.span() for m in pattern.finditer(text)))]
     return sorted(out)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """What the jwt pattern finds, in time linear in the text: in a run before a dot the first place that can match
+    decides, as all of the run's rest belongs to the match."""
+    last = 0
+    for run in _JWT_HEAD.finditer(text):
+        if run.start() < last:
+            continue
+        start = text.find("eyJ", run.start(), run.end() - 9)
+        if start >= 0 and (m := EXTRA["jwt"].match(text, start)):
+            last = m.end()
+            yield start, last
+
+
 def blobs(versions: DataFrame) -> DataFrame:
     """(blob, text): each text of ``versions`` at least once, and once only from any one task's rows."""
 

@@ -40,6 +40,21 @@ def test_secret_spans_on_noise():
         assert (*n, hashlib.sha256(base.encode()).hexdigest(), spans) == plain_secrets(t)
 
 
+def test_secret_rules_are_linear_and_named_by_their_content():
+    import importlib
+    import time
+
+    for t in ("eyJaaaaaaaa" * 200_000, "eyJaaaaaaaa." * 180_000, "eyJaaaaaaaa" * 100_000 + ".eyJaaaaaaaa" * 100_000, "token" + " " * 2_000_000, "-----BEGIN " + "A " * 1_000_000):
+        start = time.perf_counter()
+        secrets.spans(t)
+        assert time.perf_counter() - start < 2
+    before = secrets.RULES
+    source = open(secrets.__file__).read()
+    other = {"__name__": secrets.__name__, "__package__": secrets.__package__, "__file__": secrets.__file__}
+    exec(compile(source.replace("{36,}", "{37,}"), secrets.__file__, "exec"), other)
+    assert other["RULES"] != before == importlib.reload(secrets).RULES
+
+
 FOUND = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

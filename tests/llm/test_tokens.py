@@ -165,6 +165,22 @@ def test_lz_fingerprints(spark):
     assert lzprint.fingerprints(cases.frame(spark)).count() == len(cases.odd_texts())
 
 
+def test_lz_rows_are_whole_in_whatever_order_they_come(spark):
+    texts = [(k, f"text {k % 7} " * (k % 11)) for k in range(300)] + [(5, "again"), (5, "again"), (None, "no id")]
+    df = cases.frame(spark, texts)
+    want = sorted(map(str, lzprint.fingerprints(df, 4).collect()))
+    assert len(want) == len(texts)
+    for other in (df.orderBy("text"), df.repartition(5), df.repartition(3, "text").distinct().union(cases.frame(spark, [(5, "again")])), df.join(df.select("doc_id").distinct(), "doc_id", "left_semi").union(cases.frame(spark, [(None, "no id")]))):
+        assert sorted(map(str, lzprint.fingerprints(other, 4).collect())) == want
+
+
+def test_lz_equal_rows_are_read_once(spark):
+    texts = [(7, "same text same text")] * 60 + [(7, f"other {k}") for k in range(20)] + [(k, f"plain {k}") for k in range(20)]
+    few, many = (sorted(map(str, lzprint.fingerprints(cases.frame(spark, texts), n).collect())) for n in (1, 10))
+    assert few == many and len(few) == 100
+    assert sum("near_next=1.0" in x for x in few) >= 59
+
+
 def test_lz_ties_are_dealt_to_all_tasks(spark):
     """Rows without an id, and one row many times, are cut into ranges like any others."""
     rows = [(None, f"text {k}") for k in range(2000)] + [(7, "the same row")] * 2000 + [(k, f"other {k}") for k in range(100, 400)]
