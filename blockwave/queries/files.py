@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import crc16
-from ..functions.ints import byte_at, bytes_be
-from ..sources import container, records, synthetic
+from ..functions.ints import byte_at, bytes_be, bytes_le
+from ..sources import container, files, records
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -35,54 +35,56 @@ def scratch(spark: SparkSession) -> str:
     return f"{root if '://' in root else 'file://' + root}/files-{uuid.uuid4().hex}"
 
 
-def _planes(spark: SparkSession) -> DataFrame:
-    """(f, y, cb, cr) of three frames of 16 x 16 samples."""
-    y = synthetic.pattern(spark, "container", 16, 16, 3)
-    r, c, f = F.col("r"), F.col("c"), F.col("f")
-    small = synthetic.grid(spark, 8, 8, 3)
-    cb, cr = (small.withColumn("v", v.bitwiseAND(F.lit(255)).cast("int")) for v in (f + c + r + 96, f + 2 * c + r + 144))
-    one = lambda px, n, name: synthetic.planes(px, ["f"], n, n).withColumnRenamed("plane", name)
-    return one(y, 16, "y").join(one(cb, 8, "cb"), "f").join(one(cr, 8, "cr"), "f")
+# ── raw frames ──
 
+_SAMPLES = "e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS f, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 512)::BIGINT + 128, 0), 255)) AS b FROM embeddings)"
 
-def _sums(frames: DataFrame, **planes: int) -> DataFrame:
-    """(f, plane, total, weighted) of binary planes."""
-    parts = F.array(*[F.struct(F.lit(k).alias("plane"), F.col(k).alias("d")) for k in planes])
+
+def _plane_sql(name: str, first: int, n: int) -> str:
+    return f"SELECT f, '{name}' AS plane, list_sum(b[{first + 1}:{first + n}])::BIGINT AS total, list_sum(list_transform(b[{first + 1}:{first + n}], lambda v, i: v * (i - 1)))::BIGINT AS weighted FROM e"
+
+
+def _samples(spark, sf_dir):
+    """(name, vec_id, data): embeddings as raw frames of 64 bytes, all of one stream."""
+    byte = F.transform("embedding", lambda e: F.lpad(F.hex(F.least(F.greatest(F.floor(e.cast("double") * 512) + 128, F.lit(0)), F.lit(255))), 2, "0"))
+    return table(spark, sf_dir, "embeddings").select(F.lit("clip").alias("name"), "vec_id", F.unhex(F.array_join(byte, "")).alias("data"))
+
+
+def _sums(frames: DataFrame, **planes: tuple[int, int]) -> DataFrame:
+    """(f, plane, total, weighted) of parts of frames, by first byte and length."""
+    parts = F.array(*[F.struct(F.lit(k).alias("plane"), F.substring("data", a + 1, n).alias("d")) for k, (a, n) in planes.items()])
     each = frames.select(F.col("frame_idx").alias("f"), F.inline(parts))
     v = each.select("f", "plane", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("d")), lambda i: byte_at(F.col("d"), i))).alias("p", "v"))
     return v.groupBy("f", "plane").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("p")).cast("bigint").alias("weighted"))
 
 
-def _plane_sql(name: str, n: int, v: str) -> str:
-    return f"SELECT f::BIGINT AS f, '{name}' AS plane, sum(v)::BIGINT AS total, sum(v * (r * {n} + c))::BIGINT AS weighted FROM (SELECT f, r, c, ({v}) & 255 AS v FROM range(3) a(f), range({n}) b(r), range({n}) d(c)) GROUP BY f"
-
-
-@query(" UNION ALL ".join((_plane_sql("y", 16, "c * 9 + r * 13 + f * 17"), _plane_sql("cb", 8, "96 + f + c + r"), _plane_sql("cr", 8, "144 + f + 2 * c + r"))))
+@query(f"WITH {_SAMPLES} " + " UNION ALL ".join((_plane_sql("y", 0, 40), _plane_sql("cb", 40, 12), _plane_sql("cr", 52, 12))))
 def raw_frame_files(spark, sf_dir):
-    """Frames written as a raw file with half a frame too much, and scanned."""
+    """Frames of three planes as one raw stream, written by all tasks in ranges and read by ranges of bytes."""
     path = scratch(spark)
-    frames = _planes(spark).groupBy().agg(F.array_sort(F.collect_list(F.struct("f", F.concat("y", "cb", "cr").alias("d")))).alias("l"))
-    whole = F.unhex(F.concat(F.array_join(F.transform("l", lambda s: F.hex(s["d"])), ""), F.lit("00" * 100)))
-    container.write_binary(frames.select(F.lit("clip.yuv").alias("name"), whole.alias("data")), "name", "data", path)
-    return _sums(container.frame_records(spark, path, 16, 16), y=16, cb=8, cr=8)
+    files.write(_samples(spark, sf_dir), "name", ["vec_id"], "data", path, "frames", parts=4)
+    return _sums(files.read(spark, path, "frames", frame=64, split=4096), y=(0, 40), cb=(40, 12), cr=(52, 12))
 
 
-@query(_plane_sql("rgb", 24, "r * 5 + c * 3 + f * 7"))
+@query(f"WITH {_SAMPLES}, g AS (SELECT (vec_id // 50)::BIGINT AS clip, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS f, b[1:48] AS b FROM e) SELECT clip, f, list_sum(b)::BIGINT AS total, list_sum(list_transform(b, lambda v, i: v * (i - 1)))::BIGINT AS weighted FROM g WHERE f >= 3")
 def raw_rgb_files(spark, sf_dir):
-    """The same for packed colours: 24 x 8 samples of three bytes."""
-    path = scratch(spark)
-    px = synthetic.grid(spark, 24, 24, 3).withColumn("v", (F.col("r") * 5 + F.col("c") * 3 + F.col("f") * 7).bitwiseAND(F.lit(255)).cast("int"))
-    frames = synthetic.planes(px, ["f"], 24, 24).groupBy().agg(F.array_sort(F.collect_list(F.struct("f", F.col("plane").alias("d")))).alias("l"))
-    whole = F.unhex(F.array_join(F.transform("l", lambda s: F.hex(s["d"])), ""))
-    container.write_binary(frames.select(F.lit("clip.rgb").alias("name"), whole.alias("data")), "name", "data", path)
-    return _sums(container.frame_records(spark, path, 8, 24, rgb=True), rgb=24)
+    """Packed colours, 16 samples of three bytes, a clip a file; the first three frames of each are skipped by the reader."""
+    path, s = scratch(spark), _samples(spark, sf_dir)
+    own = s.select(F.concat(F.lit("c"), F.floor(F.col("vec_id") / 50).cast("string")).alias("name"), "vec_id", F.substring("data", 1, 48).alias("data"))
+    files.write(own, "name", ["vec_id"], "data", path, "frames", parts=3)
+    found = files.read(spark, path, "frames", frame=48).where("frame_idx >= 3").withColumn("clip", F.regexp_extract("stream_id", "c([0-9]+)$", 1).cast("bigint"))
+    v = found.select("clip", F.col("frame_idx").alias("f"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: byte_at(F.col("data"), i))).alias("p", "v"))
+    return v.groupBy("clip", "f").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("p")).cast("bigint").alias("weighted"))
+
+
+# ── packets ──
 
 
 def _packets(spark, sf_dir):
     """Pages as packets: a header, a key one for every fourth page, and the page."""
     key = F.when(F.col("page_id") % 4 == 0, container.KEY).otherwise(0)
     head = container.write_header(F.lit(0), F.lit(320), F.lit(240), key, F.lit(32), F.col("page_id"), F.lit(0), F.lit(0))
-    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("stream"), F.col("page_id").alias("pkt_idx"), F.concat(head, F.col("html").cast("binary")).alias("payload"))
+    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("stream"), "page_id", F.col("page_id").alias("pkt_idx"), F.concat(head, F.col("html").cast("binary")).alias("payload"))
     return p.withColumn("name", F.concat(F.lit("s"), F.col("stream").cast("string")))
 
 
@@ -114,6 +116,89 @@ def container_files(spark, sf_dir):
     return _scanned(container.scan(spark, again))
 
 
+_ALL = "SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k, 12 + strlen(html) AS size, page_id % 4 = 0 AS key, html FROM pages"
+
+
+@query(f"WITH a AS ({_ALL}) SELECT k, 2 * k AS pts, size, key, sha256(html) AS digest FROM a")
+def packet_parts(spark, sf_dir):
+    """All pages as one container, of which every task writes a part, read again by ranges of bytes."""
+    path, p = scratch(spark), _packets(spark, sf_dir)
+    at = files.numbered(p.withColumn("name", F.lit("all")), ["name"], ["page_id"])
+    files.write(at.withColumn("pts", F.col("place") * 2).drop("place"), "name", ["page_id"], "payload", path, "container", pts="pts", parts=5, split=20_000)
+    body = F.col("payload").substr(F.lit(13), F.length("payload"))
+    return files.read(spark, path, "container").where("error = ''").select(F.col("pkt_idx").alias("k"), "pts", F.col("size").cast("bigint").alias("size"), "key", F.sha2(body, 256).alias("digest"))
+
+
+@query(f"WITH a AS ({_ALL}) SELECT k, size FROM a WHERE key AND k BETWEEN 11 AND (SELECT count(*) // 2 FROM pages)")
+def packet_filters(spark, sf_dir):
+    """Sizes of key packets from the 12th to the middle of a stream: payloads and other packets are not read."""
+    path, pages = scratch(spark), table(spark, sf_dir, "pages")
+    files.write(_packets(spark, sf_dir).withColumn("name", F.lit("all")), "name", ["page_id"], "payload", path, parts=3, split=20_000)
+    half = pages.count() // 2
+    found = files.read(spark, path, columns="pkt_idx,size,key").where(F.col("key") & (F.col("pkt_idx") > 10) & (F.col("pkt_idx") <= half))
+    return found.select(F.col("pkt_idx").alias("k"), F.col("size").cast("bigint").alias("size"))
+
+
+def _little(v: str, n: int) -> str:
+    """SQL of the lower-endian bytes of a number, as hexadecimal digits."""
+    return " || ".join(f"printf('%02X', ({v}) // {256**i} % 256)" for i in range(n))
+
+
+_HEADED = "'54435600014000F0' || CASE WHEN page_id % 4 = 0 THEN '80' ELSE '00' END || '00' || printf('%02X', page_id % 256) || '00' || hex(encode(html))"
+
+
+@query(
+    f"WITH p AS (SELECT page_id // 16 AS stream, page_id, row_number() OVER (PARTITION BY page_id // 16 ORDER BY page_id) - 1 AS k, page_id % 4 = 0 AS key, {_HEADED} AS h FROM pages), "
+    f"r AS (SELECT stream, k, '504B5430' || {_little('k', 8)} || {_little('length(h) // 2', 4)} || CASE WHEN key THEN '01' ELSE '00' END || '000000' || h AS h FROM p), "
+    "f AS (SELECT stream, '54434D58' || '01000000' || '1E000000' || '00000000' || string_agg(h, '' ORDER BY k) AS h FROM r GROUP BY stream) SELECT stream, length(h) // 2 AS bytes, sha256(unhex(h)) AS digest FROM f"
+)
+def container_bytes(spark, sf_dir):
+    """The files of containers, byte by byte."""
+    path = scratch(spark)
+    files.write(_packets(spark, sf_dir), "name", ["page_id"], "payload", path, "container", parts=1)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "s*").load(path)
+    return found.select(F.regexp_extract("path", r"s([0-9]+)\.000000$", 1).cast("bigint").alias("stream"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+#: Malformed files: name, kind, the bytes that follow two good packets (or stand alone, where they begin a file), the row that says so.
+_BAD = (
+    ("none", "container", "", None, None), ("length", "stream", "0102", 2, "length"), ("opening", "container", "=54434D58", 0, "magic"), ("zero", "stream", "00000000", 2, "length"),
+    ("foreign", "container", "=52494646" + "00" * 12, 0, "magic"), ("huge", "stream", "FFFFFF7F00", 2, "length"), ("version", "container", "=54434D58630000001E00000000000000", 0, "header"), ("short", "stream", "0A000000" + "00" * 4, 2, "truncated"),
+    ("rate", "container", "=54434D58010000000000000000000000", 0, "header"), ("whole", "stream", "", None, None), ("record", "container", "42414430" + "00" * 8 + "0E00000001000000" + "544356" + "00" * 11, 2, "record"),
+    ("payload", "container", "504B5430" + "00" * 8 + "0E00000001000000" + "54435600", 2, "record"), ("flag", "container", "504B5430" + "00" * 8 + "0E00000002000000" + "544356" + "00" * 11, 2, "record"),
+    ("unlike", "container", "504B5430" + "00" * 8 + "0E00000001000000" + "544356" + "00" * 11, 2, "record"), ("reserved", "container", "504B5430" + "00" * 8 + "0E00000000000100" + "544356" + "00" * 11, 2, "record"),
+    ("empty", "container", "504B5430" + "00" * 8 + "0000000000000000", 2, "record"), ("cut", "container", "504B543000", 2, "record"), ("tiny", "container", "504B5430" + "00" * 8 + "0300000000000000544356", 2, "record"),
+)
+_BAD_SQL = "(VALUES " + ", ".join(f"({i}, '{name}', {'NULL' if at is None else at}, {'NULL' if error is None else repr(error)}, {str(tail.startswith('=')).lower()})" for i, (name, _, tail, at, error) in enumerate(_BAD)) + ") b(i, name, place, error, alone)"
+
+
+@query(
+    f"WITH p AS (SELECT page_id // 4 AS stream, row_number() OVER (PARTITION BY page_id // 4 ORDER BY page_id) - 1 AS k, html FROM pages), j AS (SELECT p.*, b.* FROM p JOIN {_BAD_SQL} ON p.stream % {len(_BAD)} = b.i WHERE k < 2) "
+    "SELECT stream, name, k, (12 + strlen(html))::BIGINT AS size, '' AS error FROM j WHERE NOT alone UNION ALL SELECT DISTINCT stream, name, place::BIGINT, 0::BIGINT, error FROM j WHERE error IS NOT NULL"
+)
+def malformed_files(spark, sf_dir):
+    """Two pages as packets and then one of the things that can be wrong with a file: each is a row with its error."""
+    path = scratch(spark)
+    p = _packets(spark, sf_dir).withColumn("stream", F.floor(F.col("page_id") / 4))
+    two = files.numbered(p, ["stream"], ["page_id"]).where("place < 2")
+    kinds = spark.createDataFrame([(i, name, kind, tail.lstrip("="), tail.startswith("=")) for i, (name, kind, tail, _, _) in enumerate(_BAD)], "i long, what string, kind string, tail string, alone boolean")
+    key = (F.col("page_id") % 4 == 0).cast("int")
+    record = F.concat(F.lit(b"PKT0"), bytes_le(F.col("place"), 8), bytes_le(F.length("payload"), 4), bytes_le(key, 1), F.unhex(F.lit("000000")), F.col("payload"))
+    one = F.when(F.col("kind") == "container", record).otherwise(F.concat(bytes_le(F.length("payload"), 4), F.col("payload")))
+    j = two.join(F.broadcast(kinds), F.col("stream") % len(_BAD) == F.col("i")).withColumn("d", F.hex(one))
+    whole = j.groupBy("stream", "what", "kind", "tail", "alone").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "d"))), lambda s: s["d"]), "").alias("d"))
+    head = F.when(F.col("kind") == "container", "54434D58010000001E00000000000000").otherwise("")
+    data = F.when(F.col("alone"), F.col("tail")).otherwise(F.concat(head, "d", "tail"))
+    out = None
+    for kind in ("container", "stream"):
+        own = whole.where(F.col("kind") == kind).select(F.concat_ws("-", "what", F.col("stream").cast("string")).alias("name"), F.unhex(data).alias("data"))
+        container.write_binary(own, "name", "data", f"{path}-{kind}")
+        found = files.read(spark, f"{path}-{kind}", kind, "stream_id,pkt_idx,size,error")
+        out = found if out is None else out.union(found)
+    named = F.regexp_extract("stream_id", "([a-z]+)-[0-9]+$", 1), F.regexp_extract("stream_id", "-([0-9]+)$", 1).cast("bigint")
+    return out.select(named[1].alias("stream"), named[0].alias("name"), F.col("pkt_idx").alias("k"), F.col("size").cast("bigint").alias("size"), "error")
+
+
 @query("SELECT page_id // 16 AS stream, row_number() OVER (PARTITION BY page_id // 16 ORDER BY page_id) - 1 AS k, 12 + strlen(html) AS size, sha256(html) AS digest FROM pages")
 def mp4_files(spark, sf_dir):
     """Streams as MP4 files and back by their sample tables."""

@@ -1,15 +1,12 @@
 """Packets: frame headers, the length-prefixed stream, the record container, playlists and sample tables.
 
-Everything that is set-oriented is a column expression; only the scan of a file, where each length
-says where the next one is, runs in Python, a file a task. Spark reads files whole (``binaryFile``), so a
-file has 2 GB at most; larger recordings are several files.
+Everything that is set-oriented is a column expression; files are read and written by ``sources.files``.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from typing import IO
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,19 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.bits import crc16
 from ..functions.ints import byte_at, bytes_be, bytes_le, clip, div, int_be, int_le
 from ..operators.order import offsets, segments
-
-#: Fixed values of the formats.
-MAGIC, NEWEST, LARGEST_SIDE, LARGEST = bytes.fromhex("544356"), 2, 4096, 100 << 20
-KEY, RAP, CRC, EXTENDED = 0x80, 0x20, 0x10, 0x08
-TOOLS = 0xC5FF  # the tool bits that a reader knows
-DEFAULT_QP, PROFILES = 32, 3
-STREAM_MAGIC, SEGMENT_MAGIC, RECORD_MAGIC, VERSION = b"TCMX", b"TCMF", b"PKT0", 1
-HEADER, RECORD = 16, 20
-LEVELS = (
-    (0, 4096, 4096, 8, 0), (1, 320, 240, 1, 500_000), (2, 640, 480, 2, 2_000_000), (3, 1280, 720, 2, 5_000_000), (4, 1280, 720, 4, 10_000_000),
-    (5, 1920, 1080, 4, 20_000_000), (6, 1920, 1080, 4, 40_000_000), (7, 3840, 2160, 4, 80_000_000), (8, 3840, 2160, 8, 160_000_000),
-)
-PACKETS = "stream_id string, pkt_idx bigint, pts bigint, size int, key boolean, payload binary, error string"
+from .files import read
+from .formats import CRC, DEFAULT_QP, EXTENDED, HEADER, KEY, LARGEST, LARGEST_SIDE, LEVELS, MAGIC, NEWEST, PROFILES, RAP, RECORD_MAGIC, SEGMENT_MAGIC, STREAM_MAGIC, TOOLS, VERSION
 
 
 def levels(spark: SparkSession) -> DataFrame:
@@ -80,78 +66,9 @@ def write_header(version: Column, width: Column, height: Column, flags: Column,
 # ── files ──
 
 
-def _exact(f: IO[bytes], n: int) -> bytes | None:
-    data = f.read(n)
-    return data if len(data) == n else None
-
-
-def stream_records(f: IO[bytes]) -> Iterator[tuple[int, int, bytes, str]]:
-    """(index, pts, payload, error) of a length-prefixed stream; an error ends it."""
-    k = 0
-    while head := f.read(4):
-        n = struct.unpack("<I", head)[0] if len(head) == 4 else 0
-        if not 0 < n <= LARGEST:
-            yield k, k, b"", "length"
-            return
-        if (data := _exact(f, n)) is None:
-            yield k, k, b"", "truncated"
-            return
-        yield k, k, data, ""
-        k += 1
-
-
-def container_records(f: IO[bytes]) -> Iterator[tuple[int, int, bytes, str]]:
-    """(index, pts, payload, error) of a container; its key flag has to be the header's."""
-    head = _exact(f, HEADER)
-    if head is None or head[:4] not in (STREAM_MAGIC, SEGMENT_MAGIC):
-        yield 0, 0, b"", "magic"
-        return
-    version, fps = struct.unpack("<II", head[4:12])
-    if version != VERSION or not 1 <= fps <= 1000:
-        yield 0, 0, b"", "header"
-        return
-    k = 0
-    while record := f.read(RECORD):
-        if len(record) < RECORD or record[:4] != RECORD_MAGIC:
-            yield k, 0, b"", "record"
-            return
-        pts, n, key, zero = struct.unpack("<QIB3s", record[4:])
-        data = _exact(f, n) if 0 < n <= LARGEST else None
-        if data is None or key > 1 or zero != b"\0\0\0" or data[:3] != MAGIC or len(data) < 9 or bool(data[8] & KEY) != bool(key):
-            yield k, pts, b"", "record"
-            return
-        yield k, pts, data, ""
-        k += 1
-
-
-def scan(spark: SparkSession, path: str, kind: str = "stream") -> DataFrame:
-    """Packets of files, one row each, a bad one with its error. Where a packet begins is known only from the
-    one before, so a file is one task's; files are listed and read by Spark, whatever the store."""
-    reader = {"stream": stream_records, "container": container_records}[kind]
-
-    def run(batches):
-        import io
-
-        import pyarrow as pa
-
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = []
-                for k, pts, data, error in reader(io.BytesIO(content)):
-                    rows.append((name, k, pts, len(data), len(data) > 8 and bool(data[8] & KEY), data, error))
-                    if len(rows) == 1000:
-                        yield _batch(pa, rows)
-                        rows = []
-                yield _batch(pa, rows)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, PACKETS)
-
-
-def _batch(pa, rows: list[tuple]):
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
-    names = [x.split(" ")[0] for x in PACKETS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names)
+def scan(spark: SparkSession, path: str, kind: str = "stream", columns: str = "") -> DataFrame:
+    """Packets of files, one row each, a bad one with its error: ``files.read``, by ranges of bytes."""
+    return read(spark, path if "://" in path else f"file://{path}", kind, columns)
 
 
 def frame_records(spark: SparkSession, path: str, width: int, height: int, rgb: bool = False) -> DataFrame:
