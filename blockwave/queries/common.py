@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,14 @@ def rows(df: DataFrame, column: str) -> DataFrame:
 def values(pairs) -> str:
     """A SQL VALUES list."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(str, p)) + ")" for p in pairs) + ")"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which executors share; in local mode, where that is unset, one of
+    our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="blockwave-")
+    return f"{root if '://' in root else 'file://' + root}/files-{uuid.uuid4().hex}"

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import crc16
 from ..functions.ints import byte_at, bytes_be, bytes_le
 from ..sources import container, files, records
-from .common import table
+from .common import scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -24,17 +21,6 @@ def query(sql: str):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which executors share; in local mode, where that is unset, one of
-    our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="blockwave-")
-    return f"{root if '://' in root else 'file://' + root}/files-{uuid.uuid4().hex}"
-
-
 # ── raw frames ──
 
 _SAMPLES = "e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS f, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 512)::BIGINT + 128, 0), 255)) AS b FROM embeddings)"

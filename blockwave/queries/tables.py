@@ -10,7 +10,8 @@ from ..functions.filters import edge
 from ..functions.ints import div
 from ..operators import metrics, order, prefix, scenes
 from ..sources import container
-from .common import table
+from ..streaming import timed
+from .common import scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -381,3 +382,44 @@ def truncating_division(spark, sf_dir):
     """Quotients truncate towards zero."""
     r = spark.range(100).select(F.col("id").alias("r"))
     return r.select("r", div(F.col("r") * 7, 3).alias("q"), div(F.col("r") * -7, 3).alias("m"))
+
+
+# ── streams with time ──
+
+#: Turns a second apart, conversations a minute; in the first half of the table a tenth of the third turns comes at the very end, far too late.
+_TIMED = (
+    "t AS (SELECT conv_id AS clip, turn AS idx, (conv_id + 1) * 60 + turn AS ts, conv_id % 10 = 0 AND turn = 2 AND conv_id * 2 < (SELECT max(conv_id) FROM conversations) AS late FROM conversations), "
+    "o AS (SELECT *, max(idx) OVER w AS top, max(ts) OVER w AS newest, row_number() OVER (PARTITION BY clip ORDER BY idx) - 1 AS place FROM t WHERE NOT late WINDOW w AS (PARTITION BY clip)), "
+    "g AS (SELECT *, min(CASE WHEN place <> idx THEN idx END) OVER (PARTITION BY clip) AS gap, newest + 1800 <= (SELECT max(ts) FROM t) - 600 AS over FROM o)"
+)
+
+
+def _frames_in_time(spark, sf_dir, folder):
+    """Conversations as a stream of eight files in the order of time, the late turns in the last one."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("idx"), ((F.col("conv_id") + 1) * 60 + F.col("turn")).alias("s"))
+    top = c.agg(F.max("clip").alias("top"), F.max("s").alias("end")).first()
+    late = (F.col("clip") % 10 == 0) & (F.col("idx") == 2) & (F.col("clip") * 2 < top["top"])
+    part = F.when(late, 7).otherwise(F.least(F.floor(F.col("s") * 7 / (top["end"] + 1)), F.lit(6))).cast("int")
+    dealt = c.select("clip", "idx", F.timestamp_seconds("s").alias("ts"), part.alias("part"))
+    for k in range(8):  # one after the other, as a stream takes files by their times
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema("clip long, idx long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+@query(
+    f"WITH {_TIMED}, f AS (SELECT *, CASE WHEN idx = 0 THEN true ELSE (idx + 3) // 4 * 4 <= top AND ((idx + 3) // 4 * 4 < coalesce(gap - 1, top + 1)) END AS grouped FROM g) "
+    "SELECT clip, idx, CASE WHEN grouped AND idx > 0 THEN (idx + 3) // 4 * 4 - 4 + CASE (idx + 3) // 4 * 4 - idx WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END ELSE place END AS place, NOT grouped AS flushed FROM f WHERE grouped OR over"
+)
+def stream_coding_order(spark, sf_dir):
+    """Turns as frames of a stream: full groups at once in coding order, tails and what waits for a lost frame by a timer."""
+    folder = scratch(spark)
+    frames = _frames_in_time(spark, sf_dir, folder)
+    return timed.run(spark, timed.ordered(frames, timed.CodingOrder(1_800_000), "600 seconds"), folder)
+
+
+@query(f"WITH {_TIMED} SELECT clip, idx, place, idx >= coalesce(gap, top + 1) AS flushed FROM g WHERE idx < coalesce(gap, top + 1) OR over")
+def stream_display_order(spark, sf_dir):
+    """The same frames in display order: each when it is due, those behind a lost one by a timer."""
+    folder = scratch(spark)
+    frames = _frames_in_time(spark, sf_dir, folder)
+    return timed.run(spark, timed.ordered(frames, timed.DisplayOrder(1_800_000), "600 seconds"), folder)
