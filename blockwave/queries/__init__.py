@@ -3,9 +3,9 @@
 The tables hold no video; each query names the stand-in signal that it reads.
 """
 
-from . import blocks, clips, files, tables
+from . import blocks, clips, files, frames, tables
 
-MODULES = (blocks, clips, files, tables)
+MODULES = (blocks, clips, files, frames, tables)
 
 
 def all_queries() -> dict:

@@ -236,15 +236,15 @@ def bit_estimates(spark, sf_dir):
 _REFS = f"{ARRAYS}, rf AS (SELECT vec_id, list_transform(b, lambda v: least(greatest(v + 128, 0), 255)) AS b FROM blk), ref AS (SELECT vec_id, b, b[1:17] AS above, b[18:34] AS lft FROM rf)"
 
 
-def _pred_sql(mode: int) -> str:
+def _pred_sql(mode: int, x: str = "x", y: str = "y") -> str:
     """Expression of the predicted sample at x, y from the lists above and lft (1-based)."""
     if mode == 0:
-        return "least(greatest((above[x + 2] * (7 - y) + lft[y + 2] * (7 - x) + above[1] * (x + y) + 8) // 16, 0), 255)"
+        return f"least(greatest((above[{x} + 2] * (7 - {y}) + lft[{y} + 2] * (7 - {x}) + above[1] * ({x} + {y}) + 8) // 16, 0), 255)"
     if mode == 1:
         return "(list_sum(above[2:9]) + list_sum(lft[2:9]) + 8) // 16"
     vertical = mode in P.VERTICAL
     d = P.VERTICAL[mode] if vertical else P.HORIZONTAL[mode]
-    pos = f"(x * 32 + y * {d})" if vertical else f"(y * 32 + x * {d})"
+    pos = f"({x} * 32 + {y} * {d})" if vertical else f"({y} * 32 + {x} * {d})"
     a, b = ("above", "lft") if vertical else ("lft", "above")
 
     def get(k: str) -> str:
