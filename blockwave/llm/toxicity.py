@@ -36,6 +36,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 TIMES = 3  # different words with one beginning that are told apart
 FOLDS = 3
 WINDOW = 200  # words
+WORDS = 200_000  # that a task remembers
 CHANCE = 0.01  # that clean text is rejected, at most, where its many windows raise the threshold
 RARE = 3  # documents of a category that a feature has to be in, at least
 #: The categories in the chain's order, each with its label; the last one decides.
@@ -118,6 +119,7 @@ class Chain:
 
     def __init__(self, links: list[Link], clean: np.ndarray = np.zeros(0)):
         self.links = links
+        self.known: dict[str, bool] = {}  # words met, and whether a link has a feature of them
         self.clean = np.sort(clean)  # out-of-fold probabilities of windows of documents not marked by the last category
 
     def bar(self, n: int) -> float:
@@ -135,9 +137,24 @@ class Chain:
 
     def judge(self, text: str | None) -> tuple[list[float], bool]:
         """The probabilities of the window that the last link gives the highest one, and whether it rejects the text."""
-        parts = windows(text)
-        worst = max(map(self._one, parts), key=lambda p: p[-1])
-        return worst, worst[-1] >= self.bar(len(parts))
+        words, known, half = _WORD.findall((text or "").lower()), self.known, WINDOW // 2
+        if len(known) > WORDS:
+            known.clear()
+        known.update((w, self._has(w)) for w in set(words).difference(known))
+        n = len(range(0, max(1, len(words) - half), half))
+        # windows as ``windows`` cuts them, of the words that count
+        parts: dict[int, set[str]] = {}
+        for i, w in enumerate(words):
+            if known[w]:
+                for j in (i // half - 1, i // half):
+                    if 0 <= j < n:
+                        parts.setdefault(j, set()).add(w)
+        tried = [*parts.values(), *([set()] if len(parts) < n else [])]
+        worst = max(map(self._one, tried), key=lambda p: p[-1])
+        return worst, worst[-1] >= self.bar(n)
+
+    def _has(self, w: str) -> bool:
+        return any(w in link.words or any(w[:n] in known for n, known in link.starts.items()) for link in self.links)
 
     def scores(self, text: str | None) -> list[float]:
         return self.judge(text)[0]
@@ -231,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
     y = [f"y{k}" for k in range(width)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 50) for whole in batches for i in range(0, whole.num_rows, 50)):
             texts = b.column(1).to_pylist()
             parts = [[features(w) for w in windows(t)] for t in texts]
             found = pa.array([sorted(set().union(*p)) for p in parts], pa.list_(pa.string()))
@@ -265,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 50) for whole in batches for i in range(0, whole.num_rows, 50)):
             at = [[[i for f in fs if (i := sent.value.get(f)) is not None] for fs in p] for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.list_(pa.int32()))), *b.columns[3:]], ["id", "fold", "at", *y])
 

@@ -183,9 +183,9 @@ def refine(best: DataFrame, current: DataFrame, reference: DataFrame, keys: list
     samples around each; the least error, the vector itself and then the earlier point first of equals. Errors are
     by the six taps, or bilinear where these leave the frame for a sample of the block; points whose block leaves
     the frame do not count."""
-    points = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, (x, y) in enumerate(AROUND)])).alias("m")
+    points = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, (x, y) in enumerate(AROUND)])).alias("m")
     tries = best.select(*keys, "by", "bx", points, (F.col("dy") * 4).alias("dy"), (F.col("dx") * 4).alias("dx"))
-    tries = tries.select(*keys, "by", "bx", "m.k", (F.col("dy") + F.col("m.y")).alias("qy"), (F.col("dx") + F.col("m.x")).alias("qx"))
+    tries = tries.select(*keys, "by", "bx", "m._k", (F.col("dy") + F.col("m.y")).alias("qy"), (F.col("dx") + F.col("m.x")).alias("qx"))
     p = _cells(tries, keys, n, _size(reference, keys))
     p = p.withColumns({"fy": F.col("by") * n + shr("qy", 2), "fx": F.col("bx") * n + shr("qx", 2)})
     p = p.where((F.col("fx") >= 0) & (F.col("fy") >= 0) & (F.col("fx") + n <= F.col("_w")) & (F.col("fy") + n <= F.col("_h")))
@@ -193,11 +193,11 @@ def refine(best: DataFrame, current: DataFrame, reference: DataFrame, keys: list
     p = p.withColumns({"safe": safe, "r": F.col("r0") + shr("qy", 2), "c": F.col("c0") + shr("qx", 2), "dx": F.col("qx").bitwiseAND(F.lit(3)), "dy": F.col("qy").bitwiseAND(F.lit(3))})
     hit = p.join(anchors(reference.select(*keys, "r", "c", "v"), keys), [*keys, "r", "c"])
     value = F.when(F.col("safe"), at_quarter(F.col("dx"), F.col("dy"))).otherwise(at_quarter(F.col("dx"), F.col("dy"), True))
-    hit = hit.select(*keys, "by", "bx", "k", "qy", "qx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
+    hit = hit.select(*keys, "by", "bx", "_k", "qy", "qx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
     both = hit.join(current.select(*keys, "r", "c", F.col("v").alias("own")), [*keys, "r", "c"])
-    cost = both.groupBy(*keys, "by", "bx", "k", "qy", "qx").agg(F.sum(F.abs(F.col("own") - F.col("pred")).cast("bigint")).alias("sad"))
-    first = best.select(*keys, "by", "bx", F.lit(-1).alias("k"), (F.col("dy") * 4).alias("qy"), (F.col("dx") * 4).alias("qx"), "sad")
-    least = cost.unionByName(first).groupBy(*keys, "by", "bx").agg(F.min(F.struct("sad", "k", "qy", "qx")).alias("m"))
+    cost = both.groupBy(*keys, "by", "bx", "_k", "qy", "qx").agg(F.sum(F.abs(F.col("own") - F.col("pred")).cast("bigint")).alias("sad"))
+    first = best.select(*keys, "by", "bx", F.lit(-1).alias("_k"), (F.col("dy") * 4).alias("qy"), (F.col("dx") * 4).alias("qx"), "sad")
+    least = cost.unionByName(first).groupBy(*keys, "by", "bx").agg(F.min(F.struct("sad", "_k", "qy", "qx")).alias("m"))
     return least.select(*keys, "by", "bx", "m.sad", "m.qy", "m.qx")
 
 
@@ -206,10 +206,10 @@ def compensate_chroma(blocks: DataFrame, reference: DataFrame, keys: list[str],
     which are eighths of chroma samples; all four corners are clamped to the frame."""
     p = _cells(blocks, keys, n, _size(reference, keys))
     corner = lambda at, v, k, most: F.least(F.greatest(F.col(at) + shr(v, 3) + k, F.lit(0)), F.col(most))
-    places = [F.struct(F.lit(2 * i + j).alias("k"), corner("r0", "qy", i, "_h").alias("r"), corner("c0", "qx", j, "_w").alias("c")) for i in (0, 1) for j in (0, 1)]
+    places = [F.struct(F.lit(2 * i + j).alias("_k"), corner("r0", "qy", i, "_h").alias("r"), corner("c0", "qx", j, "_w").alias("c")) for i in (0, 1) for j in (0, 1)]
     p = p.select(*keys, "by", "bx", "qy", "qx", "r0", "c0", F.inline(F.array(*places)))
     hit = p.join(reference.select(*keys, "r", "c", "v"), [*keys, "r", "c"])
-    four = hit.groupBy(*keys, "by", "bx", "qy", "qx", "r0", "c0").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"s{k}") for k in range(4)])
+    four = hit.groupBy(*keys, "by", "bx", "qy", "qx", "r0", "c0").agg(*[F.max(F.when(F.col("_k") == k, F.col("v"))).alias(f"s{k}") for k in range(4)])
     seven = lambda v: F.col(v).bitwiseAND(F.lit(7))
     value = chroma_eighth(*[F.col(f"s{k}") for k in range(4)], seven("qx"), seven("qy"))
     return four.select(*keys, "by", "bx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.cast("int").alias("pred"))

@@ -9,7 +9,7 @@ from ..functions import color
 from ..functions.ints import byte_at, div
 from ..operators import gop, loopfilter, metrics, motion, scenes
 from ..sources import container, synthetic
-from .common import table
+from .common import byte_blocks, table
 
 QUERIES, SQL = {}, {}
 
@@ -28,13 +28,41 @@ def _grid(h: int, w: int, frames: int, v: str) -> str:
     return f"(SELECT f::BIGINT AS f, r::BIGINT AS r, c::BIGINT AS c, ({v})::BIGINT AS v FROM range({frames}) a(f), range({h}) b(r), range({w}) d(c))"
 
 
-_SHIFTED = f"((r + f * 2) * 9 + (c - f * 3) * 13 + ((r + f * 2) * (c - f * 3)) % 31 + 1024) & 255"
+#: Sixteen embeddings in a row are a frame of 32 x 32 samples; a rest that fills none is left out. ``ref`` has the frames, ``cur``
+#: what they show two rows and three columns further on, ``half`` half a column further on.
+_FRAMES = (
+    "em AS (SELECT vec_id // 16 AS k, vec_id % 16 AS t, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 512)::BIGINT + 128, 0), 255)) AS b FROM embeddings), "
+    "ref AS (SELECT k, t // 4 * 8 + i // 8 AS r, t % 4 * 8 + i % 8 AS c, b[i + 1] AS v FROM em, range(64) x(i) WHERE k IN (SELECT k FROM em GROUP BY k HAVING count(*) = 16)), "
+    "cur AS (SELECT a.k, a.r, a.c, b.v FROM ref a JOIN ref b ON b.k = a.k AND b.r = least(a.r + 2, 31) AND b.c = greatest(a.c - 3, 0)), "
+    "half AS (SELECT a.k, a.r, a.c, (a.v + b.v + 1) >> 1 AS v FROM ref a JOIN ref b ON b.k = a.k AND b.r = a.r AND b.c = least(a.c + 1, 31))"
+)
+
+
+def _whole(spark, sf_dir):
+    """(k, a): frames as arrays of 1024 samples, rows first."""
+    t = byte_blocks(spark, sf_dir).select(div("vec_id", 16).alias("k"), (F.col("vec_id") % 16).cast("int").alias("t"), "b")
+    g = t.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "b"))), lambda x: x["b"]).alias("l")).where(F.size("l") == 16)
+    at = lambda i: F.get(F.get("l", (div(i, 256) * 4 + div(i % 32, 8)).cast("int")), (div(i % 256, 32) * 8 + i % 8).cast("int"))
+    return g.select("k", F.transform(F.sequence(F.lit(0), F.lit(1023)), at).alias("a"))
+
+
+def _pixels(frames):
+    p = frames.select("k", F.posexplode("a").alias("p", "v"))
+    return p.select("k", div("p", 32).alias("r"), (F.col("p") % 32).cast("bigint").alias("c"), "v")
+
 
+def _ref(spark, sf_dir):
+    return _pixels(_whole(spark, sf_dir))
 
-def _moving(spark, h: int = 32, w: int = 32, frames: int = 2):
-    """A texture that moves up two rows and right three columns a frame."""
-    r, c = F.col("r") + F.col("f") * 2, F.col("c") - F.col("f") * 3
-    return synthetic.grid(spark, h, w, frames).withColumn("v", (r * 9 + c * 13 + (r * c) % 31 + 1024).bitwiseAND(F.lit(255)))
+
+def _cur(spark, sf_dir):
+    from_ = lambda i: F.least(div(i, 32) + 2, F.lit(31)) * 32 + F.greatest(i % 32 - 3, F.lit(0))
+    return _pixels(_whole(spark, sf_dir).withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("a", from_(i).cast("int")))))
+
+
+def _half(spark, sf_dir):
+    one = lambda i: F.shiftright(F.get("a", i) + F.get("a", F.when(i % 32 == 31, i).otherwise(i + 1)) + 1, 1)
+    return _pixels(_whole(spark, sf_dir).withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(1023)), one)))
 
 
 # ── generators and scene cuts ──
@@ -70,19 +98,17 @@ def noise_samples(spark, sf_dir):
     return spark.range(1024).select(F.col("id").alias("i"), synthetic.noise_at(F.col("id"), 7).cast("bigint").alias("v"))
 
 
-_CUT_FRAMES = f"fr AS (SELECT f, r, c, CASE WHEN f < 2 THEN (r * 255 // 128 + c * 255 // 128) // 2 ELSE CASE WHEN (c // 8 + r // 8) % 2 = 1 THEN 255 ELSE 0 END END AS v FROM {_grid(128, 128, 3, '0')})"
-
-
 @query(
-    f"WITH {_CUT_FRAMES}, h AS (SELECT f, v * 16 // 256 AS b, count(*) AS n FROM fr GROUP BY 1, 2), g AS (SELECT f, b FROM range(3) x(f), range(16) y(b)), d AS (SELECT g.f, g.b, coalesce(n, 0)::DOUBLE AS n FROM g LEFT JOIN h ON g.f = h.f AND g.b = h.b), "
-    "l AS (SELECT f, b, n, lag(n) OVER (PARTITION BY b ORDER BY f) AS p FROM d), s AS (SELECT f, sum(CASE WHEN n + p > 0 THEN (n - p) ** 2 / ((n + p) / 2.0::DOUBLE) ELSE 0 END) / sum(n) AS dist, count(p) AS k FROM l GROUP BY f) "
-    "SELECT f::BIGINT AS f, CASE WHEN k > 0 THEN round(dist, 6) END AS distance, k = 0 OR dist > 0.5 AS key FROM s"
+    "WITH fr AS (SELECT vec_id // 64 AS clip, vec_id // 8 AS f, least(greatest(floor(unnest(embedding)::DOUBLE * 512)::BIGINT + 128 + vec_id // 8 % 3 * 20, 0), 255) AS v FROM embeddings), "
+    "h AS (SELECT clip, f, v * 16 // 256 AS b, count(*) AS n FROM fr GROUP BY 1, 2, 3), g AS (SELECT clip, f, b FROM (SELECT DISTINCT clip, f FROM fr), range(16) y(b)), d AS (SELECT g.*, coalesce(n, 0)::DOUBLE AS n FROM g LEFT JOIN h ON g.f = h.f AND g.b = h.b), "
+    "l AS (SELECT clip, f, b, n, lag(n) OVER (PARTITION BY clip, b ORDER BY f) AS p FROM d), s AS (SELECT clip, f, sum(CASE WHEN n + p > 0 THEN (n - p) ** 2 / ((n + p) / 2.0::DOUBLE) ELSE 0 END) / sum(n) AS dist, count(p) AS k FROM l GROUP BY 1, 2) "
+    "SELECT clip, f, CASE WHEN k > 0 THEN round(dist, 6) END AS distance, k = 0 OR dist > 0.15 AS key FROM s"
 )
 def scene_cut_frames(spark, sf_dir):
-    """Two gradients and a checkerboard: key, other, key."""
-    a = synthetic.pattern(spark, "gradient", 128, 128, 3).where("f < 2")
-    b = synthetic.pattern(spark, "checkerboard", 128, 128, 3, block=8).where("f = 2")
-    return scenes.scene_cuts(a.unionByName(b), [], "f", "v").select("f", F.round("distance", 6).alias("distance"), "key")
+    """Eight embeddings as a frame, eight frames as a clip, brighter from frame to frame."""
+    e = table(spark, sf_dir, "embeddings").select(div("vec_id", 64).alias("clip"), div("vec_id", 8).alias("f"), F.explode("embedding").alias("v"))
+    v = F.least(F.greatest(F.floor(F.col("v").cast("double") * 512) + 128 + F.col("f") % 3 * 20, F.lit(0)), F.lit(255)).cast("int")
+    return scenes.scene_cuts(e.withColumn("v", v), ["clip"], "f", "v", 0.15).select("clip", "f", F.round("distance", 6).alias("distance"), "key")
 
 
 # ── colour ──
@@ -110,8 +136,11 @@ def ycbcr_to_rgb(spark, sf_dir):
     return rgb_to_ycbcr(spark, sf_dir).select("p_partkey", *[v.cast("bigint").alias(k) for k, v in rgb.items()])
 
 
-_RGBF = _grid(33, 47, 2, "0")
-_FRAME_RGB = f"pix AS (SELECT f, r, c, (c * 9 + r * 13 + f * 17) & 255 AS red, (c * 5 + r * 7 + f * 19) & 255 AS green, (r * 3 + c * 11) & 255 AS blue FROM {_RGBF})"
+#: Embeddings as frames of 7 x 9 samples: the samples, those from the end, and a mix with the place.
+_FRAME_RGB = (
+    "oe AS (SELECT vec_id AS f, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 512)::BIGINT + 128, 0), 255)) AS b FROM embeddings), "
+    "pix AS (SELECT f, i // 9 AS r, i % 9 AS c, b[i + 1] AS red, b[64 - i] AS green, (b[i + 1] * 3 + i) & 255 AS blue FROM oe, range(63) x(i))"
+)
 
 
 @query(
@@ -120,14 +149,13 @@ _FRAME_RGB = f"pix AS (SELECT f, r, c, (c * 9 + r * 13 + f * 17) & 255 AS red, (
 )
 def frame_chroma_420(spark, sf_dir):
     """Chroma planes of frames with an odd width and height."""
-    return color.frame_to_420(_rgb_frames(spark), ["f"])[1].select("f", "r", "c", F.col("cb").cast("bigint").alias("cb"), F.col("cr").cast("bigint").alias("cr"))
+    return color.frame_to_420(_rgb_frames(spark, sf_dir), ["f"])[1].select("f", "r", "c", F.col("cb").cast("bigint").alias("cb"), F.col("cr").cast("bigint").alias("cr"))
 
 
-def _rgb_frames(spark):
-    g = synthetic.grid(spark, 33, 47, 2)
-    byte = lambda e: e.bitwiseAND(F.lit(255))
-    r, c, f = F.col("r"), F.col("c"), F.col("f")
-    return g.withColumns({"red": byte(c * 9 + r * 13 + f * 17), "green": byte(c * 5 + r * 7 + f * 19), "blue": byte(r * 3 + c * 11)})
+def _rgb_frames(spark, sf_dir):
+    one = F.transform(F.slice("b", 1, 63), lambda v, i: F.struct(v.alias("red"), F.get("b", F.lit(63) - i).alias("green"), (v * 3 + i).bitwiseAND(F.lit(255)).alias("blue")))
+    p = byte_blocks(spark, sf_dir).select(F.col("vec_id").alias("f"), F.posexplode(one).alias("p", "x"))
+    return p.select("f", div("p", 9).alias("r"), (F.col("p") % 9).cast("bigint").alias("c"), "x.red", "x.green", "x.blue")
 
 
 @query(
@@ -138,89 +166,89 @@ def _rgb_frames(spark):
 )
 def frame_rgb_round_trip(spark, sf_dir):
     """Sums of the frames' colours after both conversions, where chroma is known."""
-    back = color.frame_to_rgb(*color.frame_to_420(_rgb_frames(spark), ["f"]), ["f"])
+    back = color.frame_to_rgb(*color.frame_to_420(_rgb_frames(spark, sf_dir), ["f"]), ["f"])
     return back.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(k).cast("bigint").alias(k) for k in ("red", "green", "blue")])
 
 
 # ── motion ──
 
-_CUR, _REF = _grid(32, 32, 1, _SHIFTED.replace("f * ", "1 * ")), _grid(32, 32, 1, _SHIFTED.replace("f * ", "0 * "))
 _MOVES = "(SELECT dy, dx FROM range(-4, 5) m(dy), range(-4, 5) n(dx))"
 
 
 @query(
-    f"WITH cur AS {_CUR}, ref AS {_REF}, cost AS (SELECT cur.r // 8 AS \"by\", cur.c // 8 AS bx, dy, dx, sum(abs(cur.v - ref.v))::BIGINT AS sad FROM cur, {_MOVES} m, ref WHERE ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 64) "
-    "SELECT \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx))::BIGINT AS dy, arg_min(dx, (sad, dy, dx))::BIGINT AS dx FROM cost GROUP BY 1, 2"
+    f"WITH {_FRAMES}, cost AS (SELECT cur.k, cur.r // 8 AS \"by\", cur.c // 8 AS bx, dy, dx, sum(abs(cur.v - ref.v))::BIGINT AS sad FROM cur, {_MOVES} m, ref WHERE ref.k = cur.k AND ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 64) "
+    "SELECT k, \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx))::BIGINT AS dy, arg_min(dx, (sad, dy, dx))::BIGINT AS dx FROM cost GROUP BY 1, 2, 3"
 )
 def motion_search(spark, sf_dir):
-    """Frame 1 of the moving texture against frame 0."""
-    m = _moving(spark)
-    s = motion.search(m.where("f = 1").drop("f"), m.where("f = 0").drop("f"), [], 8, 4)
-    return s.select("by", "bx", "sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
+    """Frames against what they show two rows and three columns further on."""
+    s = motion.search(_cur(spark, sf_dir), _ref(spark, sf_dir), ["k"], 8, 4)
+    return s.select("k", "by", "bx", "sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
 
 
 @query(
-    f"WITH cur AS {_CUR}, ref AS {_REF}, cost AS (SELECT dy, dx, sum(coalesce(abs(cur.v - ref.v), 1020))::BIGINT AS sad FROM (SELECT * FROM cur WHERE r % 4 = 0 AND c % 4 = 0) cur CROSS JOIN (SELECT dy, dx FROM range(-8, 9) m(dy), range(-8, 9) n(dx)) m LEFT JOIN ref ON ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2) "
-    "SELECT min(sad) AS sad, arg_min(dy, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dy, arg_min(dx, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dx FROM cost"
+    f"WITH {_FRAMES}, cost AS (SELECT cur.k, dy, dx, sum(coalesce(abs(cur.v - ref.v), 1020))::BIGINT AS sad FROM (SELECT * FROM cur WHERE r % 4 = 0 AND c % 4 = 0) cur CROSS JOIN (SELECT dy, dx FROM range(-8, 9) m(dy), range(-8, 9) n(dx)) m LEFT JOIN ref ON ref.k = cur.k AND ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3) "
+    "SELECT k, min(sad) AS sad, arg_min(dy, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dy, arg_min(dx, (sad, abs(dy), abs(dx), dy, dx))::BIGINT AS dx FROM cost GROUP BY k"
 )
 def global_motion(spark, sf_dir):
-    m = _moving(spark)
-    g = motion.global_motion(m.where("f = 1").drop("f"), m.where("f = 0").drop("f"), [])
-    return g.select("sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
+    g = motion.global_motion(_cur(spark, sf_dir), _ref(spark, sf_dir), ["k"])
+    return g.select("k", "sad", F.col("dy").cast("bigint").alias("dy"), F.col("dx").cast("bigint").alias("dx"))
 
 
 @query(
-    f"WITH px AS {_REF}, w AS (SELECT r, c, v, lag(v, 2) OVER x AS a, lag(v) OVER x AS b, lead(v) OVER x AS d, lead(v, 2) OVER x AS e, lead(v, 3) OVER x AS g FROM px WINDOW x AS (PARTITION BY r ORDER BY c)) "
-    "SELECT r, c, coalesce(least(greatest((a - 5 * b + 20 * v + 20 * d - 5 * e + g + 16) >> 5, 0), 255), (v + d + 1) >> 1, v)::BIGINT AS half FROM w"
+    f"WITH {_FRAMES}, w AS (SELECT k, r, c, v, lag(v, 2) OVER x AS a, lag(v) OVER x AS b, lead(v) OVER x AS d, lead(v, 2) OVER x AS e, lead(v, 3) OVER x AS g FROM ref WINDOW x AS (PARTITION BY k, r ORDER BY c)) "
+    "SELECT k, r, c, coalesce(least(greatest((a - 5 * b + 20 * v + 20 * d - 5 * e + g + 16) >> 5, 0), 255), (v + d + 1) >> 1, v)::BIGINT AS half FROM w"
 )
 def six_tap_half(spark, sf_dir):
-    p = motion.six_tap(_moving(spark).where("f = 0").drop("f"), [], "c")
-    return p.select("r", "c", F.col("half").cast("bigint").alias("half"))
+    p = motion.six_tap(_ref(spark, sf_dir), ["k"], "c")
+    return p.select("k", "r", "c", F.col("half").cast("bigint").alias("half"))
 
 
-@query(f"WITH px AS {_REF} SELECT a.r, a.c, q::BIGINT AS q, least(greatest((a.v * (4 - q) + b.v * q + 2) // 4, 0), 255)::BIGINT AS v FROM px a JOIN px b ON a.r = b.r AND b.c = a.c + 1, range(4) t(q)")
+@query(f"WITH {_FRAMES} SELECT a.k, a.r, a.c, q::BIGINT AS q, least(greatest((a.v * (4 - q) + b.v * q + 2) // 4, 0), 255)::BIGINT AS v FROM ref a JOIN ref b ON a.k = b.k AND a.r = b.r AND b.c = a.c + 1, range(4) t(q)")
 def quarter_samples(spark, sf_dir):
-    p = _moving(spark).where("f = 0").select("r", "c", "v", F.lead("v").over(Window.partitionBy("r").orderBy("c")).alias("n")).where("n IS NOT NULL")
-    e = p.select("r", "c", "v", "n", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("q"))
-    return e.select("r", "c", F.col("q").cast("bigint").alias("q"), motion.quarter(F.col("v"), F.col("n"), F.col("q")).cast("bigint").alias("v"))
+    p = _ref(spark, sf_dir).withColumn("n", F.lead("v").over(Window.partitionBy("k", "r").orderBy("c"))).where("n IS NOT NULL")
+    e = p.select("k", "r", "c", "v", "n", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("q"))
+    return e.select("k", "r", "c", F.col("q").cast("bigint").alias("q"), motion.quarter(F.col("v"), F.col("n"), F.col("q")).cast("bigint").alias("v"))
 
 
-@query(f"WITH px AS {_REF}, mv AS (SELECT y AS \"by\", x AS bx, y - 2 AS dy, 2 * x - 3 AS dx FROM range(4) a(y), range(4) b(x)), pl AS (SELECT \"by\", bx, \"by\" * 8 + i AS r, bx * 8 + j AS c, least(greatest(\"by\" * 8 + i + dy, 0), 31) AS rr, least(greatest(bx * 8 + j + dx, 0), 31) AS cc FROM mv, range(8) a(i), range(8) b(j)) SELECT pl.r, pl.c, px.v AS pred FROM pl JOIN px ON px.r = rr AND px.c = cc")
+def _places(spark, sf_dir):
+    """(k, by, bx): the sixteen blocks of each frame."""
+    p = _whole(spark, sf_dir).select("k", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("t"))
+    return p.select("k", div("t", 4).alias("by"), (F.col("t") % 4).cast("bigint").alias("bx"))
+
+
+@query(f"WITH {_FRAMES}, mv AS (SELECT DISTINCT k, y AS \"by\", x AS bx, y - 2 + k % 3 AS dy, 2 * x - 3 AS dx FROM ref, range(4) a(y), range(4) b(x)), pl AS (SELECT k, \"by\", bx, \"by\" * 8 + i AS r, bx * 8 + j AS c, least(greatest(\"by\" * 8 + i + dy, 0), 31) AS rr, least(greatest(bx * 8 + j + dx, 0), 31) AS cc FROM mv, range(8) a(i), range(8) b(j)) SELECT pl.k, pl.r, pl.c, ref.v AS pred FROM pl JOIN ref ON ref.k = pl.k AND ref.r = rr AND ref.c = cc")
 def motion_compensation(spark, sf_dir):
     """Vectors that partly leave the frame."""
-    mv = spark.range(16).select(div("id", 4).alias("by"), (F.col("id") % 4).alias("bx"))
-    mv = mv.select("by", "bx", (F.col("by") - 2).alias("dy"), (F.col("bx") * 2 - 3).alias("dx"))
-    out = motion.compensate(mv, _moving(spark).where("f = 0").drop("f"), [], 8)
-    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+    mv = _places(spark, sf_dir).select("k", "by", "bx", (F.col("by") - 2 + F.col("k") % 3).alias("dy"), (F.col("bx") * 2 - 3).alias("dx"))
+    out = motion.compensate(mv, _ref(spark, sf_dir), ["k"], 8)
+    return out.select("k", "r", "c", F.col("pred").cast("bigint").alias("pred"))
 
 
-@query(f"WITH px AS {_REF} SELECT a.r, a.c, x::BIGINT AS fx, y::BIGINT AS fy, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS v FROM px a JOIN px b ON b.r = a.r AND b.c = a.c + 1 JOIN px d ON d.r = a.r + 1 AND d.c = a.c JOIN px e ON e.r = a.r + 1 AND e.c = a.c + 1, (VALUES (0, 0), (3, 5), (7, 1)) t(x, y) WHERE a.r < 8 AND a.c < 8")
+@query(f"WITH {_FRAMES} SELECT a.k, a.r, a.c, x::BIGINT AS fx, y::BIGINT AS fy, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS v FROM ref a JOIN ref b ON b.k = a.k AND b.r = a.r AND b.c = a.c + 1 JOIN ref d ON d.k = a.k AND d.r = a.r + 1 AND d.c = a.c JOIN ref e ON e.k = a.k AND e.r = a.r + 1 AND e.c = a.c + 1, (VALUES (0, 0), (3, 5), (7, 1)) t(x, y) WHERE a.r < 8 AND a.c < 8")
 def chroma_eighths(spark, sf_dir):
-    """The corner of the frame at three fractions."""
-    p = _moving(spark).where("f = 0").drop("f")
-    right = Window.partitionBy("r").orderBy("c")
-    two = p.withColumn("b", F.lead("v").over(right))
-    down = Window.partitionBy("c").orderBy("r")
+    """The corners of the frames at three fractions."""
+    right = Window.partitionBy("k", "r").orderBy("c")
+    two = _ref(spark, sf_dir).withColumn("b", F.lead("v").over(right))
+    down = Window.partitionBy("k", "c").orderBy("r")
     four = two.withColumns({"d": F.lead("v").over(down), "e": F.lead("b").over(down)}).where("r < 8 AND c < 8")
     at = four.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("fx"), F.lit(y).alias("fy")) for x, y in ((0, 0), (3, 5), (7, 1))])))
     v = motion.chroma_eighth(F.col("v"), F.col("b"), F.col("d"), F.col("e"), F.col("fx"), F.col("fy"))
-    return at.select("r", "c", F.col("fx").cast("bigint").alias("fx"), F.col("fy").cast("bigint").alias("fy"), v.cast("bigint").alias("v"))
+    return at.select("k", "r", "c", F.col("fx").cast("bigint").alias("fx"), F.col("fy").cast("bigint").alias("fy"), v.cast("bigint").alias("v"))
 
 
-@query(f"WITH a AS {_REF}, b AS {_CUR} SELECT a.r, a.c, ((a.v + b.v + 1) >> 1)::BIGINT AS v FROM a JOIN b ON a.r = b.r AND a.c = b.c")
+@query(f"WITH {_FRAMES} SELECT a.k, a.r, a.c, ((a.v + b.v + 1) >> 1)::BIGINT AS v FROM ref a JOIN cur b ON a.k = b.k AND a.r = b.r AND a.c = b.c")
 def bi_prediction(spark, sf_dir):
-    m = _moving(spark)
-    a, b = m.where("f = 0").select("r", "c", "v"), m.where("f = 1").select("r", "c", F.col("v").alias("w"))
-    return a.join(b, ["r", "c"]).select("r", "c", motion.both_ways(F.col("v"), F.col("w")).cast("bigint").alias("v"))
+    a, b = _ref(spark, sf_dir), _cur(spark, sf_dir).withColumnRenamed("v", "w")
+    return a.join(b, ["k", "r", "c"]).select("k", "r", "c", motion.both_ways(F.col("v"), F.col("w")).cast("bigint").alias("v"))
 
 
-#: What every quarter-sample position is made of, over a table ``src`` of r, c, v.
+#: What every quarter-sample position is made of, over a table ``src`` of k, r, c, v.
 def _anchor_sql(src: str, out: str) -> str:
     six = lambda v, w: f"((lag({v}, 2) OVER {w} - 5 * lag({v}) OVER {w} + 20 * {v} + 20 * lead({v}) OVER {w} - 5 * lead({v}, 2) OVER {w} + lead({v}, 3) OVER {w} + 16) >> 5)"
     return (
-        f"{out}1 AS (SELECT r, c, v, {six('v', 'x')} AS b, lead(v) OVER x AS a10 FROM {src} WINDOW x AS (PARTITION BY r ORDER BY c)), "
-        f"{out}2 AS (SELECT *, {six('v', 'y')} AS c2, {six('b', 'y')} AS d, lead(v) OVER y AS a01, lead(a10) OVER y AS a11, lead(b) OVER y AS e FROM {out}1 WINDOW y AS (PARTITION BY c ORDER BY r)), "
-        f"{out} AS (SELECT *, lead(c2) OVER x AS f FROM {out}2 WINDOW x AS (PARTITION BY r ORDER BY c))"
+        f"{out}1 AS (SELECT k, r, c, v, {six('v', 'x')} AS b, lead(v) OVER x AS a10 FROM {src} WINDOW x AS (PARTITION BY k, r ORDER BY c)), "
+        f"{out}2 AS (SELECT *, {six('v', 'y')} AS c2, {six('b', 'y')} AS d, lead(v) OVER y AS a01, lead(a10) OVER y AS a11, lead(b) OVER y AS e FROM {out}1 WINDOW y AS (PARTITION BY k, c ORDER BY r)), "
+        f"{out} AS (SELECT *, lead(c2) OVER x AS f FROM {out}2 WINDOW x AS (PARTITION BY k, r ORDER BY c))"
     )
 
 
@@ -232,82 +260,75 @@ def _quarter_sql(dx: str, dy: str, bilinear: bool = False) -> str:
     return plain if bilinear else f"(CASE WHEN b IS NOT NULL AND c2 IS NOT NULL THEN least(greatest({sharp}, 0), 255) ELSE {plain} END)"
 
 
-@query(f"WITH px AS {_REF}, {_anchor_sql('px', 'an')} SELECT r, c, x::BIGINT AS dx, y::BIGINT AS dy, {_quarter_sql('x', 'y')}::BIGINT AS v FROM an, range(4) i(x), range(4) j(y) WHERE a11 IS NOT NULL")
+@query(f"WITH {_FRAMES}, {_anchor_sql('ref', 'an')} SELECT k, r, c, x::BIGINT AS dx, y::BIGINT AS dy, {_quarter_sql('x', 'y')}::BIGINT AS v FROM an, range(4) i(x), range(4) j(y) WHERE a11 IS NOT NULL")
 def quarter_planes(spark, sf_dir):
-    """All sixteen quarter-sample positions of a frame, but for its last row and column."""
-    an = motion.anchors(_moving(spark).where("f = 0").drop("f"), []).where("a11 IS NOT NULL")
+    """All sixteen quarter-sample positions of frames, but for their last row and column."""
+    an = motion.anchors(_ref(spark, sf_dir), ["k"]).where("a11 IS NOT NULL")
     at = an.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in range(4) for y in range(4)])))
     v = motion.at_quarter(F.col("dx"), F.col("dy"))
-    return at.select("r", "c", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), v.cast("bigint").alias("v"))
+    return at.select("k", "r", "c", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), v.cast("bigint").alias("v"))
 
 
-_SOFT = lambda t: f"(128 + ((r * 4 + {t}) * (c * 4 + 3 * {t})) // 97 % 64 + (r * 4 + {t}) // 3)"
-_SOFT0, _SOFT1 = (_grid(32, 32, 1, f"least({_SOFT(t)}, 255)") for t in (0, 5))
 _AROUND = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(motion.AROUND)) + ") m(k, x, y)"
 
 
-def _soft(spark, t: int):
-    """A soft surface that moves by quarters of a sample."""
-    r, c = F.col("r") * 4 + t, F.col("c") * 4 + 3 * t
-    v = F.least(F.lit(128) + div(r * c, 97) % 64 + div(F.col("r") * 4 + t, 3), F.lit(255))
-    return synthetic.grid(spark, 32, 32, 1).select("r", "c", v.cast("int").alias("v"))
-
-
 @query(
-    f"WITH cur AS {_SOFT1}, ref AS {_SOFT0}, {_anchor_sql('ref', 'an')}, cost AS (SELECT cur.r // 8 AS \"by\", cur.c // 8 AS bx, dy, dx, sum(abs(cur.v - ref.v))::BIGINT AS sad FROM cur, {_MOVES} m, ref WHERE ref.r = cur.r + dy AND ref.c = cur.c + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 64), "
-    "best AS (SELECT \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx)) AS dy, arg_min(dx, (sad, dy, dx)) AS dx FROM cost GROUP BY 1, 2), "
-    f"tries AS (SELECT \"by\", bx, k, dy * 4 + y AS qy, dx * 4 + x AS qx, \"by\" * 8 + ((dy * 4 + y) >> 2) AS fy, bx * 8 + ((dx * 4 + x) >> 2) AS fx FROM best, {_AROUND}), "
+    f"WITH {_FRAMES}, {_anchor_sql('ref', 'an')}, cost AS (SELECT half.k, half.r // 8 AS \"by\", half.c // 8 AS bx, dy, dx, sum(abs(half.v - ref.v))::BIGINT AS sad FROM half, {_MOVES} m, ref WHERE ref.k = half.k AND ref.r = half.r + dy AND ref.c = half.c + dx GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 64), "
+    "best AS (SELECT k, \"by\", bx, min(sad) AS sad, arg_min(dy, (sad, dy, dx)) AS dy, arg_min(dx, (sad, dy, dx)) AS dx FROM cost GROUP BY 1, 2, 3), "
+    f"tries AS (SELECT best.k, \"by\", bx, m.k AS n, dy * 4 + y AS qy, dx * 4 + x AS qx, \"by\" * 8 + ((dy * 4 + y) >> 2) AS fy, bx * 8 + ((dx * 4 + x) >> 2) AS fx FROM best, {_AROUND}), "
     "ok AS (SELECT *, fx >= 2 AND fy >= 2 AND fx + 10 < 32 AND fy + 10 < 32 AS safe FROM tries WHERE fx >= 0 AND fy >= 0 AND fx + 9 <= 32 AND fy + 9 <= 32), "
-    f"pr AS (SELECT \"by\", bx, k, qy, qx, abs(cur.v - own) AS d FROM (SELECT \"by\", bx, k, qy, qx, \"by\" * 8 + i AS r0, bx * 8 + j AS c0, CASE WHEN safe THEN {_quarter_sql('(qx & 3)', '(qy & 3)')} ELSE {_quarter_sql('(qx & 3)', '(qy & 3)', True)} END AS own FROM ok, range(8) a(i), range(8) g(j), an WHERE an.r = fy + i AND an.c = fx + j) p JOIN cur ON cur.r = r0 AND cur.c = c0), "
-    "al AS (SELECT \"by\", bx, k, qy, qx, sum(d)::BIGINT AS sad FROM pr GROUP BY ALL UNION ALL SELECT \"by\", bx, -1, dy * 4, dx * 4, sad FROM best) "
-    "SELECT \"by\", bx, min(sad) AS sad, arg_min(qy, (sad, k))::BIGINT AS qy, arg_min(qx, (sad, k))::BIGINT AS qx FROM al GROUP BY 1, 2"
+    f"pr AS (SELECT p.k, \"by\", bx, n, qy, qx, abs(half.v - own) AS d FROM (SELECT ok.k, \"by\", bx, n, qy, qx, \"by\" * 8 + i AS r0, bx * 8 + j AS c0, CASE WHEN safe THEN {_quarter_sql('(qx & 3)', '(qy & 3)')} ELSE {_quarter_sql('(qx & 3)', '(qy & 3)', True)} END AS own FROM ok, range(8) a(i), range(8) g(j), an WHERE an.k = ok.k AND an.r = fy + i AND an.c = fx + j) p JOIN half ON half.k = p.k AND half.r = r0 AND half.c = c0), "
+    "al AS (SELECT k, \"by\", bx, n, qy, qx, sum(d)::BIGINT AS sad FROM pr GROUP BY ALL UNION ALL SELECT k, \"by\", bx, -1, dy * 4, dx * 4, sad FROM best) "
+    "SELECT k, \"by\", bx, min(sad) AS sad, arg_min(qy, (sad, n))::BIGINT AS qy, arg_min(qx, (sad, n))::BIGINT AS qx FROM al GROUP BY 1, 2, 3"
 )
 def motion_refine(spark, sf_dir):
-    """Whole-sample search and the quarter samples around its vectors."""
-    cur, ref = _soft(spark, 5), _soft(spark, 0)
-    out = motion.refine(motion.search(cur, ref, [], 8, 4), cur, ref, [], 8)
-    return out.select("by", "bx", "sad", F.col("qy").cast("bigint").alias("qy"), F.col("qx").cast("bigint").alias("qx"))
+    """Whole-sample search of what lies half a sample further on, and the quarter samples around its vectors."""
+    cur, ref = _half(spark, sf_dir), _ref(spark, sf_dir)
+    out = motion.refine(motion.search(cur, ref, ["k"], 8, 4), cur, ref, ["k"], 8)
+    return out.select("k", "by", "bx", "sad", F.col("qy").cast("bigint").alias("qy"), F.col("qx").cast("bigint").alias("qx"))
 
 
-_QMV = "mv AS (SELECT y AS \"by\", x AS bx, y * 5 - 9 AS qy, 7 * x - 10 AS qx FROM range(4) a(y), range(4) b(x))"
+_QMV = "mv AS (SELECT DISTINCT k, y AS \"by\", x AS bx, y * 5 - 9 + k % 4 AS qy, 7 * x - 10 AS qx FROM ref, range(4) a(y), range(4) b(x))"
 
 
-def _vectors(spark):
-    mv = spark.range(16).select(div("id", 4).alias("by"), (F.col("id") % 4).alias("bx"))
-    return mv.select("by", "bx", (F.col("by") * 5 - 9).cast("int").alias("qy"), (F.col("bx") * 7 - 10).cast("int").alias("qx"))
+def _vectors(spark, sf_dir):
+    return _places(spark, sf_dir).select("k", "by", "bx", (F.col("by") * 5 - 9 + F.col("k") % 4).cast("int").alias("qy"), (F.col("bx") * 7 - 10).cast("int").alias("qx"))
 
 
 @query(
-    f"WITH px AS {_REF}, {_anchor_sql('px', 'an')}, {_QMV}, pl AS (SELECT \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qy & 3 AS dy, qx & 3 AS dx, \"by\" * 8 + i + (qy >> 2) AS fy, bx * 8 + j + (qx >> 2) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
+    f"WITH {_FRAMES}, {_anchor_sql('ref', 'an')}, {_QMV}, pl AS (SELECT k, \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qy & 3 AS dy, qx & 3 AS dx, \"by\" * 8 + i + (qy >> 2) AS fy, bx * 8 + j + (qx >> 2) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
     "pt AS (SELECT *, fx >= 0 AND fy >= 0 AND fx < 31 AND fy < 31 AS inside FROM pl) "
-    f"SELECT r0 AS r, c0 AS c, (CASE WHEN inside THEN {_quarter_sql('dx', 'dy')} ELSE v END)::BIGINT AS pred FROM pt JOIN an ON an.r = CASE WHEN inside THEN fy ELSE least(greatest(fy + (dy >= 2)::INT, 0), 31) END AND an.c = CASE WHEN inside THEN fx ELSE least(greatest(fx + (dx >= 2)::INT, 0), 31) END"
+    f"SELECT pt.k, r0 AS r, c0 AS c, (CASE WHEN inside THEN {_quarter_sql('dx', 'dy')} ELSE v END)::BIGINT AS pred FROM pt JOIN an ON an.k = pt.k AND an.r = CASE WHEN inside THEN fy ELSE least(greatest(fy + (dy >= 2)::INT, 0), 31) END AND an.c = CASE WHEN inside THEN fx ELSE least(greatest(fx + (dx >= 2)::INT, 0), 31) END"
 )
 def quarter_compensation(spark, sf_dir):
     """Vectors in quarter samples that partly leave the frame."""
-    out = motion.compensate_quarters(_vectors(spark), _moving(spark).where("f = 0").drop("f"), [], 8)
-    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+    out = motion.compensate_quarters(_vectors(spark, sf_dir), _ref(spark, sf_dir), ["k"], 8)
+    return out.select("k", "r", "c", F.col("pred").cast("bigint").alias("pred"))
 
 
 @query(
-    f"WITH px AS {_REF}, {_QMV}, pl AS (SELECT \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qx & 7 AS x, qy & 7 AS y, \"by\" * 8 + i + (qy >> 3) AS fy, bx * 8 + j + (qx >> 3) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
+    f"WITH {_FRAMES}, {_QMV}, pl AS (SELECT k, \"by\" * 8 + i AS r0, bx * 8 + j AS c0, qx & 7 AS x, qy & 7 AS y, \"by\" * 8 + i + (qy >> 3) AS fy, bx * 8 + j + (qx >> 3) AS fx FROM mv, range(8) a(i), range(8) b(j)), "
     "cl AS (SELECT *, least(greatest(fy, 0), 31) AS r1, least(greatest(fy + 1, 0), 31) AS r2, least(greatest(fx, 0), 31) AS c1, least(greatest(fx + 1, 0), 31) AS c3 FROM pl) "
-    "SELECT r0 AS r, c0 AS c, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS pred FROM cl JOIN px a ON a.r = r1 AND a.c = c1 JOIN px b ON b.r = r1 AND b.c = c3 JOIN px d ON d.r = r2 AND d.c = c1 JOIN px e ON e.r = r2 AND e.c = c3"
+    "SELECT cl.k, r0 AS r, c0 AS c, (((8 - x) * (8 - y) * a.v + x * (8 - y) * b.v + (8 - x) * y * d.v + x * y * e.v + 32) >> 6)::BIGINT AS pred FROM cl JOIN ref a ON a.k = cl.k AND a.r = r1 AND a.c = c1 JOIN ref b ON b.k = cl.k AND b.r = r1 AND b.c = c3 JOIN ref d ON d.k = cl.k AND d.r = r2 AND d.c = c1 JOIN ref e ON e.k = cl.k AND e.r = r2 AND e.c = c3"
 )
 def chroma_compensation(spark, sf_dir):
     """A chroma plane moved by luma vectors, clamped to its frame."""
-    out = motion.compensate_chroma(_vectors(spark), _moving(spark).where("f = 0").drop("f"), [], 8)
-    return out.select("r", "c", F.col("pred").cast("bigint").alias("pred"))
+    out = motion.compensate_chroma(_vectors(spark, sf_dir), _ref(spark, sf_dir), ["k"], 8)
+    return out.select("k", "r", "c", F.col("pred").cast("bigint").alias("pred"))
 
 
 # ── filters ──
 
-_TEX = _grid(72, 72, 1, "100 + ((r // 4) * 7 + (c // 4) * 5) % 23 + (r * c) % 3")
+#: One frame of all embeddings, 32 blocks of 8 x 8 wide, of a low contrast.
+_TEX = "(SELECT vec_id // 32 * 8 + i // 8 AS r, vec_id % 32 * 8 + i % 8 AS c, least(greatest(floor(embedding[i + 1]::DOUBLE * 96)::BIGINT + 128, 0), 255) AS v FROM embeddings, range(64) x(i) WHERE vec_id // 32 < (SELECT count(*) // 32 FROM embeddings))"
 
 
-def _texture(spark):
-    r, c = F.col("r"), F.col("c")
-    v = F.lit(100) + (div(r, 4) * 7 + div(c, 4) * 5) % 23 + (r * c) % 3
-    return synthetic.grid(spark, 72, 72, 1).select("r", "c", v.cast("int").alias("v"))
+def _texture(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rows = div(F.lit(e.count()), 32)
+    p = e.where(div("vec_id", 32) < rows).select("vec_id", F.posexplode("embedding").alias("p", "v"))
+    v = F.least(F.greatest(F.floor(F.col("v").cast("double") * 96) + 128, F.lit(0)), F.lit(255)).cast("int")
+    return p.select((div("vec_id", 32) * 8 + div("p", 8)).alias("r"), (F.col("vec_id") % 32 * 8 + F.col("p") % 8).alias("c"), v.alias("v"))
 
 
 def _edge_sql(src: str, out: str, along: str, qp: int = 30) -> str:
@@ -323,7 +344,7 @@ def _edge_sql(src: str, out: str, along: str, qp: int = 30) -> str:
 
 @query(f"WITH px AS {_TEX}, {_edge_sql('px', 'h', 'c')}, {_edge_sql('h', 'g', 'r')} SELECT r, c, v::BIGINT AS v FROM g")
 def deblock_frame(spark, sf_dir):
-    return loopfilter.deblock_luma(_texture(spark), [], 30).select("r", "c", F.col("v").cast("bigint").alias("v"))
+    return loopfilter.deblock_luma(_texture(spark, sf_dir), [], 30).select("r", "c", F.col("v").cast("bigint").alias("v"))
 
 
 def _chroma_sql(x: str, n: str, a: str, b: str, up: bool) -> str:
@@ -343,7 +364,7 @@ _ROWS = ", ".join(f"CASE WHEN r % 4 = 0 AND r % 32 <> 0 AND ncr IS NOT NULL THEN
 )
 def deblock_chroma_frame(spark, sf_dir):
     """Sums of both planes after the chroma filter."""
-    p = _texture(spark).select("r", "c", F.col("v").alias("cb"), (F.lit(250) - F.col("v")).alias("cr"))
+    p = _texture(spark, sf_dir).select("r", "c", F.col("v").alias("cb"), (F.lit(250) - F.col("v")).alias("cr"))
     out = loopfilter.deblock_chroma(p, [], 30)
     return out.agg(F.count("*").alias("n"), F.sum("cb").alias("cb"), F.sum("cr").alias("cr"))
 
@@ -384,49 +405,55 @@ def level_lookup(spark, sf_dir):
     return fit.groupBy("page_id").agg(F.min("level").cast("bigint").alias("level"))
 
 
-@query(f"WITH a AS {_grid(16, 16, 3, _PATTERNS['container'])}, b AS {_grid(16, 16, 3, _PATTERNS['bridge'])}, s AS (SELECT a.f, count(*) AS n, sum((a.v - b.v) ** 2)::BIGINT AS sse FROM a JOIN b ON a.f = b.f AND a.r = b.r AND a.c = b.c GROUP BY 1) SELECT f, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
-def frame_psnr(spark, sf_dir):
-    a = synthetic.pattern(spark, "container", 16, 16, 3)
-    b = synthetic.pattern(spark, "bridge", 16, 16, 3).withColumnRenamed("v", "b")
-    return metrics.psnr_by(a.withColumnRenamed("v", "a").join(b, ["f", "r", "c"]), ["f"]).withColumn("psnr", F.round("psnr", 6))
-
-
-_CLIPS = " UNION ALL ".join(f"SELECT '{k}' AS clip, f, r, c, v FROM {_grid(16, 16, 3, _PATTERNS[k])}" for k in ("container", "bridge"))
-_RUN = f"WITH ref AS ({_CLIPS}), d AS (SELECT clip, qp, f, r, c, v AS a, v - v % (qp // 4) AS b FROM ref, (VALUES (22), (32)) q(qp))"
+#: Labels as clips, their embeddings in order as frames, and what is left of them at two coarsenesses.
+_CLIPS = (
+    "rk AS (SELECT label::VARCHAR AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 512)::BIGINT + 128, 0), 255)) AS b FROM embeddings), "
+    "d AS (SELECT clip, qp, f, unnest(b) AS a, unnest(list_transform(b, lambda v: v - v % (qp // 4))) AS b FROM rk, (VALUES (22), (32)) q(qp))"
+)
+_PSNR = "round(CASE WHEN sse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025.0::DOUBLE / (sse / n)) END, 6)::DOUBLE AS psnr"
 
 
-def _summary(spark):
+def _summary(spark, sf_dir):
     """(codec, clip, qp) rows, reference pixels, and pixels that are rounded the coarser the higher qp is."""
-    ref = synthetic.pattern(spark, "container", 16, 16, 3).withColumn("clip", F.lit("container"))
-    ref = ref.unionByName(synthetic.pattern(spark, "bridge", 16, 16, 3).withColumn("clip", F.lit("bridge")))
-    ref = ref.select("clip", F.col("f").alias("frame_idx"), F.lit("y").alias("plane"), "r", "c", "v")
-    runs = spark.createDataFrame([("own", clip, qp) for clip in ("container", "bridge") for qp in (22, 32)], "codec string, clip string, qp int")
-    dec = ref.join(F.broadcast(runs), "clip").withColumn("v", F.col("v") - F.col("v") % F.floor(F.col("qp") / 4))
+    b = byte_blocks(spark, sf_dir).withColumn("frame_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    ref = b.select(F.col("label").cast("string").alias("clip"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.lit("y").alias("plane"), F.posexplode("b").alias("p", "v"))
+    ref = ref.select("clip", "frame_idx", "plane", div("p", 8).alias("r"), (F.col("p") % 8).cast("bigint").alias("c"), "v")
+    runs = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("clip")).distinct().select(F.lit("own").alias("codec"), "clip", F.explode(F.array(F.lit(22), F.lit(32))).alias("qp"))
+    dec = ref.join(runs, "clip").withColumn("v", F.col("v") - F.col("v") % F.floor(F.col("qp") / 4))
     return runs, ref, dec
 
 
-@query(f"{_RUN}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
+@query(f"WITH {_CLIPS}, s AS (SELECT clip, f, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d WHERE qp = 32 GROUP BY 1, 2) SELECT clip, f, n, sse, {_PSNR} FROM s")
+def frame_psnr(spark, sf_dir):
+    """Each frame at the coarser of the two."""
+    _, ref, dec = _summary(spark, sf_dir)
+    both = ref.withColumnRenamed("v", "a").join(dec.where("qp = 32").withColumnRenamed("v", "b"), ["clip", "frame_idx", "plane", "r", "c"])
+    return metrics.psnr_by(both.withColumnRenamed("frame_idx", "f"), ["clip", "f"]).withColumn("psnr", F.round("psnr", 6))
+
+
+@query(f"WITH {_CLIPS}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, {_PSNR} FROM s")
 def quality_matrix(spark, sf_dir):
     """Summary rows joined to their reference and decoded pixels by name, and measured."""
-    return metrics.psnr_by(metrics.quality_join(*_summary(spark)), ["codec", "clip", "qp"]).withColumn("psnr", F.round("psnr", 6))
+    return metrics.psnr_by(metrics.quality_join(*_summary(spark, sf_dir)), ["codec", "clip", "qp"]).withColumn("psnr", F.round("psnr", 6))
 
 
-@query(f"{_RUN}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d WHERE f = 0 GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, round(10 * log10(65025.0::DOUBLE / (sse / n)), 6)::DOUBLE AS psnr FROM s")
+@query(f"WITH {_CLIPS}, s AS (SELECT clip, qp, count(*) AS n, sum((a - b) ** 2)::BIGINT AS sse FROM d WHERE f = 0 GROUP BY 1, 2) SELECT 'own' AS codec, clip, qp, n, sse, {_PSNR} FROM s")
 def first_frame_quality(spark, sf_dir):
     """The same on frame 0 alone."""
-    pixels = metrics.first_frame(metrics.quality_join(*_summary(spark)))
+    pixels = metrics.first_frame(metrics.quality_join(*_summary(spark, sf_dir)))
     return metrics.psnr_by(pixels, ["codec", "clip", "qp"]).withColumn("psnr", F.round("psnr", 6))
 
 
 @query()
 def gop_codec(spark, sf_dir):
-    """The moving texture through the group codec: size and error of each frame, and whether what was decoded has
+    """Frames in clips of four through the group codec: size and error of each frame, and whether what was decoded has
     that error."""
-    frames = synthetic.planes(_moving(spark, frames=4).withColumn("v", F.col("v").cast("int")), ["f"], 32, 32)
-    clip = frames.select(F.lit("moving").alias("clip"), F.col("f").alias("frame_idx"), F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("plane").alias("y"))
+    hexes = F.unhex(F.array_join(F.transform("a", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
+    frames = _whole(spark, sf_dir).select(div("k", 4).cast("string").alias("clip"), (F.col("k") % 4).alias("frame_idx"), hexes.alias("plane"))
+    clip = frames.select("clip", "frame_idx", F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("plane").alias("y"))
     packets = gop.encode(clip, qp=26, interval=2)
     both = gop.decode(packets).join(packets, ["clip", "frame_idx"])
     value = lambda c: F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: byte_at(F.col(c), i))
-    j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"]).select("frame_idx", "key", "size", "sse", value("x").alias("a"), value("y").alias("b"))
+    j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"]).select("clip", "frame_idx", "key", "size", "sse", value("x").alias("a"), value("y").alias("b"))
     d = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0), lambda s, v: s + v)
-    return j.select("frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (d == F.col("sse")).alias("same"))
+    return j.select("clip", "frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (d == F.col("sse")).alias("same"))
