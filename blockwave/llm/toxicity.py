@@ -46,7 +46,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def windows(text: str | None) -> list[set[str]]:
     """The words of each window; one window where there are few."""
-    words = _WORD.findall((text or "").lower())
+    return _cut(_WORD.findall((text or "").lower()))
+
+
+def _cut(words: list[str]) -> list[set[str]]:
     return [set(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
 
 
@@ -250,13 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 50) for whole in batches for i in range(0, whole.num_rows, 50)):
             texts = b.column(1).to_pylist()
-            parts = [[features(w) for w in windows(t)] for t in texts]
-            found = pa.array([sorted(set().union(*p)) for p in parts], pa.list_(pa.string()))
-            by_window = pa.array([[sorted(w) for w in p] for p in parts], pa.list_(pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold_of(t) for t in texts], pa.int32()), found, by_window, *b.columns[2:]], ["id", "fold", "fs", "parts", *y])
+            words = [_WORD.findall((t or "").lower()) for t in texts]
+            found = pa.array([sorted(set().union(*map(features, _cut(w)))) for w in words], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold_of(t) for t in texts], pa.int32()), found, pa.array(words, pa.list_(pa.string())), *b.columns[2:]], ["id", "fold", "fs", "words", *y])
 
     small_batches(docs.sparkSession)
-    rows = keep(sample(docs, labels, chain).mapInArrow(find, "id long, fold int, fs array<string>, parts array<array<string>>, " + ", ".join(f"{c} int" for c in y)), "features")
+    rows = keep(sample(docs, labels, chain).mapInArrow(find, "id long, fold int, fs array<string>, words array<string>, " + ", ".join(f"{c} int" for c in y)), "features")
     by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.sum(c).alias(c) for c in y], F.count("*").alias("n")).collect()}
     totals = [[*(by_fold[f][c] for c in y), by_fold[f]["n"]] if f in by_fold else [0] * (width + 1) for f in range(FOLDS)]
 
@@ -283,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 50) for whole in batches for i in range(0, whole.num_rows, 50)):
-            at = [[[i for f in fs if (i := sent.value.get(f)) is not None] for fs in p] for p in b.column(2).to_pylist()]
+            at = [[sorted(i for f in features(w) if (i := sent.value.get(f)) is not None) for w in _cut(words)] for words in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.list_(pa.int32()))), *b.columns[3:]], ["id", "fold", "at", *y])
 
     table = rows.drop("fs").mapInArrow(places, "id long, fold int, at array<array<int>>, " + ", ".join(f"{c} int" for c in y)).toArrow().sort_by("id")
