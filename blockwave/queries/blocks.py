@@ -10,7 +10,7 @@ from ..functions import quant as Q
 from ..functions import rangecoder
 from ..functions import transform as T
 from ..functions.filters import band as sample_band
-from ..operators import loopfilter, metrics, motion, scenes
+from ..operators import loopfilter, metrics, motion, scenes, sweeps
 from .common import ARRAYS, BYTES, CELLS, QP, blocks, byte_blocks, rows, spread, table, values
 
 QUERIES, SQL = {}, {}
@@ -82,10 +82,11 @@ def dct8_spread(spark, sf_dir):
     return T.spread(s, ["id"], "dct", 8).select("id", (F.col("i") * 8 + F.col("j")).cast("bigint").alias("p"), F.col("v").cast("bigint").alias("v"))
 
 
-@query("SELECT d::BIGINT AS dc, (((((d * 8192 + 8192) >> 14) * 8192) + 8192) >> 14)::BIGINT AS v4, (((((d * 5793 + 8192) >> 14) * 5793) + 8192) >> 14)::BIGINT AS v8 FROM range(-2000, 2001) t(d)")
+@query("SELECT o_orderkey, d::BIGINT AS dc, (((((d * 8192 + 8192) >> 14) * 8192) + 8192) >> 14)::BIGINT AS v4, (((((d * 5793 + 8192) >> 14) * 5793) + 8192) >> 14)::BIGINT AS v8 FROM (SELECT o_orderkey, o_custkey % 4001 - 2000 AS d FROM orders)")
 def dc_shortcut(spark, sf_dir):
-    d = spark.range(-2000, 2001).select(F.col("id").alias("dc"))
-    return d.select("dc", T.dc_only(F.col("dc"), 4).alias("v4"), T.dc_only(F.col("dc"), 8).alias("v8"))
+    """Customers of orders as DC coefficients."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4001 - 2000).alias("dc"))
+    return d.select("o_orderkey", "dc", T.dc_only(F.col("dc"), 4).alias("v4"), T.dc_only(F.col("dc"), 8).alias("v8"))
 
 
 # ── quantizer ──
@@ -97,19 +98,25 @@ _EFF = f"greatest((({Q.STEPS[QP]} * (CASE WHEN p = 0 THEN 6 WHEN p < 16 THEN 7 W
 _LEVELS = f"{CELLS}, lv AS (SELECT vec_id, label, p, v, {_EFF} AS e, sign(v)::BIGINT * ((abs(v) + {_EFF} // 3) // {_EFF}) AS q FROM cells)"
 
 
-@query(f"WITH {_STEPS} SELECT qp::BIGINT AS qp, s::BIGINT AS step FROM steps")
+@query(f"WITH {_STEPS} SELECT p_partkey, qp::BIGINT AS qp, s::BIGINT AS step FROM part JOIN steps ON qp = p_partkey % 64")
 def qscale_table(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("qp"), Q.step(F.col("id")).cast("bigint").alias("step"))
+    """Keys of parts as QPs."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 64).alias("qp"))
+    return p.select("p_partkey", "qp", Q.step(F.col("qp")).cast("bigint").alias("step"))
 
 
-@query(f"WITH {_STEPS} SELECT qp::BIGINT AS qp, least(greatest((s::BIGINT * s * 200) >> 10, 1), 1073741824)::BIGINT AS lam FROM steps")
+@query(f"WITH {_STEPS} SELECT p_partkey, qp::BIGINT AS qp, least(greatest((s::BIGINT * s * 200) >> 10, 1), 1073741824)::BIGINT AS lam FROM part JOIN steps ON qp = p_partkey % 64")
 def lambda_table(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("qp"), Q.trade_off(F.col("id")).cast("bigint").alias("lam"))
+    """Keys of parts as QPs."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 64).alias("qp"))
+    return p.select("p_partkey", "qp", Q.trade_off(F.col("qp")).cast("bigint").alias("lam"))
 
 
-@query(f"WITH {_STEPS}, {_WEIGHTS} SELECT qp::BIGINT AS qp, band::BIGINT AS band, pos::BIGINT AS pos, greatest((s * w + 4) >> 3, 1)::BIGINT AS eff FROM steps, weights, range(64) r(pos)")
+@query(f"WITH {_STEPS}, {_WEIGHTS} SELECT vec_id, qp::BIGINT AS qp, band::BIGINT AS band, pos::BIGINT AS pos, greatest((s * w + 4) >> 3, 1)::BIGINT AS eff FROM embeddings JOIN steps ON qp = vec_id % 64 JOIN weights ON band = label % 4, range(64) r(pos)")
 def eff_scale_table(spark, sf_dir):
-    return Q.effective_table(spark).select(*[F.col(c).cast("bigint").alias(c) for c in ("qp", "band", "pos", "eff")])
+    """The table's rows of each embedding's QP and band; the table has 16,384 rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 64).cast("int").alias("qp"), (F.col("label") % 4).cast("int").alias("band"))
+    return e.join(F.broadcast(Q.effective_table(spark)), ["qp", "band"]).select("vec_id", *[F.col(c).cast("bigint").alias(c) for c in ("qp", "band", "pos", "eff")])
 
 
 @query(f"WITH {CELLS} SELECT {_BAND}::BIGINT AS band, sum(v * v)::BIGINT AS energy, count(*) AS n FROM cells GROUP BY 1")
@@ -201,11 +208,12 @@ def coefficient_decode(spark, sf_dir):
     return rows(B.coefficient_decode(coded, "data", 8).select("vec_id", F.col("data.block").alias("q")), "q")
 
 
-@query("SELECT v::BIGINT AS v, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END::BIGINT AS u, v::BIGINT AS back, (2 * length(bin(CASE WHEN v > 0 THEN 2 * v ELSE 1 - 2 * v END)) - 1)::BIGINT AS bits FROM range(-300, 301) t(v)")
+@query("SELECT l_orderkey, l_linenumber, v::BIGINT AS v, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END::BIGINT AS u, v::BIGINT AS back, (2 * length(bin(CASE WHEN v > 0 THEN 2 * v ELSE 1 - 2 * v END)) - 1)::BIGINT AS bits FROM (SELECT l_orderkey, l_linenumber, l_partkey % 601 - 300 AS v FROM lineitem)")
 def se_codes(spark, sf_dir):
-    r = spark.range(-300, 301).select(F.col("id").alias("v"))
-    r = r.select("v", B.se_number(F.col("v")).cast("bigint").alias("u"), B.se(F.col("v")).alias("code"))
-    return r.select("v", "u", B.se_value(B.read_ue(F.col("code"))["value"]).cast("bigint").alias("back"), F.length("code").cast("bigint").alias("bits"))
+    """Parts of line items as signed numbers."""
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 601 - 300).alias("v"))
+    r = r.select("l_orderkey", "l_linenumber", "v", B.se_number(F.col("v")).cast("bigint").alias("u"), B.se(F.col("v")).alias("code"))
+    return r.select("l_orderkey", "l_linenumber", "v", "u", B.se_value(B.read_ue(F.col("code"))["value"]).cast("bigint").alias("back"), F.length("code").cast("bigint").alias("bits"))
 
 
 @query(
@@ -433,3 +441,40 @@ def range_coder_round_trip(spark, sf_dir):
     back = coded.select("ids", rangecoder.decoded(F.col("data"), F.size("ids"), 64).alias("b"))
     rows_ = back.select(F.inline(F.arrays_zip("ids", "b"))).select(F.col("ids").alias("vec_id"), F.col("b").alias("q"))
     return rows(rows_, "q")
+
+
+# ── sweeps and meters ──
+
+_QPS = (22, 27, 32, 37, 42)
+_SWEPT = (
+    f"{CELLS}, {_STEPS}, {_WEIGHTS}, lv AS (SELECT vec_id, label, p, v, codec, qp, greatest((s * w + 4) >> 3, 1) AS e FROM cells, steps, weights, (VALUES ('own'), ('base')) c(codec) WHERE qp IN ({', '.join(map(str, _QPS))}) AND band = CASE codec WHEN 'own' THEN {_BAND} ELSE 0 END), "
+    "lq AS (SELECT *, sign(v)::BIGINT * ((abs(v) + e // 3) // e) AS q FROM lv), ll AS (SELECT *, coalesce(max(p) FILTER (WHERE q <> 0) OVER (PARTITION BY vec_id, codec, qp), -1) AS last FROM lq), "
+    "sw AS (SELECT label::BIGINT AS label, codec, qp::BIGINT AS qp, count(*) AS n, coalesce(sum(CASE WHEN q = 0 THEN 1 ELSE 2 + 2 * length(bin(abs(q))) END) FILTER (WHERE p <= last), 0)::BIGINT AS bits, "
+    "sum((v - q * e - sign(q)::BIGINT * CASE codec WHEN 'own' THEN e // 6 ELSE e >> 1 END) ** 2)::BIGINT AS sse FROM ll GROUP BY 1, 2, 3)"
+)
+
+
+def _sweep(spark, sf_dir):
+    return sweeps.sweep(blocks(spark, sf_dir).withColumn("label", F.col("label").cast("bigint")), ["label"], _QPS).withColumn("qp", F.col("qp").cast("bigint"))
+
+
+@query(
+    f"WITH {_SWEPT} SELECT p.*, NOT EXISTS (SELECT 1 FROM sw a, sw b WHERE a.label = p.label AND b.label = p.label AND a.codec = p.codec AND b.codec = p.codec AND a.bits < p.bits AND b.bits > p.bits "
+    "AND (b.bits - a.bits)::DOUBLE * (p.sse - a.sse)::DOUBLE >= (p.bits - a.bits)::DOUBLE * (b.sse - a.sse)::DOUBLE) AS hull FROM sw p"
+)
+def rd_sweep(spark, sf_dir):
+    """Embeddings as blocks of coefficients at five QPs and by both quantizers, and which points are on a label's lower hull."""
+    return sweeps.lower_hull(_sweep(spark, sf_dir), ["label", "codec"], "bits", "sse")
+
+
+@query(f"WITH {_SWEPT} SELECT band, sum((q = 0)::INT)::DOUBLE AS zeros, count(*)::DOUBLE AS n FROM (SELECT *, {_BAND} AS band FROM ll WHERE codec = 'own' AND qp = 32) GROUP BY band")
+def meter_shares(spark, sf_dir):
+    """How many levels of each band are zero, counted in the pass that quantizes; nothing is read twice."""
+    q = Q.quantize(F.col("b"), F.lit(32), 8)
+    each = rows(blocks(spark, sf_dir).withColumn("q", q), "q").withColumn("band", Q.band_of("p", 8))
+    meters = {f"{what}_{k}": F.sum(F.when((F.col("band") == k) & on, 1).otherwise(0)) for k in range(4) for what, on in (("zeros", F.col("v") == 0), ("n", F.lit(True)))}
+    read, seen = sweeps.metered(each, "levels", **meters)
+    read.write.format("noop").mode("overwrite").save()  # the work that is metered
+    m = sweeps.meter_rows(spark, seen).select(F.split("meter", "_").alias("m"), "value")
+    by = m.groupBy(F.col("m")[1].cast("bigint").alias("band")).agg(*[F.max(F.when(F.col("m")[0] == k, F.col("value"))).alias(k) for k in ("zeros", "n")])
+    return by.where("n > 0")

@@ -78,24 +78,29 @@ _PATTERNS = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, f, sum(v)::BIGINT AS total, sum(v * (r * 131 + c))::BIGINT AS weighted FROM {_grid(128, 128, 2, v)} GROUP BY f" for k, v in _PATTERNS.items()))
+_MADE = "(SELECT s_suppkey::BIGINT AS f, r::BIGINT AS r, c::BIGINT AS c FROM supplier, range(128) b(r), range(128) d(c))"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, f, sum(v)::BIGINT AS total, sum(v * (r * 131 + c))::BIGINT AS weighted FROM (SELECT f, r, c, {v} AS v FROM {_MADE}) GROUP BY f" for k, v in _PATTERNS.items()))
 def synthetic_frames(spark, sf_dir):
-    """Sums over every generated frame."""
-    out = None
+    """Sums over generated frames, one of each pattern for each supplier, whose key is the frame's number."""
+    out, made = None, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("f"))
+    last = made.agg(F.max("f")).first()[0]
     for k in _PATTERNS:
-        g = synthetic.pattern(spark, k, 128, 128, 2).groupBy("f").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * (F.col("r") * 131 + F.col("c"))).cast("bigint").alias("weighted"))
+        g = synthetic.pattern(spark, k, 128, 128, last + 1).join(made, "f").groupBy("f").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * (F.col("r") * 131 + F.col("c"))).cast("bigint").alias("weighted"))
         g = g.select(F.lit(k).alias("pattern"), "f", "total", "weighted")
         out = g if out is None else out.unionAll(g)
     return out
 
 
-_LCG = "WITH RECURSIVE s(i, x) AS (SELECT 0, (7::UBIGINT * 1103515245 + 12345) % 4294967296 UNION ALL SELECT i + 1, (x * 1103515245 + 12345) % 4294967296 FROM s WHERE i < 1023) SELECT i::BIGINT AS i, ((x >> 16) & 255)::BIGINT AS v FROM s"
+_LCG = "WITH RECURSIVE s(i, x) AS (SELECT 0, (7::UBIGINT * 1103515245 + 12345) % 4294967296 UNION ALL SELECT i + 1, (x * 1103515245 + 12345) % 4294967296 FROM s WHERE i < 1023) SELECT o_orderkey, i::BIGINT AS i, ((x >> 16) & 255)::BIGINT AS v FROM s JOIN orders ON i = o_custkey % 1024"
 
 
 @query(_LCG)
 def noise_samples(spark, sf_dir):
-    """The first 1024 samples of the noise generator with seed 7; each place is computed on its own."""
-    return spark.range(1024).select(F.col("id").alias("i"), synthetic.noise_at(F.col("id"), 7).cast("bigint").alias("v"))
+    """Samples of the noise generator with seed 7 at the places that orders' customers name; each is computed on its own."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 1024).alias("i"))
+    return o.select("o_orderkey", "i", synthetic.noise_at(F.col("i"), 7).cast("bigint").alias("v"))
 
 
 @query(
@@ -371,30 +376,31 @@ def deblock_chroma_frame(spark, sf_dir):
 
 # ── packets ──
 
-#: Literal packets: two whole headers and one each that is wrong in its magic, version, size, tools and level.
-HEADERS = (
-    "544356000140010080fe0500", "54435601050002d0b0000a130000", "58435601050002d0b0000a130000", "54435603050002d0b0000a130000",
-    "54435601ffff02d0b0000a130000", "54435601050002d0b0000a138000", "544356020780043880ff00150001", "544356020780043880ff00140001", "5443560105000000b0000a130000", "5443",
-)
+#: Parts as headers with any field wrong.
+_LV = "lv(i, lw, lh) AS (VALUES (1, 320, 240), (2, 640, 480), (3, 1280, 720), (4, 1280, 720), (5, 1920, 1080), (6, 1920, 1080), (7, 3840, 2160), (8, 3840, 2160))"
 
 
 @query(
-    "WITH p(id, h) AS (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADERS)) + "), "
-    "b AS (SELECT id, h, length(h) // 2 AS n, ('0x' || substr(h, 7, 2))::INT AS ver, TRY_CAST('0x' || substr(h, 9, 4) AS INT) AS w, TRY_CAST('0x' || substr(h, 13, 4) AS INT) AS ht, TRY_CAST('0x' || substr(h, 17, 2) AS INT) AS fl, TRY_CAST('0x' || substr(h, 19, 2) AS INT) AS qd, TRY_CAST('0x' || substr(h, 21, 2) AS INT) AS num, TRY_CAST('0x' || substr(h, 23, 2) AS INT) AS pl, TRY_CAST('0x' || substr(h, 25, 4) AS INT) AS tl FROM (SELECT id, rpad(h, 6, ' ') || CASE WHEN length(h) < 8 THEN '00' ELSE substr(h, 7) END AS h FROM p)) "
-    "SELECT id::BIGINT AS id, CASE WHEN left(h, 6) <> '544356' THEN 'magic' WHEN ver > 2 THEN 'version' WHEN w = 0 OR ht = 0 OR w > 4096 OR ht > 4096 THEN 'size' "
-    "WHEN ver > 0 AND tl & " + str(65535 & ~container.TOOLS) + " <> 0 THEN 'tools' WHEN ver > 0 AND pl >> 4 > 3 THEN 'profile' WHEN ver > 0 AND ((pl & 15) = 4 AND (w > 1280 OR ht > 720)) THEN 'level' ELSE '' END AS error, "
-    "w::BIGINT AS width, ht::BIGINT AS height, num::BIGINT AS frame_num, least(greatest(32 + CASE WHEN qd > 127 THEN qd - 256 ELSE qd END, 0), 63)::BIGINT AS qp, fl & 128 <> 0 AS key FROM b WHERE left(h, 6) = '544356' AND w IS NOT NULL"
+    f"WITH {_LV}, h AS (SELECT p_partkey AS id, p_partkey % 4 AS ver, p_partkey * 37 % 4300 AS w, p_partkey * 91 % 4300 AS ht, p_size * 5 % 256 AS fl, p_partkey % 64 AS qp, p_partkey % 256 AS num, p_size % 80 AS pl, p_partkey * 7 % 65536 AS tl FROM part), "
+    "j AS (SELECT h.*, lw, lh FROM h LEFT JOIN lv ON i = pl & 15) "
+    "SELECT id, CASE WHEN ver > 2 THEN 'version' WHEN w = 0 OR ht = 0 OR w > 4096 OR ht > 4096 THEN 'size' WHEN ver > 0 AND tl & 14848 <> 0 THEN 'tools' WHEN ver > 0 AND pl >> 4 > 3 THEN 'profile' "
+    "WHEN ver > 0 AND (w > lw OR ht > lh) THEN 'level' ELSE '' END AS error, w::BIGINT AS width, ht::BIGINT AS height, num::BIGINT AS frame_num, qp::BIGINT AS qp, fl & 128 <> 0 AS key, ver > 0 AND fl & 32 <> 0 AS is_rap, ver > 0 AND fl & 16 <> 0 AS has_crc, "
+    "CASE WHEN ver > 0 THEN tl ELSE 0 END::BIGINT AS tools, CASE WHEN ver > 0 THEN pl >> 4 ELSE 0 END::BIGINT AS profile, CASE WHEN ver > 0 THEN pl & 15 ELSE 0 END::BIGINT AS level FROM j"
 )
 def header_parse(spark, sf_dir):
-    """Parsed headers of those packets that have one whole."""
-    p = spark.createDataFrame(list(enumerate(HEADERS)), "id bigint, h string").select("id", F.unhex("h").alias("payload"))
-    h = p.select("id", container.parse_header(F.col("payload")).alias("h")).where("h.error NOT IN ('magic', 'short')")
-    return h.select("id", "h.error", *[F.col(f"h.{c}").cast("bigint").alias(c) for c in ("width", "height", "frame_num", "qp")], F.col("h.key").alias("key"))
+    """Headers written from the columns of parts, good and bad ones, and parsed."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    head = container.write_header(k % 4, k * 37 % 4300, k * 91 % 4300, size * 5 % 256, k % 64, k, size % 80, k * 7 % 65536)
+    h = table(spark, sf_dir, "part").select(k.alias("id"), container.parse_header(head).alias("h"))
+    fields = [F.col(f"h.{c}").cast("bigint").alias(c) for c in ("width", "height", "frame_num", "qp", "tools", "profile", "level")]
+    return h.select("id", "h.error", *fields, *[F.col(f"h.{c}") for c in ("key", "is_rap", "has_crc")])
 
 
-@query("SELECT i::BIGINT AS level, w::BIGINT AS max_width, h::BIGINT AS max_height, d::BIGINT AS max_dpb, b::BIGINT AS max_bitrate FROM (VALUES (0, 4096, 4096, 8, 0), (1, 320, 240, 1, 500000), (2, 640, 480, 2, 2000000), (3, 1280, 720, 2, 5000000), (4, 1280, 720, 4, 10000000), (5, 1920, 1080, 4, 20000000), (6, 1920, 1080, 4, 40000000), (7, 3840, 2160, 4, 80000000), (8, 3840, 2160, 8, 160000000)) t(i, w, h, d, b)")
+@query("SELECT p_partkey, i::BIGINT AS level, w::BIGINT AS max_width, h::BIGINT AS max_height, d::BIGINT AS max_dpb, b::BIGINT AS max_bitrate FROM (VALUES (0, 4096, 4096, 8, 0), (1, 320, 240, 1, 500000), (2, 640, 480, 2, 2000000), (3, 1280, 720, 2, 5000000), (4, 1280, 720, 4, 10000000), (5, 1920, 1080, 4, 20000000), (6, 1920, 1080, 4, 40000000), (7, 3840, 2160, 4, 80000000), (8, 3840, 2160, 8, 160000000)) t(i, w, h, d, b) JOIN part ON p_partkey % 9 = i")
 def level_table(spark, sf_dir):
-    return container.levels(spark).select(*[F.col(c).cast("bigint").alias(c) for c in ("level", "max_width", "max_height", "max_dpb", "max_bitrate")])
+    """The limits of each part's level."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 9).cast("int").alias("level"))
+    return p.join(F.broadcast(container.levels(spark)), "level").select("p_partkey", *[F.col(c).cast("bigint").alias(c) for c in ("level", "max_width", "max_height", "max_dpb", "max_bitrate")])
 
 
 @query("WITH s AS (SELECT page_id, length(html) AS n FROM pages), l(i, b) AS (VALUES (1, 500000), (2, 2000000), (3, 5000000), (4, 10000000), (5, 20000000), (6, 40000000), (7, 80000000), (8, 160000000)) SELECT page_id, min(i)::BIGINT AS level FROM s JOIN l ON b >= n * 8 * 30 GROUP BY page_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ratecontrol as R
 from ..functions.filters import edge
 from ..functions.ints import div
-from ..operators import metrics, order, prefix, scenes
+from ..operators import metrics, order, prefix, scenes, sweeps
 from ..sources import container
 from ..streaming import timed
 from .common import scratch, table
@@ -63,10 +63,12 @@ def hist16_lineitem_qty(spark, sf_dir):
 # ── rate control ──
 
 
-@query("SELECT qp::BIGINT AS qp, round(1 / (1 + exp(-(qp - 28) / 8.0::DOUBLE)), 9) AS rho, qp::BIGINT AS back FROM range(64) t(qp)")
+@query("SELECT p_partkey, qp::BIGINT AS qp, round(1 / (1 + exp(-(qp - 28) / 8.0::DOUBLE)), 9) AS rho, qp::BIGINT AS back FROM (SELECT p_partkey, p_partkey % 64 AS qp FROM part)")
 def rho_qp_roundtrip(spark, sf_dir):
-    q = spark.range(64).select(F.col("id").alias("qp"), R.rho(F.col("id")).alias("rho"))
-    return q.select("qp", F.round("rho", 9).alias("rho"), R.qp_of(F.col("rho")).cast("bigint").alias("back"))
+    """Keys of parts as QPs."""
+    q = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 64).alias("qp"))
+    q = q.withColumn("rho", R.rho(F.col("qp")))
+    return q.select("p_partkey", "qp", F.round("rho", 9).alias("rho"), R.qp_of(F.col("rho")).cast("bigint").alias("back"))
 
 
 _STEP = "CASE WHEN s.level > 0.8 THEN -2.0 WHEN s.level > 0.6 THEN -1.0 WHEN s.level < 0.2 THEN 2.0 WHEN s.level < 0.4 THEN 1.0 ELSE 0.0 END"
@@ -119,10 +121,11 @@ def vbv_prefix_one_stream(spark, sf_dir):
     return b.select("event_id", "place", F.col("qp").cast("bigint").alias("qp"), F.round("level", 9).alias("level"), "total")
 
 
-@query("SELECT p::BIGINT AS position, CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END::BIGINT AS off, least(62 + CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END, 63)::BIGINT AS qp FROM range(100) t(p)")
+@query("SELECT o_orderkey, p::BIGINT AS position, CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END::BIGINT AS off, least(62 + CASE WHEN p = 0 THEN 0 WHEN (p - 1) % 4 = 1 THEN 1 WHEN (p - 1) % 4 > 1 THEN 2 ELSE 0 END, 63)::BIGINT AS qp FROM (SELECT o_orderkey, o_custkey % 1000 AS p FROM orders)")
 def layer_qp(spark, sf_dir):
-    p = spark.range(100).select(F.col("id").alias("position"))
-    return p.select("position", R.layer_offset("position").cast("bigint").alias("off"), R.layer_qp(62, "position").cast("bigint").alias("qp"))
+    """Customers of orders as coding positions."""
+    p = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 1000).alias("position"))
+    return p.select("o_orderkey", "position", R.layer_offset("position").cast("bigint").alias("off"), R.layer_qp(62, "position").cast("bigint").alias("qp"))
 
 
 # ── order ──
@@ -133,9 +136,11 @@ def key_cadence(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scenes.cadence_key("turn", 4).alias("key"))
 
 
-@query("SELECT p::BIGINT AS position, CASE WHEN p = 0 THEN 0 ELSE 4 * ((p + 3) // 4) + CASE (p - 1) % 4 WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE -1 END END::BIGINT AS display, p::BIGINT AS back FROM range(101) t(p)")
+@query("SELECT o_orderkey, p::BIGINT AS position, CASE WHEN p = 0 THEN 0 ELSE 4 * ((p + 3) // 4) + CASE (p - 1) % 4 WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE -1 END END::BIGINT AS display, p::BIGINT AS back FROM (SELECT o_orderkey, o_custkey % 1000 AS p FROM orders)")
 def gop_schedule(spark, sf_dir):
-    p = spark.range(101).select(F.col("id").alias("position"), order.display_of("id").alias("display"))
+    """Customers of orders as coding positions."""
+    p = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 1000).cast("bigint").alias("position"))
+    p = p.withColumn("display", order.display_of("position"))
     return p.withColumn("back", order.coding_of("display"))
 
 
@@ -282,18 +287,8 @@ def deblock_weak_1d(spark, sf_dir):
 
 # ── measurements ──
 
-#: Published points: clip, codec, QP, bytes, PSNR.
-RD_POINTS = (
-    ("park_joy", "ours", 27, 1030075, 30.40), ("park_joy", "ours", 32, 433996, 27.06), ("park_joy", "ours", 37, 146031, 24.32),
-    ("park_joy", "before", 27, 1083627, 30.48), ("park_joy", "before", 32, 458231, 27.11), ("park_joy", "before", 37, 158960, 24.36),
-    ("park_joy", "base", 27, 456234, 29.86), ("park_joy", "base", 32, 199752, 26.85), ("park_joy", "base", 37, 86331, 24.14),
-    ("in_to_tree", "ours", 27, 177428, 33.04), ("in_to_tree", "ours", 32, 49337, 30.90), ("in_to_tree", "ours", 37, 17067, 28.85),
-    ("in_to_tree", "base", 27, 77871, 33.48), ("in_to_tree", "base", 32, 34083, 31.24), ("in_to_tree", "base", 37, 18262, 29.32),
-    ("sita_flat", "ours", 27, 20946, 40.49), ("sita_flat", "ours", 32, 5122, 39.70), ("sita_flat", "ours", 37, 3612, 39.00),
-    ("sita_flat", "base", 27, 70878, 43.18), ("sita_flat", "base", 32, 27971, 40.26), ("sita_flat", "base", 37, 5403, 39.10),
-    ("apart", "ours", 27, 1000, 20.0), ("apart", "ours", 32, 500, 18.0), ("apart", "base", 27, 1000, 40.0), ("apart", "base", 32, 500, 38.0),
-)
-_RDV = "rd(clip, codec, qp, bytes, psnr) AS (VALUES " + ", ".join(f"('{a}', '{b}', {q}, {n}, {p}::DOUBLE)" for a, b, q, n, p in RD_POINTS) + ")"
+#: Suppliers modulo seven as clips, return flags as codecs, line numbers as QPs.
+_RDV = "rd(clip, codec, qp, bytes, psnr) AS (SELECT (l_suppkey % 7)::VARCHAR, CASE l_returnflag WHEN 'A' THEN 'base' WHEN 'N' THEN 'ours' ELSE 'before' END, l_linenumber, sum(l_orderkey)::BIGINT, round(avg(l_quantity + 10 * ln(l_linenumber + l_partkey % 7) - length(l_returnflag)), 4) FROM lineitem GROUP BY 1, 2, 3)"
 _BD = f"""WITH {_RDV}, pt AS (SELECT clip, codec, psnr AS x, ln(bytes * 8.0::DOUBLE / 1000) AS y FROM rd), sg AS (SELECT clip, codec, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY clip, codec ORDER BY x)),
 sp AS (SELECT clip, codec, min(x) AS lo, max(x) AS hi FROM pt GROUP BY 1, 2), pr AS (SELECT t.clip, t.codec, greatest(t.lo, b.lo) AS a, least(t.hi, b.hi) AS b FROM sp t JOIN sp b ON t.clip = b.clip AND b.codec = 'base' WHERE t.codec <> 'base'),
 kn AS (SELECT DISTINCT pr.clip, pr.codec, a, b, k.x FROM pr JOIN (SELECT clip, codec, x FROM pt) k ON k.clip = pr.clip AND k.codec IN (pr.codec, 'base') AND k.x BETWEEN a AND b WHERE b > a UNION SELECT clip, codec, a, b, a FROM pr WHERE b > a UNION SELECT clip, codec, a, b, b FROM pr WHERE b > a),
@@ -301,15 +296,18 @@ ev AS (SELECT kn.clip, kn.codec, kn.a, kn.b, kn.x, min(t.y0 + (t.y1 - t.y0) * (k
 ar AS (SELECT clip, codec, a, b, (lead(x) OVER w - x) * (lead(d) OVER w + d) / 2 AS s FROM ev WINDOW w AS (PARTITION BY clip, codec ORDER BY x)), bd AS (SELECT clip, codec, (exp(sum(s) / max(b - a)) - 1) * 100 AS v FROM ar GROUP BY 1, 2), ta AS (SELECT pr.clip, pr.codec, v FROM pr LEFT JOIN bd ON pr.clip = bd.clip AND pr.codec = bd.codec)"""
 
 
-def _rd(spark):
-    p = spark.createDataFrame(list(RD_POINTS), "clip string, codec string, qp int, bytes bigint, psnr double")
+def _rd(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    codec = F.when(F.col("l_returnflag") == "A", "base").when(F.col("l_returnflag") == "N", "ours").otherwise("before")
+    psnr = F.col("l_quantity") + F.ln(F.col("l_linenumber") + F.col("l_partkey") % 7) * 10 - 1
+    p = t.groupBy((F.col("l_suppkey") % 7).cast("string").alias("clip"), codec.alias("codec"), F.col("l_linenumber").alias("qp")).agg(F.sum("l_orderkey").cast("bigint").alias("bytes"), F.round(F.avg(psnr), 4).alias("psnr"))
     return p.withColumn("rate", F.col("bytes") * 8 / 1000)
 
 
 @query(f"{_BD} SELECT clip, codec, round(v, 6) AS bd_rate FROM ta UNION ALL SELECT 'OVERALL', codec, round(avg(v), 6) FROM ta GROUP BY codec")
 def bd_rate_published(spark, sf_dir):
-    """Published curves; the clip without an overlap has no rate."""
-    out = metrics.bd_overall(metrics.bd_rate(_rd(spark), ["clip"], "base"), "clip")
+    """Curves of line items against those that were returned."""
+    out = metrics.bd_overall(metrics.bd_rate(_rd(spark, sf_dir), ["clip"], "base"), "clip")
     return out.withColumn("bd_rate", F.round("bd_rate", 6))
 
 
@@ -320,7 +318,7 @@ def rd_curves(spark, sf_dir):
 
     kbps = metrics.bitrate_kbps(F.col("bytes"), F.lit(30.0), F.lit(25.0))
     place = F.row_number().over(Window.partitionBy("clip", "codec").orderBy("bytes")).cast("bigint")
-    return _rd(spark).select("clip", "codec", F.col("qp").cast("bigint").alias("qp"), F.round(kbps, 6).alias("kbps"), place.alias("place"))
+    return _rd(spark, sf_dir).select("clip", "codec", F.col("qp").cast("bigint").alias("qp"), F.round(kbps, 6).alias("kbps"), place.alias("place"))
 
 
 @query("WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, max(value) AS best, max(value) FILTER (WHERE k = n // 2 + 1) AS median, max(n) AS n FROM r GROUP BY 1")
@@ -350,6 +348,17 @@ def score_guard(spark, sf_dir):
     return metrics.keep_scores(d, ["day"], F.lit(1_000_000.0), F.lit(26.0)).select("day", "keep")
 
 
+@query(
+    "WITH RECURSIVE d AS (SELECT l_suppkey % 7 AS mode, l_shipdate::DATE AS day, sum(l_partkey)::DOUBLE AS bytes, round(avg(l_quantity), 6) AS psnr FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY day) AS k FROM d), "
+    "s AS (SELECT DISTINCT mode, 0::BIGINT AS k, NULL::DATE AS day, 1e12::DOUBLE AS bb, 26.0::DOUBLE AS bp, false AS keep FROM d UNION ALL SELECT n.mode, n.k, n.day, CASE WHEN n.bytes < s.bb * 0.995 AND n.psnr - s.bp > -0.5 THEN n.bytes ELSE s.bb END, "
+    "CASE WHEN n.bytes < s.bb * 0.995 AND n.psnr - s.bp > -0.5 THEN n.psnr ELSE s.bp END, n.bytes < s.bb * 0.995 AND n.psnr - s.bp > -0.5 FROM s JOIN n ON n.mode = s.mode AND n.k = s.k + 1) SELECT mode, day, keep FROM s WHERE k > 0"
+)
+def score_chain(spark, sf_dir):
+    """Days as tuning steps by supplier modulo seven, where each kept one is the base of those after it."""
+    d = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("mode"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_partkey").cast("double").alias("bytes"), F.round(F.avg("l_quantity"), 6).alias("psnr"))
+    return sweeps.accepted(d, ["mode"], "day", 1e12, 26.0).select("mode", "day", "keep")
+
+
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def content_manifest(spark, sf_dir):
     """Digests of whole contents."""
@@ -377,11 +386,11 @@ def previous_vectors(spark, sf_dir):
     return order.previous_grid(e, [], "frame", ["cell"], "label")
 
 
-@query("SELECT r::BIGINT AS r, (r * 7) // 3 AS q, -((r * 7) // 3) AS m FROM range(100) t(r)")
+@query("SELECT l_orderkey, l_linenumber, r::BIGINT AS r, (r * 7) // 3 AS q, -((r * 7) // 3) AS m FROM (SELECT l_orderkey, l_linenumber, l_partkey AS r FROM lineitem)")
 def truncating_division(spark, sf_dir):
     """Quotients truncate towards zero."""
-    r = spark.range(100).select(F.col("id").alias("r"))
-    return r.select("r", div(F.col("r") * 7, 3).alias("q"), div(F.col("r") * -7, 3).alias("m"))
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "r", div(F.col("r") * 7, 3).alias("q"), div(F.col("r") * -7, 3).alias("m"))
 
 
 # ── streams with time ──
