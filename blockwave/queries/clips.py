@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..functions.ints import byte_at, div
 from ..operators import gop, loopfilter, metrics, motion, scenes
-from ..sources import container, synthetic
+from ..sources import container, settings, synthetic
 from .common import byte_blocks, table
 
 QUERIES, SQL = {}, {}
@@ -463,3 +463,22 @@ def gop_codec(spark, sf_dir):
     j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"]).select("clip", "frame_idx", "key", "size", "sse", value("x").alias("a"), value("y").alias("b"))
     d = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0), lambda s, v: s + v)
     return j.select("clip", "frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (d == F.col("sse")).alias("same"))
+
+
+_LIMITS = "lm(i, lw, lh, lb) AS (VALUES (1, 320, 240, 500000), (2, 640, 480, 2000000), (3, 1280, 720, 5000000), (4, 1280, 720, 10000000), (5, 1920, 1080, 20000000), (6, 1920, 1080, 40000000), (7, 3840, 2160, 80000000), (8, 3840, 2160, 160000000))"
+
+
+@query(
+    f"WITH {_LIMITS}, s AS (SELECT p_partkey, p_partkey * 37 % 4300 AS width, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey * 91 % 4300 END AS height, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size % 5 END, 2) AS preset, p_size % 4 AS method, "
+    "coalesce(CASE WHEN p_size % 7 <> 0 THEN p_partkey % 66 END, 32) AS qp, coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_partkey * 1000 END, 0) AS bitrate, p_partkey % 10 AS level FROM part), j AS (SELECT s.*, lw, lh, lb FROM s LEFT JOIN lm ON i = level) "
+    "SELECT p_partkey, preset::BIGINT AS preset, qp::BIGINT AS qp, CASE WHEN width < 1 OR width > 4096 THEN 'width' WHEN height IS NULL OR height < 1 OR height > 4096 THEN 'height' WHEN preset > 3 THEN 'preset' WHEN method > 2 THEN 'rc_method' WHEN qp > 63 THEN 'qp' "
+    "WHEN NOT (bitrate > 0 OR method = 0 AND bitrate = 0) THEN 'bitrate' WHEN level > 8 THEN 'level' WHEN level > 0 AND (width > lw OR height > lh OR bitrate > lb) THEN 'limits' ELSE '' END AS error FROM j"
+)
+def settings_check(spark, sf_dir):
+    """Parts as settings, some of them missing or out of range."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        k, (k * 37 % 4300).alias("width"), F.when(k % 11 != 0, k * 91 % 4300).alias("height"), F.when(size % 3 == 0, size % 5).alias("preset"), (size % 4).alias("rc_method"),
+        F.when(size % 7 != 0, k % 66).alias("qp"), F.when(k % 4 != 0, k * 1000).alias("bitrate"), (k % 10).alias("level"),
+    )
+    return settings.checked(p).select("p_partkey", F.col("preset").cast("bigint").alias("preset"), F.col("qp").cast("bigint").alias("qp"), "error")
