@@ -226,7 +226,7 @@ def segment_doubling(spark, sf_dir):
 
 _ONE = (
     "WITH RECURSIVE p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, value < 40 OR row_number() OVER (ORDER BY ts, event_id) = 1 AS key FROM events), "
-    "n AS (SELECT a.place, (SELECT min(b.place) FROM p b WHERE b.key AND b.place >= a.place + 24) AS after FROM p a WHERE a.key), "
+    "k AS MATERIALIZED (SELECT place FROM p WHERE key), n AS MATERIALIZED (SELECT a.place, b.place AS after FROM k a ASOF JOIN k b ON a.place + 24 <= b.place), "
     "c AS (SELECT 0::BIGINT AS place, 0::BIGINT AS segment UNION ALL SELECT n.after, c.segment + 1 FROM c JOIN n ON n.place = c.place WHERE n.after IS NOT NULL) "
     "SELECT p.event_id, p.place, c.segment FROM p ASOF JOIN c ON p.place >= c.place"
 )
