@@ -6,7 +6,10 @@ still lower rank, and so on. ``MergeTable.lookahead`` is the longest such chain,
 token is stable once that many symbols follow it; the transducer then emits it and forgets its
 symbols, so a word of any length needs a buffer of fixed size. Every pre-token goes through it once;
 what it gave is remembered in a table of bounded size. Texts are read a segment at a time, and the
-ids of each segment go through the incremental decoder.
+ids of each segment go through the incremental decoder. Where the file splits at white space as ``WORDS``
+does, a segment ends at any white space, and one without any is read in pieces of ``SEGMENT``
+characters: pre-tokens that are complete are encoded, a long one goes on through the transducer. Other
+files' texts are cut at lone white spaces only.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 SEGMENT = 1 << 16  # characters of a text that are in work at once
+HELD = 4  # characters that stay back, as the expression may still make other matches of them
 REMEMBER = 120_000  # pre-tokens in each generation of a worker's table
 _ID, _MASK = 20, (1 << 20) - 1  # bits of an id
 _UNKNOWN = -1  # a symbol that the vocabulary does not have; it merges with nothing and has no token
@@ -178,6 +182,12 @@ def _latin_words() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
 
 
+def _apart(a: str, b: str) -> bool:
+    """Whether a text can be cut between these two before it is normalized: ``b`` neither joins nor moves."""
+    form = unicodedata.normalize
+    return unicodedata.category(b)[0] != "M" and not "\u1160" <= b <= "\u11ff" and form("NFC", a + b) == form("NFC", a) + form("NFC", b)
+
+
 class _Known(dict):
     """Ids by pre-token. What is asked for again moves from the older table to this one, and a full one ages."""
 
@@ -238,9 +248,10 @@ class Encoder:
 
     def word(self, word: str) -> tuple[int, ...]:
         """The ids of a pre-token, whose bytes stand in the byte-level alphabet for the merge list."""
-        if not (word.isascii() and word.isprintable()):
-            word = word.encode().decode("latin-1").translate(self.shown)
-        return self.piece(word)
+        return self.piece(word if word.isascii() and word.isprintable() else self.in_bytes(word))
+
+    def in_bytes(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.shown)
 
     def ids(self, part: str) -> list[int]:
         """The ids of a part of a text without special tokens, cut where no pre-token is."""
@@ -258,7 +269,13 @@ class Encoder:
         return list(chain.from_iterable(found))
 
     def cut(self, text: str, at: int, end: int) -> int:
-        """Where a segment that begins at ``at`` ends: before a white space between two other characters."""
+        """Where a segment that begins at ``at`` ends: at a white space, if there is any. One that the file's
+        expression may join with its neighbours has to stand between two other characters."""
+        if self.latin is not None and end - at > SEGMENT:
+            if (w := text.rfind(" ", at + 1, at + SEGMENT)) > 0:
+                return w
+            found = [m.start() for m in _SPACE.finditer(text, at + 1, at + SEGMENT)] or [m.start() for m in [_SPACE.search(text, at + SEGMENT, end)] if m]
+            return found[-1] if found else end
         while end - at > SEGMENT and (w := _SPACE.search(text, at + SEGMENT, end)):
             if w.end() == w.start() + 1 < end and not _SPACE.match(text, w.start() - 1):
                 return w.start()
@@ -267,6 +284,35 @@ class Encoder:
             at = w.end() - SEGMENT
         return end
 
+    def run(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """The ids of a part without white space, ``SEGMENT`` characters at a time.
+
+        Each piece is normalized by itself, as it begins with a character that joins no earlier one. Of the
+        matches in the buffer those that end before its last ``HELD`` characters are complete. One that
+        does not end is pushed but for as many of its characters, from which the expression finds the same end.
+        """
+        buffer, long = "", None
+        while at < end:
+            to = min(at + SEGMENT, end)
+            while to < end and not _apart(text[to - 1], text[to]):
+                to += 1
+            buffer += self.normalize(text[at:to])
+            at, out, done = to, [], len(buffer)
+            for piece, (a, b) in self.split(buffer):
+                if at < end and b > len(buffer) - HELD:
+                    done = a
+                    if b - a > SEGMENT // 2:
+                        long, done = long or Transducer(self.table), b - HELD
+                        out += long.push(self.in_bytes(buffer[a:done]))
+                    break
+                if long:
+                    out += long.push(piece) + long.finish()
+                    long = None
+                else:
+                    out += self.known[piece]
+            buffer = buffer[done:]
+            yield [i for i in out if i >= 0]
+
     def stream(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, a segment at a time."""
         at = 0
@@ -274,8 +320,14 @@ class Encoder:
             m = self.control.search(text, at)
             end = m.start() if m else len(text)
             while at < end:
+                if self.latin is not None and (w := _SPACE.match(text, at, end)):
+                    at = w.end()
+                    continue
                 cut = self.cut(text, at, end)
-                yield self.ids(text[at:cut])
+                if self.latin is not None and cut - at > SEGMENT:
+                    yield from self.run(text, at, cut)
+                else:
+                    yield self.ids(text[at:cut])
                 at = cut
             if m:
                 yield [self.added[m[0]]]

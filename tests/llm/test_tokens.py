@@ -60,6 +60,24 @@ def test_segments_change_nothing(enc, monkeypatch):
             assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_without_lone_spaces_in_pieces(enc, monkeypatch):
+    r = random.Random(9)
+    lib = Tokenizer.from_file(WORD)
+    parts = ["a", "the" * 9, "é", "e\u0301", "\u0301\u0323", "😀", "中文" * 12, "한", "\u1100\u1161\u11a8", "क\u093f", "क\u093c", "'", "''", "'s", "'re", "'ll", ".", "!" * 20, "7", "ß", "\u0130", "\u03a3"]
+    monkeypatch.setattr(bpe, "SEGMENT", 16)
+    for k in range(3000):
+        some = r.sample(parts, r.randint(1, 6)) + [["  "], [" \n"], []][k % 3]
+        t = "".join(r.choice(some) for _ in range(r.randint(0, 120)))
+        assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_what_is_in_work_has_a_bound(enc):
+    r = random.Random(10)
+    for text in ("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(300_000)), "two  words  " * 60_000, "the" * 300_000, "no\n\nlone\n\n" * 50_000, "it's" * 200_000):
+        assert max(map(len, enc.stream(text))) <= 4 * bpe.SEGMENT
+        assert enc.digests(text) == digests(text)
+
+
 def test_every_new_piece_and_every_id_takes_the_dealt_path(monkeypatch):
     pushed, decoded = [], []
     push, back = bpe.Transducer.push, bpe.Decoder.push
