@@ -122,3 +122,27 @@ def test_query_against_a_plain_scorer(spark, sf_dir):
     want = sorted((d, *x) for d, t in odd for x in plain_scan(t, m))
     got = sorted((r["doc_id"], r["paragraph"], r["family"], round(r["probability"], 9)) for r in licenses.scan(cases.frame(spark, odd)).collect())
     assert got == want and any(f == "unknown" for _, _, f, _ in got)
+
+
+AGPL = GPL.format(":", ",", 3).replace("GNU General Public", "GNU Affero General Public")
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+ZLIB = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"
+EPL = "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"
+OWNED = "This software is proprietary and confidential.\nUnauthorized copying of this file, via any medium, is strictly prohibited."
+WHOLE = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    "LGPL": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------",
+}
+
+
+def test_each_licence_has_its_own_family_or_is_unknown(spark):
+    notices = [(AGPL, "AGPL-3.0"), (ISC, "ISC"), (ZLIB, "Zlib"), (EPL, "EPL-2.0"), (OWNED, "unknown"), *[(t, f) for f, t in WHOLE.items()]]
+    notices += [(f"SPDX-License-Identifier: {x}", f) for x, f in (("AGPL-3.0-or-later", "AGPL-3.0"), ("ISC", "ISC"), ("Zlib", "Zlib"), ("EUPL-1.2", "unknown"), ("LicenseRef-Proprietary", "unknown"))]
+    got = licenses.scan(cases.frame(spark, list(enumerate(t for t, _ in notices)))).collect()
+    known = {k: {r["family"] for r in got if r["doc_id"] == k} for k, _ in enumerate(notices)}
+    for k, (text, family) in enumerate(notices):
+        assert known[k] - {"unknown"} == {family} - {"unknown"} and known[k], (text, known[k])
