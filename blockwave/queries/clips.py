@@ -38,12 +38,17 @@ _FRAMES = (
 )
 
 
-def _whole(spark, sf_dir):
-    """(k, a): frames as arrays of 1024 samples, rows first."""
+def _whole(spark, sf_dir, place=lambda i: i):
+    """(k, a): frames as arrays of 1024 samples, rows first; the i-th is the frame's at ``place(i)``. Places are worked out
+    within one pass: a pass over an array that another pass makes would make it anew for each of its elements."""
+    return _made(spark, sf_dir, lambda at, i: at(place(i)))
+
+
+def _made(spark, sf_dir, sample):
     t = byte_blocks(spark, sf_dir).select(div("vec_id", 16).alias("k"), (F.col("vec_id") % 16).cast("int").alias("t"), "b")
     g = t.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "b"))), lambda x: x["b"]).alias("l")).where(F.size("l") == 16)
     at = lambda i: F.get(F.get("l", (div(i, 256) * 4 + div(i % 32, 8)).cast("int")), (div(i % 256, 32) * 8 + i % 8).cast("int"))
-    return g.select("k", F.transform(F.sequence(F.lit(0), F.lit(1023)), at).alias("a"))
+    return g.select("k", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: sample(at, i)).alias("a"))
 
 
 def _pixels(frames):
@@ -56,13 +61,11 @@ def _ref(spark, sf_dir):
 
 
 def _cur(spark, sf_dir):
-    from_ = lambda i: F.least(div(i, 32) + 2, F.lit(31)) * 32 + F.greatest(i % 32 - 3, F.lit(0))
-    return _pixels(_whole(spark, sf_dir).withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("a", from_(i).cast("int")))))
+    return _pixels(_whole(spark, sf_dir, lambda i: F.least(div(i, 32) + 2, F.lit(31)) * 32 + F.greatest(i % 32 - 3, F.lit(0))))
 
 
 def _half(spark, sf_dir):
-    one = lambda i: F.shiftright(F.get("a", i) + F.get("a", F.when(i % 32 == 31, i).otherwise(i + 1)) + 1, 1)
-    return _pixels(_whole(spark, sf_dir).withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(1023)), one)))
+    return _pixels(_made(spark, sf_dir, lambda at, i: F.shiftright(at(i) + at(F.when(i % 32 == 31, i).otherwise(i + 1)) + 1, 1)))
 
 
 # ── generators and scene cuts ──

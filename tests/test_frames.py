@@ -104,3 +104,13 @@ def test_empty_tables(spark):
     assert frames.greedy(none, none, ["clip"], 8, 4).collect() == []
     assert frames.with_edges(none, ["clip"], 8).collect() == []
     assert frames.split_trees(none.select("clip", "by", "bx", *[F.lit(1).alias(c) for c in "nsq"]), ["clip"], 1).collect() == []
+
+
+@pytest.mark.parametrize("frames", ["_cur", "_half"])
+def test_shifted_frames_take_one_pass(spark, sf_dir, frames):
+    """No pass over a frame's 1024 places holds another one, which would run for each of them."""
+    from blockwave.queries import clips
+
+    plan = getattr(clips, frames)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    passes = [line.count("transform(") for line in plan.splitlines() if "embedding" not in line]
+    assert max(passes) == 1
