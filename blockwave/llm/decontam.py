@@ -14,7 +14,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ OVERLAP = 0.8  # of the words of each part, in order
 SPAN, SPAN_STEP = 2, 8  # a span's length in item lengths, spans begun in an item length
 SHORT = 8  # items under this many words have to occur word by word
 CLASS = 4  # the longest item of an index is at most so many times as long as its shortest
+TABLE = 1 << 20  # the largest table of block maxima by term (8 MB); above it a window's are added from the terms' lists
 ITEMS, ITEM_BYTES = 20_000, 8 << 20  # the largest part of the benchmark that is sent to executors at once
 _WORD = re.compile(r"\w+")
 _STOP = re.compile(r"[.?!\n]+")
@@ -95,6 +97,12 @@ class Index:
             for k, g in p:
                 most[k // BLOCK] = max(g, most.get(k // BLOCK, 0.0))
             self.bounds[t] = np.array(list(most), np.int64), np.array(list(most.values()))
+        self.places = {t: i for i, t in enumerate(sorted(self.terms))}
+        blocks, self.table = -(-len(self.items) // BLOCK), None
+        if (len(self.places) + 1) * blocks <= TABLE:
+            self.table = np.zeros((len(self.places) + 1, blocks))  # the last row is that of all other words
+            for t, (block, most_of) in self.bounds.items():
+                self.table[self.places[t], block] = most_of
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
         """All items whose score for these distinct terms reaches the threshold.
@@ -143,6 +151,23 @@ class Index:
                 for x in lists:
                     x[1] = bisect_left(x[0], (pivot,), x[1])
 
+    def hopeful(self, text: list[str]) -> Callable[[int], bool]:
+        """Whether the window at a place has a block of items whose maxima add up to the threshold: what ``search``
+        looks at first, of all windows of a text."""
+        if self.table is None:
+            return lambda at: True
+        other, least = len(self.places), self.threshold - 2e-9
+        term = np.fromiter(map(self.places.get, text, repeat(other)), np.int64, len(text))
+        mark = np.zeros(other + 1, bool)
+
+        def test(at: int) -> bool:
+            mark[term[at : at + self.window]] = True
+            own = mark.nonzero()[0]
+            mark[own] = False
+            return bool(self.table.take(own, axis=0).sum(axis=0).max(initial=0.0) >= least)
+
+        return test
+
     def windows(self, words: list[str]) -> Iterator[tuple[int, list[str], bool]]:
         """Place, words, and whether it is the last; spans that begin in its first step lie whole in a window."""
         starts = range(0, max(1, len(words) - SPAN * self.step), self.step)
@@ -172,7 +197,10 @@ class Index:
         out: dict[int, tuple[float, int, float, float]] = {}
         if len(text) < self.least - 1e-9:
             return out
+        hopeful = self.hopeful(text)
         for at, words, last in self.windows(text):
+            if not hopeful(at):
+                continue
             for k, _ in self.search(self.terms.intersection(words)):
                 _, q, a = self.items[k]
                 if in_order(a, words) < self.overlap or in_order(q, words) < self.overlap:

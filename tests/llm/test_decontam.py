@@ -72,3 +72,18 @@ def test_query_against_all_pairs(spark, sf_dir):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = sorted((r["doc_id"], i) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for i in plain_spans(items, r["text"]))
     assert sorted((r["doc_id"], r["item_id"]) for r in op9_decontam(spark, sf_dir).collect()) == want and want
+
+
+def test_windows_that_hold_no_item_are_not_searched(monkeypatch):
+    """The block maxima of a window's words come from one table, with the results of the terms' lists."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(r.choice(words) for _ in range(12))) for k in range(40)]
+    texts = [" ".join(r.choice(words) for _ in range(200)) for _ in range(20)] + [f"{'x ' * 90}{t}{' y' * 90}" for _, t in items]
+    calls, search = [], decontam.Index.search
+    monkeypatch.setattr(decontam.Index, "search", lambda self, terms: calls.append(1) or search(self, terms))
+    with_table = decontam.Benchmark(items)
+    found, some = [with_table.matches(t) for t in texts], len(calls)
+    monkeypatch.setattr(decontam, "TABLE", 0)
+    assert found == [decontam.Benchmark(items).matches(t) for t in texts] and all(found[20:])
+    assert some < (len(calls) - some) // 2
