@@ -20,77 +20,112 @@ TAPS = (1, -5, 20, 20, -5, 1)
 #: The points (x, y) around a whole-sample vector, in quarter samples, in the order of trial.
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
 
+REGION = 64  # side, about, of the parts of frames that are searched at once
+CHUNK = 16  # regions in work at once
 _FAR = 1 << 40
 
 
-def displacements(spark, reach: int, step: int = 1) -> DataFrame:
-    """(dy, dx) of the search square: (2 * reach / step + 1) ** 2 rows, whatever the data."""
-    side = range(-reach, reach + 1, step)
-    return spark.createDataFrame([(y, x) for y in side for x in side], "dy int, dx int")
+def _regions(side: int, keys: list[str], own: DataFrame, reference: DataFrame, reach: int, blocks: DataFrame | None = None) -> DataFrame:
+    """(keys, ry, rx, own, ref): the samples of the regions of ``side`` x ``side`` samples that frames are cut into, and those
+    of the reference up to ``reach`` around, each as its place in the window and its value in one number. Samples are
+    grouped once, a reference sample in the ((side + 2 * reach) / side) ** 2 regions that it is near to. ``blocks``
+    (keys, ry, rx, m) are gathered with them."""
+    packed = lambda place: F.shiftleft(place.cast("long"), 32).bitwiseOR(F.col("v").cast("int").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    no, wide = F.lit(None), side + 2 * reach
+    span = lambda x: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - reach) / side), F.lit(0)), F.floor((F.col(x) + reach) / side)))
+    at = [*keys, "ry", "rx"]
+    mine = own.select(*keys, div("r", side).alias("ry"), div("c", side).alias("rx"), packed((F.col("r") % side) * side + F.col("c") % side).alias("own"), no.cast("long").alias("ref"))
+    near = reference.select(*keys, "r", "c", "v", span("r").alias("ry")).select("*", span("c").alias("rx"))
+    near = near.select(*at, no.cast("long").alias("own"), packed((F.col("r") - F.col("ry") * side + reach) * wide + F.col("c") - F.col("rx") * side + reach).alias("ref"))
+    both, lists = mine.unionByName(near), ["own", "ref"]
+    if blocks is not None:
+        both, lists = both.unionByName(blocks, allowMissingColumns=True), ["own", "ref", "m"]
+    return both.groupBy(*at).agg(*[F.collect_list(c).alias(c) for c in lists]).where(F.size("own") > 0)
 
 
-def search(current: DataFrame, reference: DataFrame, keys: list[str], n: int, reach: int, step: int = 1) -> DataFrame:
-    """(keys, by, bx, sad, dy, dx): for each n x n block the displacement with the least error, of equals the
-    smallest (dy, dx). Displacements that leave the frame do not count, nor do blocks that are not whole.
-
-    A block and what it may reach of the reference meet in one row, so a reference sample is copied to
-    ((n + 2 * reach) / n) ** 2 blocks, not to every displacement; errors are summed over Arrow batches.
-    """
-    side, at = n + 2 * reach, [*keys, "by", "bx"]
+def _filled(samples: pa.ListArray, side: int, empty: int) -> np.ndarray:
+    """(rows, side, side) of the samples at their places, ``empty`` where there is none."""
+    out = np.full((len(samples), side * side), empty, np.int64)
+    row = np.repeat(np.arange(len(samples)), np.diff(samples.offsets.to_numpy()))
+    x = samples.flatten().to_numpy()
+    out[row, x >> 32] = x.astype(np.int32)
+    return out.reshape(-1, side, side)
 
-    def gathered(px: DataFrame, name: str) -> DataFrame:
-        return px.groupBy(*at).agg(F.collect_list(F.col("p").cast("int")).alias(f"{name}_p"), F.collect_list(F.col("v").cast("int")).alias(f"{name}_v"))
 
-    whole = current.select(*keys, div("r", n).alias("by"), div("c", n).alias("bx"), ((F.col("r") % n) * n + F.col("c") % n).alias("p"), "v")
-    span = lambda x: F.explode(F.sequence(F.greatest(F.ceil((F.col(x) - (n - 1 + reach)) / n), F.lit(0)), F.floor((F.col(x) + reach) / n)))
-    near = reference.select(*keys, "r", "c", "v", span("r").alias("by")).select("*", span("c").alias("bx"))
-    near = near.select(*at, ((F.col("r") - F.col("by") * n + reach) * side + F.col("c") - F.col("bx") * n + reach).alias("p"), "v")
-    both = gathered(whole, "own").where(F.size("own_p") == n * n).join(gathered(near, "ref"), at)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*at).schema.fields)
+def _used(own: np.ndarray, n: int) -> tuple[int, int]:
+    """Rows and columns of the regions that hold samples, in whole blocks."""
+    has = (own != _FAR).any(axis=0)
+    return tuple(-(-(int(np.flatnonzero(has.any(axis=a)).max(initial=-1)) + 1) // n) * n for a in (1, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = len(at)
-            own = _filled(b.column(k), b.column(k + 1), n * n).reshape(-1, n, n)
-            ref = _filled(b.column(k + 2), b.column(k + 3), side * side).reshape(-1, side, side)
-            found = [_least(own[i : i + 128], ref[i : i + 128], reach, step) for i in range(0, len(own), 128)]
-            best = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-            good = pa.array(best[:, 0] < _FAR)
-            rows = [*b.columns[:k], pa.array(best[:, 0]), *(pa.array(best[:, j].astype(np.int32)) for j in (1, 2))]
-            yield pa.RecordBatch.from_arrays(rows, [*at, "sad", "dy", "dx"]).filter(good)
 
-    return both.select(*at, "own_p", "own_v", "ref_p", "ref_v").mapInArrow(run, f"{kinds}, sad bigint, dy int, dx int")
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*names).schema.fields)
 
 
-def _filled(places: pa.ListArray, values: pa.ListArray, size: int) -> np.ndarray:
-    """(rows, size) of the values at their places; what is missing costs so much that it is never chosen."""
-    out = np.full((len(places), size), -_FAR, np.int64)
-    row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
-    out[row, places.flatten().to_numpy()] = values.flatten().to_numpy()
-    return out
+def search(current: DataFrame, reference: DataFrame, keys: list[str], n: int, reach: int, step: int = 1) -> DataFrame:
+    """(keys, by, bx, sad, dy, dx): for each n x n block the displacement with the least error, of equals the
+    smallest (dy, dx). Displacements that leave the frame do not count, nor do blocks that are not whole.
 
+    The blocks of a region and what they may reach of the reference meet in one row; errors are summed over Arrow batches.
+    """
+    many = max(1, REGION // n)
+    side, k = many * n, len(keys)
+    both = _regions(side, keys, current, reference, reach)
 
-def _least(own: np.ndarray, ref: np.ndarray, reach: int, step: int) -> np.ndarray:
-    """(sad, dy, dx) of the least error of each block."""
-    n, best = own.shape[1], np.full((len(own), 3), _FAR, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNK):
+                part = b.slice(i, CHUNK)
+                own, ref = _filled(part.column(k + 2), side, _FAR), _filled(part.column(k + 3), side + 2 * reach, -_FAR)
+                h, w = _used(own, n)
+                best = _least(own[:, :h, :w], ref[:, : h + 2 * reach, : w + 2 * reach], n, reach, step)
+                at, y, x = np.nonzero(best[..., 0] < _FAR)
+                found, row = best[at, y, x], pa.array(at)
+                place = [pa.array(part.column(k + j).to_numpy()[at] * many + v) for j, v in ((0, y), (1, x))]
+                rows = [*(part.column(j).take(row) for j in range(k)), *place, pa.array(found[:, 0]), *(pa.array(found[:, j].astype(np.int32)) for j in (1, 2))]
+                yield pa.RecordBatch.from_arrays(rows, [*keys, "by", "bx", "sad", "dy", "dx"])
+
+    return both.mapInArrow(run, _kinds(both, keys) + "by bigint, bx bigint, sad bigint, dy int, dx int")
+
+
+def _least(own: np.ndarray, ref: np.ndarray, n: int, reach: int, step: int) -> np.ndarray:
+    """(regions, blocks down, blocks across, 3): sad, dy and dx of the least error of each block."""
+    _, h, w = own.shape
+    best = np.full((len(own), h // n, w // n, 3), _FAR, np.int64)
     for y in range(0, 2 * reach + 1, step):
-        wide = np.lib.stride_tricks.sliding_window_view(ref[:, y : y + n], n, axis=2)[:, :, ::step]
-        sad = np.abs(wide - own[:, :, None, :]).sum(axis=(1, 3))
-        x = sad.argmin(axis=1)
-        now = sad[np.arange(len(own)), x]
-        less = now < best[:, 0]
-        best[less] = np.stack([now, np.full(len(own), y - reach), x * step - reach], axis=1)[less]
+        for x in range(0, 2 * reach + 1, step):
+            sad = np.abs(ref[:, y : y + h, x : x + w] - own).reshape(-1, h // n, n, w // n, n).sum(axis=(2, 4))
+            less = sad < best[..., 0]
+            best[less] = np.stack([sad[less], np.full(less.sum(), y - reach), np.full(less.sum(), x - reach)], axis=1)
     return best
 
 
 def global_motion(current: DataFrame, reference: DataFrame, keys: list[str], reach: int = 8, every: int = 4, outside: int = 1020) -> DataFrame:
     """(keys, sad, dy, dx) of whole frames on every fourth sample each way; samples that leave the frame cost
-    ``outside``. Every displacement is tried."""
-    moves = F.broadcast(displacements(current.sparkSession, reach))
-    cur = current.where((F.col("r") % every == 0) & (F.col("c") % every == 0)).select(*keys, "r", "c", F.col("v").alias("a")).crossJoin(moves)
-    cur = cur.select(*keys, "dy", "dx", (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"), "a")
-    hit = cur.join(reference.select(*keys, "r", "c", F.col("v").alias("b")), [*keys, "r", "c"], "left")
-    cost = hit.groupBy(*keys, "dy", "dx").agg(F.sum(F.coalesce(F.abs(F.col("a") - F.col("b")), F.lit(outside)).cast("bigint")).alias("sad"))
+    ``outside``. Every displacement is tried, over the samples of a region at once; a region gives a row for each."""
+    side, k, across = every * max(1, REGION // every), len(keys), 2 * reach + 1
+    few = current.where((F.col("r") % every == 0) & (F.col("c") % every == 0))
+    both = _regions(side, keys, few, reference, reach)
+    dy, dx = (x.ravel() - reach for x in np.indices((across, across), np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNK):
+                part = b.slice(i, CHUNK)
+                own = _filled(part.column(k + 2), side, _FAR)
+                h, w = _used(own, every)
+                own = own[:, :h:every, :w:every]
+                ref = _filled(part.column(k + 3), side + 2 * reach, _FAR)
+                sad = np.empty((len(own), across * across), np.int64)
+                for j, (y, x) in enumerate(zip(dy + reach, dx + reach)):
+                    there = ref[:, y : y + h : every, x : x + w : every]
+                    cost = np.where(there == _FAR, outside, np.abs(own - there))
+                    sad[:, j] = np.where(own == _FAR, 0, cost).sum(axis=(1, 2))
+                row = pa.array(np.repeat(np.arange(len(own)), across * across))
+                moves = (pa.array(np.tile(v, len(own)).astype(np.int32)) for v in (dy, dx))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in range(k)), *moves, pa.array(sad.ravel())], [*keys, "dy", "dx", "sad"])
+
+    cost = both.mapInArrow(run, _kinds(both, keys) + "dy int, dx int, sad bigint").groupBy(*keys, "dy", "dx").agg(F.sum("sad").alias("sad"))
     best = cost.groupBy(*keys).agg(F.min(F.struct("sad", F.abs("dy").alias("ay"), F.abs("dx").alias("ax"), "dy", "dx")).alias("m"))
     return best.select(*keys, "m.sad", "m.dy", "m.dx")
 
@@ -178,27 +213,68 @@ def compensate_quarters(blocks: DataFrame, reference: DataFrame, keys: list[str]
     return hit.select(*keys, "by", "bx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
 
 
-def refine(best: DataFrame, current: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:
+def refine(best: DataFrame, current: DataFrame, reference: DataFrame, keys: list[str], n: int, reach: int | None = None) -> DataFrame:
     """(keys, by, bx, sad, qy, qx): the vectors of ``search`` (keys, by, bx, sad, dy, dx) and the eight quarter
     samples around each; the least error, the vector itself and then the earlier point first of equals. Errors are
     by the six taps, or bilinear where these leave the frame for a sample of the block; points whose block leaves
-    the frame do not count."""
-    points = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, (x, y) in enumerate(AROUND)])).alias("m")
-    tries = best.select(*keys, "by", "bx", points, (F.col("dy") * 4).alias("dy"), (F.col("dx") * 4).alias("dx"))
-    tries = tries.select(*keys, "by", "bx", "m._k", (F.col("dy") + F.col("m.y")).alias("qy"), (F.col("dx") + F.col("m.x")).alias("qx"))
-    p = _cells(tries, keys, n, _size(reference, keys))
-    p = p.withColumns({"fy": F.col("by") * n + shr("qy", 2), "fx": F.col("bx") * n + shr("qx", 2)})
-    p = p.where((F.col("fx") >= 0) & (F.col("fy") >= 0) & (F.col("fx") + n <= F.col("_w")) & (F.col("fy") + n <= F.col("_h")))
-    safe = (F.col("fx") >= 2) & (F.col("fy") >= 2) & (F.col("fx") + n + 1 < F.col("_w")) & (F.col("fy") + n + 1 < F.col("_h"))
-    p = p.withColumns({"safe": safe, "r": F.col("r0") + shr("qy", 2), "c": F.col("c0") + shr("qx", 2), "dx": F.col("qx").bitwiseAND(F.lit(3)), "dy": F.col("qy").bitwiseAND(F.lit(3))})
-    hit = p.join(anchors(reference.select(*keys, "r", "c", "v"), keys), [*keys, "r", "c"])
-    value = F.when(F.col("safe"), at_quarter(F.col("dx"), F.col("dy"))).otherwise(at_quarter(F.col("dx"), F.col("dy"), True))
-    hit = hit.select(*keys, "by", "bx", "_k", "qy", "qx", F.col("r0").alias("r"), F.col("c0").alias("c"), value.alias("pred"))
-    both = hit.join(current.select(*keys, "r", "c", F.col("v").alias("own")), [*keys, "r", "c"])
-    cost = both.groupBy(*keys, "by", "bx", "_k", "qy", "qx").agg(F.sum(F.abs(F.col("own") - F.col("pred")).cast("bigint")).alias("sad"))
-    first = best.select(*keys, "by", "bx", F.lit(-1).alias("_k"), (F.col("dy") * 4).alias("qy"), (F.col("dx") * 4).alias("qx"), "sad")
-    least = cost.unionByName(first).groupBy(*keys, "by", "bx").agg(F.min(F.struct("sad", "_k", "qy", "qx")).alias("m"))
-    return least.select(*keys, "by", "bx", "m.sad", "m.qy", "m.qx")
+    the frame do not count. ``reach`` is the most that a vector has either way, looked up if it is not given."""
+    if reach is None:
+        reach = best.agg(F.max(F.greatest(F.abs("dy"), F.abs("dx")))).first()[0] or 0
+    side, k, margin = n * max(1, REGION // n), len(keys), reach + 3
+    place = [div(c, side // n).alias(r) for c, r in (("by", "ry"), ("bx", "rx"))]
+    vectors = best.select(*keys, *place, F.struct(*[F.col(c).cast("long").alias(c) for c in ("by", "bx", "sad", "dy", "dx")]).alias("m"))
+    both = _regions(side, keys, current, reference, margin, vectors).where(F.size("m") > 0)
+    size = _size(reference, keys)
+    both = (both.join(size, keys) if keys else both.crossJoin(size)).select(*keys, "own", "ref", "m", F.col("_h").cast("long").alias("_h"), F.col("_w").cast("long").alias("_w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNK):
+                part = b.slice(i, CHUNK)
+                own, ref = _filled(part.column(k), side, _FAR), _filled(part.column(k + 1), side + 2 * margin, 0)
+                m = part.column(k + 2)
+                row = np.repeat(np.arange(part.num_rows), np.diff(m.offsets.to_numpy()))
+                by, bx, sad, dy, dx = (m.flatten().field(j).to_numpy() for j in range(5))
+                y, x = by * n % side, bx * n % side
+                cut = lambda a, top, left, rows: a[row[:, None, None], top[:, None, None] + np.arange(rows)[:, None], left[:, None, None] + np.arange(rows)]
+                blocks, window = cut(own, y, x, n), cut(ref, y + dy + margin - 3, x + dx + margin - 3, n + 6)
+                h, w = (part.column(k + j).to_numpy()[row] for j in (3, 4))
+                found = _refined(blocks, window, n, by * n + dy, bx * n + dx, h, w, sad)
+                own_keys = [part.column(j).take(pa.array(row)) for j in range(k)]
+                q = [pa.array((4 * v + found[:, j]).astype(np.int32)) for j, v in ((1, dy), (2, dx))]
+                yield pa.RecordBatch.from_arrays([*own_keys, pa.array(by), pa.array(bx), pa.array(found[:, 0]), *q], [*keys, "by", "bx", "sad", "qy", "qx"])
+
+    return both.mapInArrow(run, _kinds(both, keys) + "by bigint, bx bigint, sad bigint, qy int, qx int")
+
+
+def _refined(own: np.ndarray, near: np.ndarray, n: int, top: np.ndarray, left: np.ndarray, h: np.ndarray, w: np.ndarray, sad: np.ndarray) -> np.ndarray:
+    """(sad, y, x) of the best of the vector itself, whose error is ``sad``, and the points AROUND it, for blocks ``own`` whose
+    vectors lead to (top, left) of a frame with last row h and column w; ``near`` begins three samples before that.
+
+    The arrays are those of ``anchors``, of cells from one before the block."""
+    six = lambda a: (sum(t * a[..., j : a.shape[-1] - 5 + j] for j, t in enumerate(TAPS)) + 16) >> 5
+    down = lambda a: six(a.swapaxes(1, 2)).swapaxes(1, 2)
+    b, c2 = six(near), down(near)
+    d = down(b)
+    mean, least = lambda p, q: (p + q + 1) >> 1, np.stack([sad, np.zeros_like(sad), np.zeros_like(sad)], axis=1)
+    along = lambda f, p, half, q: (p, mean(p, half), half, mean(half, q))[f]
+    flat = lambda p, q, f: np.clip((p * (4 - f) + q * f + 2) // 4, 0, 255)
+    for x, y in AROUND:
+        oy, ox = y >> 2, x >> 2
+        cells = lambda a, i, j: a[:, i : i + n, j : j + n]
+        v, a10, a01, a11 = (cells(near, 3 + oy + i, 3 + ox + j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)))
+        upper, lower = (cells(b, 3 + oy + i, 1 + ox) for i in (0, 1))
+        first, second = (cells(c2, 1 + oy, 3 + ox + j) for j in (0, 1))
+        fx, fy = x & 3, y & 3
+        sharp = along(fy, along(fx, v, upper, a10), along(fx, first, cells(d, 1 + oy, 1 + ox), second), along(fx, a01, lower, a11))
+        plain = flat(flat(v, a10, fx), flat(a01, a11, fx), fy)
+        t, s = top + oy, left + ox
+        may = (s >= 0) & (t >= 0) & (s + n <= w) & (t + n <= h)
+        safe = (s >= 2) & (t >= 2) & (s + n + 1 < w) & (t + n + 1 < h)
+        error = np.abs(own - np.where(safe[:, None, None], np.clip(sharp, 0, 255), plain)).sum(axis=(1, 2))
+        less = may & (error < least[:, 0])
+        least[less] = np.stack([error[less], np.full(less.sum(), y), np.full(less.sum(), x)], axis=1)
+    return least
 
 
 def compensate_chroma(blocks: DataFrame, reference: DataFrame, keys: list[str], n: int) -> DataFrame:

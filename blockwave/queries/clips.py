@@ -292,7 +292,7 @@ _AROUND = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(m
 def motion_refine(spark, sf_dir):
     """Whole-sample search of what lies half a sample further on, and the quarter samples around its vectors."""
     cur, ref = _half(spark, sf_dir), _ref(spark, sf_dir)
-    out = motion.refine(motion.search(cur, ref, ["k"], 8, 4), cur, ref, ["k"], 8)
+    out = motion.refine(motion.search(cur, ref, ["k"], 8, 4), cur, ref, ["k"], 8, 4)
     return out.select("k", "by", "bx", "sad", F.col("qy").cast("bigint").alias("qy"), F.col("qx").cast("bigint").alias("qx"))
 
 

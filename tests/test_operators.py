@@ -83,6 +83,31 @@ def test_motion_finds_a_planted_shift(spark):
     assert full and all((r["sad"], r["dy"], r["dx"]) == (0, 2, -3) for r in full)
 
 
+def test_motion_is_searched_in_regions(spark, monkeypatch):
+    """Frames of many regions give what frames of one give, and samples are not joined or windowed for each displacement."""
+    r = random.Random(3)
+    rows = [(k, y, x, r.randint(0, 255)) for k in range(2) for y in range(36) for x in range(44)]
+    at = {(k, y, x): v for k, y, x, v in rows}
+    ref = spark.createDataFrame(rows, "k long, r long, c long, v int")
+    cur = spark.createDataFrame([(k, y, x, (at[k, y, x] + at[k, y, min(x + 1, 43)] + 1) // 2) for k, y, x in at], "k long, r long, c long, v int")
+    found = []
+    for region in (64, 8):
+        monkeypatch.setattr(motion, "REGION", region)
+        best = motion.search(cur, ref, ["k"], 8, 3)
+        fine, whole = (motion.refine(best, cur, ref, ["k"], 8, reach) for reach in (3, None)), motion.global_motion(cur, ref, ["k"])
+        found.append([sorted(map(tuple, d.collect())) for d in (best, *fine, whole)])
+        assert "Join" not in whole._jdf.queryExecution().toString() and "Window" not in motion.refine(best, cur, ref, ["k"], 8, 3)._jdf.queryExecution().toString()
+    assert found[0] == found[1] and [len(f) for f in found[0]] == [40, 40, 40, 2] and found[0][1] == found[0][2]
+    for k, by, bx, sad, dy, dx in found[0][0]:
+        cost = lambda y, x: sum(abs(((at[k, i, j] + at[k, i, min(j + 1, 43)] + 1) // 2) - at[k, i + y, j + x]) for i in range(by * 8, by * 8 + 8) for j in range(bx * 8, bx * 8 + 8))
+        inside = [(y, x) for y in range(-3, 4) for x in range(-3, 4) if 0 <= by * 8 + y <= 28 and 0 <= bx * 8 + x <= 36]
+        assert (sad, dy, dx) == min((cost(y, x), y, x) for y, x in inside)
+    for k, sad, dy, dx in found[0][3]:
+        half = lambda i, j: (at[k, i, j] + at[k, i, min(j + 1, 43)] + 1) // 2
+        cost = lambda y, x: sum(abs(half(i, j) - at[k, i + y, j + x]) if (k, i + y, j + x) in at else 1020 for i in range(0, 36, 4) for j in range(0, 44, 4))
+        assert (sad, abs(dy), abs(dx), dy, dx) == min((cost(y, x), abs(y), abs(x), y, x) for y in range(-8, 9) for x in range(-8, 9))
+
+
 def test_band_offset_lowers_the_error(spark):
     r = random.Random(1)
     rows = [(k % 3, v + (3 if v // 8 == 5 else r.randint(-1, 1)), v) for k in range(3000) for v in [r.randint(10, 240)]]
