@@ -16,25 +16,27 @@ import json
 import struct
 import time
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
-from ..operators.prefix import numbered, ranged
+from ..operators.prefix import numbered
 from .formats import HEADER, KEY, LARGEST, MAGIC, RECORD, RECORD_MAGIC, SEGMENT_MAGIC, STREAM_MAGIC, VERSION
 
 SPLIT = 64 << 20
+OPEN, TASKS = 256 << 10, 32  # bytes that opening a file counts for, and tasks that small files are dealt over at least
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 INDEX = "_cuts.json"
 PACKETS = "stream_id string, pkt_idx bigint, pts bigint, size int, key boolean, payload binary, error string"
@@ -45,13 +47,15 @@ KINDS = ("stream", "container", "frames")
 
 @dataclass
 class Span(InputPartition):
-    """Bytes of one file, and the stream, number and place that its first packet has."""
+    """Bytes of one file, and the stream, number and place that its first packet has; small files that are read in the same
+    task follow."""
 
     path: str
     stream: str
     start: int
     end: int
     first: int
+    more: tuple[Span, ...] = ()
 
 
 @dataclass
@@ -98,6 +102,24 @@ def spans(f: pa.NativeFile, size: int, kind: str, split: int) -> Iterator[tuple[
     yield start, size, first
 
 
+def dealt(found: list[Span], split: int, tasks: int) -> list[Span]:
+    """The spans, small whole files as one where they are up to ``split`` bytes together, opening included. A file of many
+    spans stays cut."""
+    files = Counter(s.path for s in found)
+    small = [s for s in found if files[s.path] == 1]
+    cost = lambda s: OPEN + max(0, s.end - s.start)
+    most = min(split, max(OPEN, sum(map(cost, small)) // max(1, tasks)))
+    out, held, size = [s for s in found if files[s.path] > 1], [], 0
+    for s in [*small, None]:
+        if held and (s is None or size + cost(s) > most):
+            out.append(replace(held[0], more=tuple(held[1:])))
+            held, size = [], 0
+        if s:
+            held.append(s)
+            size += cost(s)
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.options, self.names = dict(options), schema.fieldNames()
@@ -156,6 +178,8 @@ class _Reader(DataSourceReader):
                 return [Span(info.path, stream, k * n, min(whole, k + step) * n, first + k) for k in range(0, whole, step)]
             if own:
                 cuts = [(a, b, own["first"] + k) for a, b, k in own["spans"]]
+            elif info.size <= self.split:
+                cuts = [(HEADER if self.kind == "container" else 0, info.size, 0)]
             else:
                 with store.open_input_file(info.path) as f:
                     cuts = list(spans(f, info.size, self.kind, self.split))
@@ -164,18 +188,20 @@ class _Reader(DataSourceReader):
         with ThreadPoolExecutor(16) as pool:
             out = [s for own in pool.map(plan, found) for s in own]
         ends = [*(s.first if s.stream == t.stream else None for t, s in zip(out, out[1:])), None]
-        return [s for s, end in zip(out, ends) if (self.high is None or s.first < self.high) and (end is None or end > self.low)]
+        wanted = [s for s, end in zip(out, ends) if (self.high is None or s.first < self.high) and (end is None or end > self.low)]
+        return dealt(wanted, self.split, int(self.options.get("tasks", TASKS)))
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.options["path"])
         rows, size = [], 0
-        with store.open_input_file(span.path) as f:
-            for row, held in self._rows(f, span):
-                rows.append(row)
-                size += held
-                if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, size = [], 0
+        for own in (span, *span.more):
+            with store.open_input_file(own.path) as f:
+                for row, held in self._rows(f, own):
+                    rows.append(row)
+                    size += held
+                    if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, size = [], 0
         yield self._batch(rows)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
@@ -282,8 +308,8 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"{final} is there already")
                 index[final] = {"stream": stream, "first": first, "size": size, "spans": cuts}
                 moves.append((name, f"{top}/{final}"))
-        for old, new in moves:
-            store.move(old, new)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda move: store.move(*move), moves))
         with store.open_output_stream(f"{top}/{self.job}/{INDEX}") as f:
             f.write(json.dumps(index).encode())
         store.move(f"{top}/{self.job}/{INDEX}", f"{top}/{INDEX}")
@@ -302,8 +328,8 @@ class _Writer(DataSourceArrowWriter):
 
 
 class PacketFiles(DataSource):
-    """Options: path; kind (stream, container or frames); columns, those wanted of a read; split, bytes of a task; frame,
-    the bytes of a raw frame; fps and segment of a container to write."""
+    """Options: path; kind (stream, container or frames); columns, those wanted of a read; split, bytes of a task; tasks,
+    those that small files are dealt over at least; frame, the bytes of a raw frame; fps and segment of a container to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -329,14 +355,14 @@ def read(spark: SparkSession, path: str, kind: str = "stream", columns: str = ""
     ``frames`` gives raw frames of ``frame`` bytes; a short last one is left out."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PacketFiles)
-    return spark.read.format("packets").options(kind=kind, columns=columns, **options).load(path)
+    return spark.read.format("packets").options(**{"kind": kind, "columns": columns, "tasks": spark.sparkContext.defaultParallelism, **options}).load(path)
 
 
-def write(rows: DataFrame, stream: str, order: list[str], payload: str, path: str, kind: str = "stream", pts: str | None = None, parts: int | None = None, **options: Any) -> None:
+def write(rows: DataFrame, stream: str, order: list[str], payload: str, path: str, kind: str = "stream", pts: str | Column | None = None, parts: int | None = None, **options: Any) -> None:
     """Write rows as streams, in order, cut over all tasks wherever ranges end. ``pts`` of a container is the place in the
-    stream unless a column gives it."""
+    stream unless a column gives it, which may be made of ``place``."""
     rows.sparkSession.dataSource.register(PacketFiles)
-    at = numbered(rows, [stream], order, parts)
-    ready = at.select(F.col(stream).cast("string").alias("stream"), F.col("place").alias("pkt_idx"), (F.col(pts).cast("long") if pts else F.col("place")).alias("pts"), F.col(payload).cast("binary").alias("payload"))
-    cut = ranged(ready, ["stream"], ["pkt_idx"], parts).select("stream", "pkt_idx", "pts", "payload")
-    cut.write.format("packets").options(kind=kind, **options).mode("append").save(path)
+    at = numbered(rows, [stream], order, parts)  # in sorted ranges, as the sink needs them
+    time = F.col("place") if pts is None else F.col(pts) if isinstance(pts, str) else pts
+    ready = at.select(F.col(stream).cast("string").alias("stream"), F.col("place").alias("pkt_idx"), time.cast("long").alias("pts"), F.col(payload).cast("binary").alias("payload"))
+    ready.write.format("packets").options(kind=kind, **options).mode("append").save(path)
