@@ -48,8 +48,8 @@ def _sums(frames: DataFrame, **planes: tuple[int, int]) -> DataFrame:
 def raw_frame_files(spark, sf_dir):
     """Frames of three planes as one raw stream, written by all tasks in ranges and read by ranges of bytes."""
     path = scratch(spark)
-    files.write(_samples(spark, sf_dir), "name", ["vec_id"], "data", path, "frames", parts=4)
-    return _sums(files.read(spark, path, "frames", frame=64, split=4096), y=(0, 40), cb=(40, 12), cr=(52, 12))
+    files.write(_samples(spark, sf_dir), "name", ["vec_id"], "data", path, "frames")
+    return _sums(files.read(spark, path, "frames", frame=64), y=(0, 40), cb=(40, 12), cr=(52, 12))
 
 
 @query(f"WITH {_SAMPLES}, g AS (SELECT (vec_id // 50)::BIGINT AS clip, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS f, b[1:48] AS b FROM e) SELECT clip, f, list_sum(b)::BIGINT AS total, list_sum(list_transform(b, lambda v, i: v * (i - 1)))::BIGINT AS weighted FROM g WHERE f >= 3")
@@ -57,7 +57,7 @@ def raw_rgb_files(spark, sf_dir):
     """Packed colours, 16 samples of three bytes, a clip a file; the first three frames of each are skipped by the reader."""
     path, s = scratch(spark), _samples(spark, sf_dir)
     own = s.select(F.concat(F.lit("c"), F.floor(F.col("vec_id") / 50).cast("string")).alias("name"), "vec_id", F.substring("data", 1, 48).alias("data"))
-    files.write(own, "name", ["vec_id"], "data", path, "frames", parts=3)
+    files.write(own, "name", ["vec_id"], "data", path, "frames")
     found = files.read(spark, path, "frames", frame=48).where("frame_idx >= 3").withColumn("clip", F.regexp_extract("stream_id", "c([0-9]+)$", 1).cast("bigint"))
     v = found.select("clip", F.col("frame_idx").alias("f"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: byte_at(F.col("data"), i))).alias("p", "v"))
     return v.groupBy("clip", "f").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.col("v") * F.col("p")).cast("bigint").alias("weighted"))
@@ -109,8 +109,7 @@ _ALL = "SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k, 12 + strl
 def packet_parts(spark, sf_dir):
     """All pages as one container, of which every task writes a part, read again by ranges of bytes."""
     path, p = scratch(spark), _packets(spark, sf_dir)
-    at = files.numbered(p.withColumn("name", F.lit("all")), ["name"], ["page_id"])
-    files.write(at.withColumn("pts", F.col("place") * 2).drop("place"), "name", ["page_id"], "payload", path, "container", pts="pts", parts=5, split=20_000)
+    files.write(p.withColumn("name", F.lit("all")), "name", ["page_id"], "payload", path, "container", pts=F.col("place") * 2)
     body = F.col("payload").substr(F.lit(13), F.length("payload"))
     return files.read(spark, path, "container").where("error = ''").select(F.col("pkt_idx").alias("k"), "pts", F.col("size").cast("bigint").alias("size"), "key", F.sha2(body, 256).alias("digest"))
 
@@ -119,7 +118,7 @@ def packet_parts(spark, sf_dir):
 def packet_filters(spark, sf_dir):
     """Sizes of key packets from the 12th to the middle of a stream: payloads and other packets are not read."""
     path, pages = scratch(spark), table(spark, sf_dir, "pages")
-    files.write(_packets(spark, sf_dir).withColumn("name", F.lit("all")), "name", ["page_id"], "payload", path, parts=3, split=20_000)
+    files.write(_packets(spark, sf_dir).withColumn("name", F.lit("all")), "name", ["page_id"], "payload", path)
     half = pages.count() // 2
     found = files.read(spark, path, columns="pkt_idx,size,key").where(F.col("key") & (F.col("pkt_idx") > 10) & (F.col("pkt_idx") <= half))
     return found.select(F.col("pkt_idx").alias("k"), F.col("size").cast("bigint").alias("size"))
@@ -139,11 +138,14 @@ _HEADED = "'54435600014000F0' || CASE WHEN page_id % 4 = 0 THEN '80' ELSE '00' E
     "f AS (SELECT stream, '54434D58' || '01000000' || '1E000000' || '00000000' || string_agg(h, '' ORDER BY k) AS h FROM r GROUP BY stream) SELECT stream, length(h) // 2 AS bytes, sha256(unhex(h)) AS digest FROM f"
 )
 def container_bytes(spark, sf_dir):
-    """The files of containers, byte by byte."""
+    """The files of containers, byte by byte; the parts of a stream that two tasks have written are laid end to end."""
     path = scratch(spark)
-    files.write(_packets(spark, sf_dir), "name", ["page_id"], "payload", path, "container", parts=1)
+    files.write(_packets(spark, sf_dir), "name", ["page_id"], "payload", path, "container")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "s*").load(path)
-    return found.select(F.regexp_extract("path", r"s([0-9]+)\.000000$", 1).cast("bigint").alias("stream"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    named = [F.regexp_extract("path", r"s([0-9]+)\.([0-9]+)$", k).cast("bigint").alias(c) for k, c in ((1, "stream"), (2, "part"))]
+    parts = found.select(*named, "content").groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("l"))
+    whole = F.when(F.size("l") == 1, F.get("l", F.lit(0))["content"]).otherwise(F.unhex(F.array_join(F.transform("l", lambda p: F.hex(p["content"])), "")))
+    return parts.select("stream", whole.alias("d")).select("stream", F.length("d").cast("bigint").alias("bytes"), F.sha2("d", 256).alias("digest"))
 
 
 #: Malformed files: name, kind, the bytes that follow two good packets (or stand alone, where they begin a file), the row that says so.

@@ -89,3 +89,29 @@ def test_raw_frames(spark, tmp_path):
     got = files.read(spark, f"file://{tmp_path}/clip", "frames", frame=10, split=70)
     assert got.rdd.getNumPartitions() == 5 and {r.frame_idx: bytes(r.data) for r in got.collect()} == {k: bytes([k]) * 10 for k in range(30)}
     assert [r.frame_idx for r in files.read(spark, f"file://{tmp_path}/clip", "frames", "frame_idx", frame=10).where("frame_idx = 7").collect()] == [7]
+
+
+def test_small_files_share_a_task_and_are_not_opened_to_plan(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"s{k}").write_bytes(b"".join(struct.pack("<I", len(p)) + p for p in payloads(3, k)) + b"\1\2" * (k % 7 == 0))
+    got = files.read(spark, f"file://{tmp_path}", tasks=10)
+    assert got.rdd.getNumPartitions() <= 20
+    rows = sorted((int(r.stream_id.rpartition("s")[2]), r.pkt_idx, bytes(r.payload), r.error) for r in got.collect())
+    assert rows == sorted([(k, i, p, "") for k in range(300) for i, p in enumerate(payloads(3, k))] + [(k, 3, b"", "length") for k in range(0, 300, 7)])
+    monkeypatch.setattr(files, "spans", None)
+    reader = files._Reader({"path": f"file://{tmp_path}", "kind": "stream"}, files.StructType.fromDDL(files.PACKETS))
+    assert sum(1 + len(s.more) for s in reader.partitions()) == 300
+
+
+def test_parts_follow_the_tasks_and_not_the_query(spark, sf_dir, tmp_path, monkeypatch):
+    """One task writes no whole table, and a range is not so short that a large table is many tasks."""
+    from blockwave.queries import files as queries
+
+    monkeypatch.setattr(queries, "scratch", lambda _: f"file://{tmp_path}/bytes")
+    found = queries.container_bytes(spark, sf_dir)
+    assert {f.rpartition(".")[2] for f in os.listdir(tmp_path / "bytes") if f[0] == "s"} == {f"{k:06d}" for k in range(4)}
+    assert found.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id div 16 AS s").distinct().count()
+    monkeypatch.setattr(queries, "scratch", lambda _: f"file://{tmp_path}/parts")
+    queries.packet_parts(spark, sf_dir)
+    assert sorted(f for f in os.listdir(tmp_path / "parts") if f[0] == "a") == [f"all.{k:06d}" for k in range(4)]
+    assert files.read(spark, f"file://{tmp_path}/parts", "container").rdd.getNumPartitions() <= 4
