@@ -51,6 +51,13 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``keep`` has written of tables that are read no more."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            forget(t.sparkSession, folder)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
