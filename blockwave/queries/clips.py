@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..functions.ints import byte_at, div
+from ..functions.ints import div
 from ..operators import gop, loopfilter, metrics, motion, scenes
 from ..sources import container, settings, synthetic
 from .common import byte_blocks, table
@@ -461,11 +461,9 @@ def gop_codec(spark, sf_dir):
     frames = _whole(spark, sf_dir).select(div("k", 4).cast("string").alias("clip"), (F.col("k") % 4).alias("frame_idx"), hexes.alias("plane"))
     clip = frames.select("clip", "frame_idx", F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("plane").alias("y"))
     packets = gop.encode(clip, qp=26, interval=2)
-    both = gop.decode(packets).join(packets, ["clip", "frame_idx"])
-    value = lambda c: F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: byte_at(F.col(c), i))
-    j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"]).select("clip", "frame_idx", "key", "size", "sse", value("x").alias("a"), value("y").alias("b"))
-    d = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0), lambda s, v: s + v)
-    return j.select("clip", "frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (d == F.col("sse")).alias("same"))
+    both = gop.decode(packets, "key", "size", "sse")
+    j = both.join(clip.select("clip", "frame_idx", F.col("y").alias("x")), ["clip", "frame_idx"])
+    return j.select("clip", "frame_idx", "key", F.col("size").cast("bigint").alias("size"), "sse", (gop.squared_error(F.col("x"), F.col("y")) == F.col("sse")).alias("same"))
 
 
 _LIMITS = "lm(i, lw, lh, lb) AS (VALUES (1, 320, 240, 500000), (2, 640, 480, 2000000), (3, 1280, 720, 5000000), (4, 1280, 720, 10000000), (5, 1920, 1080, 20000000), (6, 1920, 1080, 40000000), (7, 3840, 2160, 80000000), (8, 3840, 2160, 160000000))"

@@ -88,3 +88,15 @@ def test_groups_in_spark(spark):
         assert r["error"] == "" and int(((frames[k] - y) ** 2).sum()) == want[k]
     broken = packets.withColumn("payload", F.when(F.col("frame_idx") == 2, F.lit(b"x")).otherwise(F.col("payload")))
     assert {r["frame_idx"] for r in gop.decode(broken).where("error <> ''").collect()} == {2, 3}
+
+
+def test_groups_are_dealt_to_many_tasks(spark):
+    """However few bytes the groups are, tasks are not merged; columns of packets are carried through the decoder."""
+    f = next(clip(1, 16, 16)).astype(np.uint8).tobytes()
+    df = spark.createDataFrame([(str(c), k, 16, 16, f) for c in range(24) for k in (0, 1)], "clip string, frame_idx long, width int, height int, y binary")
+    packets = gop.encode(df, qp=28, interval=2)
+    assert packets.select(F.spark_partition_id()).distinct().count() > 4
+    out = gop.decode(packets, "size", "sse")
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
+    key = lambda rows: sorted((r["clip"], r["frame_idx"], r["size"], r["sse"]) for r in rows)
+    assert key(out.collect()) == key(packets.collect()) and out.columns == ["clip", "frame_idx", "y", "error", "size", "sse"]
